@@ -19,8 +19,46 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.mixing import mix
+
+    mixed = mix(_table(spark, sf_dir, "documents"), F.array("source"))
+    return mixed.select("doc_id", "size", F.element_at("source_sizes", 1).alias("source_size"), F.element_at("targets", 1).alias("target"), "taken")
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.decontaminate import contamination
+
+    found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality import BASE, quality_rules
+
+    judged = quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *BASE, "base_failed", "kept", "score")
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.secret_scan import KINDS, find_secrets
+
+    text = lambda xs: F.array_join(F.transform(xs, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    own = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    found = find_secrets(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[F.size(own(k)).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(text(own(*KINDS)), 256).alias("base_sha256"), text("spans").alias("spans"))
+
+
+def op10_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.sharding import balanced_shards
+
+    placed = balanced_shards(_table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash_dedup": op1_simhash_dedup}
+    every = (op1_simhash_dedup, op2_mix_sources, op3_decontaminate, op4_quality_rules, op9_secret_scan, op10_shard_by_bytes)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
