@@ -38,7 +38,7 @@ def balanced_shards(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id",
     totals = totals.select("part", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes_before"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows_before"), F.sum("bytes").over(W.partitionBy()).alias("all_bytes"))
     inside = W.partitionBy("part").orderBy(*order)
     offset = F.col("bytes_before") + F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
-    placed = dealt.join(F.broadcast(totals), "part").select(*order, (offset.cast("decimal(38,0)") * n_shards / F.col("all_bytes")).alias("x"), (F.col("rows_before") + F.row_number().over(inside) - 1).alias("row"))
+    placed = dealt.join(F.broadcast(totals), "part").select(*order, ((2 * offset + F.col("size")).cast("decimal(38,0)") * n_shards / (2 * F.col("all_bytes"))).alias("x"), (F.col("rows_before") + F.row_number().over(inside) - 1).alias("row"))
     placed = written(placed.select(*order, F.floor("x").cast("int").alias("shard"), "row"), "placed")
     dropped(rows)
     first = placed.groupBy("shard").agg(F.min("row").alias("first"))  # n_shards rows at most
