@@ -40,6 +40,30 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *BASE, "base_failed", "kept", "score")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm.tokens import token_counts
+
+    return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op6_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.chat import digest, expand
+
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return digest(expand(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.langid import identify, learn
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    found = identify(docs, learn(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.secret_scan import KINDS, find_secrets
 
@@ -57,7 +81,7 @@ def op10_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_simhash_dedup, op2_mix_sources, op3_decontaminate, op4_quality_rules, op9_secret_scan, op10_shard_by_bytes)
+    every = (op1_simhash_dedup, op2_mix_sources, op3_decontaminate, op4_quality_rules, op5_token_counts, op6_chat_examples, op8_language_id, op9_secret_scan, op10_shard_by_bytes)
     return {f.__name__: f for f in every}
 
 
