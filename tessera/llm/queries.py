@@ -55,6 +55,13 @@ def op6_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(expand(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.substring import duplicate_spans, removed_words
+
+    found = duplicate_spans(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", removed_words().alias("n_removed"), "kept_sha256")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.langid import identify, learn
 
@@ -81,7 +88,7 @@ def op10_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_simhash_dedup, op2_mix_sources, op3_decontaminate, op4_quality_rules, op5_token_counts, op6_chat_examples, op8_language_id, op9_secret_scan, op10_shard_by_bytes)
+    every = (op1_simhash_dedup, op2_mix_sources, op3_decontaminate, op4_quality_rules, op5_token_counts, op6_chat_examples, op7_substring_dedup, op8_language_id, op9_secret_scan, op10_shard_by_bytes)
     return {f.__name__: f for f in every}
 
 
