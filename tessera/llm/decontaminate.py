@@ -92,7 +92,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """`docs` without the rows of which more than `max_hit_share` of the words are hit."""
     found = contamination(docs, benchmark, id_col, text_col, item_col, n)
     bad = found.filter((F.col("n_hit") > 0) & (F.col("n_hit") > max_hit_share * F.col("n_words"))).select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad"]), "left_anti")
+    return docs.join(bad.hint("shuffle_hash"), docs[id_col].eqNullSafe(bad["__bad"]), "left_anti")
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", n: int = 10) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from tessera.llm.boosting import Forest, fit
 from tessera.llm.text import in_small_batches, words
-from tessera.session import written
 
 #: Statistics that are shares or means, and how the verdict may go with them.
 FEATURES = {
@@ -81,8 +80,8 @@ def statistics(text: str | None) -> list[float]:
     return [n, chars, symbols, dup, repeats, *map(float, found)]
 
 
-def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`id_col`, the base counts (long) and the features (double) for every row."""
+def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
+    """`id_col`, `more`, the base counts (long) and the features (double) for every row."""
     schema = f"n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, {', '.join(f'{f} double' for f in FEATURES)}"
 
     @F.pandas_udf(schema)
@@ -90,40 +89,32 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = pd.DataFrame([statistics(t) for t in texts], columns=[*BASE, *FEATURES])
         return found.astype(dict.fromkeys(BASE, "int64"))
 
-    return in_small_batches(docs).select(F.col(id_col), of(F.col(text_col)).alias("s")).select(id_col, "s.*")
+    return in_small_batches(docs).select(id_col, *more, of(F.col(text_col)).alias("s")).select(id_col, *more, "s.*")
 
 
 def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def fit_rules(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_labelled: int = 20_000) -> Forest | None:
+def fit_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 20_000) -> Forest | None:
     """Trees fitted on `max_labelled` labelled rows at most, chosen by a hash of the id.
 
-    None if fewer than ten rows of either kind are labelled.
+    The ids go to all executors, whose rows become statistics there. None if
+    fewer than ten rows of either kind are labelled.
     """
     marked = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("double").alias("__y"))
     chosen = marked.orderBy(F.xxhash64("__id"), "__id").limit(max_labelled)
-    rows = stats.join(chosen, stats[id_col] == chosen["__id"]).select("__id", *FEATURES, "__y").toPandas()
-    rows = rows.sort_values("__id", kind="stable")
+    rows = docs.select(F.col(id_col).alias("__id"), text_col).join(F.broadcast(chosen), "__id")
+    rows = with_statistics(rows, "__id", text_col, "__y").limit(2 * max_labelled).toPandas()
+    rows = rows.sort_values(["__id", *FEATURES], kind="stable")
     y = rows["__y"].to_numpy(float)
     if min((y > 0.5).sum(), (y <= 0.5).sum()) < 10:
         return None
     return fit(rows[[*FEATURES]].to_numpy(float), (y > 0.5).astype(float), np.array([*FEATURES.values()]))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.5, max_labelled: int = 20_000) -> DataFrame:
-    """`id_col`, the base counts, the features, `base_failed, score, kept` for every row.
-
-    score is the trees' probability that the text is good; kept asks for the
-    base rules and a score of `threshold`. Without enough labels of both kinds
-    the score is null and the base rules decide alone. A null text has no
-    words and so fails; rows with a null id are judged like any other, repeated
-    rows come back each, an empty table gives no rows. Other columns are not
-    looked at.
-    """
-    stats = written(with_statistics(docs.select(id_col, text_col), id_col, text_col), "statistics")
-    forest = fit_rules(stats, labels, id_col, label_col, max_labelled)
+def with_verdict(stats: DataFrame, forest: Forest | None, threshold: float = 0.5) -> DataFrame:
+    """`stats` with `base_failed, score, kept`."""
     if forest is None:
         scored = stats.withColumn("score", F.lit(None).cast("double"))
     else:
@@ -135,3 +126,24 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         scored = stats.withColumn("score", score(*FEATURES))
     failed = scored.withColumn("base_failed", base_failed())
     return failed.withColumn("kept", ~F.col("base_failed") & (F.coalesce("score", F.lit(1.0)) >= threshold))
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.5, max_labelled: int = 20_000) -> DataFrame:
+    """`id_col`, the base counts, the features, `base_failed, score, kept` for every row.
+
+    score is the trees' probability that the text is good; kept asks for the
+    base rules and a score of `threshold`. Without enough labels of both kinds
+    the score is null and the base rules decide alone. A null text has no
+    words and so fails; rows with a null id are judged like any other, repeated
+    rows come back each, an empty table gives no rows. Other columns are not
+    looked at. After the fit one pass without a shuffle judges all rows.
+    """
+    forest = fit_rules(docs, labels, id_col, text_col, label_col, max_labelled)
+    return with_verdict(with_statistics(docs, id_col, text_col), forest, threshold)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.5, max_labelled: int = 20_000) -> DataFrame:
+    """The rows of `docs` that `quality_rules` keeps, with their own columns alone."""
+    forest = fit_rules(docs, labels, id_col, text_col, label_col, max_labelled)
+    packed = docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    return with_verdict(with_statistics(packed, "__id", "__text", "__row"), forest, threshold).filter("kept").select("__row.*")

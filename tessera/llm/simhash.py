@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
 from tessera.llm.text import in_small_batches, whole_runs, words
-from tessera.session import dropped, written
+from tessera.session import written
 
 SEED = 42
 #: A list of the index is compared in blocks of so many fingerprints.
@@ -22,8 +22,8 @@ BLOCK = 512
 AT_ONCE = 65_536
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """The 64-bit SimHash of the word shingles of a text, repeats included.
+def fingerprint(text: str | None, shingle: int = 3, seed: int = SEED, distinct: bool = False) -> int:
+    """The 64-bit SimHash of the word shingles of a text, repeats included unless `distinct`.
 
     A bit is set if it is set in more than half of the shingles' XXH64. Fewer
     words than a shingle make one shingle; no words give zero.
@@ -35,21 +35,25 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     ends = np.cumsum([len(x) + 1 for x in w]) - 1
     starts = [0, *(ends[: n - 1] + 1).tolist()]
     stops = ends[shingle - 1 :].tolist() if len(w) >= shingle else [len(whole)]
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest, ones, every = xxhash.xxh64_intdigest, np.zeros(64, np.int64), None
+    if distinct:
+        every = list({whole[a:b] for a, b in zip(starts, stops)})
+        n = len(every)
     for i in range(0, n, AT_ONCE):
-        h = np.array([digest(whole[a:b], SEED) for a, b in zip(starts[i : i + AT_ONCE], stops[i : i + AT_ONCE])], np.uint64)
+        some = every[i : i + AT_ONCE] if distinct else (whole[a:b] for a, b in zip(starts[i : i + AT_ONCE], stops[i : i + AT_ONCE]))
+        h = np.array([digest(x, seed) for x in some], np.uint64)
         ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """`id_col, fp` (the fingerprint as a signed long) for every row; a null text has no words."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seeds: tuple[int, ...] = (SEED,), distinct: bool = False) -> DataFrame:
+    """`id_col, fps` for every row: a signed long for each seed; a null text has no words."""
 
-    @F.pandas_udf("long")
+    @F.pandas_udf("array<long>")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
+        return pd.Series([np.array([fingerprint(t, shingle, s, distinct) for s in seeds], np.uint64).view(np.int64) for t in texts])
 
-    return in_small_batches(docs).select(F.col(id_col), of(F.col(text_col)).alias("fp"))
+    return in_small_batches(docs).select(F.col(id_col), of(F.col(text_col)).alias("fps"))
 
 
 def index_positions(max_bits: int) -> list[tuple[int, ...]]:
@@ -78,6 +82,7 @@ def _forest(max_bits: int):
         keys = ["at", "key", "i", "j"]
         for run in whole_runs(batches, keys):
             f = run["fp"].to_numpy(np.int64).view(np.uint64)
+            node = run["node"].to_numpy(np.int64)
             k = run[keys].to_numpy(np.int64)
             cuts = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
             out_a, out_b = [], []
@@ -94,10 +99,10 @@ def _forest(max_bits: int):
                 if close.any():
                     root = _roots(hi - lo, x[close], y[close])
                     far = np.flatnonzero(root != np.arange(hi - lo))
-                    out_a.append(own[far])
-                    out_b.append(own[root[far]])
+                    out_a.append(node[lo:hi][far])
+                    out_b.append(node[lo:hi][root[far]])
             if out_a:
-                yield pd.DataFrame({"a": np.concatenate(out_a).view(np.int64), "b": np.concatenate(out_b).view(np.int64)})
+                yield pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
 
     return of
 
@@ -118,8 +123,8 @@ def _roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.array([top(i) for i in range(n)])
 
 
-def fingerprint_links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
-    """`a, b`: links that connect all distinct `fp` at `max_bits` differing bits or fewer.
+def fingerprint_links(classes: DataFrame, max_bits: int = 3, n_seeds: int = 1) -> DataFrame:
+    """`a, b`: links that connect all `node` of which some `fps` differ in `max_bits` bits at most.
 
     The inverted index lists the fingerprints under their positional bytes. A
     list for one byte would hold a 256th of all, so a list stands for several
@@ -130,48 +135,58 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     links, never its pairs; a long list is dealt out in blocks, each pair of
     blocks to a task of its own.
     """
-    byte = lambda p: F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255))
+    sets = index_positions(max_bits)
     entries = []
-    for at, positions in enumerate(index_positions(max_bits)):
-        key = F.lit(0).cast("long")
-        for p in positions:
-            key = key * 256 + byte(p)
-        entries.append(F.struct(F.lit(at).alias("at"), key.alias("key")))
-    index = fps.select("fp", F.explode(F.array(*entries)).alias("e")).select("fp", "e.at", "e.key")
+    for seed in range(n_seeds):
+        fp = F.element_at("fps", seed + 1)
+        for at, positions in enumerate(sets):
+            key = F.lit(0).cast("long")
+            for p in positions:
+                key = key * 256 + F.shiftrightunsigned(fp, 8 * p).bitwiseAND(F.lit(255))
+            entries.append(F.struct(F.lit(seed * len(sets) + at).alias("at"), key.alias("key"), fp.alias("fp")))
+    index = classes.select("node", F.explode(F.array(*entries)).alias("e")).select("node", "e.*")
     sizes = index.groupBy("at", "key").count().filter("count > 1")
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
-    listed = index.join(sizes, ["at", "key"]).select("at", "key", "fp", blocks.alias("nb"), F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("own"))
-    met = listed.select("at", "key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-    met = met.select("at", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
+    listed = index.join(sizes, ["at", "key"]).select("at", "key", "fp", "node", blocks.alias("nb"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"))
+    met = listed.select("at", "key", "fp", "node", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+    met = met.select("at", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "node")
     return met.repartition("at", "key", "i", "j").sortWithinPartitions("at", "key", "i", "j").mapInPandas(_forest(max_bits), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """`id_col, fp, component_id` for every row: texts whose fingerprints link, over any number of links.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3, seeds: tuple[int, ...] = (SEED,), distinct: bool = False) -> DataFrame:
+    """`id_col, fps, component_id` for every row: texts whose fingerprints link, over any number of links.
 
-    component_id is the smallest id reachable, the row's own included.
+    Two texts link if their fingerprints of some seed differ in `max_bits` bits
+    at most. component_id is the smallest id reachable, the row's own included.
 
     Null and empty texts have fingerprint zero and link like any other. A null
     id takes the smallest id of its component (null if there is none); repeated
     rows come back each. An empty table gives an empty result. Other columns
-    are not looked at. Exact copies share a fingerprint: the index sees each
-    fingerprint once.
+    are not looked at. Texts with equal fingerprints are one entry of the index.
     """
-    fps = written(fingerprints(docs.select(id_col, text_col), id_col, text_col, shingle), "fingerprints")
-    classes = written(fps.groupBy("fp").agg(F.min(id_col).alias("least")), "classes")
-    parts = connected_components(fingerprint_links(classes.select("fp"), max_bits)).withColumnRenamed("node", "fp")
-    rooted = classes.join(parts, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    fps = fingerprints(docs.select(id_col, text_col), id_col, text_col, shingle, seeds, distinct)
+    fps = written(fps.withColumn("node", F.element_at("fps", 1) if len(seeds) == 1 else F.xxhash64("fps")), "fingerprints")
+    classes = written(fps.groupBy("node").agg(F.first("fps").alias("fps"), F.min(id_col).alias("least")), "classes")
+    parts = connected_components(fingerprint_links(classes.select("node", "fps"), max_bits, len(seeds)))
+    rooted = classes.join(parts, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     small = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.join(small, "root").select("fp", "component_id")
-    return fps.join(of, "fp").select(id_col, "fp", "component_id")
+    of = rooted.join(small, "root").select("node", "component_id")
+    return fps.join(of, "node").select(id_col, "fps", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 1, max_bits: int = 3, seeds: tuple[int, ...] = (1, 2, 3, 4, 5, 6), distinct: bool = True) -> DataFrame:
     """The rows of `docs` that are the smallest id of their group, all columns kept.
 
-    A row with a null id stays only if its whole group has none; of rows that
-    repeat the smallest id all stay.
+    By default groups are linked by any of six fingerprints over the distinct
+    words of a text: a copy with few words changed keeps most of its set of
+    words, while three bits of one fingerprint over shingles would lose it.
+    A row with a null id goes if its group has ids, else equal texts among
+    such rows are kept once; of rows that repeat the smallest id one stays.
     """
-    groups = near_duplicates(docs, id_col, text_col, shingle, max_bits)
-    kept = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi")
+    groups = written(near_duplicates(docs, id_col, text_col, shingle, max_bits, seeds, distinct).select(id_col, "component_id"), "groups")
+    gone = groups.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__gone")).distinct()
+    stay = docs.join(gone.hint("shuffle_hash"), docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
+    if groups.groupBy(id_col).count().filter("count > 1").isEmpty():
+        return stay
+    named = stay.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col])
+    return named.unionByName(stay.filter(F.col(id_col).isNull()).dropDuplicates([text_col]))
