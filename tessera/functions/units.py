@@ -91,4 +91,4 @@ def literal_si(value: float, unit: str) -> tuple[float, str] | None:
 
 def si_text(magnitude: Column) -> Column:
     """A magnitude at twelve significant digits, to compare for equality."""
-    return F.format_string("%.11e", magnitude)
+    return F.when(magnitude.isNotNull(), F.format_string("%.11e", magnitude))

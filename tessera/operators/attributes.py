@@ -75,7 +75,7 @@ def flatten_variant(df: DataFrame, id_col: str, raw_col: str, prefix: str = "",
         key = F.when(F.col("leaf") == "named", _join_path(_join_path(F.col("key"), text("$.name")), F.lit("name"))).otherwise(F.col("key"))
         leaves.append(level.filter("leaf is not null").select("__id", key.alias("key"), value.alias("value"), unit.alias("unit")))
         level.createOrReplaceTempView(view := f"__level_{depth}")
-        level = spark.sql(f"select __id, key, kind, e.key as k, e.value as v from {view}, lateral variant_explode(v) as e where leaf is null and kind in ('object', 'array')")
+        level = spark.sql(f"select __id, key, kind, e.k as k, e.w as v from {view}, lateral variant_explode(v) as e(p, k, w) where leaf is null and kind in ('object', 'array')")
         level = level.select("__id", F.when(F.col("kind") == "array", F.col("key")).otherwise(_join_path(F.col("key"), F.col("k"))).alias("key"), "v")
         spark.catalog.dropTempView(view)
         level = written(level.select("__id", "key", F.to_json("v").alias("v")), "level").select("__id", "key", F.parse_json("v").alias("v"))
@@ -91,7 +91,7 @@ def record_roots(df: DataFrame, id_col: str, raw_col: str, roots: list[str]) ->
     """`id_col, raw`: the parts of each record under `roots`, one row each."""
     view = "__records"
     df.select(F.col(id_col).alias("__id"), F.try_parse_json(F.col(raw_col).cast("string")).alias("v")).createOrReplaceTempView(view)
-    parts = df.sparkSession.sql(f"select __id, e.key as k, e.value as v from {view}, lateral variant_explode(v) as e")
+    parts = df.sparkSession.sql(f"select __id, e.k as k, e.w as v from {view}, lateral variant_explode(v) as e(p, k, w)")
     df.sparkSession.catalog.dropTempView(view)
     wanted = reduce(Column.__or__, [F.col("k").startswith(r[:-1]) if r.endswith("*") else F.col("k") == r for r in roots])
     return parts.filter(wanted).select(F.col("__id").alias(id_col), F.to_json("v").alias("raw"))

@@ -79,14 +79,26 @@ def resolve_keys(proposed: DataFrame, keys: DataFrame, descriptions: DataFrame |
         near = near.unionByName(similar(asked, descriptions.select("key", vector_col), float("inf"), name_col, vector_col, vector_col))
     else:
         met = met.withColumn("by_text", F.lit(None).cast("string"))
+    close = _nearest(near, threshold, gap, name_col)
+    all_ = met.join(close, name_col, "left")
+    hit = F.coalesce("by_name", "by_text", "by_meaning")
+    return all_.select(name_col, F.coalesce(hit, F.col("n")).alias("key"), hit.isNull().alias("is_new"))
+
+
+def _nearest(near: DataFrame, threshold: float, gap: float, name_col: str) -> DataFrame:
+    """`name_col, by_meaning`: the nearest key, where it is near enough and the next lies `gap` behind."""
     least = near.groupBy(name_col, "key").agg(F.min("distance").alias("d"))
     # the two nearest of each name: the least, and the least of the others
     best = least.groupBy(name_col).agg(F.min(F.struct("d", "key")).alias("a"))
     second = least.join(best, name_col).filter(F.col("key") != F.col("a.key")).groupBy(name_col).agg(F.min("d").alias("b"))
-    close = best.join(second, name_col, "left").filter((F.col("a.d") <= threshold) & (F.col("b").isNull() | (F.round(F.col("b") - F.col("a.d"), 9) >= gap))).select(name_col, F.col("a.key").alias("by_meaning"))
-    all_ = met.join(close, name_col, "left")
-    hit = F.coalesce("by_name", "by_text", "by_meaning")
-    return all_.select(name_col, F.coalesce(hit, F.col("n")).alias("key"), hit.isNull().alias("is_new"))
+    ahead = F.col("b").isNull() | (F.round(F.col("b") - F.col("a.d"), 9) >= gap)
+    return best.join(second, name_col, "left").filter((F.col("a.d") <= threshold) & ahead).select(name_col, F.col("a.key").alias("by_meaning"))
+
+
+def nearest_or_new(names: DataFrame, near: DataFrame, threshold: float = 0.20, gap: float = 0.04, name_col: str = "name") -> DataFrame:
+    """`name_col, key, is_new` by distances alone: `near` is (name_col, key, distance)."""
+    met = names.select(name_col).distinct().join(_nearest(near, threshold, gap, name_col), name_col, "left")
+    return met.select(name_col, F.coalesce("by_meaning", norm_key(F.col(name_col))).alias("key"), F.col("by_meaning").isNull().alias("is_new"))
 
 
 def vote(candidates: DataFrame, doc_col: str = "doc_id") -> DataFrame:
