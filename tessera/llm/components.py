@@ -9,7 +9,7 @@ from tessera.session import dropped, written
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """`node, root` for every node that has a link; root is the least node it reaches.
+    """`node, root` for every linked node but the roots; root is the least node it reaches.
 
     Alternating large-star and small-star steps: the number of rounds grows
     with the logarithm of the longest path. Minima per node are summed before

@@ -101,13 +101,13 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     The text falls into words and what stands between them; a hit word goes
     together with what follows it.
     """
-    found = hits(docs, benchmark, id_col, text_col, item_col, n).select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash"), "spans")
+    found = hits(docs, benchmark, id_col, text_col, item_col, n).select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
     both = docs.join(found, docs[id_col].eqNullSafe(found["__id"]) & (F.xxhash64(text_col) == found["__hash"]), "left")
     gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
     cased = TERM.replace(r"\x3A-\x60\x7B", r"\x3A-\x40\x5B-\x60\x7B")
     gap = gap.replace(r"\x3A-\x60\x7B", r"\x3A-\x40\x5B-\x60\x7B")
-    pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"{cased}{gap}*"), F.lit(0))
-    head = F.regexp_extract(F.col(text_col), f"^{gap}*", 0)
-    kept = F.filter(F.transform(pieces, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda p: ~F.exists("spans", lambda s: (s["from"] <= p["i"]) & (p["i"] < s["to"])))
+    pieces = F.regexp_extract_all(docs[text_col], F.lit(f"{cased}{gap}*"), F.lit(0))
+    head = F.regexp_extract(docs[text_col], f"^{gap}*", 0)
+    kept = F.filter(F.transform(pieces, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda p: ~F.exists("__spans", lambda s: (s["from"] <= p["i"]) & (p["i"] < s["to"])))
     cut = F.concat(head, F.array_join(F.transform(kept, lambda p: p["w"]), ""))
-    return both.select(*[F.when(F.col("spans").isNotNull(), cut).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    return both.select(*[F.when(F.col("__spans").isNotNull(), cut).otherwise(docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns])

@@ -164,6 +164,6 @@ def mix(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: str
 
 def mixed_rows(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of `docs` as often as the mix uses them, with their own columns alone."""
-    uses = mix(docs, sources, id_col, text_col, **options).filter("uses > 0").select(F.col(id_col).alias("__id"), F.col("size").alias("__size"), "uses").dropDuplicates(["__id", "__size"])
+    uses = mix(docs, sources, id_col, text_col, **options).filter("uses > 0").select(F.col(id_col).alias("__id"), F.col("size").alias("__size"), F.col("uses").alias("__uses")).dropDuplicates(["__id", "__size"])
     met = docs[id_col].eqNullSafe(uses["__id"]) & (size_in_words(docs[text_col]) == uses["__size"])
-    return docs.join(uses.hint("shuffle_hash"), met).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), "uses")).alias("__use")).drop("__use")
+    return docs.join(uses.hint("shuffle_hash"), met).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), "__uses")).alias("__use")).drop("__use")

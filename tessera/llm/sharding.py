@@ -52,4 +52,5 @@ def write_shards(docs: DataFrame, path: str, n_shards: int = 40, id_col: str = "
     """
     at = balanced_shards(docs, n_shards, id_col, text_col).select(F.col(id_col).alias("__i"), F.col("text_crc32").alias("__c"), "shard").dropDuplicates(["__i", "__c"])
     crc = F.crc32(F.coalesce(docs[text_col], F.lit("")).cast("binary"))
+    docs = docs.drop("shard")
     docs.join(at, docs[id_col].eqNullSafe(at["__i"]) & (crc == at["__c"])).drop("__i", "__c").repartitionByRange("shard", id_col).sortWithinPartitions("shard", id_col).write.partitionBy("shard").parquet(path)

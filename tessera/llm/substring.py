@@ -173,9 +173,10 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     only minima and maxima per hash are taken, summed before the shuffle.
     """
     gram = max(4, least // GRAM_SHARE)
+    id_kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = in_small_batches(docs).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
-    seen = written(rows.mapInPandas(lambda b: _grams(b, least, gram), "id long, key long, sha binary, n int, pos array<int>, gram array<long>, around array<long>"), "grams")
+    seen = written(rows.mapInPandas(lambda b: _grams(b, least, gram), f"id {id_kind}, key long, sha binary, n int, pos array<int>, gram array<long>, around array<long>"), "grams")
     # the word sequences that stand more than once, with their smallest ids
     copies = seen.filter(F.col("id").isNotNull() & (F.col("n") >= least)).groupBy("sha").agg(F.min("id").alias("rep"), F.count("*").alias("k")).filter("k > 1").drop("k")
     known = seen.select("id", "sha", "n").join(copies, "sha", "left")
@@ -188,7 +189,7 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # only texts with an open anchor have windows to look up
     some = flags.filter(F.exists("flags", lambda f: f % 4 == 0)).select("id", "key", "flags")
     looked = rows.join(some.hint("shuffle_hash"), ["id", "key"]).select("id", "key", "text", "flags")
-    looked = written(looked.mapInPandas(lambda b: _windows(b, least, gram), "id long, key long, start int, one long, two long"), "windows")
+    looked = written(looked.mapInPandas(lambda b: _windows(b, least, gram), f"id {id_kind}, key long, start int, one long, two long"), "windows")
     earlier = looked.groupBy("one", "two").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").drop("hi")
     met = looked.join(earlier, ["one", "two"]).filter("id > lo").groupBy("id", "key").agg(F.collect_set("start").alias("starts"))
     both = flags.join(met, ["id", "key"], "left")
@@ -209,7 +210,7 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     kind = "array<struct<from:int,to:int>>"
     spans = rows.join(both.hint("shuffle_hash"), ["id", "key"]).select("id", "sha", "text", "flags", "starts")
-    spans = spans.mapInPandas(parsed, f"id long, sha binary, spans {kind}, kept string").filter(F.size("spans") > 0).dropDuplicates(["id", "sha"])
+    spans = spans.mapInPandas(parsed, f"id {id_kind}, sha binary, spans {kind}, kept string").filter(F.size("spans") > 0).dropDuplicates(["id", "sha"])
     joined = known.join(spans, ["id", "sha"], "left")
     copy = F.col("rep").isNotNull() & (F.col("id") > F.col("rep"))
     whole = F.array(F.struct(F.lit(0).alias("from"), F.col("n").alias("to"))).cast(kind)
