@@ -93,4 +93,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tessera.llm.oracles import ORACLES
+
+    return dict(ORACLES)
