@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pandas as pd
@@ -12,48 +12,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
+from tessera.llm.substring import Prefix, word_hashes
 from tessera.llm.text import in_small_batches, whole_runs, words
 from tessera.session import written
 
 SEED = 42
 #: A list of the index is compared in blocks of so many fingerprints.
 BLOCK = 512
+#: Parts of a sketch: its estimate of a similarity of 0.8 is off by 0.025 in the mean.
+BINS = 256
 #: Shingles whose bits are counted at once.
 AT_ONCE = 65_536
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = SEED, distinct: bool = False) -> int:
-    """The 64-bit SimHash of the word shingles of a text, repeats included unless `distinct`.
+def fingerprints(text: str | None, shingle: int = 3, seeds: tuple[int, ...] = (SEED,), distinct: bool = False) -> np.ndarray:
+    """For each seed the 64-bit SimHash of the word shingles of a text, repeats included unless `distinct`.
 
     A bit is set if it is set in more than half of the shingles' XXH64. Fewer
     words than a shingle make one shingle; no words give zero.
     """
     w = [x.lower() for x in words(text)]
     if not w:
-        return 0
+        return np.zeros(len(seeds), np.uint64)
     whole, n = b" ".join(w), max(1, len(w) - shingle + 1)
     ends = np.cumsum([len(x) + 1 for x in w]) - 1
     starts = [0, *(ends[: n - 1] + 1).tolist()]
     stops = ends[shingle - 1 :].tolist() if len(w) >= shingle else [len(whole)]
-    digest, ones, every = xxhash.xxh64_intdigest, np.zeros(64, np.int64), None
-    if distinct:
-        every = list({whole[a:b] for a, b in zip(starts, stops)})
-        n = len(every)
+    cut = {whole[a:b] for a, b in zip(starts, stops)} if distinct else None
+    n, digest = len(cut) if distinct else n, xxhash.xxh64_intdigest
+    ones = np.zeros((len(seeds), 64), np.int64)
     for i in range(0, n, AT_ONCE):
-        some = every[i : i + AT_ONCE] if distinct else (whole[a:b] for a, b in zip(starts[i : i + AT_ONCE], stops[i : i + AT_ONCE]))
-        h = np.array([digest(x, seed) for x in some], np.uint64)
-        ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seeds: tuple[int, ...] = (SEED,), distinct: bool = False) -> DataFrame:
-    """`id_col, fps` for every row: a signed long for each seed; a null text has no words."""
-
-    @F.pandas_udf("array<long>")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.array([fingerprint(t, shingle, s, distinct) for s in seeds], np.uint64).view(np.int64) for t in texts])
-
-    return in_small_batches(docs).select(F.col(id_col), of(F.col(text_col)).alias("fps"))
+        some = list(islice(cut, i, i + AT_ONCE)) if distinct else [whole[a:b] for a, b in zip(starts[i : i + AT_ONCE], stops[i : i + AT_ONCE])]
+        for k, seed in enumerate(seeds):
+            h = np.array([digest(x, seed) for x in some], "<u8")
+            ones[k] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
 
 
 def index_positions(max_bits: int) -> list[tuple[int, ...]]:
@@ -97,17 +90,17 @@ def _forest(max_bits: int):
                 x, y = np.nonzero(np.triu(shared >= least, 1))
                 close = np.bitwise_count(own[x] ^ own[y]) <= max_bits
                 if close.any():
-                    root = _roots(hi - lo, x[close], y[close])
-                    far = np.flatnonzero(root != np.arange(hi - lo))
-                    out_a.append(node[lo:hi][far])
-                    out_b.append(node[lo:hi][root[far]])
+                    p, q = _spanning(hi - lo, x[close], y[close], np.bitwise_count(own[x[close]] ^ own[y[close]]))
+                    out_a.append(node[lo:hi][p])
+                    out_b.append(node[lo:hi][q])
             if out_a:
                 yield pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
 
     return of
 
 
-def _roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _spanning(n: int, x: np.ndarray, y: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest, the closest taken first."""
     up = list(range(n))
 
     def top(i: int) -> int:
@@ -116,11 +109,13 @@ def _roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
             i = up[i]
         return i
 
-    for p, q in zip(x.tolist(), y.tolist()):
-        p, q = top(p), top(q)
+    taken = []
+    for k in np.argsort(bits, kind="stable").tolist():
+        p, q = top(int(x[k])), top(int(y[k]))
         if p != q:
             up[max(p, q)] = min(p, q)
-    return np.array([top(i) for i in range(n)])
+            taken.append(k)
+    return x[taken], y[taken]
 
 
 def fingerprint_links(classes: DataFrame, max_bits: int = 3, n_seeds: int = 1) -> DataFrame:
@@ -153,37 +148,82 @@ def fingerprint_links(classes: DataFrame, max_bits: int = 3, n_seeds: int = 1) -
     return met.repartition("at", "key", "i", "j").sortWithinPartitions("at", "key", "i", "j").mapInPandas(_forest(max_bits), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3, seeds: tuple[int, ...] = (SEED,), distinct: bool = False) -> DataFrame:
+def sketch(text: str | None, shingle: int = 5) -> bytes:
+    """The smallest hash of each of `BINS` parts of a text's word shingles, 16 bits each; 0 for an empty part."""
+    w = words(text)
+    if not w:
+        return bytes(2 * BINS)
+    hashes, n = word_hashes([x.lower() for x in w]), min(shingle, len(w))
+    at = np.arange(len(w) - n + 1)
+    h = Prefix(hashes).of(at, at + n)
+    least = np.full(BINS, np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(least, (h & np.uint64(BINS - 1)).astype(np.intp), h >> np.uint64(8))
+    out = (least & np.uint64(0xFFFF)).astype("<u2")
+    out[out == 0] = 1
+    out[least == np.iinfo(np.uint64).max] = 0
+    return out.tobytes()
+
+
+def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The share of parts that agree, of those that either text fills; 1 for two texts without words."""
+    x, y = (np.frombuffer(b"".join(map(bytes, s)), "<u2").reshape(-1, BINS) for s in (a, b))
+    either = ((x > 0) | (y > 0)).sum(axis=1)
+    return pd.Series(np.where(either > 0, ((x == y) & (x > 0)).sum(axis=1) / np.maximum(either, 1), 1.0))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3, seeds: tuple[int, ...] = (SEED,), distinct: bool = False, verify: float | None = None) -> DataFrame:
     """`id_col, fps, component_id` for every row: texts whose fingerprints link, over any number of links.
 
     Two texts link if their fingerprints of some seed differ in `max_bits` bits
     at most. component_id is the smallest id reachable, the row's own included.
+    With `verify` the links of the lists' forests must also reach that
+    similarity of five-word shingles, by a sketch of each text.
 
     Null and empty texts have fingerprint zero and link like any other. A null
     id takes the smallest id of its component (null if there is none); repeated
     rows come back each. An empty table gives an empty result. Other columns
-    are not looked at. Texts with equal fingerprints are one entry of the index.
+    are not looked at. Texts with equal fingerprints (and sketches) are one
+    entry of the index.
     """
-    fps = fingerprints(docs.select(id_col, text_col), id_col, text_col, shingle, seeds, distinct)
-    fps = written(fps.withColumn("node", F.element_at("fps", 1) if len(seeds) == 1 else F.xxhash64("fps")), "fingerprints")
-    classes = written(fps.groupBy("node").agg(F.first("fps").alias("fps"), F.min(id_col).alias("least")), "classes")
-    parts = connected_components(fingerprint_links(classes.select("node", "fps"), max_bits, len(seeds)))
+    schema = "fps array<long>" + ("" if verify is None else ", sketch binary")
+
+    @F.pandas_udf(f"struct<{schema.replace(' ', ':').replace(',:', ',')}>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        out = {"fps": [fingerprints(t, shingle, seeds, distinct).view(np.int64) for t in texts]}
+        return pd.DataFrame(out if verify is None else out | {"sketch": [sketch(t) for t in texts]})
+
+    rows = in_small_batches(docs).select(F.col(id_col), of(F.col(text_col)).alias("f")).select(id_col, "f.*")
+    plain = len(seeds) == 1 and verify is None
+    node = F.element_at("fps", 1) if plain else F.xxhash64(*(["fps"] if verify is None else ["fps", "sketch"]))
+    fps = written(rows.withColumn("node", node), "fingerprints")
+    first = [F.first(c).alias(c) for c in (["fps"] if verify is None else ["fps", "sketch"])]
+    classes = written(fps.groupBy("node").agg(*first, F.min(id_col).alias("least")), "classes")
+    links = fingerprint_links(classes.select("node", "fps"), max_bits, len(seeds))
+    if verify is not None:
+        alike = F.pandas_udf(_alike, "double")
+        own = classes.select("node", "sketch")
+        links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        links = links.join(own.withColumnsRenamed({"node": "a", "sketch": "of_a"}), "a").join(own.withColumnsRenamed({"node": "b", "sketch": "of_b"}), "b")
+        links = links.filter(alike("of_a", "of_b") >= verify).select("a", "b")
+    parts = connected_components(links)
     rooted = classes.join(parts, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     small = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.join(small, "root").select("node", "component_id")
-    return fps.join(of, "node").select(id_col, "fps", "component_id")
+    found = rooted.join(small, "root").select("node", "component_id")
+    return fps.join(found, "node").select(id_col, "fps", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 1, max_bits: int = 3, seeds: tuple[int, ...] = (1, 2, 3, 4, 5, 6), distinct: bool = True) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 1, max_bits: int = 3, seeds: tuple[int, ...] = (1, 2, 3, 4, 5, 6), distinct: bool = True, verify: float | None = 0.76) -> DataFrame:
     """The rows of `docs` that are the smallest id of their group, all columns kept.
 
     By default groups are linked by any of six fingerprints over the distinct
     words of a text: a copy with few words changed keeps most of its set of
     words, while three bits of one fingerprint over shingles would lose it.
+    Links are then verified by the similarity of five-word shingles: 0.8 or
+    more, less what the sketch's estimate may be off.
     A row with a null id goes if its group has ids, else equal texts among
     such rows are kept once; of rows that repeat the smallest id one stays.
     """
-    groups = written(near_duplicates(docs, id_col, text_col, shingle, max_bits, seeds, distinct).select(id_col, "component_id"), "groups")
+    groups = written(near_duplicates(docs, id_col, text_col, shingle, max_bits, seeds, distinct, verify).select(id_col, "component_id"), "groups")
     gone = groups.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__gone")).distinct()
     stay = docs.join(gone.hint("shuffle_hash"), docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
     if groups.groupBy(id_col).count().filter("count > 1").isEmpty():
