@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import metrics, scalars
@@ -14,6 +14,8 @@ from tessera.functions.units import si_text, to_si
 from tessera.operators import attributes as A
 from tessera.operators import conditions, evaluate, inferred, postrank, tables, text, vectors
 from tessera.plans import hybrid
+from tessera.session import shared_dir
+from tessera.streaming.incremental import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -577,6 +579,19 @@ def component_breakdown(spark, d):
     return rounded(found.select("query_id", "target_id", *PARTS_OF_SCORE), *PARTS_OF_SCORE)
 
 
+# ---------------------------------------------------------------- streams
+
+
+@register("select source, doc_id, lang from (select *, row_number() over (partition by source order by doc_id) as n from documents) where n = 1")
+def incremental_ingest(spark, d):
+    path = f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}/ingest-{uuid.uuid4().hex}"
+    rows = table(spark, d, "documents").select("source", "doc_id", "lang")
+    rows.write.parquet(f"{path}/drop")
+    schema = rows.schema
+    ingest(spark, f"{path}/drop", schema, f"{path}/table", f"{path}/offsets", "source", ["doc_id"]).awaitTermination()
+    return spark.read.schema(schema).parquet(f"{path}/table")
+
+
 # ---------------------------------------------------------------- rows only
 
 
