@@ -49,7 +49,7 @@ class Model:
     reject_below: float = 0.0
 
     def logits(self, counts: np.ndarray) -> np.ndarray:
-        mean = counts @ self.table / np.maximum(counts.sum(axis=1, keepdims=True), 1)
+        mean = counts @ self.table / np.maximum(counts.sum(axis=1, keepdims=True), 1e-9)
         return mean @ self.weights + self.bias
 
     def probabilities(self, counts: np.ndarray) -> np.ndarray:
@@ -70,7 +70,8 @@ def fit(counts: np.ndarray, labels: np.ndarray, epochs: int = 12, rate: float =
     order = rng.permutation(len(y))
     held, used = order[: len(y) // 5], order[len(y) // 5 :]
     model = Model(languages, rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)), np.zeros((DIMENSIONS, len(languages))), np.zeros(len(languages)))
-    x = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
+    x = counts.astype(np.float32, copy=False)
+    x /= np.maximum(x.sum(axis=1, keepdims=True), 1)  # in place: the counts are the largest thing here
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for i in range(0, len(used), batch):
@@ -86,19 +87,19 @@ def fit(counts: np.ndarray, labels: np.ndarray, epochs: int = 12, rate: float =
             model.table -= step * x[rows].T @ back / len(rows) * 1000
         used = rng.permutation(used)
     if len(held):
-        z = model.logits(counts[held])
+        z = model.logits(x[held])
         scored = []
         for t in np.geomspace(0.02, 5, 60):
             m = z / t - (z / t).max(axis=1, keepdims=True)
             scored.append((float((np.log(np.exp(m).sum(axis=1)) - m[np.arange(len(held)), y[held]]).mean()), t))
         model.temperature = min(scored)[1]
-        p = model.probabilities(counts[held])
+        p = model.probabilities(x[held])
         right = p.argmax(axis=1) == y[held]
         model.reject_below = float(np.quantile(p.max(axis=1)[right], 0.01)) if right.any() else 0.0
     return model
 
 
-def learn(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 4_000, max_languages: int = 200) -> Model | None:
+def learn(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 2_000, max_languages: int = 200) -> Model | None:
     """A model of the rows where `usable` holds and the language is not null.
 
     About `max_rows` rows at most are fitted, evenly many of each language,
@@ -115,17 +116,17 @@ def learn(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
     u = F.pmod(F.xxhash64(F.lit("langid"), id_col), F.lit(1 << 30)) / float(1 << 30)
     want = F.coalesce(*[F.when(F.col(lang_col) == r[0], F.lit(min(1.0, share / r[1]))) for r in found])
 
-    @F.pandas_udf("struct<at:array<int>,n:array<int>>")
+    @F.pandas_udf("struct<at:binary,n:binary>")
     def sparse(texts: pd.Series) -> pd.DataFrame:
         every = [subwords(t) for t in texts]
         at = [np.flatnonzero(c) for c in every]
-        return pd.DataFrame({"at": at, "n": [c[a] for c, a in zip(every, at)]})
+        return pd.DataFrame({"at": [a.astype("<i4").tobytes() for a in at], "n": [c[a].astype("<i4").tobytes() for c, a in zip(every, at)]})
 
     chosen = in_small_batches(rows).filter(u < want).select(id_col, F.col(lang_col).alias("lang"), sparse(F.col(text_col)).alias("c")).select(id_col, "lang", "c.*").limit(2 * max_rows + 100).toPandas()
     chosen = chosen.sort_values([id_col, "lang"], kind="stable")
     counts = np.zeros((len(chosen), BUCKETS), np.float32)
     for i, (at, n) in enumerate(zip(chosen["at"], chosen["n"])):
-        counts[i, at] = n
+        counts[i, np.frombuffer(at, "<i4")] = np.frombuffer(n, "<i4")
     return fit(counts, chosen["lang"].to_numpy(str)) if len(chosen) else None
 
 
