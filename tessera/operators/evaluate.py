@@ -98,6 +98,24 @@ def compare_runs(old: DataFrame, new: DataFrame, eps: float = EQUAL) -> DataFram
     return sums.withColumn("direction", F.when(up & down, "mixed").when(up, "better").when(down, "worse").otherwise("unchanged"))
 
 
+def direction_counts(compared: DataFrame) -> DataFrame:
+    """`direction, queries`: how many queries went which way."""
+    return compared.groupBy("direction").agg(F.count("*").alias("queries"))
+
+
+def regressions(compared: DataFrame, limit: int | None = None) -> DataFrame:
+    """The queries that lost under some configuration, the largest mean loss first."""
+    rows = compared.filter(F.col("worst_delta") < 0).orderBy("average_delta", "query_index")
+    return rows if limit is None else rows.limit(limit)
+
+
+def unequal_runs(old: DataFrame, new: DataFrame) -> DataFrame:
+    """`config, old_rows, new_rows` for configurations whose numbers of scores differ in the two runs."""
+    n = lambda df, name: df.groupBy("config").agg(F.count("*").alias(name))
+    both = n(old, "old_rows").join(n(new, "new_rows"), "config", "full").fillna(0)
+    return both.filter("old_rows <> new_rows")
+
+
 def score_distribution(scores: DataFrame, by: str = "test_name", score: str = "score") -> DataFrame:
     """`by, q1, median, q3, low, high, n`: quartiles, and the extremes within 1.5 spreads of them."""
     q = scores.groupBy(by).agg(F.percentile(score, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count(score).alias("n"))

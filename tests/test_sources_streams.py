@@ -84,3 +84,7 @@ def test_run_comparison(spark):
     new = spark.createDataFrame([("a", 0, 0.6, '{"x":1}'), ("b", 0, 0.4, None), ("a", 1, 0.5 + 1e-13, '{"y": 1}')], kind)
     got = {r.query_index: (r.direction, r.changed) for r in evaluate.compare_runs(old, new).collect()}
     assert got == {0: ("mixed", False), 1: ("unchanged", False)}
+    compared = evaluate.compare_runs(old, new)
+    assert {r.direction: r.queries for r in evaluate.direction_counts(compared).collect()} == {"mixed": 1, "unchanged": 1}
+    assert [r.query_index for r in evaluate.regressions(compared, 5).collect()] == [0]
+    assert [tuple(r) for r in evaluate.unequal_runs(old, new).collect()] == [("old", 1, 0)]
