@@ -319,14 +319,15 @@ def mean_condition_vector(spark, d):
 @register("""with m as (select label, i, avg(x) as x from (select label, unnest(cast(embedding as double[])) as x, unnest(range(len(embedding))) as i from embeddings) group by all),
  c as (select list(x order by i) as v from m where label = (select min(label) from embeddings)),
  e as (select vec_id, round(1 - list_dot_product(cast(embedding as double[]), v) / (sqrt(list_dot_product(cast(embedding as double[]), cast(embedding as double[]))) * sqrt(list_dot_product(v, v))), 6) as d from embeddings, c)
- select vec_id as doc_id from e where d < 0.3""")
+ select vec_id as doc_id, case when d < 0.3 then 1 else 0 end as near, case when d > 0.3 then 1 else 0 end as far from e where d <> 0.3""")
 def value_vector_condition(spark, d):
     e = table(spark, d, "embeddings")
     own = e.filter(F.col("label") == e.agg(F.min("label")).first()[0])
     vector = conditions.condition_vectors(own, "label", "embedding").first()["vector"]
     rows = e.select(F.col("vec_id").alias("doc_id"), F.lit("creator").alias("key"), F.lit("someone").alias("value"), F.col("embedding").alias("value_vector"))
-    tree = {"name": "creator", "operator": "=", "value": "nobody of this name"}
-    return conditions.Conditions(tree, {id(tree): vector}).flags(rows).select("doc_id")
+    near, far = {"name": "creator", "operator": "=", "value": "nobody of this name"}, {"name": "creator", "operator": "NOT IN", "value": ["someone"]}
+    found = conditions.Conditions({"logic": "OR", "conditions": [near, far]}, {id(near): vector, id(far): vector}).flags(rows)
+    return found.select("doc_id", F.col("has_condition_1").alias("near"), F.col("has_condition_2").alias("far"))
 
 
 @register(f"""with {DIST}, near as (select query_id, 'v' || vec_id as key, distance from dist), hits as (select * from near where distance < 0.35), n as (select query_id, count(*) as n from hits group by all),
