@@ -190,7 +190,9 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     some = flags.filter(F.exists("flags", lambda f: f % 4 == 0)).select("id", "key", "flags")
     looked = rows.join(some.hint("shuffle_hash"), ["id", "key"]).select("id", "key", "text", "flags")
     looked = written(looked.mapInPandas(lambda b: _windows(b, least, gram), f"id {id_kind}, key long, start int, one long, two long"), "windows")
+    # written, so that the join reads two plain shuffles and Spark can split a window that very many documents share
     earlier = looked.groupBy("one", "two").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").drop("hi")
+    earlier = written(earlier, "earlier")
     met = looked.join(earlier, ["one", "two"]).filter("id > lo").groupBy("id", "key").agg(F.collect_set("start").alias("starts"))
     both = flags.join(met, ["id", "key"], "left")
 
