@@ -207,7 +207,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = links.filter(alike("of_a", "of_b") >= verify).select("a", "b")
     parts = connected_components(links)
     rooted = classes.join(parts, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    small = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written, as in the rounds: one component may hold a third of all classes
+    small = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     found = rooted.join(small, "root").select("node", "component_id")
     return fps.join(found, "node").select(id_col, "fps", "component_id")
 
