@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.text import in_small_batches, words
-from tessera.session import written
+from tessera.session import dropped, written
 
 #: Words of a sampled gram of the index, against the least factor.
 GRAM_SHARE = 4
@@ -178,22 +178,30 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = in_small_batches(docs).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
     seen = written(rows.mapInPandas(lambda b: _grams(b, least, gram), f"id {id_kind}, key long, sha binary, n int, pos array<int>, gram array<long>, around array<long>"), "grams")
     # the word sequences that stand more than once, with their smallest ids
-    copies = seen.filter(F.col("id").isNotNull() & (F.col("n") >= least)).groupBy("sha").agg(F.min("id").alias("rep"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    known = seen.select("id", "sha", "n").join(copies, "sha", "left")
+    base = written(seen.select("id", "sha", "n"), "words")
+    copies = base.filter(F.col("id").isNotNull() & (F.col("n") >= least)).groupBy("sha").agg(F.min("id").alias("rep"), F.count("*").alias("k")).filter("k > 1").drop("k")
+    copies = written(copies, "copies")
+    known = base.join(copies, "sha", "left")
     single = seen.filter(F.col("id").isNotNull() & (F.col("n") >= least)).join(copies, "sha", "left").filter("rep is null or id = rep")
     entries = single.select("id", "key", "sha", F.explode(F.arrays_zip("pos", "gram", "around")).alias("e")).select("id", "key", "sha", "e.*")
     index = entries.groupBy("gram").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("around").alias("a"), F.max("around").alias("b")).filter("lo < hi")
+    # written, so that the join back reads two plain shuffles and Spark can split an entry that very many documents share
+    index = written(index, "index")
     state = F.when(F.col("a") != F.col("b"), 0).when(F.col("id") == F.col("lo"), 1).otherwise(2)
     flags = written(entries.drop("around").join(index, "gram").groupBy("id", "key", "sha").agg(F.collect_set((F.col("pos") * 4 + state).cast("int")).alias("flags")), "flags")
+    dropped(seen)
+    dropped(index)
 
     # only texts with an open anchor have windows to look up
     some = flags.filter(F.exists("flags", lambda f: f % 4 == 0)).select("id", "key", "flags")
     looked = rows.join(some.hint("shuffle_hash"), ["id", "key"]).select("id", "key", "text", "flags")
     looked = written(looked.mapInPandas(lambda b: _windows(b, least, gram), f"id {id_kind}, key long, start int, one long, two long"), "windows")
-    # written, so that the join reads two plain shuffles and Spark can split a window that very many documents share
+    # written for the same reason
     earlier = looked.groupBy("one", "two").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").drop("hi")
     earlier = written(earlier, "earlier")
-    met = looked.join(earlier, ["one", "two"]).filter("id > lo").groupBy("id", "key").agg(F.collect_set("start").alias("starts"))
+    met = written(looked.join(earlier, ["one", "two"]).filter("id > lo").groupBy("id", "key").agg(F.collect_set("start").alias("starts")), "starts")
+    dropped(looked)
+    dropped(earlier)
     both = flags.join(met, ["id", "key"], "left")
 
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
