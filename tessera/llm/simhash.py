@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 from itertools import combinations, islice
 
 import numpy as np
@@ -19,8 +20,10 @@ from tessera.session import written
 SEED = 42
 #: A list of the index is compared in blocks of so many fingerprints.
 BLOCK = 512
-#: Parts of a sketch: its estimate of a similarity of 0.8 is off by 0.025 in the mean.
+#: Parts of a sketch, two bits each.
 BINS = 256
+#: Standard deviations that a sketch may be off before it rules a link out.
+SLACK = 5
 #: Shingles whose bits are counted at once.
 AT_ONCE = 65_536
 
@@ -67,8 +70,11 @@ def index_positions(max_bits: int) -> list[tuple[int, ...]]:
     return max((x for x in found if len(x[1]) <= 28), key=lambda x: (x[0], -len(x[1])))[1]
 
 
-def _forest(max_bits: int):
-    """Links enough to connect what is close in each list, tallied and verified."""
+def _forest(max_bits: int, verify: float | None = None):
+    """Links enough to connect what is close in each list, tallied and verified.
+
+    With `verify` only links that the sketches do not rule out count.
+    """
     least = 8 - max_bits
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -89,6 +95,9 @@ def _forest(max_bits: int):
                     shared += b[:, p][:, None] == b[:, p][None, :]
                 x, y = np.nonzero(np.triu(shared >= least, 1))
                 close = np.bitwise_count(own[x] ^ own[y]) <= max_bits
+                if verify is not None:
+                    sketches = np.frombuffer(b"".join(map(bytes, run["sketch"].iloc[lo:hi])), np.uint64).reshape(hi - lo, -1)
+                    close[close] = _maybe_alike(sketches, x[close], y[close], verify)
                 if close.any():
                     p, q = _spanning(hi - lo, x[close], y[close], np.bitwise_count(own[x[close]] ^ own[y[close]]))
                     out_a.append(node[lo:hi][p])
@@ -118,7 +127,7 @@ def _spanning(n: int, x: np.ndarray, y: np.ndarray, bits: np.ndarray) -> tuple[n
     return x[taken], y[taken]
 
 
-def fingerprint_links(classes: DataFrame, max_bits: int = 3, n_seeds: int = 1) -> DataFrame:
+def fingerprint_links(classes: DataFrame, max_bits: int = 3, n_seeds: int = 1, verify: float | None = None) -> DataFrame:
     """`a, b`: links that connect all `node` of which some `fps` differ in `max_bits` bits at most.
 
     The inverted index lists the fingerprints under their positional bytes. A
@@ -128,9 +137,10 @@ def fingerprint_links(classes: DataFrame, max_bits: int = 3, n_seeds: int = 1) -
     bytes of each pair are tallied, pairs under the guaranteed number go, and
     the rest are verified bit by bit. A list gives a spanning forest of its
     links, never its pairs; a long list is dealt out in blocks, each pair of
-    blocks to a task of its own.
+    blocks to a task of its own. With `verify` links that the `sketch` of each
+    class rules out at that similarity do not count.
     """
-    sets = index_positions(max_bits)
+    sets, more = index_positions(max_bits), [] if verify is None else ["sketch"]
     entries = []
     for seed in range(n_seeds):
         fp = F.element_at("fps", seed + 1)
@@ -139,36 +149,108 @@ def fingerprint_links(classes: DataFrame, max_bits: int = 3, n_seeds: int = 1) -
             for p in positions:
                 key = key * 256 + F.shiftrightunsigned(fp, 8 * p).bitwiseAND(F.lit(255))
             entries.append(F.struct(F.lit(seed * len(sets) + at).alias("at"), key.alias("key"), fp.alias("fp")))
-    index = classes.select("node", F.explode(F.array(*entries)).alias("e")).select("node", "e.*")
+    index = classes.select("node", *more, F.explode(F.array(*entries)).alias("e")).select("node", *more, "e.*")
     sizes = index.groupBy("at", "key").count().filter("count > 1")
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
-    listed = index.join(sizes, ["at", "key"]).select("at", "key", "fp", "node", blocks.alias("nb"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"))
-    met = listed.select("at", "key", "fp", "node", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-    met = met.select("at", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "node")
-    return met.repartition("at", "key", "i", "j").sortWithinPartitions("at", "key", "i", "j").mapInPandas(_forest(max_bits), "a long, b long")
+    listed = index.join(sizes, ["at", "key"]).select("at", "key", "fp", "node", *more, blocks.alias("nb"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"))
+    met = listed.select("at", "key", "fp", "node", *more, "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+    met = met.select("at", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "node", *more)
+    return met.repartition("at", "key", "i", "j").sortWithinPartitions("at", "key", "i", "j", "node").mapInPandas(_forest(max_bits, verify), "a long, b long")
 
 
-def sketch(text: str | None, shingle: int = 5) -> bytes:
-    """The smallest hash of each of `BINS` parts of a text's word shingles, 16 bits each; 0 for an empty part."""
+def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, sorted; fewer words make one shingle."""
     w = words(text)
     if not w:
-        return bytes(2 * BINS)
+        return np.zeros(0, np.uint64)
     hashes, n = word_hashes([x.lower() for x in w]), min(shingle, len(w))
     at = np.arange(len(w) - n + 1)
-    h = Prefix(hashes).of(at, at + n)
+    return np.unique(Prefix(hashes).of(at, at + n))
+
+
+def sketch(h: np.ndarray) -> bytes:
+    """For each of `BINS` parts of the shingles one bit of the smallest, then whether there is one."""
+    part = (h & np.uint64(BINS - 1)).astype(np.intp)
     least = np.full(BINS, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(least, (h & np.uint64(BINS - 1)).astype(np.intp), h >> np.uint64(8))
-    out = (least & np.uint64(0xFFFF)).astype("<u2")
-    out[out == 0] = 1
-    out[least == np.iinfo(np.uint64).max] = 0
-    return out.tobytes()
+    np.minimum.at(least, part, h >> np.uint64(8))
+    full = np.zeros(BINS, np.uint8)
+    full[part] = 1
+    return np.concatenate([np.packbits((least & np.uint64(1)).astype(np.uint8) & full), np.packbits(full)]).tobytes()
+
+
+def _maybe_alike(sketches: np.ndarray, x: np.ndarray, y: np.ndarray, verify: float) -> np.ndarray:
+    """Whether the sketches of x and y leave a similarity of `verify` open, up to `SLACK` deviations.
+
+    A part that one text alone fills differs; of parts that differ in two
+    texts one bit shows half.
+    """
+    bit, full, out = sketches[:, : BINS // 64], sketches[:, BINS // 64 :], []
+    count = lambda v: np.bitwise_count(v).sum(axis=1, dtype=np.int64)
+    for i in range(0, len(x), AT_ONCE):
+        p, q = x[i : i + AT_ONCE], y[i : i + AT_ONCE]
+        either = count(full[p] | full[q])
+        differ = count(full[p] ^ full[q]) + 2 * count((bit[p] ^ bit[q]) & full[p] & full[q])
+        out.append(differ <= (1 - verify) * either + SLACK * np.sqrt(either * (1 - verify**2)))
+    return np.concatenate(out) if out else np.zeros(0, bool)
+
+
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two sets share."""
+    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = often > 1  # what one set alone has is shared with none
+    column, of = (np.cumsum(common) - 1)[at[common[at]]], of[common[at]]
+    order = np.argsort(column, kind="stable")
+    column, of = column[order], of[order]
+    out, width = np.zeros((len(sets), len(sets)), np.float64), 4096
+    for lo in range(0, int(common.sum()), width):
+        a, b = np.searchsorted(column, [lo, lo + width])
+        m = np.zeros((len(sets), min(width, int(common.sum()) - lo)), np.float32)
+        m[of[a:b], column[a:b] - lo] = 1
+        out += m @ m.T
+    return out
+
+
+def _verified(verify: float):
+    """Links enough to connect the nodes of each pair of blocks that have the similarity."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys = ["root", "i", "j"]
+        for run in whole_runs(batches, keys):
+            node, k = run["node"].to_numpy(np.int64), run[keys].to_numpy(np.int64)
+            cuts = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
+            out_a, out_b = [], []
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(node)]):
+                if hi - lo < 2:
+                    continue
+                sets = [shingles(t) for t in run["text"].iloc[lo:hi]]
+                n, both = np.array([len(s) for s in sets]), _shared(sets)
+                alike = both / np.maximum(n[:, None] + n[None, :] - both, 1)
+                x, y = np.nonzero(np.triu(alike >= verify, 1))
+                p, q = _spanning(hi - lo, x, y, 1 - alike[x, y])
+                out_a.append(node[lo:hi][p])
+                out_b.append(node[lo:hi][q])
+            if out_a:
+                yield pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
 
+    return of
+
+
+def verified_links(texts: DataFrame, loose: DataFrame, verify: float) -> DataFrame:
+    """`a, b`: links that connect all `node` of `texts` (node, text) that loose links connect and that have the similarity.
 
-def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The share of parts that agree, of those that either text fills; 1 for two texts without words."""
-    x, y = (np.frombuffer(b"".join(map(bytes, s)), "<u2").reshape(-1, BINS) for s in (a, b))
-    either = ((x > 0) | (y > 0)).sum(axis=1)
-    return pd.Series(np.where(either > 0, ((x == y) & (x > 0)).sum(axis=1) / np.maximum(either, 1), 1.0))
+    A loose link may be false, and what it connects may still be alike, so all
+    pairs within what loose links connect are compared by their exact shingles.
+    A large component is dealt out in blocks, each pair of blocks to a task.
+    """
+    parts = written(connected_components(loose), "parts")
+    parts = parts.unionByName(parts.select(F.col("root").alias("node"), "root").distinct())
+    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
+    dealt = parts.join(parts.groupBy("root").count(), "root").select("root", "node", blocks.alias("nb"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"))
+    one = written(texts.join(dealt.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    met = dealt.join(one, "node").select("root", "node", "text", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+    met = met.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "text")
+    return in_small_batches(met).repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInPandas(_verified(verify), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3, seeds: tuple[int, ...] = (SEED,), distinct: bool = False, verify: float | None = None) -> DataFrame:
@@ -176,35 +258,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Two texts link if their fingerprints of some seed differ in `max_bits` bits
     at most. component_id is the smallest id reachable, the row's own included.
-    With `verify` the links of the lists' forests must also reach that
-    similarity of five-word shingles, by a sketch of each text.
+    With `verify` two texts link if they also have that similarity of five-word
+    shingles. Sketches rule out most false links in the lists; what is left
+    connects a superset of the components, within which all texts are compared.
 
     Null and empty texts have fingerprint zero and link like any other. A null
     id takes the smallest id of its component (null if there is none); repeated
     rows come back each. An empty table gives an empty result. Other columns
-    are not looked at. Texts with equal fingerprints (and sketches) are one
+    are not looked at. Texts with equal fingerprints (and shingles) are one
     entry of the index.
     """
-    schema = "fps array<long>" + ("" if verify is None else ", sketch binary")
+    schema = "fps array<long>" + ("" if verify is None else ", sketch binary, shingles binary")
 
     @F.pandas_udf(f"struct<{schema.replace(' ', ':').replace(',:', ',')}>")
     def of(texts: pd.Series) -> pd.DataFrame:
         out = {"fps": [fingerprints(t, shingle, seeds, distinct).view(np.int64) for t in texts]}
-        return pd.DataFrame(out if verify is None else out | {"sketch": [sketch(t) for t in texts]})
+        if verify is not None:
+            sets = [shingles(t) for t in texts]
+            out |= {"sketch": [sketch(h) for h in sets], "shingles": [sha256(h.tobytes()).digest()[:8] for h in sets]}
+        return pd.DataFrame(out)
 
-    rows = in_small_batches(docs).select(F.col(id_col), of(F.col(text_col)).alias("f")).select(id_col, "f.*")
+    own = [] if verify is None else [F.col(text_col).alias("text")]
+    rows = in_small_batches(docs).select(F.col(id_col), *own, of(F.col(text_col)).alias("f")).select("*", "f.*").drop("f")
     plain = len(seeds) == 1 and verify is None
-    node = F.element_at("fps", 1) if plain else F.xxhash64(*(["fps"] if verify is None else ["fps", "sketch"]))
+    node = F.element_at("fps", 1) if plain else F.xxhash64(*(["fps"] if verify is None else ["fps", "shingles"]))
     fps = written(rows.withColumn("node", node), "fingerprints")
     first = [F.first(c).alias(c) for c in (["fps"] if verify is None else ["fps", "sketch"])]
     classes = written(fps.groupBy("node").agg(*first, F.min(id_col).alias("least")), "classes")
-    links = fingerprint_links(classes.select("node", "fps"), max_bits, len(seeds))
+    links = fingerprint_links(classes, max_bits, len(seeds), verify)
     if verify is not None:
-        alike = F.pandas_udf(_alike, "double")
-        own = classes.select("node", "sketch")
-        links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = links.join(own.withColumnsRenamed({"node": "a", "sketch": "of_a"}), "a").join(own.withColumnsRenamed({"node": "b", "sketch": "of_b"}), "b")
-        links = links.filter(alike("of_a", "of_b") >= verify).select("a", "b")
+        links = verified_links(fps.select("node", "text"), links, verify)
     parts = connected_components(links)
     rooted = classes.join(parts, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     # written, as in the rounds: one component may hold a third of all classes

@@ -1,10 +1,11 @@
+import random
 from collections import Counter
 
 import pytest
 import xxhash
 
 from tessera.llm.components import connected_components
-from tessera.llm.simhash import fingerprints, index_positions, keep_one, near_duplicates
+from tessera.llm.simhash import _shared, fingerprints, index_positions, keep_one, near_duplicates, shingles
 from tests.llm.helpers import corpus, docs_of, words
 
 
@@ -81,3 +82,30 @@ def test_long_paths_are_one_component(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(7, 3), (3, 7), (5, 5)]
     found = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {**dict.fromkeys(range(101, 161), 100), 7: 3}
+
+
+def _alike_sets(text):
+    w = words((text or "").lower())
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_false_links_do_not_hide_true_ones(spark):
+    # A has the words of B and B' in another order: equal fingerprints of words, hardly a shingle shared
+    rng = random.Random(5)
+    rows = []
+    for g in range(6):
+        b = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(120)]
+        near = [*b[:3], "changed", *b[3:]] if g % 2 else [*b, b[0]]
+        for k, w in enumerate((sorted(b), sorted(b, reverse=True), b, near, b[::-1])):
+            rows.append((10 * g + k, " ".join(w), "en", "s"))
+    rng.shuffle(rows)
+    kept = {r.doc_id for r in keep_one(docs_of(spark, rows)).collect()}
+    assert kept == {r[0] for r in rows if r[0] % 10 != 3}
+
+
+def test_shared_shingles_are_counted_exactly():
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.choice([0, 3, 40, 200]))) for _ in range(30)]
+    sets = [_alike_sets(t) if t else set() for t in texts]
+    got = _shared([shingles(t) for t in texts])
+    assert got.tolist() == [[len(a & b) if i != j else got[i, i] for j, b in enumerate(sets)] for i, a in enumerate(sets)]
