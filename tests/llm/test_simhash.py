@@ -109,3 +109,17 @@ def test_shared_shingles_are_counted_exactly():
     sets = [_alike_sets(t) if t else set() for t in texts]
     got = _shared([shingles(t) for t in texts])
     assert got.tolist() == [[len(a & b) if i != j else got[i, i] for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+
+
+def test_similarity_of_links_is_exact(spark):
+    # 121 words have 117 shingles: 13 changed ones leave 104 of 130, which is 0.8, and 14 leave 103 of 131
+    rng = random.Random(7)
+    rows = []
+    for g in range(24):
+        w = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(121)]
+        near = list(w)
+        for at in (40, 80, 2, *([120] if g % 2 else [])):
+            near[at] = "changed"
+        rows += [(2 * g, " ".join(w), "en", "s"), (2 * g + 1, " ".join(near), "en", "s")]
+    kept = {r.doc_id for r in keep_one(docs_of(spark, rows)).collect()}
+    assert kept == {i for i in range(48) if i % 4 != 1}
