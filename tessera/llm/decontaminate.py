@@ -89,10 +89,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", n: int = 10, max_hit_share: float = 0.0) -> DataFrame:
-    """`docs` without the rows of which more than `max_hit_share` of the words are hit."""
-    found = contamination(docs, benchmark, id_col, text_col, item_col, n)
-    bad = found.filter((F.col("n_hit") > 0) & (F.col("n_hit") > max_hit_share * F.col("n_words"))).select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(bad.hint("shuffle_hash"), docs[id_col].eqNullSafe(bad["__bad"]), "left_anti")
+    """`docs` without the rows of which more than `max_hit_share` of the words are hit.
+
+    Rows are told apart by id and text, so ids may be null or repeated.
+    """
+    found = hits(docs, benchmark, id_col, text_col, item_col, n).select(F.col(id_col).alias("__bad"), F.col("text_hash").alias("__hash"), "spans")
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["to"] - s["from"])
+    found = found.select("__bad", "__hash", n_hit.alias("__hit")).filter("__hit > 0")
+    same = docs[id_col].eqNullSafe(found["__bad"]) & (F.xxhash64(docs[text_col]) == found["__hash"])
+    if max_hit_share > 0:
+        same &= found["__hit"] > max_hit_share * F.regexp_count(lower_ascii(F.coalesce(docs[text_col], F.lit(""))), F.lit(TERM))
+    return docs.join(found.hint("shuffle_hash"), same, "left_anti")
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", n: int = 10) -> DataFrame:

@@ -9,7 +9,7 @@ from itertools import combinations, islice
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
@@ -291,6 +291,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are not looked at. Texts with equal fingerprints (and shingles) are one
     entry of the index.
     """
+    found = _grouped(docs, F.col(id_col), id_col, text_col, shingle, max_bits, seeds, distinct, verify)
+    return found.select(id_col, "fps", F.col("least").alias("component_id"))
+
+
+def _grouped(docs: DataFrame, row: Column, id_col: str, text_col: str, shingle: int, max_bits: int, seeds: tuple[int, ...], distinct: bool, verify: float | None) -> DataFrame:
+    """`id_col, row, fps, least` for every row; least is the smallest `row` of its component."""
     schema = "fps array<long>" + ("" if verify is None else ", sketch binary, bands array<long>, shingles binary")
 
     @F.pandas_udf(f"struct<{schema.replace(' ', ':').replace(',:', ',')}>")
@@ -302,25 +308,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pd.DataFrame(out)
 
     own = [] if verify is None else [F.col(text_col).alias("text")]
-    rows = in_small_batches(docs).select(F.col(id_col), *own, of(F.col(text_col)).alias("f")).select("*", "f.*").drop("f")
+    rows = in_small_batches(docs).select(F.col(id_col), row.alias("row"), *own, of(F.col(text_col)).alias("f")).select("*", "f.*").drop("f")
     plain = len(seeds) == 1 and verify is None
     node = F.element_at("fps", 1) if plain else F.xxhash64(*(["fps"] if verify is None else ["fps", "shingles"]))
     fps = written(rows.withColumn("node", node), "fingerprints")
     first = [F.first(c).alias(c) for c in (["fps"] if verify is None else ["fps", "sketch", "bands"])]
-    classes = written(fps.groupBy("node").agg(*first, F.min(id_col).alias("least")), "classes")
+    classes = written(fps.groupBy("node").agg(*first, F.min("row").alias("least")), "classes")
     links = fingerprint_links(classes, max_bits, len(seeds), verify)
     if verify is not None:
         links = verified_links(fps.select("node", "text"), links, verify)
     parts = connected_components(links)
     rooted = classes.join(parts, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     # written, as in the rounds: one component may hold a third of all classes
-    small = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components")
-    found = rooted.join(small, "root").select("node", "component_id")
-    return fps.join(found, "node").select(id_col, "fps", "component_id")
+    small = written(rooted.groupBy("root").agg(F.min("least").alias("least")), "components")
+    found = rooted.select("node", "root").join(small, "root").select("node", "least")
+    return fps.join(found, "node").select(id_col, "row", "fps", "least")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 1, max_bits: int = 3, seeds: tuple[int, ...] = (1, 2, 3, 4, 5, 6), distinct: bool = True, verify: float | None = 0.8) -> DataFrame:
-    """The rows of `docs` that are the smallest id of their group, all columns kept.
+    """One row of each group of `docs`, the one with the smallest id, all columns kept.
 
     By default groups are linked by any of six fingerprints over the distinct
     words of a text: a copy with few words changed keeps most of its set of
@@ -328,13 +334,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     Texts that share a band of smallest hashes meet as well, for one pair in
     sixteen has no close fingerprints. A link needs a similarity of five-word
     shingles of 0.8 or more, which is counted exactly.
-    A row with a null id goes if its group has ids, else equal texts among
-    such rows are kept once; of rows that repeat the smallest id one stays.
+    Rows are told apart by id and text: a row with a null id goes if its group
+    has ids, else the least hash of a text decides, as it does among texts of a
+    group that share the smallest id. Of rows equal in both one stays.
     """
-    groups = written(near_duplicates(docs, id_col, text_col, shingle, max_bits, seeds, distinct, verify).select(id_col, "component_id"), "groups")
-    gone = groups.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__gone")).distinct()
-    stay = docs.join(gone.hint("shuffle_hash"), docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
-    if groups.groupBy(id_col).count().filter("count > 1").isEmpty():
+    h = F.xxhash64(text_col)
+    row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), h.alias("hash"))
+    groups = written(_grouped(docs, row, id_col, text_col, shingle, max_bits, seeds, distinct, verify).select("row", "least"), "groups")
+    gone = groups.filter(F.col("row") != F.col("least")).select(F.col("row.id").alias("__gone"), F.col("row.hash").alias("__hash")).distinct()
+    stay = docs.join(gone.hint("shuffle_hash"), docs[id_col].eqNullSafe(gone["__gone"]) & (h == gone["__hash"]), "left_anti")
+    if groups.groupBy("row").count().filter("count > 1").isEmpty():
         return stay
-    named = stay.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return named.unionByName(stay.filter(F.col(id_col).isNull()).dropDuplicates([text_col]))
+    return stay.dropDuplicates([id_col, text_col])

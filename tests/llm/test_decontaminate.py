@@ -65,6 +65,14 @@ def test_clean_drops_documents_and_spans(spark):
     assert sorted(cut) == sorted({str(r[0]) for r in rows})
 
 
+def test_clean_tells_rows_apart_by_id_and_text(spark):
+    _, _, bench = case(spark)
+    rows = [(i, t, "en", "s") for i in (None, 8) for t in ("well over the top", "clean", None)]
+    kept = [(r.doc_id, r.text) for r in clean(docs_of(spark, rows), bench).collect()]
+    assert sorted(kept, key=str) == sorted([(i, t) for i in (None, 8) for t in ("clean", None)], key=str)
+    assert len(clean(docs_of(spark, rows), bench, max_hit_share=0.5).collect()) == 6
+
+
 def test_empty_tables(spark):
     rows, _, bench = case(spark)
     docs = docs_of(spark, rows)

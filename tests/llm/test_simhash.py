@@ -123,3 +123,13 @@ def test_similarity_of_links_is_exact(spark):
         rows += [(2 * g, " ".join(w), "en", "s"), (2 * g + 1, " ".join(near), "en", "s")]
     kept = {r.doc_id for r in keep_one(docs_of(spark, rows)).collect()}
     assert kept == {i for i in range(48) if i % 4 != 1}
+
+
+def test_rows_are_told_apart_by_id_and_text(spark):
+    rng = random.Random(8)
+    a, b, c, d, e = (" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)) for _ in range(5))
+    near = c + " more"
+    rows = [(1, a), (None, a), (None, b), (None, b), (None, c), (None, near), (5, d), (3, d), (5, e), (7, "x " + e), (7, "y"), (7, "y"), (8, "z"), (8, "z z")]
+    kept = Counter((r.doc_id, r.text) for r in keep_one(docs_of(spark, [(*r, "en", "s") for r in rows])).collect())
+    assert len({c, near} & {t for i, t in kept if i is None}) == 1
+    assert {k: n for k, n in kept.items() if k[1] not in (c, near)} == dict.fromkeys([(1, a), (None, b), (3, d), (5, e), (7, "y"), (8, "z"), (8, "z z")], 1)
