@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import binascii
 import re
 import zlib
 from collections import deque
@@ -27,8 +26,12 @@ KINDS = ("assign", "access", "hex")
 PERCENT = re.compile(r"[A-Za-z0-9+/_.=~:\"'%-]+")
 PERCENT_PART = re.compile(r"%[0-9A-Fa-f]{2}")
 ESCAPED = re.compile(r"\S+")
-BASE64 = re.compile(r"(?:[A-Za-z0-9+/]{16,}|[A-Za-z0-9_-]{16,})={0,2}")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-](?:(?:\r?\n)?[A-Za-z0-9+/_-]){15,}={0,2}")
+#: Stretches of bytes that can hold a secret or a further layer, and starts of compressed streams.
+PRINTED = re.compile(rb"[\x09\x0A\x0D\x20-\x7E]{8,}")
+STREAM = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|u\{([0-9A-Fa-f]{1,6})\}|x([0-9A-Fa-f]{2}))")
+_PLAIN = str.maketrans({"-": "+", "_": "/", "\r": None, "\n": None})
 #: Bytes that a compressed layer may unfold to; a larger one is told as kind "oversize".
 MAX_UNFOLDED = 64 << 20
 
@@ -57,15 +60,48 @@ def _as_text(raw: bytes) -> str | None:
 
 
 def _unfolded(raw: bytes) -> bytes | None:
-    """The content of a gzip or zlib stream; empty if it is none, None if it is too large."""
+    """The content of a zlib stream or of all members of a gzip stream; empty if it is none, None if it is too large."""
     if raw[:2] != b"\x1f\x8b" and not (len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0):
         return b""
-    unfold = zlib.decompressobj(wbits=47)
-    try:
-        out = unfold.decompress(raw, MAX_UNFOLDED)
-    except zlib.error:
-        return b""
-    return None if unfold.unconsumed_tail else out
+    out = b""
+    while raw[:2] == b"\x1f\x8b" or not out:
+        unfold = zlib.decompressobj(wbits=47)
+        try:
+            out += unfold.decompress(raw, MAX_UNFOLDED + 1 - len(out))
+        except zlib.error:
+            return out
+        if len(out) > MAX_UNFOLDED:
+            return None
+        raw = unfold.unused_data
+        if not raw:
+            break
+    return out
+
+
+def _contents(body: str) -> Iterator[tuple[str, str | None]]:
+    """Name and content of what a run of base64 holds at any of the four places where it may begin."""
+    for k in range(4):
+        own = body[k:]
+        own = own[:-1] if len(own) % 4 == 1 else own
+        raw = base64.b64decode(own + "=" * (-len(own) % 4))
+        if k == 0 and (plain := _unfolded(raw)) and (out := _as_text(plain)):
+            yield "gzip", out
+            return
+        if k == 0 and (out := _as_text(raw)):
+            yield "base64", out
+            return
+        for m in STREAM.finditer(raw):
+            if (plain := _unfolded(raw[m.start() :])) is None:
+                yield "oversize", None
+            elif plain and (out := _as_text(plain) or _printed(plain)):
+                yield "gzip", out
+        if out := _printed(raw):
+            yield "base64", out
+
+
+def _printed(raw: bytes) -> str:
+    """The printed stretches of bytes that are no text as a whole."""
+    return "\0".join(m.decode("ascii") for m in PRINTED.findall(raw))
 
 
 def _layers(text: str) -> Iterator[tuple[int, int, str, str | None]]:
@@ -82,17 +118,9 @@ def _layers(text: str) -> Iterator[tuple[int, int, str, str | None]]:
             if out != m[0]:
                 yield m.start(), m.end(), "unicode", out
     for m in BASE64.finditer(text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(body + "=" * (-len(body) % 4))
-        except binascii.Error:
-            continue
-        if (plain := _unfolded(raw)) is None:
-            yield m.start(), m.end(), "oversize", None
-        elif out := _as_text(plain or raw):
-            yield m.start(), m.end(), "gzip" if plain else "base64", out
+        body = m[0].rstrip("=").translate(_PLAIN)
+        for name, out in _contents(body):
+            yield m.start(), m.end(), name, out
 
 
 def scan(text: str | None) -> list[tuple[int, int, str]]:

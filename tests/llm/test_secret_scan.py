@@ -60,3 +60,14 @@ def test_operator(spark):
 
 def test_very_long_texts_take_linear_time():
     scan("x" * 2_000_000 + "=" + "a%" * 200_000 + "\\" * 200_000)
+
+
+def test_base64_is_read_whatever_its_alphabet_lines_and_place():
+    noise = "".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(420))
+    secret = f"{noise[:200]} password=hunter22xyz {noise[200:]}"
+    packed = zlib.compress(secret.encode())
+    gz = gzip.compress(b"nothing here", mtime=0) + gzip.compress(secret.encode(), mtime=0)
+    b64 = base64.b64encode(packed).decode()
+    for text in (base64.urlsafe_b64encode(packed).decode(), "\n".join(b64[i : i + 76] for i in range(0, len(b64), 76)), f"https://host/{b64}", f"https://host/a/{b64}", base64.b64encode(gz).decode()):
+        assert any(k.endswith("gzip>assign") for _, _, k in scan(text)), text
+    assert any(k == "base64>assign" for _, _, k in scan("//host/x/" + base64.b64encode(secret.encode()).decode()))
