@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
 from hashlib import sha256
@@ -108,7 +109,7 @@ def _layers(text: str) -> Iterator[tuple[int, int, str, str | None]]:
     """start, end, name and content of what can be unwrapped once; no content: too large."""
     if "%" in text:
         for m in PERCENT.finditer(text):
-            if PERCENT_PART.search(m[0]) and (out := _as_text(unquote_to_bytes(m[0]))) and out != m[0]:
+            if PERCENT_PART.search(m[0]) and (out := unquote_to_bytes(m[0]).decode("utf-8", "replace")) != m[0]:
                 yield m.start(), m.end(), "url", out
     if "\\" in text:
         for m in ESCAPED.finditer(text):
@@ -123,6 +124,34 @@ def _layers(text: str) -> Iterator[tuple[int, int, str, str | None]]:
             yield m.start(), m.end(), name, out
 
 
+def _beside(text: str, runs: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str]]:
+    """Spans that reach over the edge of a decoded run, once all runs stand decoded in the text.
+
+    Ends within a run are those of the run.
+    """
+    parts, starts, at, size = [], [], 0, 0
+    for a, b, out in runs:
+        parts += [text[at:a], out]
+        size += a - at
+        starts.append(size)
+        size += len(out)
+        at = b
+    whole = "".join(parts) + text[at:]
+
+    def back(x: int, end: bool) -> tuple[int, int]:
+        """The place in `text`, and the run that it lies in or -1."""
+        i = bisect_right(starts, x - end) - 1
+        if i < 0:
+            return x, -1
+        a, b, out = runs[i]
+        return ((b if end else a), i) if x - end < starts[i] + len(out) else (b + x - starts[i] - len(out), -1)
+
+    for a, b, kind in base_spans(whole):
+        (x, i), (y, j) = back(a, False), back(b, True)
+        if (i < 0 or i != j) and bisect_right(starts, b - 1) > bisect_right(starts, a) - (i >= 0):
+            yield x, y, kind
+
+
 def scan(text: str | None) -> list[tuple[int, int, str]]:
     """All spans of a text, sorted by start and kind.
 
@@ -138,7 +167,11 @@ def scan(text: str | None) -> list[tuple[int, int, str]]:
     seen: set[tuple[tuple[int, int] | None, bytes]] = {(None, sha256(text.encode("utf-8", "surrogatepass")).digest())}
     while todo:
         layer, outer, chain = todo.popleft()
-        for a, b, name, out in _layers(layer):
+        layers = list(_layers(layer))
+        for name in ("url", "unicode"):
+            if runs := [(a, b, out) for a, b, n, out in layers if n == name]:
+                found |= {(*(outer or (a, b)), f"{chain}{name}>{kind}") for a, b, kind in _beside(layer, runs)}
+        for a, b, name, out in layers:
             span = outer or (a, b)
             if out is None:
                 found.add((*span, f"{chain}oversize"))

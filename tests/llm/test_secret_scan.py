@@ -71,3 +71,16 @@ def test_base64_is_read_whatever_its_alphabet_lines_and_place():
     for text in (base64.urlsafe_b64encode(packed).decode(), "\n".join(b64[i : i + 76] for i in range(0, len(b64), 76)), f"https://host/{b64}", f"https://host/a/{b64}", base64.b64encode(gz).decode()):
         assert any(k.endswith("gzip>assign") for _, _, k in scan(text)), text
     assert any(k == "base64>assign" for _, _, k in scan("//host/x/" + base64.b64encode(secret.encode()).decode()))
+
+
+def test_keys_outside_the_encoded_run_and_bytes_that_are_no_text():
+    for text, at, kind in (
+        (r'"password": "hu\u006eter22xyz"', 1, "unicode>assign"),
+        ("password: hu%6Eter22xyz", 0, "url>assign"),
+        ("x%41 é password: hu%6Eter22xyz, b%42", 7, "url>assign"),
+    ):
+        got = scan(text)
+        assert any(a == at and k == kind and b >= text.index("xyz") + 3 for a, b, k in got), (text, got)
+    assert any(k == "url>assign" for _, _, k in scan("caf%E9/token%3Dabcdef123"))
+    assert any(k == "url>assign" for _, _, k in scan("%01" * 40 + "token%3Dabcdef123"))
+    assert not [k for _, _, k in scan("plain password: hunter22xyz and b%42") if k != "assign"]
