@@ -105,6 +105,11 @@ class Flow:
     _via: dict = field(default_factory=dict)
 
 
+def _sorted_sources(sources: Column) -> Column:
+    """The sources of a row as canonical JSON; a null array is no source at all."""
+    return F.to_json(F.array_sort(F.array_distinct(F.coalesce(sources, F.array().cast("array<string>")))), {"ignoreNullFields": "false"})
+
+
 def mix(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: str = "text", weights: tuple[int, ...] = (3, 1, 2), budget_percent: int = 150, max_uses: int = 2, seed: int = 17, max_patterns: int = 10_000) -> DataFrame:
     """`id_col, size, sources, uses, taken, source_sizes, targets` for every row.
 
@@ -117,13 +122,23 @@ def mix(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: str
     comes nearest to what is missing. No row is used over `max_uses` times.
 
     Null texts have no words and are never missed. A null source is a source
-    of its own; rows with equal id and size share their fate; an empty table
-    gives no rows. Nothing depends on partitions or order, so reruns agree.
+    of its own; a row with a null or empty array belongs to none and is not
+    used. The order is that of a hash of seed, id and text, so rows may share
+    an id; rows equal in both are interchangeable, and the quota may end among
+    them. An empty table gives no rows. Nothing else depends on partitions or
+    order, so reruns agree.
     """
-    key = F.to_json(F.array_sort(F.array_distinct(sources)), {"ignoreNullFields": "false"})
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
-    base = written(docs.select(F.col(id_col).alias("__id"), size_in_words(F.col(text_col)).alias("size"), key.alias("pattern"), h.alias("h")), "mix")
-    part = F.conv(F.substring("h", 1, 3), 16, 10).cast("int")
+    return _mixed(docs, sources, id_col, text_col, weights, budget_percent, max_uses, seed, max_patterns).select(F.col("__id").alias(id_col), "size", "sources", "uses", "taken", "source_sizes", "targets")
+
+
+def _mixed(docs: DataFrame, sources: Column, id_col: str, text_col: str, weights: tuple[int, ...] = (3, 1, 2), budget_percent: int = 150, max_uses: int = 2, seed: int = 17, max_patterns: int = 10_000, row: Column | None = None) -> DataFrame:
+    """What `mix` gives with `__id` for the id, and `__row` if one is asked for."""
+    own = [] if row is None else [row.alias("__row")]
+    kept = [] if row is None else ["__row"]
+    name = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    # the tie-break is written with the rows: it parts rows that are equal in id and text
+    base = docs.select(F.col(id_col).alias("__id"), size_in_words(F.col(text_col)).alias("size"), _sorted_sources(sources).alias("pattern"), F.md5(name.cast("binary")).alias("h"), F.monotonically_increasing_id().alias("tie"), *own)
+    base = written(base.withColumn("part", F.conv(F.substring("h", 1, 3), 16, 10).cast("int")), "mix")
     found = base.groupBy("pattern").agg(F.sum("size").alias("n")).limit(max_patterns + 1).collect()
     if len(found) > max_patterns:
         raise ValueError(f"over {max_patterns} patterns of sources")
@@ -143,27 +158,30 @@ def mix(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: str
     plan = F.broadcast(spark.createDataFrame(plan, "pattern string, sources array<string>, whole long, rest long, source_sizes array<long>, targets array<double>"))
 
     run = W.partitionBy("pattern").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    parts = base.groupBy("pattern", part.alias("part")).agg(F.sum("size").alias("n"))
+    parts = base.groupBy("pattern", "part").agg(F.sum("size").alias("n"))
     parts = parts.withColumn("before", F.coalesce(F.sum("n").over(run), F.lit(0))).join(plan.select("pattern", "rest"), "pattern")
-    ends = parts.filter("before <= rest and rest < before + n").groupBy("pattern").agg(F.max_by("part", "part").alias("cut"), F.max_by("before", "part").alias("before"))
-    # a row for each pattern; the rows of each pattern's cut part alone are sorted
-    staged = base.withColumn("part", part).join(F.broadcast(ends), "pattern", "left").join(plan.select("pattern", "rest"), "pattern")
-    inner = staged.filter("part = cut").withColumn("upto", F.col("before") + F.sum("size").over(W.partitionBy("pattern").orderBy("h", "size").rowsBetween(W.unboundedPreceding, 0)))
-    cols = ["__id", "size", "pattern", "h", "rest"]
-    first = staged.filter("cut is null or part <> cut").select(*cols, F.coalesce(F.col("part") < F.col("cut"), F.lit(False)).alias("more"))
-    first = written(first.unionByName(inner.select(*cols, (F.col("upto") <= F.col("rest")).alias("more"))), "mix-first")
-
-    gap = first.groupBy("pattern").agg((F.first("rest") - F.sum(F.when(F.col("more"), F.col("size")).otherwise(0))).alias("gap")).filter("gap > 0")
+    ends = parts.filter("before <= rest and rest < before + n").groupBy("pattern").agg(F.max_by("part", "part").alias("cut"), F.max_by("before", "part").alias("before"), F.first("rest").alias("rest"))
+    # one row for each pattern; only the rows of a pattern's cut part are sorted
+    inner = base.join(F.broadcast(ends), "pattern").filter("part = cut")
+    upto = F.col("before") + F.sum("size").over(W.partitionBy("pattern").orderBy("h", "size", "tie").rowsBetween(W.unboundedPreceding, 0))
+    place = F.struct("h", "size", "tie")
+    inner = inner.select("pattern", "cut", "rest", "before", place.alias("place"), upto.alias("upto")).withColumn("in", F.col("upto") <= F.col("rest"))
+    upper = inner.groupBy("pattern").agg(F.first("cut").alias("cut"), F.max(F.when(F.col("in"), F.col("place"))).alias("last"), (F.first("rest") - F.greatest(F.first("before"), F.max(F.when(F.col("in"), F.col("upto"))))).alias("gap"))
+    upper = written(upper, "mix-ends")
+    more = F.coalesce((F.col("part") < F.col("cut")) | (F.col("part") == F.col("cut")) & (place <= F.col("last")), F.lit(False))
+    staged = base.join(F.broadcast(upper), "pattern", "left").withColumn("more", more)
+
     off = F.abs(F.col("gap") - F.col("size"))
-    fill = first.filter("not more").join(F.broadcast(gap), "pattern").filter(off < F.col("gap"))
-    fill = fill.groupBy("pattern").agg(F.min(F.struct(off.alias("off"), "h", "size")).alias("f")).select("pattern", F.col("f.h").alias("fh"), F.col("f.size").alias("fs"))
-    done = first.join(F.broadcast(fill), "pattern", "left").join(plan.drop("rest"), "pattern")
-    uses = F.col("whole") + F.when(F.col("more") | ((F.col("h") == F.col("fh")) & (F.col("size") == F.col("fs"))), 1).otherwise(0)
-    return done.select(F.col("__id").alias(id_col), "size", "sources", uses.cast("int").alias("uses"), (F.col("size") * uses).alias("taken"), "source_sizes", "targets")
+    fill = staged.filter(~F.col("more") & (off < F.col("gap"))).groupBy("pattern").agg(F.min(F.struct(off.alias("off"), "h", "size", "tie")).alias("f")).select("pattern", F.col("f.tie").alias("fill"))
+    done = staged.join(F.broadcast(fill), "pattern", "left").join(plan.drop("rest"), "pattern")
+    uses = F.col("whole") + F.when(F.col("more") | F.coalesce(F.col("tie") == F.col("fill"), F.lit(False)), 1).otherwise(0)
+    return done.select("__id", "size", "sources", uses.cast("int").alias("uses"), (F.col("size") * uses).alias("taken"), "source_sizes", "targets", *kept)
 
 
 def mixed_rows(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs` as often as the mix uses them, with their own columns alone."""
-    uses = mix(docs, sources, id_col, text_col, **options).filter("uses > 0").select(F.col(id_col).alias("__id"), F.col("size").alias("__size"), F.col("uses").alias("__uses")).dropDuplicates(["__id", "__size"])
-    met = docs[id_col].eqNullSafe(uses["__id"]) & (size_in_words(docs[text_col]) == uses["__size"])
-    return docs.join(uses.hint("shuffle_hash"), met).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), "__uses")).alias("__use")).drop("__use")
+    """The rows of `docs` as often as the mix uses them, with their own columns alone.
+
+    Every row goes with its own number of uses; no join by id tells rows apart.
+    """
+    rows = _mixed(docs, sources, id_col, text_col, row=F.struct(*[F.col(c) for c in docs.columns]), **options).filter("uses > 0")
+    return rows.select("__row", F.explode(F.sequence(F.lit(1), "uses"))).select(*[F.col(f"__row.{c}").alias(c) for c in docs.columns])

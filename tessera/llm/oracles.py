@@ -6,7 +6,7 @@ from tessera.llm.chat import CONTROL
 from tessera.llm.decontaminate import TERM
 from tessera.llm.text import LOWER, UPPER, WORD
 
-MIX = rf"""with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0) as size, md5('17:' || coalesce(cast(doc_id as varchar), 'null')) as h from documents),
+MIX = rf"""with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0) as size, md5('17:' || coalesce(cast(doc_id as varchar), 'null') || ':' || md5(coalesce(text, ''))) as h from documents),
  s as (select source, sum(size) as n, [3, 1, 2][(row_number() over (order by source nulls last) - 1) % 3 + 1] as w from d group by source),
  o as (select *, sum(n) over () as total, coalesce(sum(n) over (order by n / w, source nulls last rows between unbounded preceding and 1 preceding), 0) as full_n, sum(w) over (order by n / w, source nulls last rows between current row and unbounded following) as open_w, row_number() over (order by n / w, source nulls last) as k from s),
  f as (select min(k) as k from o where (150 * total - 200 * full_n) * w <= 200 * n * open_w),
@@ -15,8 +15,9 @@ MIX = rf"""with d as (select doc_id, source, coalesce(len(regexp_extract_all(tex
  p as (select source, n, target, case when n > 0 then got // n else 0 end as whole, case when n > 0 then got % n else 0 end as rest from q),
  c as (select d.*, p.n, p.target, p.whole, p.rest, sum(d.size) over (partition by d.source order by h, d.size rows between unbounded preceding and current row) <= p.rest as more from d join p on d.source is not distinct from p.source),
  g as (select source, min(rest) - sum(case when more then size else 0 end) as gap from c group by source),
+ r as (select *, row_number() over (partition by source, h, size, more order by h) as rn from c),
  e as (select c.source, min(struct_pack(dist := abs(gap - size), h := h, size := size)) as best from c join g on c.source is not distinct from g.source where not more and gap > 0 and abs(gap - size) < gap group by c.source)
-select doc_id, c.size, cast(n as bigint) as source_size, target, cast(c.size * (whole + case when more or (best is not null and c.h = best.h and c.size = best.size) then 1 else 0 end) as bigint) as taken from c left join e on c.source is not distinct from e.source"""
+select doc_id, c.size, cast(n as bigint) as source_size, target, cast(c.size * (whole + case when more or (best is not null and not more and rn = 1 and c.h = best.h and c.size = best.size) then 1 else 0 end) as bigint) as taken from r c left join e on c.source is not distinct from e.source"""
 
 _TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}')"
 DECONTAMINATE = f"""with b as (select cast(item_id as varchar) as item, {_TERMS} as w from benchmark),

@@ -65,22 +65,49 @@ def test_mix_keeps_to_targets_and_reruns_agree(spark):
 
 def test_rows_come_as_often_as_used_and_empty_tables_give_none(spark):
     docs = docs_of(spark, corpus())
-    used = {(r.doc_id, r.size): r.uses for r in mix(docs, F.array("source")).collect()}
+    key = lambda i, text: (i, len(words(text)))
+    used, seen = {}, {}
+    for r in mix(docs, F.array("source")).collect():
+        used[r.doc_id, r.size] = used.get((r.doc_id, r.size), 0) + r.uses
     out = mixed_rows(docs, F.array("source"))
     assert out.columns == docs.columns
-    seen = {}
     for r in out.collect():
-        k = (r.doc_id, len(words(r.text)))
-        seen[k] = seen.get(k, 0) + 1
-    rows = {}
-    for r in corpus():
-        k = (r[0], len(words(r[1])))
-        rows[k] = rows.get(k, 0) + 1
-    assert seen == {k: n * rows[k] for k, n in used.items() if n}
+        seen[key(r.doc_id, r.text)] = seen.get(key(r.doc_id, r.text), 0) + 1
+    assert seen == {k: n for k, n in used.items() if n}
     assert mix(docs_of(spark, []), F.array("source")).count() == 0
     assert mixed_rows(docs_of(spark, []), F.array("source")).count() == 0
 
 
+def test_equal_rows_come_within_one_row_of_the_target(spark):
+    for ids in ([None] * 201, [5] * 201):
+        docs = docs_of(spark, [(i, "a b c", "en", "x") for i in ids] + [(i, "other words here now", "en", "y") for i in range(100)])
+        got = mix(docs, F.array("source")).collect()
+        for source in "xy":
+            own = [r for r in got if r.sources == [source]]
+            assert abs(sum(r.taken for r in own) - own[0].targets[0]) <= 4
+        out = mixed_rows(docs, F.array("source")).groupBy("source").count().collect()
+        assert {r["source"]: r["count"] for r in out} == {s: sum(r.uses for r in got if r.sources == [s]) for s in "xy"}
+
+
+def test_unlike_texts_under_one_id_go_their_own_way(spark):
+    docs = docs_of(spark, [(1, f"text {i} " + "w " * (i % 7), "en", "x") for i in range(60)] + [(2, "z " * 500, "en", "y")])
+    uses = {}
+    for r in mixed_rows(docs, F.array("source")).collect():
+        uses[r.text] = uses.get(r.text, 0) + 1
+    again = {}
+    for r in mixed_rows(docs.repartition(5), F.array("source")).collect():
+        again[r.text] = again.get(r.text, 0) + 1
+    assert uses == again
+
+
+def test_null_and_empty_arrays_belong_to_no_source(spark):
+    docs = docs_of(spark, [(i, "w " * 5, "en", "a") for i in range(10)] + [(10, "w w", "en", None), (11, "w w", "en", "none")])
+    arrays = F.when(F.col("doc_id") == 10, F.lit(None)).when(F.col("doc_id") == 11, F.array().cast("array<string>")).otherwise(F.array("source"))
+    got = {r.doc_id: r for r in mix(docs, arrays).collect()}
+    assert len(got) == 12 and got[10].uses == got[11].uses == 0 and got[10].sources == []
+    assert sum(r.taken for r in got.values()) == 75
+
+
 def test_overlapping_sources(spark):
     docs = docs_of(spark, [(i, "w " * 30, "en", "ab"[i % 2]) for i in range(40)])
     both = F.when(F.col("doc_id") < 20, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array("source"))
