@@ -99,7 +99,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     same = docs[id_col].eqNullSafe(found["__bad"]) & (F.xxhash64(docs[text_col]) == found["__hash"])
     if max_hit_share > 0:
         same &= found["__hit"] > max_hit_share * F.regexp_count(lower_ascii(F.coalesce(docs[text_col], F.lit(""))), F.lit(TERM))
-    return docs.join(found.hint("shuffle_hash"), same, "left_anti")
+    return docs.join(found, same, "left_anti")
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", n: int = 10) -> DataFrame:

@@ -10,7 +10,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import in_small_batches
+from tessera.llm.text import slices
+
 
 BUCKETS = 1 << 13
 DIMENSIONS = 16
@@ -122,8 +123,10 @@ def learn(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
         at = [np.flatnonzero(c) for c in every]
         return pd.DataFrame({"at": [a.astype("<i4").tobytes() for a in at], "n": [c[a].astype("<i4").tobytes() for c, a in zip(every, at)]})
 
-    chosen = in_small_batches(rows).filter(u < want).select(id_col, F.col(lang_col).alias("lang"), sparse(F.col(text_col)).alias("c")).select(id_col, "lang", "c.*").limit(2 * max_rows + 100).toPandas()
-    chosen = chosen.sort_values([id_col, "lang"], kind="stable")
+    order = [F.xxhash64(F.lit("langid"), id_col).alias("o"), F.xxhash64(text_col).alias("t")]
+    some = rows.filter(u < want).select(*order, F.col(lang_col).alias("lang"), sparse(F.col(text_col)).alias("c")).select("o", "t", "lang", "c.*")
+    # where very many rows share an id the hash cannot part them; the order keeps the bound and makes reruns agree
+    chosen = some.orderBy("o", "t", "lang").limit(2 * max_rows + 100).toPandas()
     counts = np.zeros((len(chosen), BUCKETS), np.float32)
     for i, (at, n) in enumerate(zip(chosen["at"], chosen["n"])):
         counts[i, np.frombuffer(at, "<i4")] = np.frombuffer(n, "<i4")
@@ -146,9 +149,9 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
         known = np.array([bool(t) and _LETTER.search(t) is not None for t in texts], bool)
         names, score = np.full(len(known), UNKNOWN, object), np.zeros(len(known))
         if known.any():
-            p = model.probabilities(np.array([subwords(t) for t, k in zip(texts, known) if k], np.float32))
+            p = np.concatenate([model.probabilities(np.array([subwords(t) for t in part], np.float32)) for part in slices(texts[known])])
             names[known] = np.array(model.languages, object)[p.argmax(axis=1)]
             score[known] = np.clip(p.max(axis=1), 0, 1)
         return pd.DataFrame({"lang_pred": names, "score": score, "accepted": known & (score >= model.reject_below)})
 
-    return in_small_batches(docs).select(F.col(id_col), of(F.col(text_col)).alias("p")).select(id_col, "p.*")
+    return docs.select(F.col(id_col), of(F.col(text_col)).alias("p")).select(id_col, "p.*")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.boosting import Forest, fit
-from tessera.llm.text import in_small_batches, words
+from tessera.llm.text import words
 
 #: Statistics that are shares or means, and how the verdict may go with them.
 FEATURES = {
@@ -89,7 +89,7 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = pd.DataFrame([statistics(t) for t in texts], columns=[*BASE, *FEATURES])
         return found.astype(dict.fromkeys(BASE, "int64"))
 
-    return in_small_batches(docs).select(id_col, *more, of(F.col(text_col)).alias("s")).select(id_col, *more, "s.*")
+    return docs.select(id_col, *more, of(F.col(text_col)).alias("s")).select(id_col, *more, "s.*")
 
 
 def base_failed() -> Column:
@@ -105,8 +105,8 @@ def fit_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     marked = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("double").alias("__y"))
     chosen = marked.orderBy(F.xxhash64("__id"), "__id").limit(max_labelled)
     rows = docs.select(F.col(id_col).alias("__id"), text_col).join(F.broadcast(chosen), "__id")
-    rows = with_statistics(rows, "__id", text_col, "__y").limit(2 * max_labelled).toPandas()
-    rows = rows.sort_values(["__id", *FEATURES], kind="stable")
+    # where labelled ids repeat the order keeps the bound and makes reruns agree
+    rows = with_statistics(rows, "__id", text_col, "__y").orderBy("__id", *FEATURES).limit(2 * max_labelled).toPandas()
     y = rows["__y"].to_numpy(float)
     if min((y > 0.5).sum(), (y <= 0.5).sum()) < 10:
         return None

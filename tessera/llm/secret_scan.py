@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import base64
+import bz2
+import lzma
 import re
 import zlib
 from bisect import bisect_right
-from collections import deque
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain
 from urllib.parse import unquote_to_bytes
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import in_small_batches
 
 #: The base patterns, in the order of their kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -30,11 +31,11 @@ ESCAPED = re.compile(r"\S+")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-](?:(?:\r?\n)?[A-Za-z0-9+/_-]){15,}={0,2}")
 #: Stretches of bytes that can hold a secret or a further layer, and starts of compressed streams.
 PRINTED = re.compile(rb"[\x09\x0A\x0D\x20-\x7E]{8,}")
-STREAM = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+STREAM = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY|\xfd7zXZ\x00")
 ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|u\{([0-9A-Fa-f]{1,6})\}|x([0-9A-Fa-f]{2}))")
 _PLAIN = str.maketrans({"-": "+", "_": "/", "\r": None, "\n": None})
-#: Bytes that a compressed layer may unfold to; a larger one is told as kind "oversize".
-MAX_UNFOLDED = 64 << 20
+#: A compressed layer is unfolded and scanned in pieces of so many bytes, each with the end of the one before.
+PIECE, OVERLAP = 16 << 20, 1 << 20
 
 
 def base_spans(text: str) -> Iterator[tuple[int, int, str]]:
@@ -60,42 +61,69 @@ def _as_text(raw: bytes) -> str | None:
     return text if text and good >= 0.9 * len(text) else None
 
 
-def _unfolded(raw: bytes) -> bytes | None:
-    """The content of a zlib stream or of all members of a gzip stream; empty if it is none, None if it is too large."""
-    if raw[:2] != b"\x1f\x8b" and not (len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0):
-        return b""
-    out = b""
-    while raw[:2] == b"\x1f\x8b" or not out:
-        unfold = zlib.decompressobj(wbits=47)
+def _members(raw: bytes) -> Iterator[bytes]:
+    """The bytes of a gzip, zlib, bzip2 or xz stream and of the members behind it, some at a time; none if it is no such stream."""
+    while raw:
+        if raw[:3] == b"BZh":
+            unfold, name = bz2.BZ2Decompressor(), "bzip2"
+        elif raw[:6] == b"\xfd7zXZ\x00":
+            unfold, name = lzma.LZMADecompressor(lzma.FORMAT_XZ, memlimit=256 << 20), "xz"
+        elif raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0):
+            unfold, name = zlib.decompressobj(wbits=47), "gzip"
+        else:
+            return
+        feed = raw
         try:
-            out += unfold.decompress(raw, MAX_UNFOLDED + 1 - len(out))
-        except zlib.error:
-            return out
-        if len(out) > MAX_UNFOLDED:
-            return None
+            while not unfold.eof:
+                out = unfold.decompress(feed, PIECE)
+                feed = unfold.unconsumed_tail if name == "gzip" else b""
+                if out:
+                    yield out
+                elif not feed and not unfold.eof:
+                    return  # it breaks off
+        except (zlib.error, lzma.LZMAError, OSError, ValueError, EOFError):
+            return
         raw = unfold.unused_data
-        if not raw:
-            break
-    return out
 
 
-def _contents(body: str) -> Iterator[tuple[str, str | None]]:
+def _unfolded(raw: bytes) -> Iterator[bytes]:
+    """What a compressed stream holds, as pieces that overlap: nothing is left out, and one piece is held at a time."""
+    held = b""
+    for out in _members(raw):
+        held += out
+        while len(held) >= PIECE + OVERLAP:
+            cut = PIECE
+            while cut > PIECE - 4 and held[cut] & 0xC0 == 0x80:  # not within a character
+                cut -= 1
+            yield held[:cut]
+            held = held[cut - OVERLAP :]
+            while held and held[0] & 0xC0 == 0x80:
+                held = held[1:]
+    if held:
+        yield held
+
+
+def _contents(body: str) -> Iterator[tuple[str, str]]:
     """Name and content of what a run of base64 holds at any of the four places where it may begin."""
     for k in range(4):
         own = body[k:]
         own = own[:-1] if len(own) % 4 == 1 else own
         raw = base64.b64decode(own + "=" * (-len(own) % 4))
-        if k == 0 and (plain := _unfolded(raw)) and (out := _as_text(plain)):
-            yield "gzip", out
-            return
-        if k == 0 and (out := _as_text(raw)):
-            yield "base64", out
-            return
+        if k == 0:
+            whole = False
+            for plain in _unfolded(raw):
+                if out := _as_text(plain) or _printed(plain):
+                    whole = True
+                    yield "gzip", out
+            if whole:
+                return
+            if out := _as_text(raw):
+                yield "base64", out
+                return
         for m in STREAM.finditer(raw):
-            if (plain := _unfolded(raw[m.start() :])) is None:
-                yield "oversize", None
-            elif plain and (out := _as_text(plain) or _printed(plain)):
-                yield "gzip", out
+            for plain in _unfolded(raw[m.start() :]):
+                if out := _as_text(plain) or _printed(plain):
+                    yield "gzip", out
         if out := _printed(raw):
             yield "base64", out
 
@@ -105,8 +133,8 @@ def _printed(raw: bytes) -> str:
     return "\0".join(m.decode("ascii") for m in PRINTED.findall(raw))
 
 
-def _layers(text: str) -> Iterator[tuple[int, int, str, str | None]]:
-    """start, end, name and content of what can be unwrapped once; no content: too large."""
+def _spelt(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """start, end, name and content of the runs with percent signs or backslashes that spell other characters."""
     if "%" in text:
         for m in PERCENT.finditer(text):
             if PERCENT_PART.search(m[0]) and (out := unquote_to_bytes(m[0]).decode("utf-8", "replace")) != m[0]:
@@ -118,6 +146,10 @@ def _layers(text: str) -> Iterator[tuple[int, int, str, str | None]]:
             out = ESCAPE.sub(lambda e: chr(c) if (c := int(next(g for g in e.groups() if g), 16)) < 0x110000 and not 0xD800 <= c < 0xE000 else e[0], m[0])
             if out != m[0]:
                 yield m.start(), m.end(), "unicode", out
+
+
+def _packed(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """start, end, name and content of what runs of base64 hold, one after another."""
     for m in BASE64.finditer(text):
         body = m[0].rstrip("=").translate(_PLAIN)
         for name, out in _contents(body):
@@ -155,51 +187,61 @@ def _beside(text: str, runs: list[tuple[int, int, str]]) -> Iterator[tuple[int,
 def scan(text: str | None) -> list[tuple[int, int, str]]:
     """All spans of a text, sorted by start and kind.
 
-    A worklist holds layers that are still to be scanned, each with the span
-    of the text that it came from. What a layer unwraps to joins the list
-    unless the same content has been seen for that span, so cycles end and the
-    list runs dry. Spans found in a layer are mapped to the outermost encoded
-    stretch and named after the chain, as in `base64>url>assign`.
+    The worklist holds layers whose inner layers are still being unwrapped,
+    each with the span of the text that it came from. What a layer unwraps to
+    joins the list unless the same content has been seen for that span, so
+    cycles end and the list runs dry. The newest layer goes first and contents
+    come one at a time, so a layer is held once for each depth. Spans found in
+    a layer are mapped to the outermost encoded stretch and named after the
+    chain, as in `base64>url>assign`. Compressed layers of any size are read
+    to their end, in pieces that overlap.
     """
     text = text or ""
     found = {(a, b, k) for a, b, k in base_spans(text)}
-    todo: deque[tuple[str, tuple[int, int] | None, str]] = deque([(text, None, "")])
+    todo = [_opened(text, None, "", found)]
     seen: set[tuple[tuple[int, int] | None, bytes]] = {(None, sha256(text.encode("utf-8", "surrogatepass")).digest())}
     while todo:
-        layer, outer, chain = todo.popleft()
-        layers = list(_layers(layer))
-        for name in ("url", "unicode"):
-            if runs := [(a, b, out) for a, b, n, out in layers if n == name]:
-                found |= {(*(outer or (a, b)), f"{chain}{name}>{kind}") for a, b, kind in _beside(layer, runs)}
-        for a, b, name, out in layers:
-            span = outer or (a, b)
-            if out is None:
-                found.add((*span, f"{chain}oversize"))
-                continue
-            mark = (span, sha256(out.encode("utf-8", "surrogatepass")).digest())
-            if mark in seen:
-                continue
-            seen.add(mark)
-            found |= {(*span, f"{chain}{name}>{kind}") for _, _, kind in base_spans(out)}
-            todo.append((out, span, f"{chain}{name}>"))
+        item = next(todo[-1], None)
+        if item is None:
+            todo.pop()
+            continue
+        span, name, out = item
+        mark = (span, sha256(out.encode("utf-8", "surrogatepass")).digest())
+        if mark in seen:
+            continue
+        seen.add(mark)
+        found |= {(*span, f"{name}>{kind}") for _, _, kind in base_spans(out)}
+        todo.append(_opened(out, span, f"{name}>", found))
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(found, key=lambda x: (x[0], order.get(x[2], 9), x[2], x[1]))
 
 
+def _opened(layer: str, outer: tuple[int, int] | None, before: str, found: set) -> Iterator[tuple[tuple[int, int], str, str]]:
+    """Span, chain and content of each layer within one; spans over the edges of decoded runs are added to `found`."""
+    spelt = list(_spelt(layer))
+    for name in ("url", "unicode"):
+        if runs := [(a, b, out) for a, b, n, out in spelt if n == name]:
+            found |= {(*(outer or (a, b)), f"{before}{name}>{kind}") for a, b, kind in _beside(layer, runs)}
+    for a, b, name, out in chain(spelt, _packed(layer)):
+        yield outer or (a, b), f"{before}{name}", out
+
+
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`id_col, spans` for every row: an array of (kind, start, end), sorted by start.
 
     Offsets are code points of the row's own text, end exclusive. Null and
     empty texts have no spans; repeated rows come back each; an empty table
     gives no rows. Other columns are not looked at. One text is one worklist:
-    memory is bounded by the text and its layers (`MAX_UNFOLDED` each).
+    memory is bounded by the text and, for each depth, one piece of a layer.
+    A single run of base64 longer than a piece, itself within a compressed
+    layer, is read piece by piece.
     """
 
     @F.pandas_udf("array<struct<kind:string,start:long,end:long>>")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([[{"kind": k, "start": a, "end": b} for a, b, k in scan(t)] for t in texts])
 
-    return in_small_batches(docs).select(F.col(id_col), of(F.col(text_col)).alias("spans"))
+    return docs.select(F.col(id_col), of(F.col(text_col)).alias("spans"))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
@@ -219,4 +261,4 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
 
         return pd.Series([one(t) for t in texts], dtype=object)
 
-    return in_small_batches(docs).withColumn(text_col, of(F.col(text_col)))
+    return docs.withColumn(text_col, of(F.col(text_col)))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
 from tessera.llm.substring import Prefix, word_hashes
-from tessera.llm.text import in_small_batches, whole_runs, words
+from tessera.llm.text import whole_runs, words
 from tessera.session import written
 
 SEED = 42
@@ -273,7 +273,7 @@ def verified_links(texts: DataFrame, loose: DataFrame, verify: float) -> DataFra
     one = written(texts.join(dealt.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
     met = dealt.join(one, "node").select("root", "node", "text", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
     met = met.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "text")
-    return in_small_batches(met).repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInPandas(_verified(verify), "a long, b long")
+    return met.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInPandas(_verified(verify), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3, seeds: tuple[int, ...] = (SEED,), distinct: bool = False, verify: float | None = None) -> DataFrame:
@@ -308,7 +308,7 @@ def _grouped(docs: DataFrame, row: Column, id_col: str, text_col: str, shingle:
         return pd.DataFrame(out)
 
     own = [] if verify is None else [F.col(text_col).alias("text")]
-    rows = in_small_batches(docs).select(F.col(id_col), row.alias("row"), *own, of(F.col(text_col)).alias("f")).select("*", "f.*").drop("f")
+    rows = docs.select(F.col(id_col), row.alias("row"), *own, of(F.col(text_col)).alias("f")).select("*", "f.*").drop("f")
     plain = len(seeds) == 1 and verify is None
     node = F.element_at("fps", 1) if plain else F.xxhash64(*(["fps"] if verify is None else ["fps", "shingles"]))
     fps = written(rows.withColumn("node", node), "fingerprints")
@@ -342,7 +342,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), h.alias("hash"))
     groups = written(_grouped(docs, row, id_col, text_col, shingle, max_bits, seeds, distinct, verify).select("row", "least"), "groups")
     gone = groups.filter(F.col("row") != F.col("least")).select(F.col("row.id").alias("__gone"), F.col("row.hash").alias("__hash")).distinct()
-    stay = docs.join(gone.hint("shuffle_hash"), docs[id_col].eqNullSafe(gone["__gone"]) & (h == gone["__hash"]), "left_anti")
+    stay = docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]) & (h == gone["__hash"]), "left_anti")
     if groups.groupBy("row").count().filter("count > 1").isEmpty():
         return stay
     return stay.dropDuplicates([id_col, text_col])

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import in_small_batches, words
+from tessera.llm.text import words
 from tessera.session import dropped, written
 
 #: Words of a sampled gram of the index, against the least factor.
@@ -175,7 +175,7 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gram = max(4, least // GRAM_SHARE)
     id_kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = in_small_batches(docs).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
     seen = written(rows.mapInPandas(lambda b: _grams(b, least, gram), f"id {id_kind}, key long, sha binary, n int, pos array<int>, gram array<long>, around array<long>"), "grams")
     # the word sequences that stand more than once, with their smallest ids
     base = written(seen.select("id", "sha", "n"), "words")
@@ -194,7 +194,7 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # only texts with an open anchor have windows to look up
     some = flags.filter(F.exists("flags", lambda f: f % 4 == 0)).select("id", "key", "flags")
-    looked = rows.join(some.hint("shuffle_hash"), ["id", "key"]).select("id", "key", "text", "flags")
+    looked = rows.join(some, ["id", "key"]).select("id", "key", "text", "flags")
     looked = written(looked.mapInPandas(lambda b: _windows(b, least, gram), f"id {id_kind}, key long, start int, one long, two long"), "windows")
     # written for the same reason
     earlier = looked.groupBy("one", "two").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").drop("hi")
@@ -219,7 +219,7 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pd.DataFrame(out, columns=["id", "sha", "spans", "kept"])
 
     kind = "array<struct<from:int,to:int>>"
-    spans = rows.join(both.hint("shuffle_hash"), ["id", "key"]).select("id", "sha", "text", "flags", "starts")
+    spans = rows.join(both, ["id", "key"]).select("id", "sha", "text", "flags", "starts")
     spans = spans.mapInPandas(parsed, f"id {id_kind}, sha binary, spans {kind}, kept string").filter(F.size("spans") > 0).dropDuplicates(["id", "sha"])
     joined = known.join(spans, ["id", "sha"], "left")
     copy = F.col("rep").isNotNull() & (F.col("id") > F.col("rep"))

@@ -5,14 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words are what stands between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows of whole texts that one Arrow batch holds.
-TEXTS_PER_BATCH = 500
 
 
 def words(text: str | None) -> list[bytes]:
@@ -25,15 +23,10 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def in_small_batches(df: DataFrame) -> DataFrame:
-    """`df`, with whole texts sent to Python a few at a time.
-
-    The setting is the session's; a lower one of the user's is kept.
-    """
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(conf.get(key)) > TEXTS_PER_BATCH or int(conf.get(key)) <= 0:
-        conf.set(key, str(TEXTS_PER_BATCH))
-    return df
+def slices(texts: pd.Series, rows: int = 256) -> Iterator[pd.Series]:
+    """A batch in parts of a few texts; Spark bounds the batch itself by bytes (64 MB unless set otherwise)."""
+    for i in range(0, len(texts), rows):
+        yield texts.iloc[i : i + rows]
 
 
 def whole_runs(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:

@@ -12,7 +12,6 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import in_small_batches
 
 #: Symbols of the word machine; the second eight are the same at the start of a segment.
 LETTER, NUMBER, OTHER, SHORT, LONG, BLANK, LEAD, LONE = range(8)
@@ -282,5 +281,5 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         return pd.Series(np.concatenate(out))
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    counted = in_small_batches(docs).select(F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"), of(F.col(text_col)).alias("n_tokens"))
+    counted = docs.select(F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"), of(F.col(text_col)).alias("n_tokens"))
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

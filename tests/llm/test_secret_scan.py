@@ -1,5 +1,8 @@
 import base64
+import bz2
 import gzip
+import lzma
+import random
 import re
 import zlib
 from urllib.parse import quote
@@ -84,3 +87,69 @@ def test_keys_outside_the_encoded_run_and_bytes_that_are_no_text():
     assert any(k == "url>assign" for _, _, k in scan("caf%E9/token%3Dabcdef123"))
     assert any(k == "url>assign" for _, _, k in scan("%01" * 40 + "token%3Dabcdef123"))
     assert not [k for _, _, k in scan("plain password: hunter22xyz and b%42") if k != "assign"]
+
+
+def test_other_compressed_layers_and_their_members():
+    secret = b"nothing here, then password=hunter22xyz"
+    for pack in (bz2.compress, lzma.compress, lambda x: bz2.compress(b"first") + bz2.compress(x), lambda x: lzma.compress(b"first") + lzma.compress(x)):
+        text = f"see {base64.b64encode(pack(secret)).decode()} there"
+        assert any(k == "gzip>assign" and a == 4 for a, _, k in scan(text)), text
+    scan(base64.b64encode(bz2.compress(secret)[:30]).decode())  # it breaks off
+
+
+def test_compressed_layers_of_any_size_are_read_to_the_end():
+    from tessera.llm.secret_scan import OVERLAP, PIECE, _unfolded
+
+    filler = "lorem ipsum é "
+    for at in (70 << 20, PIECE - 10, 2 * PIECE - OVERLAP - 5, 3 * PIECE):
+        big = bytearray((filler * (72 * (1 << 20) // len(filler.encode()))).encode())
+        big[at : at + 21] = b" password=hunter22xy "
+        packed = zlib.compress(bytes(big), 1)
+        pieces = list(_unfolded(packed))
+        assert len(pieces) > 3 and max(map(len, pieces)) <= PIECE + OVERLAP
+        assert any(b"password=hunter22xy" in p for p in pieces)
+    spans = scan(f"a {base64.b64encode(packed).decode()} z")
+    assert any(k == "gzip>assign" for _, _, k in spans)
+
+
+def peeled(text, depth=0):
+    """All texts within a text, by trying everything everywhere: a slow counterpart for short texts."""
+    yield text
+    if depth > 4:
+        return
+    outs = {re.sub(r"%([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)), text), re.sub(r"\\u([0-9A-Fa-f]{4})", lambda m: chr(int(m[1], 16)), text)}
+    for m in re.finditer(r"[A-Za-z0-9+/]{16,}={0,2}", text):
+        for i in range(m.start(), m.end()):
+            body = text[i : m.end()].rstrip("=")
+            if len(body) < 16:
+                break
+            raw = base64.b64decode(body[: len(body) - (len(body) % 4 == 1)] + "=" * (-len(body) % 4))
+            for out in (raw, *_tried(raw)):
+                if out.isascii() and out.decode("ascii").isprintable():
+                    outs.add(out.decode("ascii"))
+    for out in outs - {text}:
+        yield from peeled(out, depth + 1)
+
+
+def _tried(raw):
+    for pack in (gzip.decompress, zlib.decompress, bz2.decompress, lzma.decompress):
+        try:
+            yield pack(raw)
+        except Exception:  # noqa: BLE001
+            pass
+
+
+def test_layers_match_a_slow_decoder():
+    rng = random.Random(11)
+    wraps = [
+        lambda t: base64.b64encode(t.encode()).decode(), lambda t: quote(t, safe="").replace("a", "%61"), lambda t: "".join(f"\\u{ord(c):04x}" for c in t),
+        lambda t: base64.b64encode(gzip.compress(t.encode(), mtime=0)).decode(), lambda t: base64.b64encode(bz2.compress(t.encode())).decode(),
+    ]
+    for _ in range(60):
+        inner = rng.choice(["token=abcdef123", "plain words only", f"id {KEY}", "x" * 30, "0123456789abcdef" * 2])
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            inner = rng.choice(wraps)(inner)
+        text = f"start {inner} end"
+        want = {k for t in peeled(text) for _, _, k in base_spans(t)}
+        got = {k.rsplit(">", 1)[-1] for _, _, k in scan(text)}
+        assert want == got, (text, want, got)
