@@ -1,8 +1,10 @@
 import hashlib
+import random
 
+import numpy as np
 import pytest
 
-from tessera.llm.substring import duplicate_spans, removed_words
+from tessera.llm.substring import duplicate_spans, greedy_factors, joined, matched, removed_words
 from tests.llm.helpers import corpus, docs_of, words
 
 
@@ -36,3 +38,41 @@ def test_removed_words_match_brute_force(spark, least, seed):
 
 def test_empty_table(spark):
     assert duplicate_spans(docs_of(spark, [])).count() == 0
+
+
+def test_factors_follow_one_reference_and_cover_all_windows():
+    rng = random.Random(2)
+    for _ in range(200):
+        starts = sorted(rng.sample(range(80), rng.randint(1, 40)))
+        ref, at, r, p = [], [], 0, 0
+        for _ in starts:
+            if rng.random() < 0.3:
+                r, p = rng.randint(0, 2), rng.randint(0, 50)
+            ref.append(r)
+            at.append(p)
+            p += 1
+        found = greedy_factors(np.array(starts), np.array(ref), np.array(at), 10)
+        covered = {k for a, n, *_ in found for k in range(a, a + n)}
+        assert covered == {k for s in starts for k in range(s, s + 10)}
+        places = {s: (r, p) for s, r, p in zip(starts, ref, at)}
+        for a, n, r, p in found:  # every window of a factor stands at its place in the reference
+            assert n >= 10 and all(places[a + k] == (r, p + k) for k in range(n - 9))
+
+
+def test_a_factor_that_is_not_its_reference_is_none():
+    w, other = [b"a"] * 30, [b"a"] * 12 + [b"x"] + [b"a"] * 17
+    assert matched(w, (0, 30), [b"a"] * 30, 10) == [(0, 30)]
+    assert matched(w, (0, 30), other, 10) == [(0, 12), (13, 30)]
+    assert matched(w, (0, 30), other, 15) == [(13, 30)] and matched(w, (0, 30), [], 10) == []
+    assert joined([(5, 9), (0, 5), (20, 30), (21, 25)]) == [(0, 9), (20, 30)]
+
+
+def test_references_of_many_blocks_and_texts_of_repeats(spark):
+    rng = random.Random(7)
+    long = [f"w{rng.randint(0, 400)}" for _ in range(3000)]
+    rows = [(i, t, "en", "s") for i, t in enumerate([
+        " ".join(long), " ".join(long[700:2500]), " ".join([*long[100:900], "new", *long[2000:2950]]), " ".join((long[:130] * 9)[:1000]), " ".join(long[50:180] * 3),
+        " ".join([*long[:63], *long[64:200]]), " ".join(long[63:128]), " ".join(["a b c d e f g"] * 60), " ".join(["b c d e f g a"] * 40), " ".join(["a"] * 500), " ".join(["a"] * 120 + ["b"] + ["a"] * 49),
+    ])]
+    got = duplicate_spans(docs_of(spark, rows)).withColumn("n", removed_words()).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n, r.kept_sha256) for r in got) == brute(rows, 50)
