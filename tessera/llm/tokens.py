@@ -20,6 +20,8 @@ FIRST, NOTHING = 8, 16
 #: space; one or two letters of a contraction to come; free.
 IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_BLANKS, LED, ONE_LEFT, TWO_LEFT, FREE = range(8)
 CHUNK = 64
+#: Bytes of a word that the merge machine reads as one chunk, and rounds in which chunks are fitted together all at once.
+PIECE, ROUNDS = 32, 8
 #: Entries that the caches of a worker hold before they start anew.
 MAX_CACHED = {"words": 800_000, "beside": 800_000, "moves": 1_500_000}
 
@@ -180,26 +182,94 @@ class MergeMachine:
         self.moves[state << 8 | byte] = found = (to, added)
         return found
 
-    def count(self, word: str) -> int:
-        """The tokens of a word."""
-        state = total = 0
-        moves = self.moves
-        for byte in word.encode("utf-8", "surrogatepass"):
-            move = moves.get(state << 8 | byte)
-            state, added = move if move is not None else self._compile(state, byte)
-            total += added
-        if len(word) < 64:
-            self.words[word] = total
-        return total
-
-    def counts(self, words: list[str]) -> list[int]:
+    def _run(self, chunks: np.ndarray, sizes: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The state maps of chunks at the states given: the state that each ends in and the tokens it adds.
+
+        All chunks take a step at once; each pair of state and byte that is new is compiled once.
+        """
+        state, added = state.copy(), np.zeros(len(sizes), np.int64)
+        if len(sizes) < 8:  # too few to gain by
+            for i, n in enumerate(sizes.tolist()):
+                for byte in chunks[i, :n].tolist():
+                    key = int(state[i]) << 8 | byte
+                    state[i], more = self.moves.get(key) or self._compile(key >> 8, byte)
+                    added[i] += more
+            return state, added
+        for j in range(int(sizes.max(initial=0))):
+            on = np.flatnonzero(sizes > j)
+            keys, of = np.unique(state[on] << 8 | chunks[on, j], return_inverse=True)
+            get, make = self.moves.get, self._compile
+            found = np.array([get(k) or make(k >> 8, k & 255) for k in keys.tolist()], np.int64)
+            state[on] = found[of, 0]
+            added[on] += found[of, 1]
+        return state, added
+
+    def walk(self, words: list[bytes]) -> np.ndarray:
+        """The tokens of each word.
+
+        Words are cut into chunks. A chunk's state map is found at the states
+        that are asked for: at first the one at the start of a word, then, where
+        the chunk before ends in another, at that one. Chunks whose maps fit
+        together are composed by a prefix scan over twice as many at each round;
+        where they do not yet fit the map is found at the other state as well.
+        """
+        lengths = np.array([len(w) for w in words], np.int64)
+        pieces = np.maximum(-(-lengths // PIECE), 1)
+        first = np.concatenate([[0], np.cumsum(pieces)])
+        n = int(first[-1])
+        raw = b"".join(w.ljust(int(k) * PIECE, b"\0") for w, k in zip(words, pieces))
+        chunks = np.frombuffer(raw, np.uint8).reshape(n, PIECE).astype(np.int64)
+        sizes = np.full(n, PIECE, np.int64)
+        sizes[first[1:] - 1] = lengths - (pieces - 1) * PIECE
+        follows = np.ones(n, bool)  # its entry state is the end of the chunk before
+        follows[first[:-1]] = False
+        entry = np.zeros(n, np.int64)
+        ends, added = self._run(chunks, sizes, entry)
+        place = np.arange(n) - np.repeat(first[:-1], pieces)
+
+        def refit(some: np.ndarray) -> np.ndarray:
+            wrong = some[ends[some - 1] != entry[some]]
+            if len(wrong):
+                entry[wrong] = ends[wrong - 1]
+                ends[wrong], added[wrong] = self._run(chunks[wrong], sizes[wrong], entry[wrong])
+            return wrong
+
+        # only what does not fit is read again; most states forget what lies a few bytes back
+        todo = np.flatnonzero(follows)
+        for _ in range(ROUNDS):
+            after = refit(todo) + 1
+            todo = after[after < n]
+            todo = todo[follows[todo]]
+        if len(todo):  # long runs without a break: from left to right, each chunk once
+            order = np.argsort(place, kind="stable")
+            cuts = np.searchsorted(place[order], np.arange(1, int(place.max()) + 2))
+            for lo, hi in zip(cuts.tolist(), cuts[1:].tolist()):
+                refit(order[lo:hi])
+        # the composed maps: sums over ever longer stretches of chunks
+        sums, step = added.copy(), 1
+        while step <= int(place.max(initial=0)):
+            far = np.flatnonzero(place >= step)
+            sums[far] += sums[far - step]
+            step *= 2
+        return sums[first[1:] - 1]
+
+    def counts(self, words: list[str]) -> np.ndarray:
+        """The tokens of each word; words met before are looked up, the others walked together, each once."""
         for name in ("words", "beside"):
             if len(getattr(self, name)) > MAX_CACHED[name]:
                 getattr(self, name).clear()
         if len(self.moves) > MAX_CACHED["moves"]:
             self._anew()
-        known, count = self.words, self.count
-        return [n if (n := known.get(w)) is not None else count(w) for w in words]
+        known, new = self.words, {}
+        out = np.fromiter(map(lambda w, get=known.get: get(w, -1), words), np.int64, len(words))
+        missing = np.flatnonzero(out < 0).tolist()
+        for i in missing:
+            new.setdefault(words[i], len(new))
+        if new:
+            found = self.walk([w.encode("utf-8", "surrogatepass") for w in new])
+            known.update((w, n) for w, n in zip(new, found.tolist()) if len(w) < 64)
+            out[missing] = found[[new[words[i]] for i in missing]]
+        return out
 
 
 class Compiled:
@@ -242,7 +312,7 @@ class Compiled:
         first[begins[:-1]] = True
         starts = word_starts(points, first)
         ends = np.append(starts[1:], len(points))
-        counted = np.array(self.machine.counts([whole[a:b] for a, b in zip(starts.tolist(), ends.tolist())]), np.int64)
+        counted = self.machine.counts([whole[a:b] for a, b in zip(starts.tolist(), ends.tolist())])
         np.add.at(total, np.array(of), np.add.reduceat(counted, np.searchsorted(starts, begins[:-1])))
         return total
 

@@ -46,6 +46,22 @@ def test_chunks_compose_whatever_their_size(both, monkeypatch):
     assert FREE == 7
 
 
+def test_long_words_are_composed_of_chunks(both, monkeypatch):
+    from tessera.llm import tokens
+
+    own, lib = both
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdefghijklmnop") for _ in range(n)) for n in (31, 32, 33, 64, 65, 500, 20_000)]
+    texts += ["e" * n for n in (31, 32, 33, 5000, 100_000)] + ["ab" * 40_000, "=" * 3000, "漢字" * 4000, "-=" * 700 + "é" * 999, "internationalisation" * 800]
+    want = library(lib, texts)
+    assert own.counts(texts).tolist() == want
+    for piece, rounds in ((3, 1), (7, 0), (32, 2), (1000, 8)):
+        monkeypatch.setattr(tokens, "PIECE", piece)
+        monkeypatch.setattr(tokens, "ROUNDS", rounds)
+        own.machine.words.clear()
+        assert own.counts(texts).tolist() == want
+
+
 def test_operator(spark, both):
     rows = corpus()
     got = sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts(docs_of(spark, rows), PATH).collect())
