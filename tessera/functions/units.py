@@ -1,9 +1,14 @@
-"""Units to SI: a table made by rule, and the join that applies it."""
+"""Units to SI: a table made by rule, the joins that apply it, and a parser of products and powers of its units."""
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Names with one meaning, (factor, offset, dimension), exact case.
 NAMED = {
@@ -66,11 +71,124 @@ def unit_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(unit_rows(), "unit string, any_case boolean, factor double, offset double, dim string")
 
 
+#: The dimensions that have names, by powers of the base ones.
+POWERS = {
+    "": {}, "m": {"m": 1}, "kg": {"kg": 1}, "s": {"s": 1}, "A": {"A": 1}, "K": {"K": 1}, "mol": {"mol": 1}, "B": {"B": 1}, "T": {"kg": 1, "s": -2, "A": -1}, "J": {"kg": 1, "m": 2, "s": -2},
+    "W": {"kg": 1, "m": 2, "s": -3}, "Pa": {"kg": 1, "m": -1, "s": -2}, "V": {"kg": 1, "m": 2, "s": -3, "A": -1}, "N": {"kg": 1, "m": 1, "s": -2}, "C": {"A": 1, "s": 1}, "s^-1": {"s": -1}, "m^-2": {"m": -2}, "m^3": {"m": 3},
+    "kg/m^3": {"kg": 1, "m": -3}, "J/kg": {"m": 2, "s": -2}, "J/kg/s": {"m": 2, "s": -3},
+}
+_NAMES = {tuple(sorted(p.items())): name for name, p in POWERS.items()}
+_SIGNS = str.maketrans({"·": "*", "×": "*", "⋅": "*", "²": "2", "³": "3", "⁻": "-", "¹": "1", "⁴": "4"})
+_TOKEN = re.compile(r"\s*(?:(?P<number>\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)|(?P<name>[^\W\d_]+|[°%]\w*)|(?P<sign>[*/^()-]))")
+
+
+@lru_cache(1)
+def _known() -> tuple[dict, dict]:
+    exact = {r[0]: r[2:] for r in unit_rows() if not r[1]}
+    return exact, {r[0]: r[2:] for r in unit_rows() if r[1]}
+
+
+def _single(name: str) -> tuple[float, float, str] | None:
+    exact, loose = _known()
+    return exact.get(name) or loose.get(name.lower())
+
+
+@lru_cache(10_000)
+def parse_unit(unit: str) -> tuple[float, float, str] | None:
+    """(factor, offset, dimension) of a unit: a known one, or products, quotients and whole powers of known ones; else None.
+
+    `m/s`, `1/cm`, `kg*m^2/s2`, `J per (kg K)` and `cm⁻¹` are such; a space
+    multiplies. Within a product a temperature counts as a difference.
+    """
+    unit = unit.strip()
+    if (found := _single(unit)) or not unit:
+        return found
+    text = re.sub(r"\bper\b", "/", unit.translate(_SIGNS))
+    parts, at = [], 0
+    while at < len(text):
+        m = _TOKEN.match(text, at)
+        if not m or m.end() == at:
+            return None
+        if m.lastgroup:
+            parts.append((m.lastgroup, m[m.lastgroup]))
+        at = m.end()
+    parts.append(("end", ""))
+    place = 0
+
+    def whole() -> int:
+        """A power behind a name: with or without `^`, a sign and brackets."""
+        nonlocal place
+        start, closed = place, False
+        if parts[place] == ("sign", "^"):
+            place += 1
+            if parts[place] == ("sign", "("):
+                place, closed = place + 1, True
+        minus = parts[place] == ("sign", "-")
+        place += minus
+        if parts[place][0] != "number" or not parts[place][1].isdigit():
+            if place > start:
+                raise ValueError(unit)
+            return 1
+        n = int(parts[place][1])
+        place += 1
+        if closed:
+            if parts[place] != ("sign", ")"):
+                raise ValueError(unit)
+            place += 1
+        return -n if minus else n
+
+    def factor() -> tuple[float, dict]:
+        nonlocal place
+        kind, x = parts[place]
+        place += 1
+        if kind == "number":
+            return float(x), {}
+        if (kind, x) == ("sign", "("):
+            value, powers = product()
+            if parts[place] != ("sign", ")"):
+                raise ValueError(unit)
+            place += 1
+        elif kind == "name" and (known := _single(x)):
+            value, powers = known[0], POWERS[known[2]]
+        else:
+            raise ValueError(unit)
+        n = whole()
+        return value**n, {k: p * n for k, p in powers.items()}
+
+    def product() -> tuple[float, dict]:
+        nonlocal place
+        value, powers = factor()
+        while parts[place][0] in ("number", "name") or parts[place] in (("sign", "*"), ("sign", "/"), ("sign", "(")):
+            sign = 1
+            if parts[place][1] in "*/" and parts[place][0] == "sign":
+                sign = 1 if parts[place][1] == "*" else -1
+                place += 1
+            v, p = factor()
+            value *= v**sign
+            powers = {k: n for k in {*powers, *p} if (n := powers.get(k, 0) + sign * p.get(k, 0))}
+        return value, powers
+
+    try:
+        value, powers = product()
+    except (ValueError, ZeroDivisionError, OverflowError):
+        return None
+    if parts[place][0] != "end":
+        return None
+    key = tuple(sorted(powers.items()))
+    return value, 0.0, _NAMES.get(key, " ".join(k if n == 1 else f"{k}^{n}" for k, n in key))
+
+
+@F.pandas_udf(T.StructType([T.StructField("factor", T.DoubleType()), T.StructField("offset", T.DoubleType()), T.StructField("dim", T.StringType())]))
+def parsed_units(units: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([parse_unit(u) or (None, None, None) for u in units], columns=["factor", "offset", "dim"])
+
+
 def to_si(df: DataFrame, value: str, unit: str, out: str = "value_si") -> DataFrame:
     """`df` with `out`, a struct of magnitude in SI and dimension; null for unknown and blank units and `rlu`.
 
     The fixed table of units is broadcast: names in exact case first, then in
-    any. All columns and rows of `df` stay.
+    any. Other units are parsed as products and powers of known ones, each
+    distinct one once. All columns and rows of `df` stay.
     """
     table = unit_table(df.sparkSession)
     exact = table.filter("not any_case").select(F.col("unit").alias("__u"), F.struct("factor", "offset", "dim").alias("__exact"))
@@ -78,15 +196,17 @@ def to_si(df: DataFrame, value: str, unit: str, out: str = "value_si") -> DataFr
     known = F.trim(F.col(unit))
     both = df.join(F.broadcast(exact), known == F.col("__u"), "left").join(F.broadcast(loose), F.lower(known) == F.col("__l"), "left")
     u = F.coalesce("__exact", "__loose")
+    rest = both.filter(u.isNull() & known.rlike(r"[\d*/^·×⋅²³⁻¹⁴\s]")).select(known.alias("__r")).distinct().select("__r", parsed_units("__r").alias("__parsed")).filter("__parsed.factor is not null")
+    both = both.join(rest, F.when(u.isNull(), known) == F.col("__r"), "left")
+    u = F.coalesce("__exact", "__loose", "__parsed")
     si = F.when(u.isNotNull() & F.col(value).isNotNull(), F.struct((F.col(value).cast("double") * u["factor"] + u["offset"]).alias("magnitude"), u["dim"].alias("dim")))
-    return both.withColumn(out, si).drop("__u", "__l", "__exact", "__loose")
+    return both.withColumn(out, si).drop("__u", "__l", "__r", "__exact", "__loose", "__parsed")
 
 
 def literal_si(value: float, unit: str) -> tuple[float, str] | None:
     """A number with a unit as (magnitude, dimension), or None."""
-    unit = unit.strip()
-    found = next((r for r in unit_rows() if not r[1] and r[0] == unit), None) or next((r for r in unit_rows() if r[1] and r[0] == unit.lower()), None)
-    return (value * found[2] + found[3], found[4]) if found else None
+    found = parse_unit(unit)
+    return (value * found[0] + found[1], found[2]) if found else None
 
 
 def si_text(magnitude: Column) -> Column:

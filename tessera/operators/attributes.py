@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.scalars import norm_key, safe_strip, split_names, to_bool, to_double, to_ts, value_range, value_with_unit
+from tessera.functions.scalars import norm_key, split_names, to_bool, to_double, to_ts, value_range, value_with_unit
 from tessera.functions.units import to_si
 from tessera.operators.tables import insert_absent
-from tessera.session import dropped, written
 
 #: Keys whose content is lifted to the level above.
 WRAPPERS = ["metadata", "scientificMetadata", "attributes"]
@@ -43,58 +45,63 @@ def unpivot(df: DataFrame, id_col: str, columns: list[str], units: dict[str, str
     return df.select(F.col(id_col).alias("doc_id"), F.expr(f"stack({len(columns)}, {pairs}) as (key, value, unit)")).filter("value is not null")
 
 
-def _join_path(parent: Column, key: Column) -> Column:
-    return F.when(key.isin(WRAPPERS), parent).when(parent == "", key).otherwise(F.concat_ws(".", parent, key))
-
+#: The keys that make an object one leaf: of its value, of its unit, and of its name or none; tried in this order.
+LEAVES = [("v", "u", None), ("value", "unit", None), ("value", "units", "name")]
+
+
+def leaves(data, key: str = "") -> Iterator[tuple[str, object, object]]:
+    """key, value and unit of every leaf of a parsed JSON value."""
+    todo = [(key, data)]
+    while todo:
+        at, x = todo.pop()
+        if isinstance(x, dict):
+            kind = next((k for k in LEAVES if all(n is None or n in x for n in k)), None)
+            if kind:
+                yield f"{at}.{x[kind[2]]}" if kind[2] else at, x[kind[0]], x[kind[1]]
+            else:
+                todo += [(at if k in WRAPPERS else f"{at}.{k}" if at else k, v) for k, v in x.items()]
+        elif isinstance(x, list):
+            todo += [(at, v) for v in x]
+        else:
+            yield at, x, None
+
+
+def flatten_json(df: DataFrame, id_col: str, raw_col: str, prefix: str = "") -> DataFrame:
+    """`id_col, key, value, unit` for every leaf of nested JSON texts, of any depth.
+
+    One pass in Arrow batches: built-in functions open one level at a time, so
+    a nested record would be parsed again or written for each. Elements of a
+    list repeat its key; wrapper keys vanish; an object with `v` and `u`, or
+    `value` and `unit`, or `name`, `value` and `units` is one leaf with a unit,
+    whatever else it holds, the last under its name. Values are trimmed text,
+    booleans True and False; nulls, blank keys and JSON that does not parse
+    give nothing.
+    """
+    kind = df.schema[id_col].dataType.simpleString()
+    said = lambda x: None if x is None else str(x).strip()
 
-def flatten_variant(df: DataFrame, id_col: str, raw_col: str, prefix: str = "", max_depth: int = 16) -> DataFrame:
-    """`id_col, key, value, unit` for every leaf of nested JSON texts.
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for i, raw in zip(batch["id"], batch["raw"]):
+                try:
+                    data = json.loads(raw)
+                except (TypeError, ValueError):
+                    continue
+                out += [(i, k, said(v), said(u)) for k, v, u in leaves(data, prefix) if v is not None and k.strip()]
+            if out:
+                yield pd.DataFrame(out, columns=["id", "key", "value", "unit"])
 
-    Levels are opened one after another, for all rows at once. Elements of a
-    list repeat its key; wrapper keys vanish; objects like {value, unit}, {v, u}
-    and {name, value, units} are one leaf with a unit, the last under `.name`.
-    Numbers print canonically, booleans as True and False; nulls, blank keys and
-    JSON that does not parse give nothing. Deeper nesting than `max_depth` is an
-    error, not a cut.
-    """
-    spark = df.sparkSession
-    level = df.select(F.col(id_col).alias("__id"), F.lit(prefix).alias("key"), F.try_parse_json(F.col(raw_col).cast("string")).alias("v")).filter("v is not null")
-    leaves = []
-    for depth in range(max_depth + 1):
-        kind = F.schema_of_variant("v")
-        text = lambda path: F.try_variant_get("v", path, "string")
-        has = lambda path: F.try_variant_get("v", path, "variant").isNotNull()
-        size = F.size(F.try_variant_get("v", "$", "map<string,variant>"))
-        level = level.withColumn("kind", F.when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").when(kind == "VOID", "null").when(kind == "BOOLEAN", "boolean").otherwise("scalar"))
-        named = (F.col("kind") == "object") & (size == 3) & has("$.name") & has("$.value") & has("$.units")
-        short = (F.col("kind") == "object") & (size == 2) & has("$.v") & has("$.u")
-        plain = (F.col("kind") == "object") & (size == 2) & has("$.value") & has("$.unit")
-        level = level.withColumn("leaf", F.when(named, "named").when(short, "short").when(plain, "plain").when(F.col("kind").isin("scalar", "boolean"), "scalar"))
-        value = F.when(F.col("leaf") == "named", text("$.value")).when(F.col("leaf") == "short", text("$.v")).when(F.col("leaf") == "plain", text("$.value")).otherwise(F.when(F.col("kind") == "boolean", safe_strip(text("$"), True)).otherwise(safe_strip(text("$"))))
-        unit = F.when(F.col("leaf") == "named", text("$.units")).when(F.col("leaf") == "short", text("$.u")).when(F.col("leaf") == "plain", text("$.unit"))
-        key = F.when(F.col("leaf") == "named", _join_path(_join_path(F.col("key"), text("$.name")), F.lit("name"))).otherwise(F.col("key"))
-        leaves.append(level.filter("leaf is not null").select("__id", key.alias("key"), value.alias("value"), unit.alias("unit")))
-        level.createOrReplaceTempView(view := f"__level_{depth}")
-        level = spark.sql(f"select __id, key, kind, e.k as k, e.w as v from {view}, lateral variant_explode(v) as e(p, k, w) where leaf is null and kind in ('object', 'array')")
-        level = level.select("__id", F.when(F.col("kind") == "array", F.col("key")).otherwise(_join_path(F.col("key"), F.col("k"))).alias("key"), "v")
-        spark.catalog.dropTempView(view)
-        level = written(level.select("__id", "key", F.to_json("v").alias("v")), "level").select("__id", "key", F.parse_json("v").alias("v"))
-        if level.isEmpty():
-            break
-    else:
-        raise ValueError(f"JSON nested deeper than {max_depth}")
-    found = reduce(DataFrame.unionByName, leaves)
-    return found.filter(F.trim("key") != "").filter("value is not null").withColumnRenamed("__id", id_col)
+    found = df.select(F.col(id_col).alias("id"), F.col(raw_col).cast("string").alias("raw")).filter("raw is not null").mapInPandas(of, f"id {kind}, key string, value string, unit string")
+    return found.withColumnRenamed("id", id_col)
 
 
 def record_roots(df: DataFrame, id_col: str, raw_col: str, roots: list[str]) -> DataFrame:
     """`id_col, raw`: the parts of each record under `roots`, one row each."""
-    view = "__records"
-    df.select(F.col(id_col).alias("__id"), F.try_parse_json(F.col(raw_col).cast("string")).alias("v")).createOrReplaceTempView(view)
-    parts = df.sparkSession.sql(f"select __id, e.k as k, e.w as v from {view}, lateral variant_explode(v) as e(p, k, w)")
-    df.sparkSession.catalog.dropTempView(view)
+    own = F.try_variant_get(F.try_parse_json(F.col(raw_col).cast("string")), "$", "map<string,variant>")
+    parts = df.select(F.col(id_col).alias("__id"), F.explode(own).alias("k", "v"))
     wanted = reduce(Column.__or__, [F.col("k").startswith(r[:-1]) if r.endswith("*") else F.col("k") == r for r in roots])
-    return parts.filter(wanted).select(F.col("__id").alias(id_col), F.to_json("v").alias("raw"))
+    return parts.filter(wanted & F.col("v").isNotNull()).select(F.col("__id").alias(id_col), F.to_json("v").alias("raw"))
 
 
 def attribute_rows(flat: DataFrame, id_col: str = "doc_id", kind: str = "EXPLICIT") -> DataFrame:
@@ -105,7 +112,7 @@ def attribute_rows(flat: DataFrame, id_col: str = "doc_id", kind: str = "EXPLICI
 
 def publication_attributes(records: DataFrame, id_col: str = "doc_id", raw_col: str = "raw") -> DataFrame:
     """Attribute rows of publications: their roots, without the dropped paths and `__` parameters."""
-    flat = flatten_variant(record_roots(records, id_col, raw_col, PUBLICATION_ROOTS), id_col, "raw")
+    flat = flatten_json(record_roots(records, id_col, raw_col, PUBLICATION_ROOTS), id_col, "raw")
     drop = reduce(Column.__or__, [(F.col("key") == d) | F.col("key").startswith(f"{d}.") | F.col("key").contains(f".{d}.") | F.col("key").endswith(f".{d}") for d in PUBLICATION_DROPS])
     return attribute_rows(flat.filter(~drop & ~F.col("key").rlike(r"(^|\.)__")), id_col)
 
@@ -113,7 +120,7 @@ def publication_attributes(records: DataFrame, id_col: str = "doc_id", raw_col:
 def standard_attributes(records: DataFrame, id_col: str = "doc_id", raw_col: str = "raw") -> DataFrame:
     """Attribute rows of standard records, publications (those with `collection`) left out."""
     own = records.filter(F.expr(f"variant_get(try_parse_json({raw_col}), '$.collection') is null"))
-    return attribute_rows(flatten_variant(record_roots(own, id_col, raw_col, STANDARD_ROOTS), id_col, "raw"), id_col)
+    return attribute_rows(flatten_json(record_roots(own, id_col, raw_col, STANDARD_ROOTS), id_col, "raw"), id_col)
 
 
 def key_registry(attributes: DataFrame, known: DataFrame | None = None) -> DataFrame:

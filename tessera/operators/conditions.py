@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scalars import cosine_distance
 from tessera.functions.units import literal_si, si_text
+from tessera.session import written
 
 #: Keys whose text values are also compared by meaning.
 VECTOR_KEYS = [
@@ -151,6 +152,7 @@ class Conditions:
         self.scores: list[Column] = []
         self.names: set[str] = set()
         self._vectors = vectors or {}
+        self._tree, self._row = tree, None
         self.truth = self._walk(tree) if tree else None
 
     def _walk(self, node: dict) -> Column | None:
@@ -164,7 +166,16 @@ class Conditions:
             return None
         self.scores.append(score)
         self.names.update(_names(node))
-        return F.col(f"has_condition_{len(self.scores)}") > 0
+        return self._flag(len(self.scores))
+
+    def _flag(self, n: int) -> Column:
+        return (F.col(f"has_condition_{n}") if self._row is None else self._row[f"has_condition_{n}"]) > 0
+
+    def truth_of(self, row: Column) -> Column:
+        """The tree's truth by the flags in a struct."""
+        again = Conditions(None, self._vectors)
+        again._row = row
+        return again._walk(self._tree)
 
     @property
     def active(self) -> bool:
@@ -202,6 +213,32 @@ def rank_conditions(attributes: DataFrame, tree: dict, doc_col: str = "doc_id",
     return found.join(F.broadcast(ranks), "partial_match_count").select(doc_col, "full_match", "partial_match_count", "partial_rank")
 
 
+def rank_condition_trees(attributes: DataFrame, trees: dict[str, dict], doc_col: str = "doc_id", vectors: dict[int, Sequence[float]] | None = None) -> DataFrame:
+    """`tree_id, doc_col, full_match, partial_match_count, partial_rank` for a table of queries that name their trees.
+
+    The leaves of all trees are flagged in one pass over the attributes, and
+    each tree has a row only for documents that meet one of its conditions.
+    Queries with the same filters share a tree.
+    """
+    parts = {t: Conditions(tree, vectors) for t, tree in trees.items()}
+    parts = {t: c for t, c in parts.items() if c.active}
+    if not parts:
+        return rank_conditions(attributes, {}, doc_col).select(F.lit(None).cast("string").alias("tree_id"), "*")
+    names, flags, rows = set().union(*(c.names for c in parts.values())), [], []
+    for i, (t, c) in enumerate(parts.items()):
+        own = [f"__t{i}_{k + 1}" for k in range(len(c.scores))]
+        flags += [F.max(s).alias(n) for s, n in zip(c.scores, own)]
+        # the tree's truth reads its flags by their plain names
+        named = F.struct(*[F.col(n).alias(f"has_condition_{k + 1}") for k, n in enumerate(own)])
+        rows.append(F.struct(F.lit(t).alias("tree_id"), c.truth_of(named).cast("int").alias("full_match"), reduce(Column.__add__, [F.col(n) for n in own]).alias("partial_match_count")))
+    found = attributes.filter(F.col(doc_col).isNotNull() & F.col("key").isin(sorted(names))).groupBy(doc_col).agg(*flags)
+    each = found.select(doc_col, F.explode(F.array(*rows)).alias("r")).select("r.tree_id", doc_col, "r.full_match", "r.partial_match_count").filter("partial_match_count > 0")
+    each = written(each, "trees")
+    sums = each.select("tree_id", "partial_match_count").distinct()  # two values a leaf at most
+    ranks = sums.withColumn("partial_rank", F.dense_rank().over(W.partitionBy("tree_id").orderBy(F.desc("partial_match_count"))))
+    return each.join(F.broadcast(ranks), ["tree_id", "partial_match_count"]).select("tree_id", doc_col, "full_match", "partial_match_count", "partial_rank")
+
+
 def condition_vectors(values: DataFrame, cond_col: str = "cond_id", vector_col: str = "value_vector") -> DataFrame:
     """`cond_col, vector`: the mean of the vectors of a condition's values."""
     cells = values.filter(F.col(vector_col).isNotNull()).select(cond_col, F.posexplode(vector_col).alias("at", "x"))

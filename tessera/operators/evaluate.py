@@ -43,9 +43,7 @@ def run_metrics(values: DataFrame, tests: DataFrame, pairs: DataFrame) -> DataFr
     """
     all_ = values.join(tests.select("run_id", "test_id", "tpid"), ["run_id", "test_id"]).join(pairs.select("tpid", "source", "type"), "tpid")
     all_ = all_.select("run_id", "metric", "value", F.when(F.col("type") == "positive", F.col("source")).alias("source"))
-    all_.createOrReplaceTempView("__values")
-    sums = all_.sparkSession.sql("select run_id, metric, source, grouping(source) as g, avg(value) as value from __values group by grouping sets ((run_id, metric), (run_id, metric, source))")
-    all_.sparkSession.catalog.dropTempView("__values")
+    sums = all_.groupingSets([["run_id", "metric"], ["run_id", "metric", "source"]], "run_id", "metric", "source").agg(F.grouping("source").alias("g"), F.avg("value").alias("value"))
     prefix = F.when(F.col("g") == 1, "c").when(F.col("source") == "synthetic", "s").when(F.col("source") == "expert", "e")
     return sums.filter(prefix.isNotNull()).select("run_id", F.concat(prefix, "metric").alias("metric"), "value")
 

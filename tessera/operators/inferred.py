@@ -2,61 +2,75 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import norm_key, norm_text
 from tessera.operators.tables import insert_absent
 from tessera.operators.vectors import similar
 
-MAX_EVIDENCE = 12
+#: Candidates of one reply that are looked at.
+MAX_CANDIDATES = 12
 
 
 def pack_rows(df: DataFrame, by: str = "doc_id", key: str = "key", value: str = "value", limit: int = 10) -> DataFrame:
     """`by, key, value, cluster`: a document's rows in clusters of `limit` at most.
 
-    A key's rows stay together; a key with more rows gets slices of its own.
-    Keys come by their first row; equal rows are kept once. The packing is
-    greedy, so it runs document by document.
+    A key's rows stay together, in the order of keys, as long as they fit; a
+    key with more rows than `limit` gets clusters of its own. Equal rows are
+    kept once, blank values left out. Keys are counted first: which clusters a
+    key begins at follows from the counts of the keys before it, folded over
+    one short list for each document; the rows then only add their place.
     """
+    rows = df.select(by, key, value).filter(F.trim(F.coalesce(value, F.lit(""))) != "").filter(F.col(key).isNotNull()).distinct()
+    counts = rows.groupBy(by, key).agg(F.count("*").cast("int").alias("n"))
+    keys = counts.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), "n"))).alias("keys"))
+    # next: the cluster that is being filled, room: what it still takes; `done` tells where each key begins
+    full = F.lit(limit)
+    start = F.struct(F.lit(-1).alias("next"), F.lit(0).alias("room"), F.array().cast("array<struct<k:string,first:int>>").alias("done"))
 
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([key, value], kind="stable")
-        out, cluster, used = [], 0, 0
-        for _, own in rows.groupby(key, sort=True):
-            n = len(own)
-            if n > limit:
-                cluster += used > 0
-                for i in range(0, n, limit):
-                    out += [cluster] * len(own.iloc[i : i + limit])
-                    cluster += 1
-                used = 0
-                continue
-            if used + n > limit:
-                cluster, used = cluster + 1, 0
-            out += [cluster] * n
-            used += n
-        return rows.assign(cluster=out)
+    def add(acc, x):
+        own = x["n"] > full
+        opens = own | (x["n"] > acc["room"])
+        first = F.when(opens, acc["next"] + 1).otherwise(acc["next"])
+        last = F.when(own, acc["next"] + F.ceil(x["n"] / full).cast("int")).otherwise(first)
+        room = F.when(own, F.lit(0)).when(opens, full - x["n"]).otherwise(acc["room"] - x["n"])
+        return F.struct(last.alias("next"), room.alias("room"), F.concat(acc["done"], F.array(F.struct(x["k"].cast("string").alias("k"), first.alias("first")))).alias("done"))
+
+    placed = keys.select(by, F.explode(F.aggregate("keys", start, add)["done"]).alias("p")).select(by, "p.k", "p.first")
+    at = F.row_number().over(W.partitionBy(by, key).orderBy(value)) - 1
+    numbered = rows.withColumn("__at", at).join(placed.withColumnsRenamed({by: "__by", "k": "__k"}), F.col(by).eqNullSafe(F.col("__by")) & (F.col(key).cast("string") == F.col("__k")))
+    return numbered.select(by, key, value, (F.col("first") + F.floor(F.col("__at") / limit)).cast("int").alias("cluster"))
 
-    rows = df.select(by, key, value).filter(F.trim(F.coalesce(value, F.lit(""))) != "").filter(F.col(key).isNotNull()).distinct()
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rows.columns)
-    return rows.groupBy(by).applyInPandas(pack, f"{kinds}, cluster int")
+
+def _spaced(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
 
 
 def parse_candidates(df: DataFrame, json_col: str = "json") -> DataFrame:
-    """`df` without its JSON, a row for each usable candidate.
+    """`df` without its JSON, a row for each usable candidate: `name, description, value, unit, evidence_indices`.
 
-    Candidates without a name or value are dropped; evidence indices are whole
-    numbers from 0, each once, in order, the first twelve.
+    A candidate needs a name, a description and a value that is no list or
+    object; the first twelve usable ones of a reply count. All evidence
+    indices stay: whole numbers from 0, each once, in order. A reply that does
+    not parse has no candidates.
     """
-    schema = "filters array<struct<name:string,description:string,value:string,unit:string,evidence_indices:array<string>>>"
-    each = df.withColumn("c", F.explode(F.from_json(json_col, schema)["filters"])).select(*[c for c in df.columns if c != json_col], "c.*")
-    scalar = ~F.trim("value").rlike(r"^[\[{]")
-    numbers = F.transform(F.filter("evidence_indices", lambda x: x.rlike(r"^\d+$")), lambda x: x.cast("int"))
-    cleaned = F.slice(F.array_distinct(F.coalesce(numbers, F.array().cast("array<int>"))), 1, MAX_EVIDENCE)
-    full = (F.trim(F.coalesce("name", F.lit(""))) != "") & (F.trim(F.coalesce("value", F.lit(""))) != "") & scalar
-    return each.filter(full).withColumn("evidence_indices", cleaned)
+    every = F.try_variant_get(F.try_parse_json(F.col(json_col)), "$.filters", "array<variant>")
+    text = lambda v, at: F.try_variant_get(v, at, "string")
+    kind = lambda v: F.coalesce(F.schema_of_variant(F.try_variant_get(v, "$.value", "variant")), F.lit("VOID"))
+
+    def one(v):
+        value = F.when(kind(v) == "BOOLEAN", F.initcap(text(v, "$.value"))).otherwise(F.trim(text(v, "$.value")))
+        unit = _spaced(text(v, "$.unit"))
+        numbers = F.coalesce(F.try_variant_get(v, "$.evidence_indices", "array<string>"), F.array().cast("array<string>"))
+        numbers = F.array_distinct(F.transform(F.filter(numbers, lambda x: x.rlike(r"^\d+$")), lambda x: x.cast("int")))
+        return F.struct(_spaced(text(v, "$.name")).alias("name"), _spaced(text(v, "$.description")).alias("description"), value.alias("value"), F.when(unit != "", unit).alias("unit"), numbers.alias("evidence_indices"), kind(v).rlike("^(OBJECT|ARRAY|VOID)").alias("nested"))
+
+    objects = F.filter(every, lambda v: F.schema_of_variant(v).startswith("OBJECT"))
+    usable = F.filter(F.transform(objects, one), lambda c: (c["name"] != "") & (c["description"] != "") & ~c["nested"] & (F.coalesce(c["value"], F.lit("")) != ""))
+    each = df.withColumn("c", F.explode(F.slice(usable, 1, MAX_CANDIDATES))).select(*[c for c in df.columns if c != json_col], "c.*")
+    return each.drop("nested")
 
 
 def resolve_keys(proposed: DataFrame, keys: DataFrame, descriptions: DataFrame | None = None, threshold: float = 0.20, gap: float = 0.04, name_col: str = "name", vector_col: str = "vector") -> DataFrame:
@@ -72,11 +86,12 @@ def resolve_keys(proposed: DataFrame, keys: DataFrame, descriptions: DataFrame |
     one = lambda df, by: df.groupBy(by).agg(F.count_distinct("key").alias("k"), F.min("key").alias("hit")).filter("k = 1").drop("k")
     exact = one(keys.select("key", norm_key(F.col("key")).alias("n")), "n").withColumnRenamed("hit", "by_name")
     met = norm.join(exact, "n", "left")
-    near = similar(asked, keys.select("key", vector_col), float("inf"), name_col, vector_col, vector_col)
+    # the two nearest keys of all are among the two nearest of each block
+    near = similar(asked, keys.select("key", vector_col), -1.0, name_col, vector_col, vector_col, nearest=2)
     if descriptions is not None:
         said = one(descriptions.select("key", norm_text(F.col("description")).alias("t")), "t").withColumnRenamed("hit", "by_text")
         met = met.join(said, "t", "left")
-        near = near.unionByName(similar(asked, descriptions.select("key", vector_col), float("inf"), name_col, vector_col, vector_col))
+        near = near.unionByName(similar(asked, descriptions.select("key", vector_col), -1.0, name_col, vector_col, vector_col, nearest=2))
     else:
         met = met.withColumn("by_text", F.lit(None).cast("string"))
     close = _nearest(near, threshold, gap, name_col)

@@ -10,6 +10,8 @@ from tessera.functions.embed import STOP_WORDS, embedding, hashed_encoder, stemm
 from tessera.operators.vectors import _dense_rank
 
 DEFAULT_WEIGHT = 0.1
+#: Terms of all queries up to which they are sent to every task.
+BROADCAST_TERMS = 200_000
 
 
 def postings(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", title_col: str | None = None, stem: bool = True) -> DataFrame:
@@ -20,13 +22,40 @@ def postings(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", t
     """
     text = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in (title_col, text_col) if c])
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    each = docs.select(doc_col, F.posexplode(words).alias("at", "word")).filter(~F.col("word").isin(STOP_WORDS))
+    # a row for each word of a document: its places are gathered where the text lies
+    numbered = F.transform(words, lambda w, i: F.struct(w.alias("word"), (i + 1).alias("at")))
+    each = docs.select(doc_col, F.explode(F.filter(numbered, lambda x: ~x["word"].isin(STOP_WORDS))).alias("w")).select(doc_col, "w.*")
     if stem:
         roots = each.select("word").distinct().select("word", stemmed("word").alias("term"))
-        each = each.join(roots, "word")
+        each = each.join(roots, "word").select(doc_col, "term", "at")
     else:
         each = each.withColumnRenamed("word", "term")
-    return each.groupBy(doc_col, "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list(F.col("at") + 1)).alias("positions"))
+    return each.groupBy(doc_col, "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
+
+
+def term_counts(docs: DataFrame, asked: DataFrame, doc_col: str = "doc_id", text_col: str = "text", title_col: str | None = None, stem: bool = True) -> DataFrame:
+    """`doc_col, term, tf` of the terms in `asked` (query, term) alone, for rankings that need no places.
+
+    Words that no query asks for go before the shuffle: the asked terms are a
+    query table's and are broadcast up to `BROADCAST_TERMS` of them.
+    """
+    text = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in (title_col, text_col) if c])
+    each = docs.select(doc_col, F.explode(F.split(F.lower(text), r"[^\p{L}\p{N}]+")).alias("word"))
+    wanted = asked.select("term").distinct()
+    if wanted.count() <= BROADCAST_TERMS:
+        wanted = F.broadcast(wanted)
+    counts = each.filter(F.col("word") != "").groupBy(doc_col, "word").agg(F.count("*").alias("tf")) if stem else each.withColumnRenamed("word", "term").join(wanted, "term").groupBy(doc_col, "term").agg(F.count("*").alias("tf"))
+    if not stem:
+        return counts.filter(~F.col("term").isin(STOP_WORDS))
+    roots = each.select("word").distinct().filter((F.col("word") != "") & ~F.col("word").isin(STOP_WORDS)).select("word", stemmed("word").alias("term")).join(wanted, "term")
+    return counts.join(roots, "word").groupBy(doc_col, "term").agg(F.sum("tf").alias("tf"))
+
+
+def asked_terms(queries: DataFrame, query_col: str = "query_id", terms_col: str = "terms", stem: bool = True) -> DataFrame:
+    """`query_col, term`: a query's terms as the index has them; stop words go."""
+    asked = queries.select(query_col, F.explode(terms_col).alias("word")).select(query_col, F.lower("word").alias("word")).distinct()
+    asked = asked.filter(~F.col("word").isin(STOP_WORDS))
+    return asked.select(query_col, stemmed("word").alias("term")).distinct() if stem else asked.withColumnRenamed("word", "term")
 
 
 def rank_keywords(queries: DataFrame, index: DataFrame, query_col: str = "query_id", terms_col: str = "terms", doc_col: str = "doc_id", stem: bool = True) -> DataFrame:
@@ -35,12 +64,7 @@ def rank_keywords(queries: DataFrame, index: DataFrame, query_col: str = "query_
     The score is that of cover density for terms joined by OR: a tenth for each
     place where a term stands. Queries without terms have no rows.
     """
-    asked = queries.select(query_col, F.explode(terms_col).alias("word")).select(query_col, F.lower("word").alias("word")).distinct()
-    asked = asked.filter(~F.col("word").isin(STOP_WORDS))
-    if stem:
-        asked = asked.select(query_col, stemmed("word").alias("term")).distinct()
-    else:
-        asked = asked.withColumnRenamed("word", "term")
+    asked = asked_terms(queries, query_col, terms_col, stem)
     met = index.join(asked, "term").groupBy(query_col, doc_col).agg(F.sum("tf").alias("places"))
     ranked = _dense_rank(met, query_col, (F.col("places"), True))
     return ranked.select(query_col, doc_col, (F.col("places") * DEFAULT_WEIGHT).alias("score"), "rank")

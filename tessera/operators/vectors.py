@@ -12,61 +12,94 @@ from pyspark.sql import functions as F
 
 from tessera.session import written
 
-#: Queries (rows of the smaller side) up to which they are sent to every task.
-BROADCAST_QUERIES = 20_000
+#: Bytes of vectors in a block, and of all queries up to which they are sent to every task.
+BLOCK_BYTES, BROADCAST_BYTES = 4 << 20, 64 << 20
+#: Distances that are held at once.
+CELLS = 2_000_000
 DECIMALS = 6
 
 
-def similar(queries: DataFrame, corpus: DataFrame, threshold: float = 0.5, query_col: str = "query_id", query_vector: str = "intention_vector", vector_col: str = "vector") -> DataFrame:
+def _unit(vectors) -> np.ndarray:
+    """Vectors of length 1 as rows; NaN for those of length 0."""
+    m = np.stack([np.asarray(v, float) for v in vectors])
+    length = np.linalg.norm(m, axis=1)
+    return m / np.where(length > 0, length, np.nan)[:, None]
+
+
+def similar(queries: DataFrame, corpus: DataFrame, threshold: float = 0.5, query_col: str = "query_id", query_vector: str = "intention_vector", vector_col: str = "vector", nearest: int = 0, key_col: str = "key") -> DataFrame:
     """`query_col`, the columns of `corpus` but its vector, and `distance`, for cosine distances under `threshold`.
 
-    The queries are counted: up to `BROADCAST_QUERIES` of them go to every
-    task, which multiplies them with blocks of the corpus; more of them are
-    taken in as many parts, each over the whole corpus. Distances are rounded
-    to six places, so equal ones tie. Null and zero vectors meet nothing.
+    Both sides are packed in blocks of `BLOCK_BYTES`; each block of the corpus
+    meets each block of queries, and a task multiplies two blocks at a time.
+    The queries' blocks are counted and broadcast up to `BROADCAST_BYTES`,
+    beyond they are shuffled. Nothing passes through the driver.
+
+    With `nearest` a block also gives each query its nearest keys (`key_col`),
+    ties included: the nearest of all are among them. Then a key comes once for
+    each block, with its least distance, and `corpus` may have no other column.
+
+    Distances are rounded to six places, so equal ones tie. Null and zero
+    vectors meet nothing.
     """
-    wanted = queries.filter(F.col(query_vector).isNotNull()).select(F.col(query_col).alias("__q"), F.col(query_vector).cast("array<double>").alias("v"))
-    n = wanted.count()
-    parts = max(1, -(-n // BROADCAST_QUERIES))
-    if parts > 1:
-        wanted = written(wanted.withColumn("part", F.pmod(F.xxhash64("__q"), F.lit(parts))), "queries")
+    wanted = queries.filter(F.col(query_vector).isNotNull()).select(F.col(query_col).alias("__q"), F.col(query_vector).cast("array<double>").alias("__v"))
+    n, width = wanted.agg(F.count("*"), F.max(F.size("__v"))).first()
+    per_block = max(1, BLOCK_BYTES // (8 * max(width or 1, 1)))
+    n_blocks = max(1, -(-n // per_block))
+    asked = wanted.groupBy(F.pmod(F.xxhash64("__q"), F.lit(n_blocks)).alias("__block")).agg(F.collect_list("__q").alias("__ids"), F.collect_list("__v").alias("__asked"))
     kept = [c for c in corpus.columns if c != vector_col]
-    rows = corpus.filter(F.col(vector_col).isNotNull())
-    out_schema = ", ".join([f"`{query_col}` {queries.schema[query_col].dataType.simpleString()}", *(f"`{c}` {corpus.schema[c].dataType.simpleString()}" for c in kept), "distance double"])
-    found = None
-    for part in range(parts):
-        some = (wanted.filter(F.col("part") == part) if parts > 1 else wanted).toPandas()
-        ids = some["__q"].to_numpy()
-        m = np.stack([np.asarray(v, float) for v in some["v"]]) if len(some) else np.zeros((0, 1))
-        norm = np.linalg.norm(m, axis=1)
-        ids, m = ids[norm > 0], m[norm > 0] / norm[norm > 0, None]
-        sent = corpus.sparkSession.sparkContext.broadcast((ids, m))
-
-        def block(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, m = sent.value
-            for batch in batches:
-                if not len(ids) or batch.empty:
-                    continue
-                c = np.stack([np.asarray(v, float) for v in batch[vector_col]])
+    kinds = {c: corpus.schema[c].dataType.simpleString() for c in kept}
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in range(0, len(batch), per_block):
+                part = batch.iloc[i : i + per_block]
+                m = np.stack([np.asarray(v, float) for v in part[vector_col]])
+                yield pd.DataFrame({**{c: [part[c].tolist()] for c in kept}, "__m": [m.tobytes()]})
+
+    packed = corpus.filter(F.col(vector_col).isNotNull()).select(*kept, F.col(vector_col).cast("array<double>")).mapInPandas(pack, ", ".join([*(f"`{c}` array<{k}>" for c, k in kinds.items()), "__m binary"]))
+    packed = packed.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+    met = packed.join(F.broadcast(asked) if n * (width or 0) * 8 <= BROADCAST_BYTES else asked, "__block")
+    schema = ", ".join([f"`{query_col}` {queries.schema[query_col].dataType.simpleString()}", *(f"`{c}` {k}" for c, k in kinds.items()), "distance double"])
+
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                q, ids = _unit(row["__asked"]), pd.Series(list(row["__ids"]))
+                columns = pd.DataFrame({c: list(row[c]) for c in kept})
+                c = np.frombuffer(row["__m"], float).reshape(len(columns), -1)
                 length = np.linalg.norm(c, axis=1)
-                d = 1 - m @ (c / np.where(length > 0, length, np.nan)[:, None]).T
-                q, r = np.nonzero(np.round(d, DECIMALS) < threshold)
-                out = batch[kept].iloc[r].reset_index(drop=True)
-                out.insert(0, query_col, ids[q])
-                yield out.assign(distance=np.round(d[q, r], DECIMALS) + 0.0)
-
-        one = rows.mapInPandas(block, out_schema)
-        found = one if found is None else found.unionByName(one)
-    return found
+                c = c / np.where(length > 0, length, np.nan)[:, None]
+                if nearest:  # rows of a key stand together, for one minimum each
+                    order = np.argsort(columns[key_col].to_numpy(), kind="stable")
+                    c, columns = c[order], columns.iloc[order]
+                    starts = np.flatnonzero(np.append(True, columns[key_col].to_numpy()[1:] != columns[key_col].to_numpy()[:-1]))
+                    columns = columns.iloc[starts]
+                step = max(1, CELLS // max(len(c), 1))
+                for i in range(0, len(q), step):
+                    d = np.round(1 - q[i : i + step] @ c.T, DECIMALS) + 0.0
+                    found = d < threshold
+                    if nearest:
+                        d = np.fmin.reduceat(d, starts, axis=1)
+                        full = np.where(np.isnan(d), np.inf, d)
+                        least = np.partition(full, min(nearest, full.shape[1]) - 1, axis=1)[:, min(nearest, full.shape[1]) - 1]
+                        found = np.isfinite(full) & ((full < threshold) | (full <= least[:, None]))
+                    a, b = np.nonzero(found)
+                    if len(a):
+                        out = columns.iloc[b].reset_index(drop=True)
+                        out.insert(0, query_col, ids.iloc[a + i].to_numpy())
+                        yield out.assign(distance=d[a, b])
+
+    return met.mapInPandas(multiply, schema)
 
 
 def _dense_rank(df: DataFrame, by: str, *order) -> DataFrame:
     """`df` with `rank`, dense by `order` within `by`.
 
-    Ranks are found over the distinct sort keys and joined back, so one query
-    with very many candidates makes no hot window of all its rows.
+    The rows are written once. Ranks are found over the distinct sort keys and
+    joined back, so one query with very many candidates makes no hot window of
+    all its rows, and nothing is computed twice.
     """
-    named = df.select("*", *[c.alias(f"__o{i}") for i, (c, _) in enumerate(order)])
+    named = written(df.select("*", *[c.alias(f"__o{i}") for i, (c, _) in enumerate(order)]), "ranked")
     keys = [f"__o{i}" for i in range(len(order))]
     w = W.partitionBy(by).orderBy(*[F.desc(k) if down else F.asc(k) for k, (_, down) in zip(keys, order)])
     ranks = named.select(by, *keys).distinct().withColumn("rank", F.dense_rank().over(w))
@@ -94,16 +127,16 @@ def resolve_names(names: DataFrame, keys: DataFrame, descriptions: DataFrame | N
     is no key at all. `keys` is (key, vector), `descriptions` the same.
     """
     asked = names.filter(F.trim(F.coalesce(name_col, F.lit(""))) != "").dropDuplicates([name_col])
-    near = similar(asked, keys.select("key", vector_col), float("inf"), name_col, vector_col, vector_col)
-    best = near.groupBy(name_col, "key").agg(F.min("distance").alias("distance"))
+    near = similar(asked, keys.select("key", vector_col), threshold, name_col, vector_col, vector_col, nearest=least)
+    best = written(near.groupBy(name_col, "key").agg(F.min("distance").alias("distance")), "near")
     hits = best.filter(F.col("distance") < threshold).select(name_col, "key")
     if descriptions is not None:
         hits = hits.unionByName(similar(asked, descriptions.select("key", vector_col), threshold, name_col, vector_col, vector_col).select(name_col, "key"))
-    hits = hits.distinct()
+    hits = written(hits.distinct(), "hits")
     n = hits.groupBy(name_col).agg(F.count("*").alias("n"))
-    rest = best.join(hits, [name_col, "key"], "left_anti").join(n, name_col, "left")
-    place = F.row_number().over(W.partitionBy(name_col).orderBy("distance", "key"))
-    fill = rest.withColumn("place", place).filter(F.col("place") <= F.greatest(F.lit(0), F.lit(least) - F.coalesce("n", F.lit(0)))).select(name_col, "key")
+    # each block gave its nearest few, of which those of all are kept before any name's rows meet
+    rest = best.join(hits, [name_col, "key"], "left_anti").withColumn("place", F.row_number().over(W.partitionBy(name_col).orderBy("distance", "key"))).filter(F.col("place") <= least)
+    fill = rest.join(n, name_col, "left").filter(F.col("place") <= F.greatest(F.lit(0), F.lit(least) - F.coalesce("n", F.lit(0)))).select(name_col, "key")
     found = hits.unionByName(fill)
     raw = asked.join(found, name_col, "left_anti").select(name_col, F.col(name_col).alias("key"))
     return found.unionByName(raw)

@@ -51,6 +51,26 @@ def branches(documents: DataFrame | None = None, chunks: DataFrame | None = None
     return reduce(DataFrame.unionByName, parts)
 
 
+def condition_branch(conditions: DataFrame, queries: DataFrame, others: DataFrame | None, limit: int = 20, query_col: str = "query_id", doc_col: str = "doc_id") -> DataFrame:
+    """`query_col, doc_col, full_match, partial_rank`: what of the trees' rankings can reach a query's top `limit`.
+
+    `conditions` is (tree_id, doc_col, full_match, partial_rank), `queries`
+    (query_col, tree_id). A query needs the ranks of the documents that its
+    other branches found, and of documents that meet its conditions alone the
+    first `limit` of either kind, with and without a full match: among those
+    the order is that of the partial rank and the id whatever the constants of
+    the fusion are. So no tree is multiplied with all its queries.
+    """
+    cols = [query_col, doc_col, "full_match", "partial_rank"]
+    first = W.partitionBy("tree_id", "full_match").orderBy("partial_rank", doc_col)
+    best = conditions.withColumn("__at", F.row_number().over(first)).filter(F.col("__at") <= limit)
+    found = queries.join(best, "tree_id").select(*cols)
+    if others is not None:
+        met = others.select(query_col, doc_col).distinct().join(queries.select(query_col, "tree_id"), query_col)
+        found = found.unionByName(met.join(conditions, ["tree_id", doc_col]).select(*cols)).distinct()
+    return found
+
+
 def fuse(ranks: DataFrame, k: dict[str, int] | None = None, query_col: str = "query_id", doc_col: str = "doc_id", by: tuple[str, ...] = ()) -> DataFrame:
     """`query_col, doc_col, overall_score` and the five scores: sums of reciprocal ranks.
 

@@ -14,7 +14,7 @@ from tessera.functions.units import si_text, to_si
 from tessera.operators import attributes as A
 from tessera.operators import conditions, evaluate, inferred, postrank, tables, text, vectors
 from tessera.plans import hybrid
-from tessera.session import shared_dir
+from tessera.session import shared_dir, written
 from tessera.streaming.incremental import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -162,7 +162,7 @@ def unpivot_attributes(spark, d):
 
 @register("select event_id, 'k' as key, json_extract_string(props, '$.k') as value from events where json_extract_string(props, '$.k') is not null")
 def flatten_event_props(spark, d):
-    return A.flatten_variant(table(spark, d, "events"), "event_id", "props").select("event_id", "key", "value")
+    return A.flatten_json(table(spark, d, "events"), "event_id", "props").select("event_id", "key", "value")
 
 
 @register("select user_id, event_type, event_id, value from (select *, row_number() over (partition by user_id, event_type order by ts, event_id) as n from events) where n = 1")
@@ -351,7 +351,8 @@ def key_resolution_gap(spark, d):
 
 def resolved_without_self(names: DataFrame, keys: DataFrame) -> DataFrame:
     own = F.concat(F.lit("v"), F.substring("name", 2, 20))
-    near = vectors.similar(names, keys, float("inf"), "name", "vector", "vector").filter(F.col("key") != own)
+    # three nearest of each block, as a name's own key is none
+    near = vectors.similar(names, keys, -1.0, "name", "vector", "vector", nearest=3).filter(F.col("key") != own)
     return inferred.nearest_or_new(names.select("name"), near, 0.35, 0.01)
 
 
@@ -376,8 +377,9 @@ def keyword_queries(spark: SparkSession, d: str) -> DataFrame:
 
 @register(f"with {POSTINGS}, {TERMS}, {KEYWORD_RANK} select query_id, doc_id, round(places * 0.1, 6) as score, rank from keyrank")
 def keyword_rank(spark, d):
-    index = text.postings(table(spark, d, "documents"), stem=False)
-    return text.rank_keywords(keyword_queries(spark, d), index, stem=False).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    asked = keyword_queries(spark, d)
+    counts = text.term_counts(table(spark, d, "documents"), text.asked_terms(asked, stem=False), stem=False)
+    return text.rank_keywords(asked, counts, stem=False).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 # ---------------------------------------------------------------- hybrid search
@@ -401,8 +403,10 @@ KNEE = f"""{NORMAL}, k0 as (select query_id, doc_id, overall_score as s, row_num
 
 def ranks(spark: SparkSession, d: str) -> DataFrame:
     q = vector_queries(spark, d)
-    tree = conditions.rank_conditions(A.typed(part_attributes(spark, d)), TREE)
-    return hybrid.branches(vectors.rank_documents(q, document_vectors(spark, d)), vectors.rank_chunks(q, chunk_vectors(spark, d)), tree.crossJoin(F.broadcast(q.select("query_id"))))
+    near = written(hybrid.branches(vectors.rank_documents(q, document_vectors(spark, d)), vectors.rank_chunks(q, chunk_vectors(spark, d))), "near")
+    trees = written(conditions.rank_condition_trees(A.typed(part_attributes(spark, d)), {"standard": TREE}), "trees")
+    met = hybrid.condition_branch(trees, q.select("query_id", F.lit("standard").alias("tree_id")), near)
+    return near.unionByName(hybrid.branches(conditions=met))
 
 
 def active(spark: SparkSession, d: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import json
+
 from tessera.operators import attributes as A
 from tessera.operators import inferred, tables
 from tessera.operators.vectors import resolve_names, similar
@@ -5,13 +7,13 @@ from tessera.operators.vectors import resolve_names, similar
 
 def flat(spark, *texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, raw string")
-    return sorted((r.doc_id, r.key, r.value, r.unit) for r in A.flatten_variant(df, "doc_id", "raw").collect())
+    return sorted((r.doc_id, r.key, r.value, r.unit) for r in A.flatten_json(df, "doc_id", "raw").collect())
 
 
 def test_flatten(spark):
     assert flat(spark, '{"scientificMetadata": {"measurement": {"beamline": "ID16"}}}') == [(0, "measurement.beamline", "ID16", None)]
     got = flat(spark, '{"a": [1, {"b": true}], "e": {"value": 5, "unit": "keV"}, "t": {"v": "3", "u": "K"}, "p": {"name": "gap", "value": 1.5, "units": "mm"}, "n": null}', "not json", None)
-    assert got == [(0, "a", "1", None), (0, "a.b", "True", None), (0, "e", "5", "keV"), (0, "p.gap.name", "1.5", "mm"), (0, "t", "3", "K")]
+    assert got == [(0, "a", "1", None), (0, "a.b", "True", None), (0, "e", "5", "keV"), (0, "p.gap", "1.5", "mm"), (0, "t", "3", "K")]
     df = spark.createDataFrame([(1, '{"document": {"x": 1}, "other": {"y": 2}}'), (2, '{"document": {"x": 1}, "collection": null}')], "doc_id long, raw string")
     assert [tuple(r) for r in A.standard_attributes(df).collect()] == [(1, "x", "1", None, "EXPLICIT")]
 
@@ -50,8 +52,14 @@ def test_packing(spark):
 
 def test_candidates(spark):
     text = '{"filters": [{"name": "a", "description": "d", "value": "v", "unit": null, "evidence_indices": [0, "1", -1, "bad", 0]}, {"name": "", "value": "v"}, {"name": "b", "value": [1]}, {"name": "c"}]}'
-    got = inferred.parse_candidates(spark.createDataFrame([(1, text), (2, "junk")], "doc_id long, json string")).collect()
+    got = inferred.parse_candidates(spark.createDataFrame([(1, text), (2, "junk"), (3, None), (4, "[]"), (5, '{"filters": 3}')], "doc_id long, json string")).collect()
     assert [(r.name, r.evidence_indices) for r in got] == [("a", [0, 1])]
+    # twelve usable candidates count, and all of their evidence; `[x]` is a text like any other
+    many = [{"name": f" n  {i}", "description": "d" if i % 5 else " ", "value": [" [x] ", 5, True, 1.5][i % 4], "unit": ["", None, "mm", " k  g "][i % 4], "evidence_indices": list(range(20))} for i in range(1, 20)]
+    got = inferred.parse_candidates(spark.createDataFrame([(1, json.dumps({"filters": [7, *many]}))], "doc_id long, json string")).collect()
+    used = [m for i, m in enumerate(many, 1) if i % 5][:12]
+    assert [(r.name, r.value, r.unit) for r in got] == [(m["name"].strip().replace("  ", " "), str(m["value"]).strip(), " ".join((m["unit"] or "").split()) or None) for m in used]
+    assert all(r.evidence_indices == list(range(20)) for r in got)
 
 
 def test_votes(spark):
