@@ -16,11 +16,12 @@ from tessera.operators.tables import insert_absent
 
 #: Keys whose content is lifted to the level above.
 WRAPPERS = ["metadata", "scientificMetadata", "attributes"]
-#: The roots that hold a standard record's attributes, and a publication's (`*`: any key that starts so).
-STANDARD_ROOTS = ["document", "panosc", "datasets", "datacite", "catalogue", "concatenated"]
-PUBLICATION_ROOTS = ["panosc", "samples*", "datasets", "datacite", "users*", "reports*", "citations*", "instruments*", "investigation*"]
-#: What a publication's record loses before it is flattened.
-PUBLICATION_DROPS = ["collection", "datafiles", "attributes.xml"]
+#: The roots that hold a standard record's attributes, and a publication's, with the prefix of their keys.
+STANDARD_ROOTS = {"document": "", "panosc": "", "datasets": "", "datacite": "", "catalogue": ""}
+PUBLICATION_ROOTS = {"panosc": "", "samples": "samples", "datasets": "", "datacite": "", "users": "users", "reports": "reports", "citations": "citations", "instruments": "instruments", "investigation": "investigation"}
+#: The root that marks a publication; what its entries lose: files, hidden parameters, and the XML of their attributes.
+PUBLICATION_MARK = "collection"
+FILES, PARAMETERS, HIDDEN, XML = "datafiles", "parameters", "__", "xml"
 #: Keys that name a beamline.
 BEAMLINE_KEYS = ["instrument.name", "instrumentName", "instrumentGroup", "measurement.beamline"]
 #: Publishers and the names that stand for them, applied in this order.
@@ -66,8 +67,34 @@ def leaves(data, key: str = "") -> Iterator[tuple[str, object, object]]:
             yield at, x, None
 
 
-def flatten_json(df: DataFrame, id_col: str, raw_col: str, prefix: str = "") -> DataFrame:
-    """`id_col, key, value, unit` for every leaf of nested JSON texts, of any depth.
+def publication_entries(root: str, x) -> list | dict:
+    """A publication's root without what is no attribute."""
+    if root not in ("samples", "datasets", "datacite"):
+        return x
+    shown = lambda p: not (isinstance(p, dict) and str(p.get("name")).startswith(HIDDEN))
+    out = []
+    for entry in x if isinstance(x, list) else []:
+        if isinstance(entry, dict) and root == "datacite":
+            own = entry.get("attributes")
+            entry = entry | {"attributes": {k: v for k, v in own.items() if k != XML}} if isinstance(own, dict) else entry
+        elif isinstance(entry, dict):
+            entry = {k: [p for p in v if shown(p)] if k == PARAMETERS and isinstance(v, list) else v for k, v in entry.items() if k != FILES}
+        out.append(entry)
+    return out
+
+
+def record_leaves(record, roots: dict[str, str], prune=None) -> Iterator[tuple[str, object, object]]:
+    """The leaves under a record's roots; of `datasets` only entries that are objects."""
+    for root, prefix in roots.items():
+        x = record.get(root) if isinstance(record, dict) else None
+        x = prune(root, x) if prune else x
+        if root == "datasets":
+            x = [e for e in (x if isinstance(x, list) else [x]) if isinstance(e, dict)]
+        yield from leaves(x, prefix)
+
+
+def flatten_json(df: DataFrame, id_col: str, raw_col: str, roots: dict[str, str] | None = None, prune=None) -> DataFrame:
+    """`id_col, key, value, unit` for every leaf of nested JSON texts, of any depth, or of those under `roots`.
 
     One pass in Arrow batches: built-in functions open one level at a time, so
     a nested record would be parsed again or written for each. Elements of a
@@ -88,7 +115,8 @@ def flatten_json(df: DataFrame, id_col: str, raw_col: str, prefix: str = "") ->
                     data = json.loads(raw)
                 except (TypeError, ValueError):
                     continue
-                out += [(i, k, said(v), said(u)) for k, v, u in leaves(data, prefix) if v is not None and k.strip()]
+                found = leaves(data) if roots is None else record_leaves(data, roots, prune)
+                out += [(i, k, said(v), said(u)) for k, v, u in found if v is not None and k.strip()]
             if out:
                 yield pd.DataFrame(out, columns=["id", "key", "value", "unit"])
 
@@ -96,31 +124,24 @@ def flatten_json(df: DataFrame, id_col: str, raw_col: str, prefix: str = "") ->
     return found.withColumnRenamed("id", id_col)
 
 
-def record_roots(df: DataFrame, id_col: str, raw_col: str, roots: list[str]) -> DataFrame:
-    """`id_col, raw`: the parts of each record under `roots`, one row each."""
-    own = F.try_variant_get(F.try_parse_json(F.col(raw_col).cast("string")), "$", "map<string,variant>")
-    parts = df.select(F.col(id_col).alias("__id"), F.explode(own).alias("k", "v"))
-    wanted = reduce(Column.__or__, [F.col("k").startswith(r[:-1]) if r.endswith("*") else F.col("k") == r for r in roots])
-    return parts.filter(wanted & F.col("v").isNotNull()).select(F.col("__id").alias(id_col), F.to_json("v").alias("raw"))
-
-
 def attribute_rows(flat: DataFrame, id_col: str = "doc_id", kind: str = "EXPLICIT") -> DataFrame:
     """`doc_id, key, value, unit, type`: blank keys dropped, equal rows of a document kept once."""
     rows = flat.filter(F.trim(F.coalesce("key", F.lit(""))) != "")
     return rows.select(F.col(id_col).alias("doc_id"), F.trim("key").alias("key"), F.trim("value").alias("value"), F.trim("unit").alias("unit"), F.lit(kind).alias("type")).distinct()
 
 
+def _marked(raw_col: str) -> Column:
+    return F.coalesce(F.array_contains(F.json_object_keys(raw_col), PUBLICATION_MARK), F.lit(False))
+
+
 def publication_attributes(records: DataFrame, id_col: str = "doc_id", raw_col: str = "raw") -> DataFrame:
-    """Attribute rows of publications: their roots, without the dropped paths and `__` parameters."""
-    flat = flatten_json(record_roots(records, id_col, raw_col, PUBLICATION_ROOTS), id_col, "raw")
-    drop = reduce(Column.__or__, [(F.col("key") == d) | F.col("key").startswith(f"{d}.") | F.col("key").contains(f".{d}.") | F.col("key").endswith(f".{d}") for d in PUBLICATION_DROPS])
-    return attribute_rows(flat.filter(~drop & ~F.col("key").rlike(r"(^|\.)__")), id_col)
+    """Attribute rows of publications: records that have a `collection`."""
+    return attribute_rows(flatten_json(records.filter(_marked(raw_col)), id_col, raw_col, PUBLICATION_ROOTS, publication_entries), id_col)
 
 
 def standard_attributes(records: DataFrame, id_col: str = "doc_id", raw_col: str = "raw") -> DataFrame:
-    """Attribute rows of standard records, publications (those with `collection`) left out."""
-    own = records.filter(F.expr(f"variant_get(try_parse_json({raw_col}), '$.collection') is null"))
-    return attribute_rows(flatten_json(record_roots(own, id_col, raw_col, STANDARD_ROOTS), id_col, "raw"), id_col)
+    """Attribute rows of standard records: those without a `collection`."""
+    return attribute_rows(flatten_json(records.filter(~_marked(raw_col)), id_col, raw_col, STANDARD_ROOTS), id_col)
 
 
 def key_registry(attributes: DataFrame, known: DataFrame | None = None) -> DataFrame:

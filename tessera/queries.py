@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,28 +11,10 @@ from tessera.functions.units import si_text, to_si
 from tessera.operators import attributes as A
 from tessera.operators import conditions, evaluate, inferred, postrank, tables, text, vectors
 from tessera.plans import hybrid
-from tessera.session import shared_dir, written
+from tessera.registry import QUERIES, SQL, Query, new_folder, register, table
+from tessera.session import written
 from tessera.streaming.incremental import ingest
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def register(sql: str | None = None):
-    def of(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return of
-
-
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
 # ---------------------------------------------------------------- inputs on the given tables
 
 UNITS = ["mm", "keV", "°C", "G", "%", "MeV", "yr", "furlong"]
@@ -470,12 +449,6 @@ def candidate_voting(spark, d):
     return inferred.vote(rows).drop("unit")
 
 
-@register()
-def pack_evidence(spark, d):
-    rows = part_attributes(spark, d).select((F.col("doc_id") % 97).alias("doc_id"), "key", "value")
-    return inferred.pack_rows(rows)
-
-
 # ---------------------------------------------------------------- metrics and evaluation
 
 METRIC_SQL = {
@@ -589,7 +562,7 @@ def component_breakdown(spark, d):
 
 @register("select source, doc_id, lang from (select *, row_number() over (partition by source order by doc_id) as n from documents) where n = 1")
 def incremental_ingest(spark, d):
-    path = f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}/ingest-{uuid.uuid4().hex}"
+    path = new_folder(spark, "ingest")
     rows = table(spark, d, "documents").select("source", "doc_id", "lang")
     rows.write.parquet(f"{path}/drop")
     schema = rows.schema
@@ -612,8 +585,11 @@ def document_summaries(spark, d):
 
 
 def queries() -> dict[str, Query]:
+    from tessera import queries_evaluation, queries_records, queries_search  # noqa: F401  (they register themselves)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)

@@ -76,9 +76,9 @@ def test_pairs(spark: SparkSession, path: str, source: str = "expert") -> DataFr
 
 
 def results_over_runs(spark: SparkSession, path: str) -> DataFrame:
-    """`timestamp, test_name, dataset_name, avg_score, avg_score_percent` of `results_*.csv` files, the time from the name."""
+    """`timestamp, test_name, dataset_name, avg_score, avg_score_percent` of `results_*.csv` files or folders, the time from the name."""
     rows = spark.read.schema("test_name string, dataset_name string, avg_score double, avg_score_percent double").csv(path, header=True, enforceSchema=False)
-    stamp = F.regexp_extract(F.col("_metadata.file_name"), r"results_(\d{8}_\d{6})", 1)
+    stamp = F.regexp_extract(F.col("_metadata.file_path"), r"results_(\d{8}_\d{6})[^/]*(?:/[^/]*)?$", 1)
     return rows.select(F.try_to_timestamp(stamp, F.lit("yyyyMMdd_HHmmss")).alias("timestamp"), "test_name", "dataset_name", "avg_score", "avg_score_percent")
 
 

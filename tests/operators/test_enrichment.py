@@ -16,6 +16,20 @@ def test_flatten(spark):
     assert got == [(0, "a", "1", None), (0, "a.b", "True", None), (0, "e", "5", "keV"), (0, "p.gap", "1.5", "mm"), (0, "t", "3", "K")]
     df = spark.createDataFrame([(1, '{"document": {"x": 1}, "other": {"y": 2}}'), (2, '{"document": {"x": 1}, "collection": null}')], "doc_id long, raw string")
     assert [tuple(r) for r in A.standard_attributes(df).collect()] == [(1, "x", "1", None, "EXPLICIT")]
+    assert flat(spark, '{"v": 1, "u": "m", "more": 2, "value": 3, "unit": "s"}', "5", '{"a": {"name": "n", "value": null, "units": "s"}, " ": 1}') == []
+    assert flat(spark, "[" * 300 + '{"a": 1}' + "]" * 300) == [(0, "a", "1", None)]
+
+
+def test_publications(spark):
+    record = {
+        "collection": None, "document": {"no": 1}, "panosc": {"a": 1}, "users": [{"name": "x"}, "y"], "investigation": {"id": 3}, "instruments": {"v": 1, "u": "m"}, "samplesMore": {"z": 1},
+        "samples": [{"datafiles": [1], "parameters": [{"name": "__hidden", "value": 1, "units": "m"}, {"name": "temp", "value": 2, "units": "K"}, "raw"], "id": 7}, "plain"],
+        "datasets": [{"datafiles": 1, "name": "d"}, "stray"], "datacite": [{"attributes": {"xml": "<x/>", "doi": "10.1"}, "id": 1}, 5],
+    }
+    df = spark.createDataFrame([(1, json.dumps(record)), (2, '{"panosc": {"a": 1}}'), (3, '{"collection": 1, "datacite": {"doi": 1}, "samples": {"id": 1}}')], "doc_id long, raw string")
+    got = sorted((r.doc_id, r.key, r.value, r.unit) for r in A.publication_attributes(df).collect())
+    want = [("a", "1", None), ("doi", "10.1", None), ("id", "1", None), ("instruments", "1", "m"), ("investigation.id", "3", None), ("name", "d", None), ("samples", "plain", None), ("samples.id", "7", None), ("samples.parameters", "raw", None), ("samples.parameters.temp", "2", "K"), ("users", "y", None), ("users.name", "x", None)]
+    assert got == sorted((1, *w) for w in want)
 
 
 def test_rows_and_derivations(spark):
