@@ -59,6 +59,11 @@ def buckets(results: DataFrame, score: str = "overall_score") -> DataFrame:
     return results.withColumn("bucket", F.when(F.col("kept") & (F.col(score) >= MATCHED), "matched").when(F.col("kept"), "relevant").otherwise("suggested"))
 
 
+def without_knee(results: DataFrame, structured: Column) -> DataFrame:
+    """`results` with `kept` and `bucket` for queries whose cut is not to be had: all are kept, none for `structured` queries."""
+    return buckets(results.withColumn("kept", ~structured))
+
+
 #: Where each facility keeps a detail, the keys in order of priority.
 DETAIL_KEYS = {
     "publication_year": {"ILL": ["publicationYear"], "ESS": ["publicationYear"], "PSI": ["publicationYear"], "MAX IV": ["publicationYear"], "ESRF": ["publicationYear"], "DESY": ["publicationYear"]},

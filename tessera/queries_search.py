@@ -1,0 +1,205 @@
+"""Queries over searches: more conditions, parsed queries, resolution with descriptions, stems, and a search with all parts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import scalars
+from tessera.functions.units import si_text, to_si
+from tessera.operators import attributes as A
+from tessera.operators import conditions, inferred, postrank, text, vectors
+from tessera.plans import hybrid
+from tessera.queries import (
+    CHUNK_RANK, DIM_SQL, DIST, DOC_RANK, KEYWORD_RANK, PARTS, POSTINGS, SI_SQL, TERMS, TREE, chunk_vectors, document_vectors, flag_sql, flags, part_attributes, rounded, vector_queries,
+)
+from tessera.registry import register, table
+from tessera.session import written
+
+# ---------------------------------------------------------------- conditions
+
+TYPED = PARTS + f", s as (select *, try_cast(value as double) as x, unit as u from parts), t as (select *, {SI_SQL} as si, {DIM_SQL} as dim from s)"
+_NEAR = "abs(si - {0}) < {0} * 1e-11"
+
+
+@register(
+    flag_sql(
+        TYPED, "t", unlike=f"key = 'size' and (si is not null and not (dim = 'J' and {_NEAR.format('9 * 1.602176634e-16')}) or si is null and x <> 9) then 1",
+        listed=f"key = 'size' and (si is not null and dim = 'm' and ({_NEAR.format('0.01')} or {_NEAR.format('0.02')}) or si is null and x in (1, 2)) then 1",
+        between="key = 'brand' and value between 'Brand#11' and 'Brand#2' then 1", outside="key = 'brand' and not (value between 'Brand#11' and 'Brand#2') then 1", near="key in ('size', 'price') and x >= 950 then 1", upto="key = 'size' and x <= 3 then 1",
+    )
+)
+def cond_more(spark, d):
+    leaf = lambda n, o, v, u=None: {"name": n, "operator": o, "value": v, "unit": u}
+    leaves = {
+        "unlike": leaf("size", "!=", 9, "keV"), "listed": leaf("size", "IN", [1, 2], "cm"), "between": leaf("brand", "BETWEEN", ["Brand#11", "Brand#2"]), "outside": leaf("brand", "NOT BETWEEN", ["Brand#11", "Brand#2"]),
+        "near": leaf(["size", "price"], ">=", 950), "upto": leaf("size", "<=", 3, "parsec"),
+    }
+    leaves["upto"].pop("unit")
+    return flags(spark, A.typed(part_attributes(spark, d)), leaves)
+
+
+INVALID = [("BETWEEN", [1]), ("BETWEEN", [1, "x"]), ("IN", []), ("IN", [1, "x"]), ("IN", 5), (">", "plain"), (">", [1]), ("~", 1), ("<", True)]
+
+
+@register(f"with {PARTS}, f as (select doc_id, max(case when key = 'type' and value ilike 'Standard%' then 2 when key = 'type' and value ilike '%Standard%' then 1 else 0 end) as n from parts group by doc_id) select doc_id, 1 as full_match, n as partial_match_count, dense_rank() over (order by n desc) as partial_rank from f where n > 0")
+def cond_invalid_leaves_vanish(spark, d):
+    wrong = [{"name": "size", "operator": o, "value": v} for o, v in INVALID] + [{"name": "", "operator": "=", "value": 1}, {"operator": "=", "value": 1}, "no leaf"]
+    tree = {"logic": "AND", "conditions": [*wrong, {"logic": "OR", "conditions": wrong}, {"name": "type", "operator": "LIKE", "value": "Standard"}]}
+    return conditions.rank_conditions(A.typed(part_attributes(spark, d)), tree)
+
+
+COMPOUND = {"m/s": (1.0, "m s^-1"), "km/h": (1000 / 3600, "m s^-1"), "1/cm": (100.0, "m^-1"), "kg*m^2/s2": (1.0, "J"), "N m": (1.0, "J"), "mm²": (1e-6, "m^2"), "J per (kg K)": (1.0, "K^-1 m^2 s^-2"), "furlong/s": None}
+_FACTOR = "case u " + " ".join(f"when '{u}' then {v[0]!r}" for u, v in COMPOUND.items() if v) + " end"
+_DIM = "case u " + " ".join(f"when '{u}' then '{v[1]}'" for u, v in COMPOUND.items() if v) + " end"
+
+
+@register(f"with s as (select p_partkey, cast(p_size as double) as x, ([{', '.join(repr(u) for u in COMPOUND)}])[p_partkey % {len(COMPOUND)} + 1] as u from part) select p_partkey, u as unit, printf('%.11e', x * {_FACTOR}) as magnitude, {_DIM} as dim from s")
+def unit_compound(spark, d):
+    unit = F.element_at(F.array(*map(F.lit, COMPOUND)), (F.col("p_partkey") % len(COMPOUND) + 1).cast("int"))
+    rows = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("x"), unit.alias("unit"))
+    return to_si(rows, "x", "unit").select("p_partkey", "unit", si_text(F.col("value_si.magnitude")).alias("magnitude"), F.col("value_si.dim").alias("dim"))
+
+
+# ---------------------------------------------------------------- parsed queries
+
+PARSED = """q as (select o_orderkey as query_id, case o_orderkey % 5 when 0 then '{"intention": "' || o_orderstatus || '", "keywords": ["a", "' || o_orderpriority || '"]}' when 1 then ' find  ' || o_orderpriority || ' ' when 2 then '  ' when 3 then '{broken ' || o_orderstatus else '{"filters": "f"}' end as query from orders),
+ p as (select query_id, query_id % 5 as k, trim(query) as t, query from q),
+ r as (select query_id, case k when 0 then json_extract_string(query, '$.intention') when 4 then '' else t end as intention, case k when 0 then ['a', json_extract_string(query, '$.keywords[1]')] when 2 then [] when 4 then [] else regexp_split_to_array(t, '\\s+') end as keywords, case when k = 4 then 'f' end as filters from p)"""
+
+
+def parsed(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("o_orderkey") % 5
+    query = F.when(n == 0, F.concat(F.lit('{"intention": "'), "o_orderstatus", F.lit('", "keywords": ["a", "'), "o_orderpriority", F.lit('"]}'))).when(n == 1, F.concat(F.lit(" find  "), "o_orderpriority", F.lit(" "))).when(n == 2, "  ").when(n == 3, F.concat(F.lit("{broken "), "o_orderstatus")).otherwise('{"filters": "f"}')
+    return hybrid.parse_fallback(table(spark, d, "orders").select(F.col("o_orderkey").alias("query_id"), query.alias("query")))
+
+
+@register(f"with {PARSED} select query_id, intention, array_to_string(keywords, '|') as keywords, filters from r")
+def parsed_queries(spark, d):
+    return parsed(spark, d).withColumn("keywords", F.array_join("keywords", "|"))
+
+
+@register(f"with {PARSED} select query_id, intention <> '' as has_intention, filters is not null as has_conditions, len(list_filter(keywords, lambda x: regexp_replace(x, '[^\\p{{L}}\\p{{N}}]', '', 'g') <> '')) > 0 as has_keywords from r")
+def active_parts_of_queries(spark, d):
+    q = parsed(spark, d)
+    return hybrid.active_flags(q.withColumn("terms", scalars.keyword_terms(F.col("keywords"))), F.col("filters").isNotNull())
+
+
+def shown(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of orders as results, with the parts that their queries ask for."""
+    n, key = F.col("l_linenumber"), F.col("l_orderkey")
+    score = lambda c, name: F.col(c).alias(name)
+    return table(spark, d, "lineitem").select(
+        key.alias("query_id"), n.alias("doc_id"), score("l_discount", "document_score"), score("l_tax", "chunk_score"), score("l_quantity", "keywords_score"), (n % 2).cast("double").alias("conditions_full_score"), score("l_extendedprice", "conditions_partial_score"), score("l_discount", "overall_score"),
+        (key % 2 == 0).alias("has_intention"), (key % 3 == 0).alias("has_keywords"), (key % 5 == 0).alias("has_conditions"),
+    )
+
+
+@register("""select l_orderkey as query_id, l_linenumber as doc_id, l_extendedprice as price, case when l_orderkey % 2 = 0 then l_discount end as document_score, case when l_orderkey % 2 = 0 then l_tax end as chunk_score, case when l_orderkey % 3 = 0 then l_quantity end as keywords_score,
+ case when l_orderkey % 5 = 0 then cast(l_linenumber % 2 as double) end as conditions_full_score, case when l_orderkey % 5 = 0 then l_extendedprice end as conditions_partial_score, case when l_orderkey % 5 = 0 then l_linenumber % 2 end as full_match from lineitem""")
+def result_payload(spark, d):
+    return postrank.payload(shown(spark, d)).select("query_id", "doc_id", F.col("conditions_partial_score").alias("price"), "scores.*").withColumn("full_match", F.col("full_match").cast("int"))
+
+
+@register("select l_orderkey as query_id, l_linenumber as doc_id, l_extendedprice as price, l_orderkey % 2 <> 0 as kept, case when l_orderkey % 2 = 0 then 'suggested' when l_discount * 10 >= 0.95 then 'matched' else 'relevant' end as bucket from lineitem")
+def results_without_knee(spark, d):
+    rows = shown(spark, d).withColumn("overall_score", F.col("overall_score") * 10)
+    return postrank.without_knee(rows, F.col("query_id") % 2 == 0).select("query_id", "doc_id", F.col("conditions_partial_score").alias("price"), "kept", "bucket")
+
+
+# ---------------------------------------------------------------- resolution
+
+
+@register(f"""with {DIST}, near as (select query_id, 'v' || vec_id as key, distance from dist), said as (select query_id, 'd' || (vec_id % 50) as key, distance from dist where vec_id % 3 = 0 and distance < 0.95),
+ hits as (select distinct * from (select query_id, key from near where distance < 0.95 union all select query_id, key from said)), n as (select query_id, count(*) as n from hits group by all),
+ rest as (select r.query_id, r.key, row_number() over (partition by r.query_id order by distance, r.key) as place, coalesce(n, 0) as n from near r left join n using (query_id) where distance >= 0.95)
+ select 'q' || query_id as name, key from hits union all select 'q' || query_id, key from rest where place <= greatest(0, 4 - n)""")
+def name_resolution_described(spark, d):
+    names = vector_queries(spark, d).select(F.concat(F.lit("q"), "query_id").alias("name"), F.col("intention_vector").alias("vector"))
+    vecs = document_vectors(spark, d)
+    keys = vecs.select(F.concat(F.lit("v"), "doc_id").alias("key"), "vector")
+    said = vecs.filter("doc_id % 3 = 0").select(F.concat(F.lit("d"), F.col("doc_id") % 50).alias("key"), "vector")
+    return vectors.resolve_names(names, keys, said, threshold=0.95)
+
+
+@register(f"""with {DIST}, n as (select distinct query_id, case query_id % 60 when 0 then 'Key ' || query_id when 20 then '  SAYS   number ' || query_id else 'novel ' || query_id end as name from dist),
+ all_ as (select query_id, 'key' || vec_id as key, distance from dist where vec_id % 7 <> 1 union all select query_id, 'key' || (vec_id + 1), distance from dist where vec_id % 2 = 0),
+ best as (select query_id, key, min(distance) as distance from all_ group by all), r as (select *, row_number() over (partition by query_id order by distance, key) as n from best),
+ two as (select query_id, max(case when n = 1 then key end) as key, max(case when n = 1 then distance end) as a, max(case when n = 2 then distance end) as b from r where n <= 2 group by all),
+ hit as (select n.query_id, name, case when query_id % 60 = 0 and query_id % 7 <> 1 then 'key' || query_id when query_id % 60 = 20 then 'key' || (query_id + 1) when a <= 0.9 and (b is null or round(b - a, 9) >= 0.04) then key end as hit from n join two using (query_id))
+ select name, coalesce(hit, lower(trim(regexp_replace(name, '\\s+', ' ', 'g')))) as key, hit is null as is_new from hit""")
+def key_resolution_in_turn(spark, d):
+    """Names that are a key's, that are a description's, that are near, and new ones."""
+    q, vecs = F.col("query_id"), document_vectors(spark, d)
+    name = F.when(q % 60 == 0, F.concat(F.lit("Key "), q)).when(q % 60 == 20, F.concat(F.lit("  SAYS   number "), q)).otherwise(F.concat(F.lit("novel "), q))
+    names = vector_queries(spark, d).select(name.alias("name"), F.col("intention_vector").alias("vector"))
+    keys = vecs.filter("doc_id % 7 <> 1").select(F.concat(F.lit("key"), "doc_id").alias("key"), "vector")
+    said = vecs.filter("doc_id % 2 = 0").select(F.concat(F.lit("key"), F.col("doc_id") + 1).alias("key"), F.concat(F.lit("says number  "), "doc_id").alias("description"), "vector")
+    return inferred.resolve_keys(names, keys, said, threshold=0.9)
+
+
+# ---------------------------------------------------------------- stems
+
+#: What the words of the parts' names and types become in the index; others stay as they are.
+STEMS = "case when w = 'large' then 'larg' when w = 'economy' then 'economi' when w in ('bolting', 'gearing', 'ringing') then left(w, len(w) - 3) when w like '%s' then left(w, len(w) - 1) else w end"
+STEMMED = f"""x as (select p_partkey as doc_id, split_part(p_name, ' ', 2) as noun, lower(p_type || ' ' || p_name) || ' ' || split_part(p_name, ' ', 2) || 's' || case when split_part(p_name, ' ', 2) in ('bolt', 'gear', 'ring') then ' the ' || split_part(p_name, ' ', 2) || 'ing' else '' end as t from part),
+ w as (select doc_id, unnest(string_split(t, ' ')) as w, generate_subscripts(string_split(t, ' '), 1) as place from x), post as (select doc_id, {STEMS} as term, count(*) as tf, min(place) as first_at from w where w <> 'the' group by all)"""
+
+
+def inflected(spark: SparkSession, d: str) -> DataFrame:
+    noun = F.substring_index("p_name", " ", -1)
+    words = F.concat(F.col("p_name"), F.lit(" "), noun, F.lit("s"), F.when(noun.isin("bolt", "gear", "ring"), F.concat(F.lit(" the "), noun, F.lit("ing"))).otherwise(""))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_type").alias("title"), words.alias("text"), noun.alias("noun"))
+
+
+@register(f"with {STEMMED} select doc_id, term, tf, first_at from post")
+def stemmed_postings(spark, d):
+    found = text.postings(inflected(spark, d), title_col="title")
+    return found.select("doc_id", "term", "tf", F.element_at("positions", 1).cast("long").alias("first_at"))
+
+
+@register(f"""with {STEMMED}, asked as (select distinct noun as query_id, unnest(['larg', noun]) as term from x) select query_id, doc_id, round(sum(tf) * 0.1, 6) as score, dense_rank() over (partition by query_id order by sum(tf) desc) as rank from asked join post using (term) group by query_id, doc_id""")
+def stemmed_keyword_rank(spark, d):
+    docs = inflected(spark, d)
+    asked = docs.select(F.col("noun").alias("query_id"), F.array(F.concat("noun", F.lit("s")), F.lit("Large"), F.lit("the")).alias("terms")).distinct().unionByName(docs.limit(1).select(F.lit("nothing").alias("query_id"), F.array().cast("array<string>").alias("terms")))
+    counts = text.term_counts(docs, text.asked_terms(asked), title_col="title")
+    return text.rank_keywords(asked, counts).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+# ---------------------------------------------------------------- a search with all parts
+
+TREES = {"standard": TREE, "brands": {"logic": "OR", "conditions": [{"name": "brand", "operator": "IN", "value": ["Brand#11", "Brand#5"]}, {"name": "price", "operator": ">", "value": 1000}]}}
+#: Every third query has the one tree, every third the other; every fifth has no keywords.
+FULL = f"""{PARTS}, {DIST}, {DOC_RANK}, {CHUNK_RANK}, {POSTINGS}, {TERMS}, {KEYWORD_RANK}, qs as (select distinct query_id, query_id // 20 % 3 as tree_id, query_id // 20 % 5 <> 0 as words from dist),
+ fs as (select doc_id, max(case when key = 'type' and value ilike 'Standard%' then 2 when key = 'type' and value ilike '%Standard%' then 1 else 0 end) as a, max(case when key = 'size' and try_cast(value as double) > 30 then 1 else 0 end) as b, max(case when key = 'brand' and value in ('Brand#11', 'Brand#23') then 1 else 0 end) as c,
+  max(case when key = 'brand' and value in ('Brand#11', 'Brand#5') then 1 else 0 end) as e, max(case when key = 'price' and try_cast(value as double) > 1000 then 1 else 0 end) as f from parts group by doc_id),
+ tr as (select 0 as tree_id, doc_id, case when a > 0 and (b > 0 or c > 0) then 1 else 0 end as full_match, dense_rank() over (order by a + b + c desc) as partial_rank from fs where a + b + c > 0
+  union all select 1, doc_id, case when e > 0 or f > 0 then 1 else 0 end, dense_rank() over (order by e + f desc) from fs where e + f > 0),
+ ar as (select query_id, doc_id, rank as r1, null as r2, null as r3, null as r4, null as r5 from docrank union all select query_id, doc_id, null, rank, null, null, null from chunkrank union all select query_id, doc_id, null, null, full_match, partial_rank, null from tr join qs using (tree_id)
+  union all select k.query_id * 20, k.doc_id, null, null, null, null, k.rank from keyrank k join qs on qs.query_id = k.query_id * 20 where words),
+ sm as (select query_id, doc_id, sum(coalesce(1.0 / (r1 + 6), 0)) as s1, sum(coalesce(1.0 / (r2 + 6), 0)) as s2, sum(coalesce(case when r3 = 0 then 0.0 else 1.0 / (r3 + 6) end, 0)) as s3, sum(coalesce(1.0 / (r4 + 6), 0)) as s4, sum(coalesce(1.0 / (r5 + 10), 0)) as s5 from ar group by all),
+ tp as (select *, s1 + s2 + s3 + s4 + s5 as s0 from sm qualify row_number() over (partition by query_id order by round(s1 + s2 + s3 + s4 + s5, 9) desc, round(s1, 9) desc, round(s2, 9) desc, round(s3, 9) desc, round(s4, 9) desc, round(s5, 9) desc, doc_id) <= 20)"""
+
+
+def full_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Vector queries with the trees and keywords that some of them have."""
+    n = F.floor(F.col("query_id") / 20).cast("long")
+    asked = table(spark, d, "benchmark").select((F.col("item_id") * 20).alias("query_id"), scalars.keyword_terms(F.array("text")).alias("t"))
+    q = vector_queries(spark, d).join(asked, "query_id", "left").withColumn("terms", F.when(n % 5 != 0, F.col("t")))
+    return written(q.withColumn("tree_id", F.when(n % 3 == 0, "standard").when(n % 3 == 1, "brands")).drop("t"), "queries")
+
+
+@register(f"""with {FULL} select tp.query_id, tp.doc_id, d.source, round(s0 / (2.0 / 7 + case when tree_id < 2 then 2.0 / 7 else 0 end + case when words then 1.0 / 11 else 0 end), 6) + 0.0 as overall_score, round(s1 * 7, 6) + 0.0 as document_score, round(s2 * 7, 6) + 0.0 as chunk_score, round(s3 * 7, 6) + 0.0 as conditions_full_score, round(s4 * 7, 6) + 0.0 as conditions_partial_score, round(s5 * 11, 6) + 0.0 as keywords_score
+ from tp join qs using (query_id) join documents d on d.doc_id = tp.doc_id""")
+def hybrid_search_full(spark, d):
+    """All five components, a tree for each query, details, and results without details dropped."""
+    q = full_queries(spark, d)
+    docs = table(spark, d, "documents")
+    counts = text.term_counts(docs, text.asked_terms(q, stem=False), stem=False)
+    near = hybrid.branches(vectors.rank_documents(q, document_vectors(spark, d)), vectors.rank_chunks(q, chunk_vectors(spark, d)), keywords=text.rank_keywords(q, counts, stem=False))
+    near = written(near, "near")
+    trees = written(conditions.rank_condition_trees(A.typed(part_attributes(spark, d)), TREES), "trees")
+    ranks = near.unionByName(hybrid.branches(conditions=hybrid.condition_branch(trees, q.select("query_id", "tree_id"), near)))
+    active = q.select("query_id", F.lit(True).alias("has_intention"), F.col("tree_id").isNotNull().alias("has_conditions"), (F.coalesce(F.size("terms"), F.lit(0)) > 0).alias("has_keywords"))
+    found = hybrid.search(ranks, active, details=docs.select("doc_id", "source"))
+    return rounded(found.select("query_id", "doc_id", "source", *hybrid.SCORES), *hybrid.SCORES)
