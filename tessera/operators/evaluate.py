@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.metrics import crp, cap, extended_presence, min_position, pointwise
 from tessera.operators.postrank import COMPONENTS
 from tessera.plans.hybrid import fuse, top_results
+from tessera.session import written
 
 EQUAL = 1e-12
 SET_PREFIX = {"comprehensive": "c", "synthetic": "s", "expert": "e"}
@@ -114,18 +116,45 @@ def unequal_runs(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.filter("old_rows <> new_rows")
 
 
+def quantiles(df: DataFrame, by: str, value: str, probabilities: list[float]) -> DataFrame:
+    """`by, q, n`: exact quantiles of each group, linear between neighbours, as an array; nulls are left out.
+
+    Equal values are counted first. The distinct ones are dealt out in ranges
+    whose totals are added up, so a group of any size has its places found by
+    many tasks; no task holds the values of a group.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(by).alias("__by"), F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("c"))
+    dealt = written(counts.repartitionByRange("__by", "__v").withColumn("part", F.spark_partition_id()), "values")
+    totals = dealt.groupBy("__by", "part").agg(F.sum("c").alias("t"))  # a row for each range and group in it
+    before = W.partitionBy("__by").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select("__by", "part", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("before"), F.sum("t").over(W.partitionBy("__by")).alias("n"))
+    inside = W.partitionBy("part", "__by").orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
+    placed = dealt.withColumn("upto", F.sum("c").over(inside)).join(totals.withColumnsRenamed({"__by": "__g", "part": "__p"}), (F.col("part") == F.col("__p")) & F.col("__by").eqNullSafe(F.col("__g")))
+    low, high = F.col("before") + F.col("upto") - F.col("c"), F.col("before") + F.col("upto")
+    at = lambda k: F.max(F.when((low <= k) & (k < high), F.col("__v")))
+    cells = []
+    for i, p in enumerate(probabilities):
+        k = F.lit(p) * (F.col("n") - 1)
+        cells += [at(F.floor(k)).alias(f"a{i}"), at(F.ceil(k)).alias(f"b{i}"), F.max(k - F.floor(k)).alias(f"f{i}")]
+    found = placed.groupBy("__by").agg(F.max("n").alias("n"), *cells)
+    return found.select(F.col("__by").alias(by), F.array(*[F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * F.col(f"f{i}") for i in range(len(probabilities))]).alias("q"), "n")
+
+
 def score_distribution(scores: DataFrame, by: str = "test_name", score: str = "score") -> DataFrame:
     """`by, q1, median, q3, low, high, n`: quartiles, and the extremes within 1.5 spreads of them."""
-    q = scores.groupBy(by).agg(F.percentile(score, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count(score).alias("n"))
+    q = written(quantiles(scores, by, score, [0.25, 0.5, 0.75]), "quartiles")
     spread = 1.5 * (F.get("q", F.lit(2)) - F.get("q", F.lit(0)))
-    within = scores.join(F.broadcast(q), by).filter(F.col(score).between(F.get("q", F.lit(0)) - spread, F.get("q", F.lit(2)) + spread))
-    return within.groupBy(by).agg(F.first(F.get("q", F.lit(0))).alias("q1"), F.first(F.get("q", F.lit(1))).alias("median"), F.first(F.get("q", F.lit(2))).alias("q3"), F.min(score).alias("low"), F.max(score).alias("high"), F.first("n").alias("n"))
+    within = scores.join(q, by).filter(F.col(score).between(F.get("q", F.lit(0)) - spread, F.get("q", F.lit(2)) + spread))
+    ends = within.groupBy(by).agg(F.min(score).alias("low"), F.max(score).alias("high"))
+    return q.join(ends, by).select(by, F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(2)).alias("q3"), "low", "high", "n")
 
 
 def knee_statistics(cut: DataFrame, query_col: str = "query_id", bins: int = 20) -> tuple[DataFrame, DataFrame]:
     """Mean and median of the knee scores with the share of rows kept, and a histogram of the knee scores."""
-    per = cut.groupBy(query_col).agg(F.max("knee_score").alias("knee"), F.max("keep_count").alias("kept"), F.count("*").alias("n"))
-    summary = per.agg(F.avg("knee").alias("mean_knee"), F.percentile("knee", F.lit(0.5)).alias("median_knee"), (100.0 * F.sum("kept") / F.sum("n")).alias("percent_kept"), F.count("*").alias("queries"))
+    per = written(cut.groupBy(query_col).agg(F.max("knee_score").alias("knee"), F.max("keep_count").alias("kept"), F.count("*").alias("n")), "knees")
+    median = quantiles(per.withColumn("one", F.lit(1)), "one", "knee", [0.5])
+    sums = per.agg(F.avg("knee").alias("mean_knee"), (100.0 * F.sum("kept") / F.sum("n")).alias("percent_kept"), F.count("*").alias("queries")).withColumn("one", F.lit(1))
+    summary = sums.join(median.drop("n"), "one", "left").select("mean_knee", F.get("q", F.lit(0)).alias("median_knee"), "percent_kept", "queries")
     histogram = per.groupBy(F.least(F.width_bucket("knee", F.lit(0.0), F.lit(1.0), F.lit(bins)), F.lit(bins)).alias("bin")).agg(F.count("*").alias("queries"))
     return summary, histogram
 

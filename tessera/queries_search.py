@@ -96,9 +96,9 @@ def shown(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("""select l_orderkey as query_id, l_linenumber as doc_id, l_extendedprice as price, case when l_orderkey % 2 = 0 then l_discount end as document_score, case when l_orderkey % 2 = 0 then l_tax end as chunk_score, case when l_orderkey % 3 = 0 then l_quantity end as keywords_score,
- case when l_orderkey % 5 = 0 then cast(l_linenumber % 2 as double) end as conditions_full_score, case when l_orderkey % 5 = 0 then l_extendedprice end as conditions_partial_score, case when l_orderkey % 5 = 0 then l_linenumber % 2 end as full_match from lineitem""")
+ case when l_orderkey % 5 = 0 then cast(l_linenumber % 2 as double) end as conditions_full_score, case when l_orderkey % 5 = 0 then l_extendedprice end as conditions_partial_score, case when l_orderkey % 5 = 0 then cast(l_linenumber % 2 as double) end as full_match from lineitem""")
 def result_payload(spark, d):
-    return postrank.payload(shown(spark, d)).select("query_id", "doc_id", F.col("conditions_partial_score").alias("price"), "scores.*").withColumn("full_match", F.col("full_match").cast("int"))
+    return postrank.payload(shown(spark, d)).select("query_id", "doc_id", F.col("conditions_partial_score").alias("price"), "scores.*").withColumn("full_match", F.col("full_match").cast("double"))
 
 
 @register("select l_orderkey as query_id, l_linenumber as doc_id, l_extendedprice as price, l_orderkey % 2 <> 0 as kept, case when l_orderkey % 2 = 0 then 'suggested' when l_discount * 10 >= 0.95 then 'matched' else 'relevant' end as bucket from lineitem")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tessera.operators.tables import first_wins, latest_wins
@@ -49,13 +50,34 @@ def latest_feedback(feedback: DataFrame, keys: tuple[str, ...] = ("statistic_id"
     return latest_wins(feedback, list(keys), list(order))
 
 
-def upsert_feedback(spark: SparkSession, source: str, schema, target: str, checkpoint: str, keys: tuple[str, ...] = ("statistic_id", "doc_id"), order: tuple[str, ...] = ("created_at",)) -> StreamingQuery:
-    """Keeps versions of the label table under `target`/v=N, each with the batches up to N folded in."""
+def upsert_feedback(spark: SparkSession, source: str, schema, target: str, checkpoint: str, keys: tuple[str, ...] = ("statistic_id", "doc_id"), order: tuple[str, ...] = ("created_at",), buckets: int = 64) -> StreamingQuery:
+    """Keeps a label table under `target` up to date, one label for each key: `current_feedback` reads it.
+
+    The table lies in buckets of the keys' hash. Batch N rewrites the buckets
+    that its keys fall into, as `v=N/bucket=K`; a batch that is run again
+    writes the same. Buckets that it does not touch are not read.
+    """
     stream = spark.readStream.schema(schema).parquet(source)
 
     def one(batch: DataFrame, n: int) -> None:
         s = batch.sparkSession
-        before = _table(s, f"{target}/v={n - 1}", batch.schema) if n else s.createDataFrame([], batch.schema)
-        latest_wins(before.unionByName(batch), list(keys), list(order)).write.mode("overwrite").parquet(f"{target}/v={n}")
+        new = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        touched = [r[0] for r in new.select("bucket").distinct().collect()]  # `buckets` at most
+        before = _buckets(s, target, new.schema, n).filter(F.col("bucket").isin(touched))
+        latest_wins(before.unionByName(new), list(keys), list(order)).write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/v={n}")
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _buckets(spark: SparkSession, target: str, schema, before: int | None = None) -> DataFrame:
+    """The rows of each bucket in its last version, or in the last one under `before`."""
+    rows = _table(spark, target, T.StructType([*schema.fields, T.StructField("v", T.IntegerType())]))
+    rows = rows if before is None else rows.filter(F.col("v") < before)
+    last = rows.groupBy("bucket").agg(F.max("v").alias("v"))  # of the folders' names alone
+    return rows.join(F.broadcast(last), ["bucket", "v"]).drop("v")
+
+
+def current_feedback(spark: SparkSession, target: str, schema) -> DataFrame:
+    """The label table that `upsert_feedback` keeps; `schema` is that of the feedback."""
+    kind = spark.createDataFrame([], schema).schema
+    return _buckets(spark, target, T.StructType([*kind.fields, T.StructField("bucket", T.IntegerType())])).drop("bucket")

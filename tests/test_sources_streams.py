@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import evaluate, text
 from tessera.sources import readers, writers
-from tessera.streaming.incremental import ingest, upsert_feedback, valid_feedback
+from tessera.streaming.incremental import current_feedback, ingest, upsert_feedback, valid_feedback
 
 
 def test_readers(spark, tmp_path):
@@ -55,7 +55,10 @@ def test_feedback(spark, tmp_path):
     upsert_feedback(spark, src, kind, out, mark).awaitTermination()
     spark.createDataFrame([("s", 1, "Suggested", 3), ("s", 2, "Match", 1)], kind).coalesce(1).write.mode("append").parquet(src)
     upsert_feedback(spark, src, kind, out, mark).awaitTermination()
-    assert sorted((r.doc_id, r.feedback_type) for r in spark.read.parquet(f"{out}/v=1").collect()) == [(1, "Suggested"), (2, "Match")]
+    assert sorted((r.doc_id, r.feedback_type) for r in current_feedback(spark, out, kind).collect()) == [(1, "Suggested"), (2, "Match")]
+    spark.createDataFrame([("s", 2, "Relevant", 9), ("t", 7, "Match", 1), ("s", 1, "Match", 0)], kind).coalesce(1).write.mode("append").parquet(src)
+    upsert_feedback(spark, src, kind, out, mark).awaitTermination()
+    assert sorted((r.statistic_id, r.doc_id, r.feedback_type) for r in current_feedback(spark, out, kind).collect()) == [("s", 1, "Suggested"), ("s", 2, "Relevant"), ("t", 7, "Match")]
     log = spark.range(1).selectExpr("'s' as id", "named_struct('relevant', array(named_struct('doc_id', 1L)), 'weakly_relevant', array(named_struct('doc_id', 3L)), 'knee_point', 0.5D) as results")
     rows = spark.createDataFrame([("s", 1, "Match", 1), ("s", 2, "Match", 1), ("s", 3, "nonsense", 1), ("t", 1, "Match", 1)], kind)
     assert [r.doc_id for r in valid_feedback(rows, log).collect()] == [1]
