@@ -16,7 +16,7 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.simhash import near_duplicates
 
     found = near_duplicates(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lpad(F.lower(F.hex(F.element_at("fps", 1))), 16, "0").alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import sha256
-from itertools import combinations, islice
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -13,46 +13,60 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
-from tessera.llm.substring import Prefix, word_hashes
+from tessera.llm.shingles import BANDS, bands, maybe_alike, shared_counts, shingle_hashes, sketch
+from tessera.llm.substring import word_hashes
 from tessera.llm.text import whole_runs, words
-from tessera.session import written
+from tessera.session import dropped, written
 
 SEED = 42
-#: A list of the index is compared in blocks of so many fingerprints.
+#: Rows of a list that are compared with so many others at once.
 BLOCK = 512
-#: Parts of a sketch, two bits each.
-BINS = 256
-#: Standard deviations that a sketch may be off before it rules a link out.
-SLACK = 5
-#: Besides fingerprints, texts meet by so many bands of so many smallest shingle
-#: hashes: one pair in a thousand at a similarity of 0.8 shares none.
-BANDS, BAND = 24, 6
-#: Shingles whose bits are counted at once.
-AT_ONCE = 65_536
+#: Shingles whose bits are counted at once, and pairs that are tallied at once.
+AT_ONCE, PAIRS = 65_536, 2_000_000
+#: Odd multipliers: each gives the words of a text another fingerprint.
+_PRINTS = np.random.default_rng(SEED + 1).integers(0, 1 << 63, 2, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def fingerprints(text: str | None, shingle: int = 3, seeds: tuple[int, ...] = (SEED,), distinct: bool = False) -> np.ndarray:
-    """For each seed the 64-bit SimHash of the word shingles of a text, repeats included unless `distinct`.
+#: The bits of each byte, and where the counts of each byte position begin.
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
+_AT = np.arange(8 * len(_PRINTS)) * 256
+
+
+def _majority(h: np.ndarray) -> np.ndarray:
+    """How many of each row's hashes have each of the 64 bits: bytes are counted first, then their bits."""
+    rows, ones = len(h), np.zeros((len(h), 64), np.int64)
+    for i in range(0, h.shape[1], AT_ONCE):
+        part = np.ascontiguousarray(h[:, i : i + AT_ONCE]).astype("<u8", copy=False)
+        places = part.view(np.uint8).reshape(rows, -1, 8).astype(np.int64) + _AT[: 8 * rows].reshape(rows, 1, 8)
+        ones += (np.bincount(places.ravel(), minlength=2048 * rows).reshape(8 * rows, 256) @ _BITS).reshape(rows, 64).astype(np.int64)
+    return ones
+
+
+def fingerprint(text: str | None, shingle: int = 3, seed: int = SEED) -> int:
+    """The 64-bit SimHash of the word shingles of a text, repeats included.
 
     A bit is set if it is set in more than half of the shingles' XXH64. Fewer
     words than a shingle make one shingle; no words give zero.
     """
     w = [x.lower() for x in words(text)]
     if not w:
-        return np.zeros(len(seeds), np.uint64)
-    whole, n = b" ".join(w), max(1, len(w) - shingle + 1)
+        return 0
+    whole, n, digest = b" ".join(w), max(1, len(w) - shingle + 1), xxhash.xxh64_intdigest
     ends = np.cumsum([len(x) + 1 for x in w]) - 1
     starts = [0, *(ends[: n - 1] + 1).tolist()]
     stops = ends[shingle - 1 :].tolist() if len(w) >= shingle else [len(whole)]
-    cut = {whole[a:b] for a, b in zip(starts, stops)} if distinct else None
-    n, digest = len(cut) if distinct else n, xxhash.xxh64_intdigest
-    ones = np.zeros((len(seeds), 64), np.int64)
+    ones = np.zeros(64, np.int64)
     for i in range(0, n, AT_ONCE):
-        some = list(islice(cut, i, i + AT_ONCE)) if distinct else [whole[a:b] for a, b in zip(starts[i : i + AT_ONCE], stops[i : i + AT_ONCE])]
-        for k, seed in enumerate(seeds):
-            h = np.array([digest(x, seed) for x in some], "<u8")
-            ones[k] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
+        ones += _majority(np.array([[digest(whole[a:b], seed) for a, b in zip(starts[i : i + AT_ONCE], stops[i : i + AT_ONCE])]], np.uint64))[0]
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+
+
+def word_prints(hashes: np.ndarray) -> np.ndarray:
+    """Two SimHashes of the distinct words of a text, given by their hashes; zero for no words."""
+    u = np.unique(hashes)
+    h = u[None, :] * _PRINTS[:, None]
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.packbits(2 * _majority(h ^ (h >> np.uint64(32))) > len(u), axis=1, bitorder="little").view("<u8").ravel()
 
 
 def index_positions(max_bits: int) -> list[tuple[int, ...]]:
@@ -73,274 +87,326 @@ def index_positions(max_bits: int) -> list[tuple[int, ...]]:
     return max((x for x in found if len(x[1]) <= 28), key=lambda x: (x[0], -len(x[1])))[1]
 
 
-def _forest(max_bits: int, verify: float | None = None):
-    """Links enough to connect what is close in each list, tallied and verified.
-
-    With `verify` only links that the sketches do not rule out count, and those
-    of a list of a band (`at` below zero) need not be close.
+def posted_pairs(postings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows that stand in one posting list; `postings` names the list of each row, below zero for none."""
+    rows = np.flatnonzero(postings >= 0)
+    rows = rows[np.argsort(postings[rows], kind="stable")]
+    of, x, y, d = postings[rows], [], [], 1
+    while True:
+        met = np.flatnonzero(of[d:] == of[:-d]) if d < len(of) else np.zeros(0, np.int64)
+        if not len(met):
+            break
+        x.append(rows[met])
+        y.append(rows[met + d])
+        d += 1
+    if not x:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(x), np.concatenate(y)
+
+
+def tallied_pairs(fp: np.ndarray, of: np.ndarray, known: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one list that share `least` bytes at their places.
+
+    The inverted index has a posting list for each list, position and byte.
+    Every common posting list counts one for a pair; pairs with fewer than the
+    guaranteed number go. `known` (rows x 8) marks the positions that make the
+    list's key: all its pairs share them.
     """
-    least = 8 - max_bits
-
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys = ["at", "key", "i", "j"]
-        for run in whole_runs(batches, keys):
-            f = run["fp"].to_numpy(np.int64).view(np.uint64)
-            node = run["node"].to_numpy(np.int64)
-            k = run[keys].to_numpy(np.int64)
-            cuts = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
-            out_a, out_b = [], []
-            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(f)]):
-                if hi - lo < 2:
-                    continue
-                own = f[lo:hi]
-                b = own.view(np.uint8).reshape(-1, 8)
-                if k[lo, 0] < 0:
-                    x, y = np.triu_indices(hi - lo, 1)
-                    close = np.ones(len(x), bool)
-                else:
-                    shared = np.zeros((hi - lo, hi - lo), np.uint8)
-                    for p in range(8):
-                        shared += b[:, p][:, None] == b[:, p][None, :]
-                    x, y = np.nonzero(np.triu(shared >= least, 1))
-                    close = np.bitwise_count(own[x] ^ own[y]) <= max_bits
-                if verify is not None:
-                    sketches = np.frombuffer(b"".join(map(bytes, run["sketch"].iloc[lo:hi])), np.uint64).reshape(hi - lo, -1)
-                    close[close] = _maybe_alike(sketches, x[close], y[close], verify)
-                if close.any():
-                    p, q = _spanning(hi - lo, x[close], y[close], np.bitwise_count(own[x[close]] ^ own[y[close]]))
-                    out_a.append(node[lo:hi][p])
-                    out_b.append(node[lo:hi][q])
-            if out_a:
-                yield pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
-
-    return of
-
-
-def _spanning(n: int, x: np.ndarray, y: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest, the closest taken first."""
-    up = list(range(n))
+    b, n, codes = fp.view(np.uint8).reshape(-1, 8).astype(np.int64), len(fp), []
+    for p in range(8):
+        x, y = posted_pairs(np.where(known[:, p], -1, of * 256 + b[:, p]))
+        codes.append(np.minimum(x, y) * n + np.maximum(x, y))
+    pair, often = np.unique(np.concatenate(codes), return_counts=True)
+    x, y = pair // n, pair % n
+    held = known.sum(axis=1)
+    some = often + held[x] >= least
+    if (held >= least).any():  # the key alone guarantees enough
+        p, q = posted_pairs(np.where(held >= least, of, -1))
+        return np.concatenate([x[some & (held[x] < least)], np.minimum(p, q)]), np.concatenate([y[some & (held[x] < least)], np.maximum(p, q)])
+    return x[some], y[some]
+
+
+def spanning(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which links make a spanning forest, the lightest first, ties by their ends."""
+    up: dict[int, int] = {}
 
     def top(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
+        while (j := up.get(i, i)) != i:
+            up[i] = up.get(j, j)
+            i = j
         return i
 
     taken = []
-    for k in np.argsort(bits, kind="stable").tolist():
-        p, q = top(int(x[k])), top(int(y[k]))
+    for k in np.lexsort((b, a, weight)).tolist():
+        p, q = top(int(a[k])), top(int(b[k]))
         if p != q:
             up[max(p, q)] = min(p, q)
             taken.append(k)
-    return x[taken], y[taken]
+    return np.array(taken, np.int64)
 
 
-def fingerprint_links(classes: DataFrame, max_bits: int = 3, n_seeds: int = 1, verify: float | None = None) -> DataFrame:
-    """`a, b`: links that connect all `node` of which some `fps` differ in `max_bits` bits at most.
+def dealt(rows: DataFrame, keys: list[str], labelled: bool) -> DataFrame:
+    """`rows` (keys, node, label, ...) with `kind, i, j, top, own`: any two rows of a list with unlike labels meet in one block.
 
-    The inverted index lists the fingerprints under their positional bytes. A
-    list for one byte would hold a 256th of all, so a list stands for several
-    positions at once, chosen so that every pair with the guaranteed number of
-    shared bytes meets in one list (`index_positions`). In a list the shared
-    bytes of each pair are tallied, pairs under the guaranteed number go, and
-    the rest are verified bit by bit. A list gives a spanning forest of its
-    links, never its pairs; a long list is dealt out in blocks, each pair of
-    blocks to a task of its own. With `verify` links that the `sketch` of each
-    class rules out at that similarity do not count, and classes that share one
-    of their `bands` meet as well.
+    Rows of a list's most common label need not meet each other, so a list of
+    very many rows that are known to belong together is dealt out once: its
+    blocks meet the blocks of the other rows, and those meet each other. Lists
+    with one label vanish. Without `labelled` every row is its own label.
     """
-    sets, more = index_positions(max_bits), [] if verify is None else ["sketch"]
-    entries = []
-    for seed in range(n_seeds):
-        fp = F.element_at("fps", seed + 1)
-        for at, positions in enumerate(sets):
-            key = F.lit(0).cast("long")
-            for p in positions:
-                key = key * 256 + F.shiftrightunsigned(fp, 8 * p).bitwiseAND(F.lit(255))
-            entries.append(F.struct(F.lit(seed * len(sets) + at).alias("at"), key.alias("key"), fp.alias("fp")))
-    if verify is not None:
-        entries += [F.struct(F.lit(-1 - i).alias("at"), F.element_at("bands", i + 1).alias("key"), F.lit(0).cast("long").alias("fp")) for i in range(BANDS)]
-    index = classes.select("node", *more, F.explode(F.array(*entries)).alias("e")).select("node", *more, "e.*")
-    sizes = index.groupBy("at", "key").count().filter("count > 1")
-    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
-    listed = index.join(sizes, ["at", "key"]).select("at", "key", "fp", "node", *more, blocks.alias("nb"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"))
-    met = listed.select("at", "key", "fp", "node", *more, "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-    met = met.select("at", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "node", *more)
-    return met.repartition("at", "key", "i", "j").sortWithinPartitions("at", "key", "i", "j", "node").mapInPandas(_forest(max_bits, verify), "a long, b long")
-
-
-def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
-    """The distinct hashes of a text's word shingles, sorted; fewer words make one shingle."""
-    w = words(text)
-    if not w:
-        return np.zeros(0, np.uint64)
-    hashes, n = word_hashes([x.lower() for x in w]), min(shingle, len(w))
-    at = np.arange(len(w) - n + 1)
-    return np.unique(Prefix(hashes).of(at, at + n))
-
-
-#: Multipliers, each of which brings the hashes into another order.
-_ODD = (np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND, np.uint64) * np.uint64(2) + np.uint64(1)).tolist()
+    if labelled:
+        sizes = rows.groupBy(*keys, "label").agg(F.count("*").alias("n")).groupBy(*keys)
+        sizes = sizes.agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("t"), F.count("*").alias("labels")).filter("labels > 1").select(*keys, F.col("t.label").alias("most"), F.col("t.n").alias("k"), (F.col("n") - F.col("t.n")).alias("m"))
+    else:
+        sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.max("label").alias("most")).filter("n > 1").select(*keys, "most", F.lit(1).cast("long").alias("k"), (F.col("n") - 1).alias("m"))
+    # written, so that the join reads two plain shuffles and Spark can split a list with very many rows
+    sizes = written(sizes, "sizes")
+    both = rows.join(sizes, keys)
+    top = F.col("label") == F.col("most")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    both = both.withColumn("top", top).withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("top"), blocks("k")).otherwise(blocks("m"))).cast("int"))
+    at = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    upto = lambda n: F.sequence(F.lit(0), blocks(n) - 1)
+    own = F.col("own")
+    to_most = F.transform(upto("k"), lambda x: at(0, x, own))
+    to_rest = F.when(F.col("m") > 1, F.transform(upto("m"), lambda x: at(1, F.least(own, x), F.greatest(own, x)))).otherwise(F.array().cast("array<struct<kind:int,i:int,j:int>>"))
+    places = F.when(F.col("top"), F.transform(upto("m"), lambda x: at(0, own, x))).otherwise(F.concat(to_most, to_rest))
+    out = both.withColumn("place", F.explode(places)).select("*", "place.*").drop("most", "k", "m", "place")
+    out._tessera_path = sizes._tessera_path  # so that `dropped` finds it
+    return out
 
 
-def sketch(h: np.ndarray) -> bytes:
-    """For each of `BINS` parts of the shingles one bit of the smallest, then whether there is one."""
-    part = (h & np.uint64(BINS - 1)).astype(np.intp)
-    least = np.full(BINS, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(least, part, h >> np.uint64(8))
-    full = np.zeros(BINS, np.uint8)
-    full[part] = 1
-    return np.concatenate([np.packbits((least & np.uint64(1)).astype(np.uint8) & full), np.packbits(full)]).tobytes()
+def _meet(run: pd.DataFrame, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs of a block are to be compared there."""
+    top, own, label = run["top"].to_numpy(bool), run["own"].to_numpy(), run["label"].to_numpy()
+    across, one = run["kind"].to_numpy()[x] == 0, (run["i"] == run["j"]).to_numpy()[x]
+    return (label[x] != label[y]) & np.where(across, top[x] != top[y], one | (own[x] != own[y]))
 
 
-def bands(h: np.ndarray) -> np.ndarray:
-    """`BANDS` hashes, each of `BAND` smallest hashes of the shingles, every one under its own order."""
-    if not len(h):
-        return np.zeros(BANDS, np.uint64)
-    least = np.array([(h * np.uint64(m)).min() for m in _ODD])
-    return Prefix(least).of(np.arange(0, BANDS * BAND, BAND), np.arange(BAND, BANDS * BAND + 1, BAND))
+def _in_blocks(rows: DataFrame, keys: list[str], compare, ends: str = "label") -> DataFrame:
+    """`a, b`: links between the `ends` of rows, enough to connect what `compare` finds; it gets runs of whole blocks and the number of each row's block."""
+    every = [*keys, "kind", "i", "j"]
 
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for run in whole_runs(batches, every):
+            k = run[every].to_numpy(np.int64)
+            number = np.concatenate([[0], np.cumsum((k[1:] != k[:-1]).any(axis=1))])
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(number)) + 1, [len(run)]])
+            pairs = np.cumsum(np.diff(cuts) ** 2) // PAIRS
+            # some blocks at a time, as many as have so many pairs
+            for part in np.split(np.arange(len(cuts) - 1), np.flatnonzero(np.diff(pairs)) + 1):
+                some = run.iloc[cuts[part[0]] : cuts[part[-1] + 1]].reset_index(drop=True)
+                x, y, weight = compare(some, number[cuts[part[0]] : cuts[part[-1] + 1]])
+                if len(x):
+                    end = some[ends].to_numpy(np.int64)
+                    a, b = np.minimum(end[x], end[y]), np.maximum(end[x], end[y])
+                    kept = spanning(a, b, weight)
+                    yield pd.DataFrame({"a": a[kept], "b": b[kept]})
+
+    return rows.repartition(*every).sortWithinPartitions(*every, "node").mapInPandas(of, "a long, b long")
+
+
+def _close(max_bits: int, sets: list[tuple[int, ...]], verify: float | None):
+    """Pairs of close fingerprints of a list; with `verify` those that sketches do not rule out, and all pairs of a band."""
+    known = np.zeros((len(sets) + 1, 8), bool)
+    for i, s in enumerate(sets):
+        known[i, list(s)] = True
+
+    def of(run: pd.DataFrame, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        fp, at = run["fp"].to_numpy(np.int64).view(np.uint64), run["at"].to_numpy(np.int64)
+        of_band = at < 0
+        x, y = tallied_pairs(fp, np.where(of_band, -1, number), known[np.where(of_band, len(sets), at % len(sets))], 8 - max_bits)
+        bits = np.bitwise_count(fp[x] ^ fp[y])
+        x, y, bits = x[bits <= max_bits], y[bits <= max_bits], bits[bits <= max_bits]
+        if of_band.any():
+            p, q = posted_pairs(np.where(of_band, number, -1))
+            x, y, bits = np.concatenate([x, p]), np.concatenate([y, q]), np.concatenate([bits, np.full(len(p), 64, bits.dtype)])
+        some = _meet(run, x, y)
+        x, y, bits = x[some], y[some], bits[some]
+        if verify is not None and len(x):
+            some = maybe_alike(_sketches(run), x, y, verify)
+            x, y, bits = x[some], y[some], bits[some]
+        return x, y, bits
 
-def _maybe_alike(sketches: np.ndarray, x: np.ndarray, y: np.ndarray, verify: float) -> np.ndarray:
-    """Whether the sketches of x and y leave a similarity of `verify` open, up to `SLACK` deviations.
+    return of
 
-    A part that one text alone fills differs; of parts that differ in two
-    texts one bit shows half.
-    """
-    bit, full, out = sketches[:, : BINS // 64], sketches[:, BINS // 64 :], []
-    count = lambda v: np.bitwise_count(v).sum(axis=1, dtype=np.int64)
-    for i in range(0, len(x), AT_ONCE):
-        p, q = x[i : i + AT_ONCE], y[i : i + AT_ONCE]
-        either = count(full[p] | full[q])
-        differ = count(full[p] ^ full[q]) + 2 * count((bit[p] ^ bit[q]) & full[p] & full[q])
-        out.append(differ <= (1 - verify) * either + SLACK * np.sqrt(either * (1 - verify**2)))
-    return np.concatenate(out) if out else np.zeros(0, bool)
-
-
-def _shared(sets: list[np.ndarray]) -> np.ndarray:
-    """How many shingles each two sets share."""
-    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    common = often > 1  # what one set alone has is shared with none
-    column, of = (np.cumsum(common) - 1)[at[common[at]]], of[common[at]]
-    order = np.argsort(column, kind="stable")
-    column, of = column[order], of[order]
-    out, width = np.zeros((len(sets), len(sets)), np.float64), 4096
-    for lo in range(0, int(common.sum()), width):
-        a, b = np.searchsorted(column, [lo, lo + width])
-        m = np.zeros((len(sets), min(width, int(common.sum()) - lo)), np.float32)
-        m[of[a:b], column[a:b] - lo] = 1
-        out += m @ m.T
-    return out
 
+def _sketches(run: pd.DataFrame) -> np.ndarray:
+    return np.frombuffer(b"".join(map(bytes, run["sketch"])), np.uint64).reshape(len(run), -1)
+
+
+def _alike(verify: float):
+    """Pairs of a block whose shingles have the similarity, counted exactly where sketches leave it open."""
+
+    def of(run: pd.DataFrame, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x, y = posted_pairs(number)
+        some = _meet(run, x, y)
+        x, y = x[some], y[some]
+        some = maybe_alike(_sketches(run), x, y, verify)
+        x, y = x[some], y[some]
+        if not len(x):
+            return x, y, np.zeros(0)
+        every = {i: shingle_hashes(word_hashes([w.lower() for w in words(run["text"].iat[i])])) for i in np.unique(np.concatenate([x, y])).tolist()}
+        alike = np.zeros(len(x))
+        order = np.argsort(number[x], kind="stable")
+        for pairs in np.split(order, np.flatnonzero(np.diff(number[x][order])) + 1):  # block by block
+            used = np.unique(np.concatenate([x[pairs], y[pairs]]))
+            sets, p, q = [every[i] for i in used.tolist()], np.searchsorted(used, x[pairs]), np.searchsorted(used, y[pairs])
+            n, both = np.array([len(s) for s in sets]), shared_counts(sets, p, q)
+            alike[pairs] = both / np.maximum(n[p] + n[q] - both, 1)
+        some = alike >= verify
+        return x[some], y[some], 1 - alike[some]
 
-def _verified(verify: float):
-    """Links enough to connect the nodes of each pair of blocks that have the similarity."""
+    return of
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys = ["root", "i", "j"]
-        for run in whole_runs(batches, keys):
-            node, k = run["node"].to_numpy(np.int64), run[keys].to_numpy(np.int64)
-            cuts = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
-            out_a, out_b = [], []
-            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(node)]):
-                if hi - lo < 2:
-                    continue
-                sets = [shingles(t) for t in run["text"].iloc[lo:hi]]
-                n, both = np.array([len(s) for s in sets]), _shared(sets)
-                alike = both / np.maximum(n[:, None] + n[None, :] - both, 1)
-                x, y = np.nonzero(np.triu(alike >= verify, 1))
-                p, q = _spanning(hi - lo, x, y, 1 - alike[x, y])
-                out_a.append(node[lo:hi][p])
-                out_b.append(node[lo:hi][q])
-            if out_a:
-                yield pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
 
-    return of
+def _entries(n_prints: int, sets: list[tuple[int, ...]]) -> list[Column]:
+    """The keys under which a class of `fps` stands in the index."""
+    out = []
+    for seed in range(n_prints):
+        fp = F.element_at("fps", seed + 1)
+        for at, positions in enumerate(sets):
+            key = F.lit(0).cast("long")
+            for p in positions:
+                key = key * 256 + F.shiftrightunsigned(fp, 8 * p).bitwiseAND(F.lit(255))
+            out.append(F.struct(F.lit(seed * len(sets) + at).alias("at"), key.alias("key"), fp.alias("fp")))
+    return out
 
 
-def verified_links(texts: DataFrame, loose: DataFrame, verify: float) -> DataFrame:
-    """`a, b`: links that connect all `node` of `texts` (node, text) that loose links connect and that have the similarity.
+def fingerprint_links(classes: DataFrame, max_bits: int = 3) -> DataFrame:
+    """`a, b`: links that connect all `node` of which `fps` has one fingerprint, at `max_bits` differing bits at most.
 
-    A loose link may be false, and what it connects may still be alike, so all
-    pairs within what loose links connect are compared by their exact shingles.
-    A large component is dealt out in blocks, each pair of blocks to a task.
+    The inverted index lists the fingerprints under their positional bytes. A
+    list for one byte would hold a 256th of all, so a list stands for several
+    positions at once, chosen so that every pair with the guaranteed number of
+    shared bytes meets in one list (`index_positions`). Within a list single
+    positions have posting lists of their own, from which the shared bytes of
+    each pair are tallied (`tallied_pairs`); pairs under the guaranteed number
+    go, and the rest are verified bit by bit. A list gives a spanning forest of
+    its links, never its pairs; a long list is dealt out in blocks, each pair
+    of blocks to a task of its own.
     """
-    parts = written(connected_components(loose), "parts")
-    parts = parts.unionByName(parts.select(F.col("root").alias("node"), "root").distinct())
-    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
-    dealt = parts.join(parts.groupBy("root").count(), "root").select("root", "node", blocks.alias("nb"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"))
-    one = written(texts.join(dealt.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
-    met = dealt.join(one, "node").select("root", "node", "text", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-    met = met.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "text")
-    return met.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInPandas(_verified(verify), "a long, b long")
+    sets = index_positions(max_bits)
+    index = classes.select("node", F.explode(F.array(*_entries(1, sets))).alias("e")).select("node", F.col("node").alias("label"), "e.*")
+    return _in_blocks(dealt(index, ["at", "key"], False), ["at", "key"], _close(max_bits, sets, None))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3, seeds: tuple[int, ...] = (SEED,), distinct: bool = False, verify: float | None = None) -> DataFrame:
-    """`id_col, fps, component_id` for every row: texts whose fingerprints link, over any number of links.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3, seed: int = SEED) -> DataFrame:
+    """`id_col, fingerprint, component_id` for every row: texts whose fingerprints link, over any number of links.
 
-    Two texts link if their fingerprints of some seed differ in `max_bits` bits
-    at most. component_id is the smallest id reachable, the row's own included.
-    With `verify` two texts link if they also have that similarity of five-word
-    shingles. Sketches rule out most false links in the lists; what is left
-    connects a superset of the components, within which all texts are compared.
+    Two texts link if their fingerprints differ in `max_bits` bits at most.
+    component_id is the smallest id reachable, the row's own included.
 
     Null and empty texts have fingerprint zero and link like any other. A null
     id takes the smallest id of its component (null if there is none); repeated
     rows come back each. An empty table gives an empty result. Other columns
-    are not looked at. Texts with equal fingerprints (and shingles) are one
-    entry of the index.
+    are not looked at. Equal fingerprints are one entry of the index.
     """
-    found = _grouped(docs, F.col(id_col), id_col, text_col, shingle, max_bits, seeds, distinct, verify)
-    return found.select(id_col, "fps", F.col("least").alias("component_id"))
 
+    @F.pandas_udf("long")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, shingle, seed) for t in texts], np.uint64).view(np.int64))
 
-def _grouped(docs: DataFrame, row: Column, id_col: str, text_col: str, shingle: int, max_bits: int, seeds: tuple[int, ...], distinct: bool, verify: float | None) -> DataFrame:
-    """`id_col, row, fps, least` for every row; least is the smallest `row` of its component."""
-    schema = "fps array<long>" + ("" if verify is None else ", sketch binary, bands array<long>, shingles binary")
-
-    @F.pandas_udf(f"struct<{schema.replace(' ', ':').replace(',:', ',')}>")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        out = {"fps": [fingerprints(t, shingle, seeds, distinct).view(np.int64) for t in texts]}
-        if verify is not None:
-            sets = [shingles(t) for t in texts]
-            out |= {"sketch": [sketch(h) for h in sets], "bands": [bands(h).view(np.int64) for h in sets], "shingles": [sha256(h.tobytes()).digest()[:8] for h in sets]}
-        return pd.DataFrame(out)
-
-    own = [] if verify is None else [F.col(text_col).alias("text")]
-    rows = docs.select(F.col(id_col), row.alias("row"), *own, of(F.col(text_col)).alias("f")).select("*", "f.*").drop("f")
-    plain = len(seeds) == 1 and verify is None
-    node = F.element_at("fps", 1) if plain else F.xxhash64(*(["fps"] if verify is None else ["fps", "shingles"]))
-    fps = written(rows.withColumn("node", node), "fingerprints")
-    first = [F.first(c).alias(c) for c in (["fps"] if verify is None else ["fps", "sketch", "bands"])]
-    classes = written(fps.groupBy("node").agg(*first, F.min("row").alias("least")), "classes")
-    links = fingerprint_links(classes, max_bits, len(seeds), verify)
-    if verify is not None:
-        links = verified_links(fps.select("node", "text"), links, verify)
-    parts = connected_components(links)
-    rooted = classes.join(parts, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    fps = written(docs.select(F.col(id_col).alias("__id"), of(F.col(text_col)).alias("node")), "fingerprints")
+    classes = written(fps.groupBy("node").agg(F.min("__id").alias("least")), "classes")
+    links = fingerprint_links(classes.select("node", F.array("node").alias("fps")), max_bits)
+    rooted = classes.join(connected_components(links), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     # written, as in the rounds: one component may hold a third of all classes
     small = written(rooted.groupBy("root").agg(F.min("least").alias("least")), "components")
     found = rooted.select("node", "root").join(small, "root").select("node", "least")
-    return fps.join(found, "node").select(id_col, "row", "fps", "least")
+    return fps.join(found, "node").select(F.col("__id").alias(id_col), F.col("node").alias("fingerprint"), F.col("least").alias("component_id"))
+
+
+def _texts(fps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """`node, text, sketch`: one text of each of some classes."""
+    return written(fps.join(nodes.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"), F.first("sketch").alias("sketch")), "texts")
+
 
+def verified_groups(fps: DataFrame, classes: DataFrame, verify: float, max_bits: int) -> DataFrame:
+    """`node, root` for every class of `classes` (node, fps, sketch, bands): groups of texts that links of the similarity connect.
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 1, max_bits: int = 3, seeds: tuple[int, ...] = (1, 2, 3, 4, 5, 6), distinct: bool = True, verify: float | None = 0.8) -> DataFrame:
+    1. Every class is compared, by exact shingles, with the least one that any
+       of its bands lists: that alone puts nearly all copies of a text
+       together, at a cost that grows with their number.
+    2. The lists of bands and of close fingerprints give further candidates:
+       pairs of unlike groups that sketches do not rule out.
+    3. Such a link may be false, and what it connects may still be alike. So in
+       what the candidates connect all pairs of unlike groups are compared by
+       their exact shingles. No true link between candidates is lost.
+    """
+    sets = index_positions(max_bits)
+    of_bands = [F.struct(F.lit(-1 - i).alias("at"), F.element_at("bands", i + 1).alias("key"), F.lit(0).cast("long").alias("fp")) for i in range(BANDS)]
+    listed = classes.select("node", F.explode(F.array(*of_bands)).alias("e")).select("node", "e.at", "e.key")
+    leaders = written(listed.groupBy("at", "key").agg(F.min("node").alias("group"), F.count("*").alias("n")).filter("n > 1").drop("n"), "leaders")
+    # one link each, to the least of all: what it does not tell is found in the next steps
+    edges = written(listed.join(leaders, ["at", "key"]).filter(F.col("node") != F.col("group")).groupBy("node").agg(F.min("group").alias("group")), "edges")
+    stars = edges.select("group", "node", F.lit(1).cast("long").alias("side")).unionByName(edges.select("group", F.col("group").alias("node"), F.lit(0).cast("long").alias("side")).distinct())
+    blocks, texts = dealt(stars.withColumnRenamed("side", "label"), ["group"], True), _texts(fps, stars)
+    # the sides of a star are its labels, so that the one meets the others and they do not meet
+    links = written(_in_blocks(blocks.join(texts, "node"), ["group"], _alike(verify), "node"), "links")
+    for table in (leaders, edges, texts, blocks):
+        dropped(table)
+    first = written(connected_components(links), "groups")
+    dropped(links)
+    known = written(classes.join(first, "node", "left").select("node", "fps", "sketch", "bands", F.coalesce("root", "node").alias("label")), "known")
+
+    index = known.select("node", "label", F.explode(F.array(*_entries(len(_PRINTS), sets), *of_bands)).alias("e")).select("node", "label", "e.*")
+    # most lists have one label: they go before anything else is known of them
+    mixed = written(index.groupBy("at", "key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("at", "key"), "mixed")
+    index = written(index.join(mixed, ["at", "key"]), "index")
+    lists = dealt(index.join(known.select("node", "sketch"), "node"), ["at", "key"], True)
+    loose = written(_in_blocks(lists, ["at", "key"], _close(max_bits, sets, verify)), "loose")
+    for table in (mixed, index, lists):
+        dropped(table)
+    parts = connected_components(loose)
+    parts = parts.select(F.col("node").alias("label"), F.col("root").alias("group")).unionByName(parts.select(F.col("root").alias("label"), F.col("root").alias("group")).distinct())
+    members = written(known.select("node", "label").join(parts, "label"), "members")
+    blocks, texts = dealt(members, ["group"], True), _texts(fps, members)
+    links = written(_in_blocks(blocks.join(texts, "node"), ["group"], _alike(verify)), "links")
+    last = connected_components(links).withColumnsRenamed({"node": "label", "root": "last"})
+    found = written(known.select("node", "label").join(last, "label", "left").select("node", F.coalesce("last", "label").alias("root")), "roots")
+    for table in (first, known, loose, members, blocks, texts, links):
+        dropped(table)
+    return found
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3, verify: float = 0.8) -> DataFrame:
     """One row of each group of `docs`, the one with the smallest id, all columns kept.
 
-    By default groups are linked by any of six fingerprints over the distinct
-    words of a text: a copy with few words changed keeps most of its set of
-    words, while three bits of one fingerprint over shingles would lose it.
-    Texts that share a band of smallest hashes meet as well, for one pair in
-    sixteen has no close fingerprints. A link needs a similarity of five-word
-    shingles of 0.8 or more, which is counted exactly.
+    Two texts link if their five-word shingles have a similarity of `verify`,
+    which is counted exactly. They meet if either of two fingerprints over the
+    distinct words of a text differ in `max_bits` bits at most: a copy with few
+    words changed keeps most of its set of words, while three bits of one
+    fingerprint over shingles would lose it. Texts that share a band of
+    smallest hashes meet as well, for many a pair has no close fingerprints.
     Rows are told apart by id and text: a row with a null id goes if its group
     has ids, else the least hash of a text decides, as it does among texts of a
-    group that share the smallest id. Of rows equal in both one stays.
+    group that share the smallest id. Of rows equal in both one stays. Null
+    texts and texts without words are one group. An empty table gives no rows;
+    columns may have any names.
     """
+
+    @F.pandas_udf("struct<fps:array<long>,sketch:binary,bands:array<long>,shingles:binary>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts:
+            h = word_hashes([w.lower() for w in words(t)])
+            s = shingle_hashes(h)
+            out.append((word_prints(h).view(np.int64), sketch(s), bands(s).view(np.int64), sha256(s.tobytes()).digest()[:16]))
+        return pd.DataFrame(out, columns=["fps", "sketch", "bands", "shingles"])
+
     h = F.xxhash64(text_col)
     row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), h.alias("hash"))
-    groups = written(_grouped(docs, row, id_col, text_col, shingle, max_bits, seeds, distinct, verify).select("row", "least"), "groups")
+    fps = docs.select(row.alias("row"), F.col(text_col).alias("text"), of(F.col(text_col)).alias("f")).select("row", "text", "f.*")
+    fps = written(fps.withColumn("node", F.xxhash64("shingles")), "fingerprints")
+    classes = written(fps.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fps", "sketch", "bands")], F.min("row").alias("least")), "classes")
+    roots = verified_groups(fps, classes, verify, max_bits)
+    rooted = classes.select("node", "least").join(roots, "node")
+    # written, as in the rounds: one group may hold a third of all classes
+    small = written(rooted.groupBy("root").agg(F.min("least").alias("least")), "components")
+    found = rooted.select("node", "root").join(small, "root").select("node", "least")
+    groups = written(fps.select("node", "row").join(found, "node").select("row", "least"), "groups")
+    for table in (fps, classes, roots, small):
+        dropped(table)
     gone = groups.filter(F.col("row") != F.col("least")).select(F.col("row.id").alias("__gone"), F.col("row.hash").alias("__hash")).distinct()
     stay = docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]) & (h == gone["__hash"]), "left_anti")
     if groups.groupBy("row").count().filter("count > 1").isEmpty():

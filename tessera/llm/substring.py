@@ -21,7 +21,6 @@ BLOCK = 64
 #: Any two odd numbers will do: word hashes are random already.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-_KNOWN: dict[bytes, int] = {}
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -42,19 +41,24 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+class _Hashes(dict):
+    """Word to 64-bit hash; those of short words are kept."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word, 7)
+        if len(word) < 40:
+            self[word] = h
+        return h
+
+
+_KNOWN = _Hashes()
+
+
 def word_hashes(w: list[bytes]) -> np.ndarray:
-    """A 64-bit hash for each word; those of short words are kept by the worker."""
+    """A 64-bit hash for each word."""
     if len(_KNOWN) > 500_000:
         _KNOWN.clear()
-    get, digest, out = _KNOWN.get, xxhash.xxh3_64_intdigest, []
-    for x in w:
-        h = get(x)
-        if h is None:
-            h = digest(x, 7)
-            if len(x) < 40:
-                _KNOWN[x] = h
-        out.append(h)
-    return np.array(out, np.uint64)
+    return np.fromiter(map(_KNOWN.__getitem__, w), np.uint64, len(w))
 
 
 class Prefix:
