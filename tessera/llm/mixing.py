@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.text import WORD
+from tessera.llm.text import WORD, columns_of, whole_row
 from tessera.session import written
 
 #: Parts of the seeded order; only the part in which a quota ends is sorted.
@@ -183,5 +183,5 @@ def mixed_rows(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_co
 
     Every row goes with its own number of uses; no join by id tells rows apart.
     """
-    rows = _mixed(docs, sources, id_col, text_col, row=F.struct(*[F.col(c) for c in docs.columns]), **options).filter("uses > 0")
-    return rows.select("__row", F.explode(F.sequence(F.lit(1), "uses"))).select(*[F.col(f"__row.{c}").alias(c) for c in docs.columns])
+    rows = _mixed(docs, sources, id_col, text_col, row=whole_row(docs), **options).filter("uses > 0")
+    return rows.select("__row", F.explode(F.sequence(F.lit(1), "uses"))).select(*columns_of("__row", docs))

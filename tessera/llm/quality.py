@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.boosting import Forest, fit
-from tessera.llm.text import words
+from tessera.llm.text import columns_of, whole_row, words
 
 #: Statistics that are shares or means, and how the verdict may go with them.
 FEATURES = {
@@ -145,5 +145,5 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.5, max_labelled: int = 20_000) -> DataFrame:
     """The rows of `docs` that `quality_rules` keeps, with their own columns alone."""
     forest = fit_rules(docs, labels, id_col, text_col, label_col, max_labelled)
-    packed = docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    return with_verdict(with_statistics(packed, "__id", "__text", "__row"), forest, threshold).filter("kept").select("__row.*")
+    packed = docs.select(whole_row(docs).alias("__row"), F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    return with_verdict(with_statistics(packed, "__id", "__text", "__row"), forest, threshold).filter("kept").select(*columns_of("__row", docs))

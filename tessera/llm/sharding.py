@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.llm.text import columns_of, whole_row
 from tessera.session import dropped, written
 
 #: Bytes that a row counts besides its text.
@@ -73,6 +74,6 @@ def write_shards(docs: DataFrame, path: str, n_shards: int = 40, id_col: str = "
     folder = "shard"
     while folder in docs.columns:
         folder = f"_{folder}"
-    placed = _placed(docs, n_shards, id_col, text_col, F.struct(*[F.col(c) for c in docs.columns]))
+    placed = _placed(docs, n_shards, id_col, text_col, whole_row(docs))
     out = placed.select(F.col("shard").alias("__shard"), F.col("slot").alias("__slot"), "__row").repartitionByRange("__shard", "__slot").sortWithinPartitions("__shard", "__slot")
-    out.select(*[F.col(f"__row.{c}").alias(c) for c in docs.columns], F.col("__shard").alias(folder)).write.partitionBy(folder).parquet(path)
+    out.select(*columns_of("__row", docs), F.col("__shard").alias(folder)).write.partitionBy(folder).parquet(path)

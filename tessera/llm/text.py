@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words are what stands between ASCII white space.
@@ -23,6 +23,20 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of `df` as one, whatever their names."""
+    return F.struct(*[F.col(_quoted(c)).alias(c) for c in df.columns])
+
+
+def columns_of(row: str, df: DataFrame) -> list[Column]:
+    """The columns of `df` out of a column `row` that `whole_row` made."""
+    return [F.col(f"{row}.{_quoted(c)}").alias(c) for c in df.columns]
+
+
 def slices(texts: pd.Series, rows: int = 256) -> Iterator[pd.Series]:
     """A batch in parts of a few texts; Spark bounds the batch itself by bytes (64 MB unless set otherwise)."""
     for i in range(0, len(texts), rows):

@@ -46,6 +46,25 @@ def test_trees_learn_and_keep_to_their_signs():
         assert (s * step >= -1e-9).all()
 
 
+def walked(forest, row):
+    """The margin of one row, node by node."""
+    total = forest.base
+    for root in forest.roots:
+        at = root
+        while forest.left[at] != at or forest.right[at] != at:
+            at = forest.left[at] if row[forest.feature[at]] <= forest.threshold[at] else forest.right[at]
+        total += forest.value[at]
+    return total
+
+
+def test_flat_arrays_score_as_a_walk_through_the_trees():
+    rng = np.random.default_rng(1)
+    x = rng.random((800, 4))
+    forest = fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0.8).astype(float), np.array([1, 0, 0, -1]))
+    fresh = np.concatenate([rng.random((200, 4)), x[:50]])
+    assert np.allclose(forest.margin(fresh), [walked(forest, r) for r in fresh])
+
+
 def judged(spark):
     good = [(i, r[1], "en", "s") for i, r in enumerate(corpus(5, 60)) if r[1] and len(set(words(r[1]))) > 60]
     good = [(i, r[1], "en", "s") for i, r in enumerate(good)]
