@@ -39,7 +39,7 @@ def similar(queries: DataFrame, corpus: DataFrame, threshold: float = 0.5, query
     each block, with its least distance, and `corpus` may have no other column.
 
     Distances are rounded to six places, so equal ones tie. Null and zero
-    vectors meet nothing.
+    vectors and null keys meet nothing.
     """
     wanted = queries.filter(F.col(query_vector).isNotNull()).select(F.col(query_col).alias("__q"), F.col(query_vector).cast("array<double>").alias("__v"))
     n, width = wanted.agg(F.count("*"), F.max(F.size("__v"))).first()
@@ -56,7 +56,8 @@ def similar(queries: DataFrame, corpus: DataFrame, threshold: float = 0.5, query
                 m = np.stack([np.asarray(v, float) for v in part[vector_col]])
                 yield pd.DataFrame({**{c: [part[c].tolist()] for c in kept}, "__m": [m.tobytes()]})
 
-    packed = corpus.filter(F.col(vector_col).isNotNull()).select(*kept, F.col(vector_col).cast("array<double>")).mapInPandas(pack, ", ".join([*(f"`{c}` array<{k}>" for c, k in kinds.items()), "__m binary"]))
+    rows = corpus.filter(F.col(vector_col).isNotNull() & (F.col(key_col).isNotNull() if nearest else F.lit(True)))
+    packed = rows.select(*kept, F.col(vector_col).cast("array<double>")).mapInPandas(pack, ", ".join([*(f"`{c}` array<{k}>" for c, k in kinds.items()), "__m binary"]))
     packed = packed.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
     met = packed.join(F.broadcast(asked) if n * (width or 0) * 8 <= BROADCAST_BYTES else asked, "__block")
     schema = ", ".join([f"`{query_col}` {queries.schema[query_col].dataType.simpleString()}", *(f"`{c}` {k}" for c, k in kinds.items()), "distance double"])
