@@ -149,14 +149,21 @@ class MergeMachine:
 
     def merged(self, raw: bytes) -> list[int]:
         """The tokens of a few bytes by the merges themselves."""
-        parts = [self.single[b] for b in raw]
-        while len(parts) > 1:
-            best = min(((self.merges[p][0], i) for i, p in enumerate(zip(parts, parts[1:])) if p in self.merges), default=None)
+        parts, get = [self.single[b] for b in raw], self.merges.get
+        found = [get(p) for p in zip(parts, parts[1:])]
+        while True:
+            best, at = None, -1
+            for i, f in enumerate(found):
+                if f is not None and (best is None or f < best):
+                    best, at = f, i
             if best is None:
-                break
-            i = best[1]
-            parts[i : i + 2] = [self.merges[parts[i], parts[i + 1]][1]]
-        return parts
+                return parts
+            parts[at : at + 2] = [best[1]]
+            del found[at]
+            if at:
+                found[at - 1] = get((parts[at - 1], parts[at]))
+            if at < len(found):
+                found[at] = get((parts[at], parts[at + 1]))
 
     def _fits(self, a: int, b: int) -> bool:
         if a < 0:
@@ -260,8 +267,8 @@ class MergeMachine:
                 getattr(self, name).clear()
         if len(self.moves) > MAX_CACHED["moves"]:
             self._anew()
-        known, new = self.words, {}
-        out = np.fromiter(map(lambda w, get=known.get: get(w, -1), words), np.int64, len(words))
+        known, get, new = self.words, self.words.get, {}
+        out = np.array([get(w, -1) for w in words], np.int64)
         missing = np.flatnonzero(out < 0).tolist()
         for i in missing:
             new.setdefault(words[i], len(new))
