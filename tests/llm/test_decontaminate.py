@@ -80,3 +80,12 @@ def test_empty_tables(spark):
     none = contamination(docs, bench.limit(0)).collect()
     assert len(none) == len(rows) and not any(r.n_hit for r in none)
     assert hits(docs, bench.limit(0)).count() == 0
+
+
+def test_null_items_and_clashing_columns(spark):
+    bench = spark.createDataFrame([("null", "one two three"), (None, "one two three"), ("b", "four five")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "one two three four five", "a", 1, 2), (1, "one two three four five", "b", 3, 4), (None, None, "c", 5, 6)], "doc_id long, text string, __spans string, __hash int, `a.b` int")
+    got = sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, ",".join(r["items"])) for r in contamination(docs, bench).collect())
+    assert got == [("1", 5, 5, 3, "b,null,null"), ("1", 5, 5, 3, "b,null,null"), ("None", 0, 0, 0, "")]
+    cut = without_spans(docs, bench)
+    assert cut.columns == docs.columns and sorted((r.text or "", r["__spans"], r["a.b"]) for r in cut.collect()) == [("", "a", 2), ("", "b", 4), ("", "c", 6)]
