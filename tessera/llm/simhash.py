@@ -317,8 +317,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _texts(fps: DataFrame, nodes: DataFrame) -> DataFrame:
-    """`node, text, sketch`: one text of each of some classes."""
-    return written(fps.join(nodes.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"), F.first("sketch").alias("sketch")), "texts")
+    """`node, text, sketch`: one text of each of some classes; the join shuffles at every size, as it must at scale."""
+    return written(fps.join(nodes.select("node").distinct().hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"), F.first("sketch").alias("sketch")), "texts")
 
 
 def verified_groups(fps: DataFrame, classes: DataFrame, verify: float, max_bits: int) -> DataFrame:
@@ -335,27 +335,28 @@ def verified_groups(fps: DataFrame, classes: DataFrame, verify: float, max_bits:
     """
     sets = index_positions(max_bits)
     of_bands = [F.struct(F.lit(-1 - i).alias("at"), F.element_at("bands", i + 1).alias("key"), F.lit(0).cast("long").alias("fp")) for i in range(BANDS)]
-    listed = classes.select("node", F.explode(F.array(*of_bands)).alias("e")).select("node", "e.at", "e.key")
-    leaders = written(listed.groupBy("at", "key").agg(F.min("node").alias("group"), F.count("*").alias("n")).filter("n > 1").drop("n"), "leaders")
+    entries = classes.select("node", F.explode(F.array(*_entries(len(_PRINTS), sets), *of_bands)).alias("e")).select("node", "e.*")
+    # most lists have one text: they go before anything else is known of them
+    lists = written(entries.groupBy("at", "key").agg(F.min("node").alias("group"), F.count("*").alias("n")).filter("n > 1").drop("n"), "lists")
+    shared = written(entries.join(lists.hint("merge"), ["at", "key"]), "shared")
     # one link each, to the least of all: what it does not tell is found in the next steps
-    edges = written(listed.join(leaders, ["at", "key"]).filter(F.col("node") != F.col("group")).groupBy("node").agg(F.min("group").alias("group")), "edges")
+    edges = written(shared.filter((F.col("at") < 0) & (F.col("node") != F.col("group"))).groupBy("node").agg(F.min("group").alias("group")), "edges")
     stars = edges.select("group", "node", F.lit(1).cast("long").alias("side")).unionByName(edges.select("group", F.col("group").alias("node"), F.lit(0).cast("long").alias("side")).distinct())
     blocks, texts = dealt(stars.withColumnRenamed("side", "label"), ["group"], True), _texts(fps, stars)
     # the sides of a star are its labels, so that the one meets the others and they do not meet
     links = written(_in_blocks(blocks.join(texts, "node"), ["group"], _alike(verify), "node"), "links")
-    for table in (leaders, edges, texts, blocks):
+    for table in (lists, edges, texts, blocks):
         dropped(table)
     first = written(connected_components(links), "groups")
     dropped(links)
-    known = written(classes.join(first, "node", "left").select("node", "fps", "sketch", "bands", F.coalesce("root", "node").alias("label")), "known")
+    known = written(classes.select("node", "sketch").join(first, "node", "left").select("node", "sketch", F.coalesce("root", "node").alias("label")), "known")
 
-    index = known.select("node", "label", F.explode(F.array(*_entries(len(_PRINTS), sets), *of_bands)).alias("e")).select("node", "label", "e.*")
-    # most lists have one label: they go before anything else is known of them
+    index = shared.drop("group").join(known.select("node", "label"), "node")
     mixed = written(index.groupBy("at", "key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("at", "key"), "mixed")
     index = written(index.join(mixed, ["at", "key"]), "index")
     lists = dealt(index.join(known.select("node", "sketch"), "node"), ["at", "key"], True)
     loose = written(_in_blocks(lists, ["at", "key"], _close(max_bits, sets, verify)), "loose")
-    for table in (mixed, index, lists):
+    for table in (shared, mixed, index, lists):
         dropped(table)
     parts = connected_components(loose)
     parts = parts.select(F.col("node").alias("label"), F.col("root").alias("group")).unionByName(parts.select(F.col("root").alias("label"), F.col("root").alias("group")).distinct())
