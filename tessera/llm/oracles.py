@@ -37,5 +37,18 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
  cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars, sha256(string_agg(case when role = 'assistant' then text else '' end, '' order by turn, role, text)) as loss_sha256,
  cast(sum(case when role = 'assistant' or last then upto else 0 end) as bigint) as formatted_chars from r group by conv_id"""
 
+#: DuckDB has no CRC-32: its bits, one after another, over the digits of the id.
+_CRC = "xor(list_reduce(list_concat([4294967295::bigint], list_transform(range(1, length(c::varchar) + 1), lambda i: ascii(substr(c::varchar, i::int, 1))::bigint)), lambda x, y: list_reduce(list_concat([xor(x, y)], [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda u, z: xor(u >> 1, 3988292384 * (u & 1)))), 4294967295::bigint)"
+TRIE = rf"""with t as (select conv_id as c, row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as k, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+ cs as (select c, {_CRC} % 4 as h from (select distinct c from t)),
+ r as (select t.c, k, role, text from t join cs on cs.c = t.c where k >= h union all select cs.c, k, role, text from cs join t on t.c = cs.c - cs.c % 20 where k < h),
+ w as (select cs.c, coalesce(list(struct_pack(role := role, text := text) order by k) filter (where k is not null), []) as turns from cs left join r on r.c = cs.c group by cs.c),
+ p as (select c, d, turns[1:d] as pre, d = len(turns) as last from (select c, turns, unnest(range(0, len(turns) + 1)) as d from w)),
+ n as (select pre, d, min(c) as conv_id, count(*) as n_convs, coalesce(string_agg(c::varchar, ',' order by c) filter (where last), '') as ends, case when d > 0 then (count(*) - 1) * len(regexp_extract_all(pre[d].text, '{WORD}')) else 0 end as own from p group by pre, d),
+ k as (select pre[1:d - 1] as pre, count(*) as n_children from n where d > 0 group by 1),
+ m as (select n.*, coalesce(n_children, 0) as n_children, u.conv_id as parent_conv_id from n left join k on k.pre = n.pre left join n u on n.d > 0 and u.pre = n.pre[1:n.d - 1]),
+ s as (select a.conv_id, a.d, sum(case when m.n_children = 0 then 1 else 0 end) as n_leaves, sum(m.own) as saved from (select m.*, unnest(range(0, d + 1)) as up from m) m join n a on a.d = up and a.pre = m.pre[1:up] group by a.conv_id, a.d)
+select m.conv_id, m.d as depth, parent_conv_id, n_convs, n_children, cast(n_leaves as bigint) as n_leaves, cast(saved as bigint) as saved_tokens, sha256(ends) as ends_sha256 from m join s on s.conv_id = m.conv_id and s.d = m.d"""
+
 #: A checksum of every byte makes SQL for the shards too slow over whole tables; they are tested against plain Python.
-ORACLES = {"op2_mix_sources": MIX, "op3_decontaminate": DECONTAMINATE, "op6_chat_examples": CHAT}
+ORACLES = {"op2_mix_sources": MIX, "op3_decontaminate": DECONTAMINATE, "op6_chat_examples": CHAT, "op13_prefix_trie": TRIE}

@@ -87,8 +87,49 @@ def op10_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm.packing import pack
+
+    packed = pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.runs import periodic_runs, repeat_tail, strongest
+    from tessera.llm.text import WORD
+
+    docs = _table(spark, sf_dir, "documents")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    n = F.size(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    docs = docs.select("doc_id", "text", h.alias("h"), F.call_function("div", h, F.lit(10)).alias("g"), F.when(h % 10 == 0, n).alias("n"))
+    docs = docs.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    docs = docs.withColumn("p", (1 + F.call_function("div", F.col("n") - F.col("a"), 3 + F.col("g") % 8)).cast("int"))
+    docs = docs.select("doc_id", F.when(F.col("p").isNotNull(), repeat_tail(F.col("text"), F.col("a"), F.col("p"))).otherwise(F.col("text")).alias("text"))
+    found = periodic_runs(docs)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))), "")
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), strongest(F.col("runs")).alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    exponent = F.call_function("div", 1000 * F.col("best.length"), F.col("best.period"))
+    return found.select("doc_id", "n_runs", "best.start", "best.length", "best.period", exponent.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.trie import numbered_turns, prefix_trie
+    from tessera.session import written
+
+    turns = written(numbered_turns(_table(spark, sf_dir, "conversations")), "numbered")
+    heads = F.crc32(F.col("conv").cast("string").cast("binary")) % 4
+    convs = turns.select("conv").distinct()
+    # the first turns of every twentieth conversation stand at the head of the nineteen after it
+    lead = turns.filter((F.col("k") < 3) & (F.col("conv") % 20 == 0)).withColumnRenamed("conv", "base")
+    given = convs.select("conv", (F.col("conv") - F.col("conv") % 20).alias("base"), heads.alias("h")).join(lead, "base").filter(F.col("k") < F.col("h"))
+    rebuilt = turns.filter(F.col("k") >= heads).unionByName(given.select("conv", "k", "role", "text"))
+    return prefix_trie(rebuilt, convs)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_simhash_dedup, op2_mix_sources, op3_decontaminate, op4_quality_rules, op5_token_counts, op6_chat_examples, op7_substring_dedup, op8_language_id, op9_secret_scan, op10_shard_by_bytes)
+    every = (op1_simhash_dedup, op2_mix_sources, op3_decontaminate, op4_quality_rules, op5_token_counts, op6_chat_examples, op7_substring_dedup, op8_language_id, op9_secret_scan, op10_shard_by_bytes, op11_bm25_packing, op12_periodic_runs, op13_prefix_trie)
     return {f.__name__: f for f in every}
 
 
