@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import norm_key, split_names, to_bool, to_double, to_ts, value_range, value_with_unit
 from tessera.functions.units import to_si
+from tessera.operators.flatten import LIST, MAP, Root, flatten_json, node, opened
 from tessera.operators.tables import insert_absent
 
-#: Keys whose content is lifted to the level above.
-WRAPPERS = ["metadata", "scientificMetadata", "attributes"]
-#: The roots that hold a standard record's attributes, and a publication's, with the prefix of their keys.
-STANDARD_ROOTS = {"document": "", "panosc": "", "datasets": "", "datacite": "", "catalogue": ""}
-PUBLICATION_ROOTS = {"panosc": "", "samples": "samples", "datasets": "", "datacite": "", "users": "users", "reports": "reports", "citations": "citations", "instruments": "instruments", "investigation": "investigation"}
 #: The root that marks a publication; what its entries lose: files, hidden parameters, and the XML of their attributes.
 PUBLICATION_MARK = "collection"
-FILES, PARAMETERS, HIDDEN, XML = "datafiles", "parameters", "__", "xml"
+FILES, PARAMETERS, HIDDEN, ATTRIBUTES, XML = "datafiles", "parameters", "__", "attributes", "xml"
 #: Keys that name a beamline.
 BEAMLINE_KEYS = ["instrument.name", "instrumentName", "instrumentGroup", "measurement.beamline"]
 #: Publishers and the names that stand for them, applied in this order.
@@ -45,82 +37,25 @@ def unpivot(df: DataFrame, id_col: str, columns: list[str], units: dict[str, str
     return df.select(F.col(id_col).alias("doc_id"), F.expr(f"stack({len(columns)}, {pairs}) as (key, value, unit)")).filter("value is not null")
 
 
-#: The keys that make an object one leaf: of its value, of its unit, and of its name or none; tried in this order.
-LEAVES = [("v", "u", None), ("value", "unit", None), ("value", "units", "name")]
-
-
-def leaves(data, key: str = "") -> Iterator[tuple[str, object, object]]:
-    """key, value and unit of every leaf of a parsed JSON value."""
-    todo = [(key, data)]
-    while todo:
-        at, x = todo.pop()
-        if isinstance(x, dict):
-            kind = next((k for k in LEAVES if all(n is None or n in x for n in k)), None)
-            if kind:
-                yield f"{at}.{x[kind[2]]}" if kind[2] else at, x[kind[0]], x[kind[1]]
-            else:
-                todo += [(at if k in WRAPPERS else f"{at}.{k}" if at else k, v) for k, v in x.items()]
-        elif isinstance(x, list):
-            todo += [(at, v) for v in x]
-        else:
-            yield at, x, None
-
-
-def publication_entries(root: str, x) -> list | dict:
-    """A publication's root without what is no attribute."""
-    if root not in ("samples", "datasets", "datacite"):
-        return x
-    shown = lambda p: not (isinstance(p, dict) and str(p.get("name")).startswith(HIDDEN))
-    out = []
-    for entry in x if isinstance(x, list) else []:
-        if isinstance(entry, dict) and root == "datacite":
-            own = entry.get("attributes")
-            entry = entry | {"attributes": {k: v for k, v in own.items() if k != XML}} if isinstance(own, dict) else entry
-        elif isinstance(entry, dict):
-            entry = {k: [p for p in v if shown(p)] if k == PARAMETERS and isinstance(v, list) else v for k, v in entry.items() if k != FILES}
-        out.append(entry)
-    return out
+def _open_shown(key: Column, v: Column) -> Column:
+    """The nodes of a list of parameters, hidden ones left out; of anything else itself."""
+    name = lambda p: F.coalesce(F.try_variant_get(p, "$.name", "string"), F.lit(""))
+    items = F.filter(F.try_variant_get(v, "$", LIST), lambda p: ~name(p).startswith(HIDDEN))
+    return F.when(items.isNotNull(), F.transform(items, lambda p: node(key, p))).otherwise(F.array(node(key, v)))
 
 
-def record_leaves(record, roots: dict[str, str], prune=None) -> Iterator[tuple[str, object, object]]:
-    """The leaves under a record's roots; of `datasets` only entries that are objects."""
-    for root, prefix in roots.items():
-        x = record.get(root) if isinstance(record, dict) else None
-        x = prune(root, x) if prune else x
-        if root == "datasets":
-            x = [e for e in (x if isinstance(x, list) else [x]) if isinstance(e, dict)]
-        yield from leaves(x, prefix)
-
-
-def flatten_json(df: DataFrame, id_col: str, raw_col: str, roots: dict[str, str] | None = None, prune=None) -> DataFrame:
-    """`id_col, key, value, unit` for every leaf of nested JSON texts, of any depth, or of those under `roots`.
-
-    One pass in Arrow batches: built-in functions open one level at a time, so
-    a nested record would be parsed again or written for each. Elements of a
-    list repeat its key; wrapper keys vanish; an object with `v` and `u`, or
-    `value` and `unit`, or `name`, `value` and `units` is one leaf with a unit,
-    whatever else it holds, the last under its name. Values are trimmed text,
-    booleans True and False; nulls, blank keys and JSON that does not parse
-    give nothing.
-    """
-    kind = df.schema[id_col].dataType.simpleString()
-    said = lambda x: None if x is None else str(x).strip()
-
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for i, raw in zip(batch["id"], batch["raw"]):
-                try:
-                    data = json.loads(raw)
-                except (TypeError, ValueError):
-                    continue
-                found = leaves(data) if roots is None else record_leaves(data, roots, prune)
-                out += [(i, k, said(v), said(u)) for k, v, u in found if v is not None and k.strip()]
-            if out:
-                yield pd.DataFrame(out, columns=["id", "key", "value", "unit"])
-
-    found = df.select(F.col(id_col).alias("id"), F.col(raw_col).cast("string").alias("raw")).filter("raw is not null").mapInPandas(of, f"id {kind}, key string, value string, unit string")
-    return found.withColumnRenamed("id", id_col)
+def _open_without_xml(key: Column, v: Column) -> Column:
+    """The nodes of an object without its XML; of anything else itself."""
+    fields = F.map_filter(F.try_variant_get(v, "$", MAP), lambda k, _: k != XML)
+    return F.when(fields.isNotNull(), opened(key, fields)).otherwise(F.array(node(key, v)))
+
+
+#: The roots that hold a standard record's attributes, and a publication's, with the prefix of their keys.
+STANDARD_ROOTS = [Root("document"), Root("panosc"), Root("datasets", only_objects=True), Root("datacite"), Root("catalogue")]
+PUBLICATION_ROOTS = [
+    Root("panosc"), Root("samples", "samples", only_lists=True, without=(FILES,), inner={PARAMETERS: _open_shown}), Root("datasets", only_lists=True, only_objects=True, without=(FILES,), inner={PARAMETERS: _open_shown}),
+    Root("datacite", only_lists=True, inner={ATTRIBUTES: _open_without_xml}), Root("users", "users"), Root("reports", "reports"), Root("citations", "citations"), Root("instruments", "instruments"), Root("investigation", "investigation"),
+]
 
 
 def attribute_rows(flat: DataFrame, id_col: str = "doc_id", kind: str = "EXPLICIT") -> DataFrame:
@@ -129,18 +64,18 @@ def attribute_rows(flat: DataFrame, id_col: str = "doc_id", kind: str = "EXPLICI
     return rows.select(F.col(id_col).alias("doc_id"), F.trim("key").alias("key"), F.trim("value").alias("value"), F.trim("unit").alias("unit"), F.lit(kind).alias("type")).distinct()
 
 
-def _marked(raw_col: str) -> Column:
-    return F.coalesce(F.array_contains(F.json_object_keys(raw_col), PUBLICATION_MARK), F.lit(False))
+def _marked(doc: Column) -> Column:
+    return F.coalesce(F.map_contains_key(F.try_variant_get(doc, "$", MAP), F.lit(PUBLICATION_MARK)), F.lit(False))
 
 
 def publication_attributes(records: DataFrame, id_col: str = "doc_id", raw_col: str = "raw") -> DataFrame:
     """Attribute rows of publications: records that have a `collection`."""
-    return attribute_rows(flatten_json(records.filter(_marked(raw_col)), id_col, raw_col, PUBLICATION_ROOTS, publication_entries), id_col)
+    return attribute_rows(flatten_json(records, id_col, raw_col, PUBLICATION_ROOTS, _marked), id_col)
 
 
 def standard_attributes(records: DataFrame, id_col: str = "doc_id", raw_col: str = "raw") -> DataFrame:
     """Attribute rows of standard records: those without a `collection`."""
-    return attribute_rows(flatten_json(records.filter(~_marked(raw_col)), id_col, raw_col, STANDARD_ROOTS), id_col)
+    return attribute_rows(flatten_json(records, id_col, raw_col, STANDARD_ROOTS, lambda doc: ~_marked(doc)), id_col)
 
 
 def key_registry(attributes: DataFrame, known: DataFrame | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ from tessera.functions.embed import embed_distinct
 from tessera.operators import attributes as A
 from tessera.operators import inferred, tables
 from tessera.registry import new_folder, register, table
+from tessera.session import written
 from tessera.sources import readers, writers
 from tessera.streaming import incremental
 
@@ -162,8 +163,9 @@ def name_rows(spark, d):
   round(sum(case unit when 'mm' then x * 0.001 when 'um' then x * 1e-6 end), 8) as meters, cast(sum(case when lower(value) in ('true', 'false') then 1 else 0 end) as bigint) as booleans from t group by key, type""")
 def extraction_chain(spark, d):
     """Records to documents to attribute rows, derived rows and typed rows, summed by key."""
-    docs = standard_documents(spark, d)
-    rows = A.standard_attributes(docs)
+    # written, as six branches read them: records are parsed once
+    docs = written(standard_documents(spark, d).select("doc_id", "facility", "raw"), "documents")
+    rows = written(A.standard_attributes(docs), "attributes")
     of = docs.join(rows.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "facility", F.lit(1).alias("facility_id"))
     publishers = A.derived_publisher(of, spark.createDataFrame([(1, "ESRF")], "facility_id int, name string"), rows)
     names = A.harmonised_publishers(rows.unionByName(publishers))
