@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from datetime import datetime
 from functools import reduce
@@ -34,6 +35,11 @@ def strict_datetime(value) -> datetime | None:
     return None
 
 
+def pattern_of(text: str) -> str:
+    """A LIKE pattern that Spark takes: a backslash before anything but `%`, `_` and itself stands for what follows it, and vanishes."""
+    return re.sub(r"\\(.)", lambda m: m[0] if m[1] in "%_\\" else m[1], text, flags=re.DOTALL)
+
+
 def _number(x) -> bool:
     return isinstance(x, (int, float)) and not isinstance(x, bool)
 
@@ -93,7 +99,7 @@ def leaf_score(leaf: dict, vector: Sequence[float] | None = None) -> Column | No
 
     `name` is one key or a list of keys. Text by `=` and `LIKE` scores 2 at the
     start of a value and 1 inside it, in any case, with `%` and `_` as
-    wildcards. Negations hold if some row does not match. Not valid are wrong
+    wildcards and a backslash to take the next character as it is. Negations hold if some row does not match. Not valid are wrong
     numbers of values, lists of mixed types, lists beside other operators,
     order on plain text, and unknown operators.
     """
@@ -124,10 +130,10 @@ def leaf_score(leaf: dict, vector: Sequence[float] | None = None) -> Column | No
     elif isinstance(value, (list, tuple)):
         return None
     elif (op in ("LIKE", "ILIKE") or op == "=" and isinstance(value, str)) and strict_datetime(value) is None:
-        score = F.when(text.ilike(f"{value}%"), 2).when(text.ilike(f"%{value}%") | _by_meaning(leaf, vector), 1).otherwise(0)
+        score = F.when(text.ilike(pattern_of(f"{value}%")), 2).when(text.ilike(pattern_of(f"%{value}%")) | _by_meaning(leaf, vector), 1).otherwise(0)
         return F.when(F.col("key").isin(_names(leaf)), score).otherwise(0)
     elif (op in ("NOT LIKE", "NOT ILIKE") or op == "!=" and isinstance(value, str)) and strict_datetime(value) is None:
-        flag = ~text.ilike(f"%{value}%") | _by_meaning(leaf, vector, far=True)
+        flag = ~text.ilike(pattern_of(f"%{value}%")) | _by_meaning(leaf, vector, far=True)
     elif op in COMPARE:
         if (moment := strict_datetime(value)) is not None:
             flag = _dates(op, [moment])

@@ -53,8 +53,9 @@ def parse_candidates(df: DataFrame, json_col: str = "json") -> DataFrame:
 
     A candidate needs a name, a description and a value that is no list or
     object; the first twelve usable ones of a reply count. All evidence
-    indices stay: whole numbers from 0, each once, in order. A reply that does
-    not parse has no candidates.
+    indices stay: whole numbers from 0, each once, in order, as decimals, for a
+    reply may name any (over 38 digits none). A reply that does not parse has
+    no candidates.
     """
     every = F.try_variant_get(F.try_parse_json(F.col(json_col)), "$.filters", "array<variant>")
     text = lambda v, at: F.try_variant_get(v, at, "string")
@@ -64,7 +65,7 @@ def parse_candidates(df: DataFrame, json_col: str = "json") -> DataFrame:
         value = F.when(kind(v) == "BOOLEAN", F.initcap(text(v, "$.value"))).otherwise(F.trim(text(v, "$.value")))
         unit = _spaced(text(v, "$.unit"))
         numbers = F.coalesce(F.try_variant_get(v, "$.evidence_indices", "array<string>"), F.array().cast("array<string>"))
-        numbers = F.array_distinct(F.transform(F.filter(numbers, lambda x: x.rlike(r"^\d+$")), lambda x: x.cast("int")))
+        numbers = F.array_distinct(F.transform(F.filter(numbers, lambda x: x.rlike(r"^0*\d{1,38}$")), lambda x: x.cast("decimal(38,0)")))
         return F.struct(_spaced(text(v, "$.name")).alias("name"), _spaced(text(v, "$.description")).alias("description"), value.alias("value"), F.when(unit != "", unit).alias("unit"), numbers.alias("evidence_indices"), kind(v).rlike("^(OBJECT|ARRAY|VOID)").alias("nested"))
 
     objects = F.filter(every, lambda v: F.schema_of_variant(v).startswith("OBJECT"))
