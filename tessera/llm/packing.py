@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -22,8 +24,10 @@ from tessera.session import written
 K1, B = 1.2, 0.75
 #: Terms of a seed that are looked up, those of greatest weight.
 QUERY_TERMS = 24
+#: Latin letters that have one lower case each, and ASCII marks but the apostrophe, which may begin a contraction.
+LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 #: Blank-free strings whose tokens a worker keeps before it starts anew.
-MAX_CACHED = 800_000
+MAX_CACHED = 1_000_000
 #: Tokens of the documents that share one inverted index.
 SHARD_TOKENS = 1 << 21
 
@@ -45,47 +49,97 @@ class Encoder:
     """Token ids of whole texts, as the library gives them.
 
     Where the tokenizer drops blanks, a text is cut at spaces and line breaks
-    and each distinct string between them is given to the library once.
+    and each distinct string between them is looked up or encoded once. Of one
+    that is a word of Latin letters with marks behind it word and marks are
+    tokens of their own, so each distinct word in lower case is given to the
+    library once; many are joined by spaces, and the tokens that end a word
+    part them.
     """
 
     def __init__(self, raw: str):
         from tokenizers import Tokenizer
 
+        spec = json.loads(raw)
         self.lib = Tokenizer.from_str(raw)
-        self.by_chunk = _parts_at_blanks(json.loads(raw))
+        self.by_chunk = _parts_at_blanks(spec)
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.ends = None
+        if self.by_chunk and suffix and {"type": "Lowercase"} in spec["normalizer"].get("normalizers", []):
+            self.ends = np.zeros(1 + max(spec["model"]["vocab"].values()), bool)
+            self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
         self._anew()
 
     def _anew(self) -> None:
         self.known: dict[str, int] = {"": 0}
-        self.flat, self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.flat, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def _raw(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
+    def _learn_words(self, words: list[str]) -> None:
+        """The tokens of words of Latin letters in lower case."""
+        for i in range(0, len(words), 4096):
+            part = words[i : i + 4096]
+            ids = self._raw([" ".join(part)])[0]
+            cuts = np.flatnonzero(self.ends[np.array(ids)]) + 1
+            if len(cuts) != len(part):
+                raise ValueError("a word of letters must end in one token that ends a word")
+            at = 0
+            for w, cut in zip(part, cuts.tolist()):
+                self.words[w] = tuple(ids[at:cut])
+                at = cut
+
+    def _encoded(self, chunks: list[str]) -> list[tuple[int, ...]]:
+        if self.ends is None:
+            return [tuple(x) for x in self._raw(chunks)]
+        plain = [LATIN.fullmatch(c) for c in chunks]
+        cores = [m and m[1].lower() for m in plain]
+        new = dict.fromkeys(c for c in cores if c and c not in self.words)
+        if new:
+            self._learn_words(list(new))
+        marks = dict.fromkeys(m[2] for m in plain if m and m[2])
+        marked = dict(zip(marks, map(tuple, self._raw(list(marks)))))
+        marked[""] = ()
+        rest = dict.fromkeys(c for c, m in zip(chunks, plain) if not m)
+        other = dict(zip(rest, map(tuple, self._raw(list(rest)))))
+        return [self.words[w] + marked[m[2]] if m else other[c] for c, m, w in zip(chunks, plain, cores)]
+
+    def flat_ids(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each followed by `end` if there is one, and where each text begins, and the last one ends."""
         if not self.by_chunk:
-            return [np.array(i, np.int64) for i in self._raw(texts)]
-        if len(self.known) > MAX_CACHED:
+            every = [x + ([] if end is None else [end]) for x in self._raw(texts)]
+            sizes = np.array([len(x) for x in every], np.int64)
+            return np.fromiter((i for x in every for i in x), np.int32, int(sizes.sum())), np.concatenate([[0], np.cumsum(sizes)])
+        if max(len(self.known), len(self.words)) > MAX_CACHED:
             self._anew()
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        flat = [c for part in chunks for c in part]
-        get = self.known.get
-        at = [get(c, -1) for c in flat]
-        if -1 in at:
-            new = list(dict.fromkeys(c for c, k in zip(flat, at) if k < 0))
-            found = self._raw(new)
+        chunks: list[str] = []
+        upto = [0]
+        for t in texts:
+            chunks += t.replace("\n", " ").split(" ")
+            upto.append(len(chunks))
+        at = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            new = list(dict.fromkeys(chunks[i] for i in missing))
+            found = self._encoded(new)
             sizes = np.array([len(f) for f in found], np.int64)
             self.known.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new))))
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
             self.sizes = np.concatenate([self.sizes, sizes])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for f in found for i in f), np.int64, int(sizes.sum()))])
-            at = [get(c) for c in flat]
-        at = np.array(at, np.int64)
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))])
+            at[missing] = [self.known[chunks[i]] for i in missing]
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         every = self.flat[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        cuts = np.concatenate([[0], ends])[np.cumsum([0, *map(len, chunks)])]
+        cuts = np.concatenate([[0], ends])[upto]
+        if end is None:
+            return every, cuts
+        return np.insert(every, cuts[1:], end), cuts + np.arange(len(cuts))
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        every, cuts = self.flat_ids(texts)
         return [every[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
 
 
@@ -100,10 +154,11 @@ def _orders(n: int) -> np.ndarray:
     return np.stack([(rng.permutation(n) * (65_535 / max(n - 1, 1))).astype(np.uint64) for _ in range(4)])
 
 
-def sketch(ids: np.ndarray, orders: np.ndarray) -> int:
-    """The least token of a document in each of four orders: documents that share tokens stand near each other when sorted by it."""
-    least = orders[:, np.unique(ids)].min(axis=1)
-    return int((least << np.array([48, 32, 16, 0], np.uint64)).sum(dtype=np.uint64).astype(np.int64))
+def sketches(doc: np.ndarray, token: np.ndarray, orders: np.ndarray) -> np.ndarray:
+    """The least token of each document in each of four orders, given its distinct tokens: documents that share tokens stand near each other when sorted by it."""
+    begin = np.flatnonzero(np.diff(doc, prepend=-1))
+    least = np.minimum.reduceat(orders[:, token], begin, axis=1)
+    return (least << np.array([[48], [32], [16], [0]], np.uint64)).sum(axis=0, dtype=np.uint64).astype(np.int64)
 
 
 class Shard:
@@ -264,28 +319,37 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, s
     n_ids = 1 + max(end_id, *spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"]))
     kind = "<u2" if n_ids <= 1 << 16 else "<u4"
 
-    @F.pandas_udf("struct<n:long,sketch:long,ids:binary>")
+    @F.pandas_udf("struct<n:long,sketch:long,ids:binary,seen:binary>")
     def encoded(texts: pd.Series) -> pd.DataFrame:
-        encoder, orders, out = _encoder(key, sent.value), _orders(n_ids), []
+        encoder, orders, out, seen = _encoder(key, sent.value), _orders(n_ids), [], np.zeros(n_ids, np.int64)
         for part in slices(texts):
-            for ids in encoder.ids([t or "" for t in part]):
-                ids = np.append(ids, end_id)
-                out.append((len(ids), sketch(ids, orders), ids.astype(kind).tobytes()))
-        return pd.DataFrame(out, columns=["n", "sketch", "ids"])
+            every, cuts = encoder.flat_ids([t or "" for t in part], end_id)
+            sizes = np.diff(cuts)
+            held = np.unique(np.repeat(np.arange(len(sizes)), sizes) * n_ids + every)
+            doc, token = held // n_ids, held % n_ids
+            seen += np.bincount(token, minlength=n_ids)
+            whole = every.astype(kind)
+            out += zip(sizes.tolist(), sketches(doc, token, orders).tolist(), (whole[a:b].tobytes() for a, b in zip(cuts.tolist(), cuts[1:].tolist())))
+        found = pd.DataFrame(out, columns=["n", "sketch", "ids"])
+        # in how many documents of the batch each token stands, beside its last row
+        some = np.flatnonzero(seen)
+        found["seen"] = [None] * (len(found) - 1) + [np.stack([some, seen[some]]).astype("<i8").tobytes()] if len(found) else []
+        return found
 
     rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), encoded(F.col(text_col)).alias("e"))
-    rows = written(rows.select("id", "row", "e.n", "e.sketch", "e.ids"), "tokens")
+    rows = written(rows.select("id", "row", "e.n", "e.sketch", "e.ids", "e.seen"), "tokens")
 
     def frequencies(batches):
-        seen = np.zeros(n_ids, np.int64)
+        total = np.zeros(n_ids, np.int64)
         for batch in batches:
-            for ids in batch.column("ids"):
-                seen[np.unique(np.frombuffer(ids.as_buffer(), kind))] += 1
-        token = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(seen[token])], ["token", "df"])
+            for x in batch.column("seen"):
+                token, df = np.frombuffer(x.as_buffer(), "<i8").reshape(2, -1)
+                total[token] += df
+        token = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(total[token])], ["token", "df"])
 
     # a row for each token of the vocabulary
-    found = rows.select("ids").mapInArrow(frequencies, "token long, df long").groupBy("token").agg(F.sum("df").alias("df")).collect()
+    found = rows.select("seen").filter("seen is not null").mapInArrow(frequencies, "token long, df long").groupBy("token").agg(F.sum("df").alias("df")).collect()
     total = rows.agg(F.count("*").alias("n"), F.avg(F.col("n") % window).alias("mean")).first()
     df = np.zeros(n_ids)
     df[[r["token"] for r in found]] = [r["df"] for r in found]
