@@ -585,7 +585,7 @@ def document_summaries(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    from tessera import queries_evaluation, queries_records, queries_search  # noqa: F401  (they register themselves)
+    from tessera import queries_evaluation, queries_records, queries_search, queries_trees  # noqa: F401  (they register themselves)
 
     return dict(QUERIES)
 
