@@ -28,14 +28,18 @@ KINDS = ("assign", "access", "hex")
 PERCENT = re.compile(r"[A-Za-z0-9+/_.=~:\"'%-]+")
 PERCENT_PART = re.compile(r"%[0-9A-Fa-f]{2}")
 ESCAPED = re.compile(r"\S+")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-](?:(?:\r?\n)?[A-Za-z0-9+/_-]){15,}={0,2}")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-](?:(?:\r?\n[ \t]*)?[A-Za-z0-9+/_-]){15,}={0,2}")
 #: Stretches of bytes that can hold a secret or a further layer, and starts of compressed streams.
-PRINTED = re.compile(rb"[\x09\x0A\x0D\x20-\x7E]{8,}")
+PRINTED = re.compile(rb"[\x09\x0A\x0D\x20-\x7E]{8,}|(?:[\x09\x0A\x0D\x20-\x7E]\x00){8,}")
 STREAM = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY|\xfd7zXZ\x00")
-ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|u\{([0-9A-Fa-f]{1,6})\}|x([0-9A-Fa-f]{2}))")
-_PLAIN = str.maketrans({"-": "+", "_": "/", "\r": None, "\n": None})
+ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|u\{([0-9A-Fa-f]{1,6})\}|x([0-9A-Fa-f]{2})|([\"'\\/bfnrt]))")
+SHORT = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t"}
+_PLAIN = str.maketrans({"-": "+", "_": "/", "\r": None, "\n": None, " ": None, "\t": None})
+_LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 #: A compressed layer is unfolded and scanned in pieces of so many bytes, each with the end of the one before.
 PIECE, OVERLAP = 16 << 20, 1 << 20
+#: A run of base64 in a compressed layer is held up to so many bytes, so that what it holds is read as one; a longer one is read in pieces and reported.
+LONGEST = 256 << 20
 
 
 def base_spans(text: str) -> Iterator[tuple[int, int, str]]:
@@ -51,86 +55,171 @@ def base_spans(text: str) -> Iterator[tuple[int, int, str]]:
         yield m.start(), m.end(), "hex"
 
 
+def _reads(text: str) -> bool:
+    """Whether nine of ten characters print."""
+    return bool(text) and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.9 * len(text)
+
+
 def _as_text(raw: bytes) -> str | None:
-    """Text if the bytes read as such: UTF-8 in which nine of ten characters print."""
+    """Text if the bytes read as such, in UTF-8, or in UTF-16 where every other byte of most is zero."""
     try:
-        text = raw.decode("utf-8")
+        if _reads(text := raw.decode("utf-8")):
+            return text
     except UnicodeDecodeError:
-        return None
-    good = sum(c.isprintable() or c in "\t\r\n" for c in text)
-    return text if text and good >= 0.9 * len(text) else None
-
-
-def _members(raw: bytes) -> Iterator[bytes]:
-    """The bytes of a gzip, zlib, bzip2 or xz stream and of the members behind it, some at a time; none if it is no such stream."""
-    while raw:
-        if raw[:3] == b"BZh":
-            unfold, name = bz2.BZ2Decompressor(), "bzip2"
-        elif raw[:6] == b"\xfd7zXZ\x00":
-            unfold, name = lzma.LZMADecompressor(lzma.FORMAT_XZ, memlimit=256 << 20), "xz"
-        elif raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0):
-            unfold, name = zlib.decompressobj(wbits=47), "gzip"
-        else:
-            return
-        feed = raw
+        pass
+    half = len(raw) // 2
+    for name, odd in (("utf-16-le", raw[1::2]), ("utf-16-be", raw[0::2])):
+        if half >= 4 and odd.count(0) >= 0.6 * half:
+            text = raw[: 2 * half].decode(name, "replace").lstrip("\ufeff")
+            if _reads(text):
+                return text
+    return None
+
+
+class _Stream:
+    """A compressed stream at the start of some bytes: its content some at a time, then what lies behind it in `rest`.
+
+    `rest` is None if the bytes are no stream or break off; `unread` tells that
+    memory did not suffice.
+    """
+
+    def __init__(self, raw: bytes, bare: bool = False):
+        self.raw, self.bare, self.rest, self.unread = raw, bare, None, False
+
+    def __iter__(self) -> Iterator[bytes]:
+        raw, limited = self.raw, True
         try:
+            if self.bare:
+                unfold = zlib.decompressobj(wbits=-15)
+            elif raw[:3] == b"BZh":
+                unfold, limited = bz2.BZ2Decompressor(), False
+            elif raw[:6] == b"\xfd7zXZ\x00":
+                unfold, limited = lzma.LZMADecompressor(lzma.FORMAT_XZ), False
+            elif raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0):
+                unfold = zlib.decompressobj(wbits=47)
+            else:
+                return
+            feed = raw
             while not unfold.eof:
                 out = unfold.decompress(feed, PIECE)
-                feed = unfold.unconsumed_tail if name == "gzip" else b""
+                feed = unfold.unconsumed_tail if limited else b""
                 if out:
                     yield out
                 elif not feed and not unfold.eof:
                     return  # it breaks off
+        except MemoryError:
+            self.unread = True
+            return
         except (zlib.error, lzma.LZMAError, OSError, ValueError, EOFError):
             return
-        raw = unfold.unused_data
-
-
-def _unfolded(raw: bytes) -> Iterator[bytes]:
-    """What a compressed stream holds, as pieces that overlap: nothing is left out, and one piece is held at a time."""
-    held = b""
-    for out in _members(raw):
-        held += out
-        while len(held) >= PIECE + OVERLAP:
-            cut = PIECE
-            while cut > PIECE - 4 and held[cut] & 0xC0 == 0x80:  # not within a character
-                cut -= 1
-            yield held[:cut]
-            held = held[cut - OVERLAP :]
-            while held and held[0] & 0xC0 == 0x80:
-                held = held[1:]
+        self.rest = unfold.unused_data
+
+
+def _open_run(held: bytes, cut: int) -> int:
+    """Where the run of base64 begins that reaches over `cut`; `cut` if there is none."""
+    at = cut
+    if held[cut : cut + 1] not in (b"\r", b"\n") and held[cut] not in _LETTERS:
+        return cut
+    while True:
+        start = len(held[max(0, at - 4096) : at].rstrip(_LETTERS)) + max(0, at - 4096)
+        if start == at - 4096 and start > 0:
+            at = start
+            continue
+        line = held[max(0, start - 256) : start].rstrip(b" \t")
+        if not line.endswith(b"\n"):
+            return start
+        before = max(0, start - 256) + len(line) - (2 if line.endswith(b"\r\n") else 1)
+        if before == 0 or held[before - 1] not in _LETTERS:
+            return start
+        at = before
+
+
+def _unfolded(stream: _Stream) -> Iterator[bytes]:
+    """What compressed streams hold, as pieces that overlap: nothing is left out, and about one piece is held at a time.
+
+    Members that follow each other are one content. No piece ends within a run
+    of base64, so a further layer in it is read whole.
+    """
+    held, full = b"", PIECE + OVERLAP
+    while True:
+        for out in stream:
+            held += out
+            while len(held) >= full:
+                cut = PIECE
+                while cut > PIECE - 4 and held[cut] & 0xC0 == 0x80:  # not within a character
+                    cut -= 1
+                start = _open_run(held, cut)
+                if start <= OVERLAP < cut:  # a run fills the piece
+                    if len(held) < LONGEST:
+                        full = min(2 * full, LONGEST)
+                        last = _open_run(held, len(held) - 1)
+                        if last <= OVERLAP:
+                            continue
+                        start = last
+                    else:
+                        stream.unread, start = True, cut
+                yield held[:start]
+                held, full = held[start - OVERLAP :], PIECE + OVERLAP
+                while held and held[0] & 0xC0 == 0x80:
+                    held = held[1:]
+        if not stream.rest or not STREAM.match(stream.rest):
+            break
+        stream.raw, stream.rest, stream.bare = stream.rest, None, False
     if held:
         yield held
 
 
 def _contents(body: str) -> Iterator[tuple[str, str]]:
-    """Name and content of what a run of base64 holds at any of the four places where it may begin."""
+    """Name and content of what a run of base64 holds at any of the four places where it may begin.
+
+    Compressed streams are looked for at every place of the bytes, the next one
+    behind the end of the last; then what prints of the bytes is given.
+    """
     for k in range(4):
         own = body[k:]
         own = own[:-1] if len(own) % 4 == 1 else own
         raw = base64.b64decode(own + "=" * (-len(own) % 4))
-        if k == 0:
-            whole = False
-            for plain in _unfolded(raw):
+        if k == 0 and not STREAM.match(raw) and (out := _as_text(raw)):
+            yield "base64", out
+            return
+        at = 0
+        while m := STREAM.search(raw, at):
+            stream, some = _Stream(raw[m.start() :]), False
+            for plain in _unfolded(stream):
                 if out := _as_text(plain) or _printed(plain):
-                    whole = True
+                    some = True
                     yield "gzip", out
-            if whole:
-                return
-            if out := _as_text(raw):
-                yield "base64", out
+            if stream.unread:
+                yield "gzip", None
+            if k == 0 and m.start() == 0 and some and stream.rest == b"":
                 return
-        for m in STREAM.finditer(raw):
-            for plain in _unfolded(raw[m.start() :]):
-                if out := _as_text(plain) or _printed(plain):
-                    yield "gzip", out
+            at = len(raw) - len(stream.rest) if some and stream.rest is not None else m.start() + 1
+        # deflate without a header
+        whole = b""
+        stream = _Stream(raw, bare=True)
+        for plain in _unfolded(stream):
+            if not (out := _as_text(plain)):
+                break
+            whole = plain
+            if len(plain) >= 4 or stream.rest is not None:
+                yield "deflate", out
+        if k == 0 and whole and stream.rest == b"":
+            return
         if out := _printed(raw):
             yield "base64", out
 
 
 def _printed(raw: bytes) -> str:
-    """The printed stretches of bytes that are no text as a whole."""
-    return "\0".join(m.decode("ascii") for m in PRINTED.findall(raw))
+    """The printed stretches of bytes that are no text as a whole, in one byte or two for each character."""
+    return "\0".join(m.replace(b"\0", b"").decode("ascii") for m in PRINTED.findall(raw))
+
+
+def _character(e: re.Match) -> str:
+    """What an escape stands for; itself if that is no character."""
+    if e[5]:
+        return SHORT.get(e[5], e[5])
+    c = int(next(g for g in e.groups() if g), 16)
+    return chr(c) if c < 0x110000 and not 0xD800 <= c < 0xE000 else e[0]
 
 
 def _spelt(text: str) -> Iterator[tuple[int, int, str, str]]:
@@ -143,7 +232,7 @@ def _spelt(text: str) -> Iterator[tuple[int, int, str, str]]:
         for m in ESCAPED.finditer(text):
             if "\\" not in m[0]:
                 continue
-            out = ESCAPE.sub(lambda e: chr(c) if (c := int(next(g for g in e.groups() if g), 16)) < 0x110000 and not 0xD800 <= c < 0xE000 else e[0], m[0])
+            out = ESCAPE.sub(_character, m[0])
             if out != m[0]:
                 yield m.start(), m.end(), "unicode", out
 
@@ -194,7 +283,8 @@ def scan(text: str | None) -> list[tuple[int, int, str]]:
     come one at a time, so a layer is held once for each depth. Spans found in
     a layer are mapped to the outermost encoded stretch and named after the
     chain, as in `base64>url>assign`. Compressed layers of any size are read
-    to their end, in pieces that overlap.
+    to their end, in pieces that overlap; one that memory does not suffice for,
+    or with a run of base64 over `LONGEST` in it, also has a span `...>unread`.
     """
     text = text or ""
     found = {(a, b, k) for a, b, k in base_spans(text)}
@@ -206,6 +296,9 @@ def scan(text: str | None) -> list[tuple[int, int, str]]:
             todo.pop()
             continue
         span, name, out = item
+        if out is None:
+            found.add((*span, f"{name}>unread"))
+            continue
         mark = (span, sha256(out.encode("utf-8", "surrogatepass")).digest())
         if mark in seen:
             continue
@@ -216,7 +309,7 @@ def scan(text: str | None) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda x: (x[0], order.get(x[2], 9), x[2], x[1]))
 
 
-def _opened(layer: str, outer: tuple[int, int] | None, before: str, found: set) -> Iterator[tuple[tuple[int, int], str, str]]:
+def _opened(layer: str, outer: tuple[int, int] | None, before: str, found: set) -> Iterator[tuple[tuple[int, int], str, str | None]]:
     """Span, chain and content of each layer within one; spans over the edges of decoded runs are added to `found`."""
     spelt = list(_spelt(layer))
     for name in ("url", "unicode"):
@@ -232,9 +325,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Offsets are code points of the row's own text, end exclusive. Null and
     empty texts have no spans; repeated rows come back each; an empty table
     gives no rows. Other columns are not looked at. One text is one worklist:
-    memory is bounded by the text and, for each depth, one piece of a layer.
-    A single run of base64 longer than a piece, itself within a compressed
-    layer, is read piece by piece.
+    memory is bounded by the text and, for each depth, one piece of a layer or
+    its longest run of base64 up to `LONGEST`.
     """
 
     @F.pandas_udf("array<struct<kind:string,start:long,end:long>>")

@@ -98,20 +98,91 @@ def test_other_compressed_layers_and_their_members():
 
 
 def test_compressed_layers_of_any_size_are_read_to_the_end():
-    from tessera.llm.secret_scan import OVERLAP, PIECE, _unfolded
+    from tessera.llm.secret_scan import OVERLAP, PIECE, _Stream, _unfolded
 
     filler = "lorem ipsum é "
     for at in (70 << 20, PIECE - 10, 2 * PIECE - OVERLAP - 5, 3 * PIECE):
         big = bytearray((filler * (72 * (1 << 20) // len(filler.encode()))).encode())
         big[at : at + 21] = b" password=hunter22xy "
         packed = zlib.compress(bytes(big), 1)
-        pieces = list(_unfolded(packed))
+        pieces = list(_unfolded(_Stream(packed)))
         assert len(pieces) > 3 and max(map(len, pieces)) <= PIECE + OVERLAP
         assert any(b"password=hunter22xy" in p for p in pieces)
     spans = scan(f"a {base64.b64encode(packed).decode()} z")
     assert any(k == "gzip>assign" for _, _, k in spans)
 
 
+SECRET = "password=hunter22xyz"
+
+
+def kinds(text):
+    return {k for _, _, k in scan(text)}
+
+
+def b64(raw):
+    return base64.b64encode(raw).decode()
+
+
+def test_what_stands_behind_a_compressed_member_is_read():
+    gz = gzip.compress(b"nothing of note", mtime=0)
+    assert any(k.endswith("assign") for k in kinds(b64(gz + f"\n{SECRET}".encode())))
+    assert any(k.endswith("gzip>assign") for k in kinds(b64(gz + b"\0\1\2 between \3" + zlib.compress(SECRET.encode()))))
+    assert any(k.endswith("assign") for k in kinds(b64(gz + bz2.compress(b"more")[:-9] + f" then {SECRET}".encode())))
+
+
+def test_deflate_without_a_header():
+    pack = zlib.compressobj(wbits=-15)
+    raw = pack.compress(f"some text before {SECRET} and after".encode()) + pack.flush()
+    assert "deflate>assign" in kinds(f"x {b64(raw)} y")
+    rng = random.Random(3)
+    for _ in range(300):
+        assert not kinds(b64(rng.randbytes(rng.randrange(12, 400))))
+
+
+def test_texts_of_two_bytes_a_character():
+    for name in ("utf-16", "utf-16-le", "utf-16-be"):
+        assert "base64>assign" in kinds(b64(f"é and {SECRET} there".encode(name)))
+        assert any(k.endswith("assign") for k in kinds(b64(b"\xff\x00\x81" + SECRET.encode(name) + b"\x99" * 30)))
+        assert "gzip>assign" in kinds(b64(gzip.compress(SECRET.encode(name), mtime=0)))
+
+
+def test_wrapped_lines_that_are_indented():
+    lines = b64(f"line after line of words, {SECRET}, and so on to the end".encode() * 3)
+    for sep in ("\n  ", "\r\n\t", "\n"):
+        assert "base64>assign" in kinds("data:\n" + sep.join(lines[i : i + 40] for i in range(0, len(lines), 40)))
+
+
+def test_escapes_of_json():
+    assert any(a == 0 and k == "unicode>assign" for a, _, k in scan(r'password=\/\/hun\/ter22'))
+    assert "unicode>assign" in kinds(r'{"text": "{\"password\": \"hunter22xyz\"}"}')
+    assert "unicode>base64>assign" in kinds('{"blob": "' + b64(f"???>>> {SECRET} ???>>>".encode()).replace("/", "\\/") + '"}')
+
+
+def test_layers_that_need_much_memory_to_unfold():
+    filters = [{"id": lzma.FILTER_LZMA2, "preset": 0, "dict_size": 400 << 20}]
+    packed = lzma.compress(SECRET.encode(), filters=filters)
+    assert "gzip>assign" in kinds(b64(packed))
+
+
+def test_runs_longer_than_a_piece_within_a_layer(monkeypatch):
+    from tessera.llm import secret_scan as S
+
+    monkeypatch.setattr(S, "PIECE", 4096)
+    monkeypatch.setattr(S, "OVERLAP", 512)
+    monkeypatch.setattr(S, "LONGEST", 1 << 17)
+    rng = random.Random(5)
+    for size, sep in ((20_000, ""), (70_000, ""), (20_000, "\n"), (3000, "\r\n  ")):
+        inner = b64(zlib.compress(rng.randbytes(size // 2) + SECRET.encode() + rng.randbytes(size // 4)))
+        inner = sep.join(inner[i : i + 76] for i in range(0, len(inner), 76))
+        for lead in (10, 4000, 9000):
+            words = " ".join(str(rng.random()) for _ in range(lead // 18))
+            outer = gzip.compress(f"{words} {inner} {words}".encode(), mtime=0)
+            assert "gzip>gzip>assign" in kinds(b64(outer)), (size, sep, lead)
+    long = b64(rng.randbytes(300_000))
+    assert "gzip>unread" in kinds(b64(gzip.compress(f"a {long} b {SECRET}".encode(), mtime=0))) and "gzip>assign" in kinds(b64(gzip.compress(f"a {long} b {SECRET}".encode(), mtime=0)))
+    assert not any(k.endswith("unread") for k in kinds(b64(gzip.compress(("words and lines\n" * 30_000).encode(), mtime=0))))
+
+
 def peeled(text, depth=0):
     """All texts within a text, by trying everything everywhere: a slow counterpart for short texts."""
     yield text
@@ -132,7 +203,7 @@ def peeled(text, depth=0):
 
 
 def _tried(raw):
-    for pack in (gzip.decompress, zlib.decompress, bz2.decompress, lzma.decompress):
+    for pack in (gzip.decompress, zlib.decompress, bz2.decompress, lzma.decompress, lambda x: zlib.decompress(x, wbits=-15), lambda x: x.decode("utf-16-le").encode("ascii")):
         try:
             yield pack(raw)
         except Exception:  # noqa: BLE001
@@ -144,6 +215,7 @@ def test_layers_match_a_slow_decoder():
     wraps = [
         lambda t: base64.b64encode(t.encode()).decode(), lambda t: quote(t, safe="").replace("a", "%61"), lambda t: "".join(f"\\u{ord(c):04x}" for c in t),
         lambda t: base64.b64encode(gzip.compress(t.encode(), mtime=0)).decode(), lambda t: base64.b64encode(bz2.compress(t.encode())).decode(),
+        lambda t: b64(zlib.compress(t.encode(), wbits=-15)), lambda t: b64(t.encode("utf-16-le")),
     ]
     for _ in range(60):
         inner = rng.choice(["token=abcdef123", "plain words only", f"id {KEY}", "x" * 30, "0123456789abcdef" * 2])
