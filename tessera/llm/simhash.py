@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tessera.llm.components import connected_components
 from tessera.llm.shingles import BANDS, bands, maybe_alike, shared_counts, shingle_hashes, sketch
 from tessera.llm.substring import word_hashes
-from tessera.llm.text import whole_runs, words
+from tessera.llm.text import columns_of, whole_row, whole_runs, words
 from tessera.session import dropped, written
 
 SEED = 42
@@ -145,21 +145,28 @@ def spanning(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.array(taken, np.int64)
 
 
-def dealt(rows: DataFrame, keys: list[str], labelled: bool) -> DataFrame:
-    """`rows` (keys, node, label, ...) with `kind, i, j, top, own`: any two rows of a list with unlike labels meet in one block.
+def list_sizes(rows: DataFrame, keys: list[str], labelled: bool) -> DataFrame:
+    """`keys, most, k, m` of every list with two rows at least that may meet: its most common label, its rows, and the other rows.
 
-    Rows of a list's most common label need not meet each other, so a list of
-    very many rows that are known to belong together is dealt out once: its
-    blocks meet the blocks of the other rows, and those meet each other. Lists
-    with one label vanish. Without `labelled` every row is its own label.
+    Without `labelled` every row is its own label. Written, so that joins with
+    it read two plain shuffles and Spark can split a list with very many rows.
     """
     if labelled:
         sizes = rows.groupBy(*keys, "label").agg(F.count("*").alias("n")).groupBy(*keys)
         sizes = sizes.agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("t"), F.count("*").alias("labels")).filter("labels > 1").select(*keys, F.col("t.label").alias("most"), F.col("t.n").alias("k"), (F.col("n") - F.col("t.n")).alias("m"))
     else:
         sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.max("label").alias("most")).filter("n > 1").select(*keys, "most", F.lit(1).cast("long").alias("k"), (F.col("n") - 1).alias("m"))
-    # written, so that the join reads two plain shuffles and Spark can split a list with very many rows
-    sizes = written(sizes, "sizes")
+    return written(sizes, "sizes")
+
+
+def dealt(rows: DataFrame, keys: list[str], sizes: DataFrame) -> DataFrame:
+    """`rows` (keys, node, label, ...) with `kind, i, j, top, own`: any two rows of a list of `sizes` with unlike labels meet in one block.
+
+    Rows of a list's most common label need not meet each other, so a list of
+    very many rows that are known to belong together is dealt out once: its
+    blocks meet the blocks of the other rows, and those meet each other. Lists
+    with one label vanish.
+    """
     both = rows.join(sizes, keys)
     top = F.col("label") == F.col("most")
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
@@ -170,9 +177,7 @@ def dealt(rows: DataFrame, keys: list[str], labelled: bool) -> DataFrame:
     to_most = F.transform(upto("k"), lambda x: at(0, x, own))
     to_rest = F.when(F.col("m") > 1, F.transform(upto("m"), lambda x: at(1, F.least(own, x), F.greatest(own, x)))).otherwise(F.array().cast("array<struct<kind:int,i:int,j:int>>"))
     places = F.when(F.col("top"), F.transform(upto("m"), lambda x: at(0, own, x))).otherwise(F.concat(to_most, to_rest))
-    out = both.withColumn("place", F.explode(places)).select("*", "place.*").drop("most", "k", "m", "place")
-    out._tessera_path = sizes._tessera_path  # so that `dropped` finds it
-    return out
+    return both.withColumn("place", F.explode(places)).select("*", "place.*").drop("most", "k", "m", "place")
 
 
 def _meet(run: pd.DataFrame, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -287,7 +292,7 @@ def fingerprint_links(classes: DataFrame, max_bits: int = 3) -> DataFrame:
     """
     sets = index_positions(max_bits)
     index = classes.select("node", F.explode(F.array(*_entries(1, sets))).alias("e")).select("node", F.col("node").alias("label"), "e.*")
-    return _in_blocks(dealt(index, ["at", "key"], False), ["at", "key"], _close(max_bits, sets, None))
+    return _in_blocks(dealt(index, ["at", "key"], list_sizes(index, ["at", "key"], False)), ["at", "key"], _close(max_bits, sets, None))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3, seed: int = SEED) -> DataFrame:
@@ -321,6 +326,48 @@ def _texts(fps: DataFrame, nodes: DataFrame) -> DataFrame:
     return written(fps.join(nodes.select("node").distinct().hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"), F.first("sketch").alias("sketch")), "texts")
 
 
+def prefix_links(members: DataFrame, texts: DataFrame, verify: float) -> DataFrame:
+    """`a, b`: the labels of all pairs of `members` (node, label, group) of one group that have the similarity and unlike labels.
+
+    No group's pairs are compared one by one. The shingles of a text are
+    sorted by how many texts of the group have them, the rarest first. Two
+    texts of the similarity, the smaller with x and the larger with y
+    shingles, share at least 2v / (1 + v) of x and v of y, so one of the first
+    x - ceil(2v / (1 + v) x) + 1 shingles of the one is among the first
+    y - ceil(v y) + 1 of the other. Texts that share a template but have a
+    ninth of their own do not meet at all. Pairs that meet, whose sizes and
+    places leave enough, are counted by their exact shingles.
+    """
+
+    @F.pandas_udf("array<long>")
+    def of(batch: pd.Series) -> pd.Series:
+        return pd.Series([shingle_hashes(word_hashes([w.lower() for w in words(t)])).view(np.int64) for t in batch])
+
+    sets = written(texts.join(members.select("node").distinct(), "node", "left_semi").select("node", of("text").alias("shingles")), "sets")
+    each = members.join(sets, "node").select("node", "label", "group", F.explode("shingles").alias("h"))
+    often = written(each.groupBy("group", "h").agg(F.count("*").alias("df")).filter("df > 1"), "often")
+    # written, so that Spark can split a shingle that very many texts have
+    counted = written(each.join(often, ["group", "h"], "left").select("node", "label", "group", F.coalesce("df", F.lit(1).cast("long")).alias("df"), "h"), "counted")
+    ranked = counted.groupBy("node", "label", "group").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s")).withColumn("n", F.size("s"))
+    first = lambda share: (F.col("n") - F.ceil(F.lit(share) * F.col("n") - 1e-9) + 1).cast("int")
+    places = lambda share: F.posexplode(F.transform(F.slice("s", F.lit(1), first(share)), lambda x: x["h"])).alias("at", "h")
+    some = ranked.filter("n > 0")
+    ask = some.select("group", "node", "label", "n", places(verify))
+    # a shingle that one text alone has leads nowhere
+    own = some.select("group", "node", "label", "n", places(2 * verify / (1 + verify))).join(often.select("group", "h"), ["group", "h"], "left_semi")
+    own = written(own.select("group", "h", F.col("node").alias("x"), F.col("label").alias("a"), F.col("n").alias("nx"), F.col("at").alias("i")), "own")
+    ask = written(ask.select("group", "h", F.col("node").alias("y"), F.col("label").alias("b"), F.col("n").alias("ny"), F.col("at").alias("j")).join(own.select("group", "h").distinct(), ["group", "h"], "left_semi"), "ask")
+    least = F.ceil(F.lit(verify / (1 + verify)) * (F.col("nx") + F.col("ny")) - 1e-9)
+    room = F.least("i", "j") + 1 + F.least(F.col("nx") - F.col("i"), F.col("ny") - F.col("j")) - 1
+    met = own.join(ask, ["group", "h"]).filter((F.col("a") != F.col("b")) & (F.col("nx") <= F.col("ny")) & (F.col("nx") >= F.lit(verify) * F.col("ny") - 1e-9) & (room >= least)).select("x", "y", "a", "b", "nx", "ny").distinct()
+    met = met.join(sets.select(F.col("node").alias("x"), F.col("shingles").alias("sx")), "x").join(sets.select(F.col("node").alias("y"), F.col("shingles").alias("sy")), "y")
+    both = F.size(F.array_intersect("sx", "sy"))
+    links = written(met.filter(both >= F.lit(verify) * (F.col("nx") + F.col("ny") - both)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "prefix-links")
+    for table in (sets, often, counted, own, ask):
+        dropped(table)
+    return links
+
+
 def verified_groups(fps: DataFrame, classes: DataFrame, verify: float, max_bits: int) -> DataFrame:
     """`node, root` for every class of `classes` (node, fps, sketch, bands): groups of texts that links of the similarity connect.
 
@@ -328,10 +375,15 @@ def verified_groups(fps: DataFrame, classes: DataFrame, verify: float, max_bits:
        of its bands lists: that alone puts nearly all copies of a text
        together, at a cost that grows with their number.
     2. The lists of bands and of close fingerprints give further candidates:
-       pairs of unlike groups that sketches do not rule out.
+       pairs of unlike groups that sketches do not rule out; of a list with
+       over `BLOCK` rows beside its largest group all rows, without a look at
+       their pairs.
     3. Such a link may be false, and what it connects may still be alike. So in
        what the candidates connect all pairs of unlike groups are compared by
-       their exact shingles. No true link between candidates is lost.
+       their exact shingles: one by one where over `BLOCK` rows beside the
+       largest group there are none, else those that their rarest shingles
+       bring together (`prefix_links`). No true link between candidates is
+       lost, and no part compares in the square of its rows.
     """
     sets = index_positions(max_bits)
     of_bands = [F.struct(F.lit(-1 - i).alias("at"), F.element_at("bands", i + 1).alias("key"), F.lit(0).cast("long").alias("fp")) for i in range(BANDS)]
@@ -341,31 +393,38 @@ def verified_groups(fps: DataFrame, classes: DataFrame, verify: float, max_bits:
     shared = written(entries.join(lists.hint("merge"), ["at", "key"]), "shared")
     # one link each, to the least of all: what it does not tell is found in the next steps
     edges = written(shared.filter((F.col("at") < 0) & (F.col("node") != F.col("group"))).groupBy("node").agg(F.min("group").alias("group")), "edges")
-    stars = edges.select("group", "node", F.lit(1).cast("long").alias("side")).unionByName(edges.select("group", F.col("group").alias("node"), F.lit(0).cast("long").alias("side")).distinct())
-    blocks, texts = dealt(stars.withColumnRenamed("side", "label"), ["group"], True), _texts(fps, stars)
+    stars = edges.select("group", "node", F.lit(1).cast("long").alias("label")).unionByName(edges.select("group", F.col("group").alias("node"), F.lit(0).cast("long").alias("label")).distinct())
+    sizes, texts = list_sizes(stars, ["group"], True), _texts(fps, stars)
     # the sides of a star are its labels, so that the one meets the others and they do not meet
-    links = written(_in_blocks(blocks.join(texts, "node"), ["group"], _alike(verify), "node"), "links")
-    for table in (lists, edges, texts, blocks):
+    links = written(_in_blocks(dealt(stars, ["group"], sizes).join(texts, "node"), ["group"], _alike(verify), "node"), "links")
+    for table in (lists, edges, texts, sizes):
         dropped(table)
     first = written(connected_components(links), "groups")
     dropped(links)
     known = written(classes.select("node", "sketch").join(first, "node", "left").select("node", "sketch", F.coalesce("root", "node").alias("label")), "known")
 
     index = shared.drop("group").join(known.select("node", "label"), "node")
-    mixed = written(index.groupBy("at", "key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("at", "key"), "mixed")
+    mixed = written(index.groupBy("at", "key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("at", "key", F.col("a").alias("least")), "mixed")
     index = written(index.join(mixed, ["at", "key"]), "index")
-    lists = dealt(index.join(known.select("node", "sketch"), "node"), ["at", "key"], True)
-    loose = written(_in_blocks(lists, ["at", "key"], _close(max_bits, sets, verify)), "loose")
-    for table in (shared, mixed, index, lists):
+    few, many = f"m <= {BLOCK}", f"m > {BLOCK}"
+    sizes = list_sizes(index, ["at", "key"], True)
+    crowded = index.join(sizes.filter(many).select("at", "key"), ["at", "key"], "left_semi").filter("label <> least").select(F.col("least").alias("a"), F.col("label").alias("b")).distinct()
+    lists = dealt(index.drop("least").join(known.select("node", "sketch"), "node"), ["at", "key"], sizes.filter(few))
+    loose = written(_in_blocks(lists, ["at", "key"], _close(max_bits, sets, verify)).unionByName(crowded), "loose")
+    for table in (shared, mixed, index, sizes):
         dropped(table)
     parts = connected_components(loose)
     parts = parts.select(F.col("node").alias("label"), F.col("root").alias("group")).unionByName(parts.select(F.col("root").alias("label"), F.col("root").alias("group")).distinct())
     members = written(known.select("node", "label").join(parts, "label"), "members")
-    blocks, texts = dealt(members, ["group"], True), _texts(fps, members)
-    links = written(_in_blocks(blocks.join(texts, "node"), ["group"], _alike(verify)), "links")
+    sizes, texts = list_sizes(members, ["group"], True), _texts(fps, members)
+    links = _in_blocks(dealt(members, ["group"], sizes.filter(few)).join(texts, "node"), ["group"], _alike(verify))
+    large = members.join(sizes.filter(many).select("group"), "group", "left_semi")
+    if not large.isEmpty():
+        links = links.unionByName(prefix_links(large, texts, verify))
+    links = written(links, "links")
     last = connected_components(links).withColumnsRenamed({"node": "label", "root": "last"})
     found = written(known.select("node", "label").join(last, "label", "left").select("node", F.coalesce("last", "label").alias("root")), "roots")
-    for table in (first, known, loose, members, blocks, texts, links):
+    for table in (first, known, loose, members, sizes, texts, links):
         dropped(table)
     return found
 
@@ -381,7 +440,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     smallest hashes meet as well, for many a pair has no close fingerprints.
     Rows are told apart by id and text: a row with a null id goes if its group
     has ids, else the least hash of a text decides, as it does among texts of a
-    group that share the smallest id. Of rows equal in both one stays. Null
+    group that share the smallest id. Of rows equal in both the one whose other
+    columns come first, written as JSON, stays. Null
     texts and texts without words are one group. An empty table gives no rows;
     columns may have any names.
     """
@@ -412,4 +472,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     stay = docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]) & (h == gone["__hash"]), "left_anti")
     if groups.groupBy("row").count().filter("count > 1").isEmpty():
         return stay
-    return stay.dropDuplicates([id_col, text_col])
+    row = whole_row(docs)
+    first = stay.groupBy(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).agg(F.min_by(row, F.to_json(row)).alias("__row"))
+    return first.select(*columns_of("__row", docs))

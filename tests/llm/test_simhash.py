@@ -194,3 +194,32 @@ def test_rows_are_told_apart_by_id_and_text(spark):
     kept = Counter((r.doc_id, r.text) for r in keep_one(docs_of(spark, [(*r, "en", "s") for r in rows])).collect())
     assert len({c, near} & {t for i, t in kept if i is None}) == 1
     assert {k: n for k, n in kept.items() if k[1] not in (c, near)} == dict.fromkeys([(1, a), (None, b), (3, d), (5, e), (7, "y"), (8, "z"), (8, "z z")], 1)
+
+
+def test_rarest_shingles_bring_all_similar_pairs_together(spark):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for g in range(4):
+        template = [word() for _ in range(60)]
+        for _ in range(30):
+            own = [word() for _ in range(rng.choice([0, 2, 5, 8, 12, 20]))]
+            rows.append((len(rows), len(rows) if rng.random() < 0.8 else 1000 + g, g, " ".join([*template, *own])))
+    rows += [(len(rows), 5000, 0, ""), (len(rows) + 1, 5001, 0, "one two"), (len(rows) + 2, 5002, 0, "One two")]
+    for verify in (0.8, 0.6):
+        want = set()
+        for i, a, g, s in rows:
+            for j, b, h, t in rows:
+                x, y = _alike_sets(s), _alike_sets(t)
+                if a < b and g == h and words(s) and words(t) and len(x & y) >= verify * len(x | y) - 1e-9:
+                    want.add((a, b))
+        members = spark.createDataFrame([r[:3] for r in rows], "node long, label long, group long")
+        texts = spark.createDataFrame([(r[0], r[3]) for r in rows], "node long, text string")
+        assert {(r.a, r.b) for r in simhash.prefix_links(members, texts, verify).collect()} == want
+
+
+def test_of_rows_equal_in_id_and_text_the_first_stays(spark):
+    rows = [(1, "a b c", k, None if k % 2 else "x") for k in (7, 3, 5, 4)] + [(2, "d e", 1, None)]
+    for parts in (1, 4):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, n int, other string").repartition(parts)
+        assert sorted(map(tuple, keep_one(docs).collect()), key=str) == [(1, "a b c", 3, None), (2, "d e", 1, None)]
