@@ -45,6 +45,24 @@ def _parts_at_blanks(spec: dict) -> bool:
     return bool(pattern) and not regex.search(pattern, " \n") and all(len(m) < 4 for m in regex.findall(pattern, "a b\nc 1")) and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
 
 
+class _Ragged:
+    """Runs of token ids in one array; the first is empty."""
+
+    def __init__(self):
+        self.flat, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, flat])
+
+    def of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The runs of these numbers one after another, and where each ends."""
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
+
+
 class Encoder:
     """Token ids of whole texts, as the library gives them.
 
@@ -67,43 +85,47 @@ class Encoder:
         if self.by_chunk and suffix and {"type": "Lowercase"} in spec["normalizer"].get("normalizers", []):
             self.ends = np.zeros(1 + max(spec["model"]["vocab"].values()), bool)
             self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
+            # words in lower case need neither the normaliser nor the pattern
+            rest = spec["pre_tokenizer"]["pretokenizers"][1:]
+            self.lean = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *rest]}}))
         self._anew()
 
     def _anew(self) -> None:
-        self.known: dict[str, int] = {"": 0}
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.flat, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.known, self.chunks = {"": 0}, _Ragged()
+        self.parts, self.pieces = {"": 0}, _Ragged()
 
     def _raw(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_words(self, words: list[str]) -> None:
-        """The tokens of words of Latin letters in lower case."""
+    def _learn(self, words: list[str], others: list[str]) -> None:
+        """Keeps the tokens of words of Latin letters in lower case, and of other strings."""
         for i in range(0, len(words), 4096):
             part = words[i : i + 4096]
-            ids = self._raw([" ".join(part)])[0]
-            cuts = np.flatnonzero(self.ends[np.array(ids)]) + 1
+            ids = np.array(self.lean.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int32)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(part):
                 raise ValueError("a word of letters must end in one token that ends a word")
-            at = 0
-            for w, cut in zip(part, cuts.tolist()):
-                self.words[w] = tuple(ids[at:cut])
-                at = cut
-
-    def _encoded(self, chunks: list[str]) -> list[tuple[int, ...]]:
+            self.parts.update(zip(part, range(len(self.pieces.sizes), len(self.pieces.sizes) + len(part))))
+            self.pieces.add(ids, np.diff(cuts, prepend=0))
+        found = self._raw(others)
+        self.parts.update(zip(others, range(len(self.pieces.sizes), len(self.pieces.sizes) + len(others))))
+        self.pieces.add(np.fromiter(chain.from_iterable(found), np.int32), np.array([len(f) for f in found], np.int64))
+
+    def _encoded(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of strings that are not known yet, and how many each has."""
         if self.ends is None:
-            return [tuple(x) for x in self._raw(chunks)]
-        plain = [LATIN.fullmatch(c) for c in chunks]
-        cores = [m and m[1].lower() for m in plain]
-        new = dict.fromkeys(c for c in cores if c and c not in self.words)
-        if new:
-            self._learn_words(list(new))
-        marks = dict.fromkeys(m[2] for m in plain if m and m[2])
-        marked = dict(zip(marks, map(tuple, self._raw(list(marks)))))
-        marked[""] = ()
-        rest = dict.fromkeys(c for c, m in zip(chunks, plain) if not m)
-        other = dict(zip(rest, map(tuple, self._raw(list(rest)))))
-        return [self.words[w] + marked[m[2]] if m else other[c] for c, m, w in zip(chunks, plain, cores)]
+            found = self._raw(chunks)
+            return np.fromiter(chain.from_iterable(found), np.int32), np.array([len(f) for f in found], np.int64)
+        plain, get = [LATIN.fullmatch(c) for c in chunks], self.parts.get
+        words = [m[1].lower() if m else c for c, m in zip(chunks, plain)]
+        marks = [m[2] if m else "" for m in plain]
+        at = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(at < 0).tolist()
+        self._learn(list(dict.fromkeys(words[i] for i in new if plain[i])), list(dict.fromkeys(chain((words[i] for i in new if not plain[i]), (m for m in marks if m not in self.parts)))))
+        at[new] = [get(words[i]) for i in new]
+        both = np.stack([at, np.fromiter(map(get, marks), np.int64, len(marks))], axis=1)
+        flat, _ = self.pieces.of(both.ravel())
+        return flat, self.pieces.sizes[both].sum(axis=1)
 
     def flat_ids(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, each followed by `end` if there is one, and where each text begins, and the last one ends."""
@@ -111,7 +133,7 @@ class Encoder:
             every = [x + ([] if end is None else [end]) for x in self._raw(texts)]
             sizes = np.array([len(x) for x in every], np.int64)
             return np.fromiter((i for x in every for i in x), np.int32, int(sizes.sum())), np.concatenate([[0], np.cumsum(sizes)])
-        if max(len(self.known), len(self.words)) > MAX_CACHED:
+        if len(self.known) > MAX_CACHED:
             self._anew()
         chunks: list[str] = []
         upto = [0]
@@ -122,16 +144,11 @@ class Encoder:
         missing = np.flatnonzero(at < 0).tolist()
         if missing:
             new = list(dict.fromkeys(chunks[i] for i in missing))
-            found = self._encoded(new)
-            sizes = np.array([len(f) for f in found], np.int64)
-            self.known.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new))))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))])
+            first = len(self.chunks.sizes)
+            self.chunks.add(*self._encoded(new))
+            self.known.update(zip(new, range(first, first + len(new))))
             at[missing] = [self.known[chunks[i]] for i in missing]
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        every = self.flat[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        every, ends = self.chunks.of(at)
         cuts = np.concatenate([[0], ends])[upto]
         if end is None:
             return every, cuts
