@@ -1,4 +1,4 @@
-"""Text to vectors, and words to stems."""
+"""Text to vectors."""
 
 from __future__ import annotations
 
@@ -50,73 +50,5 @@ def embed_distinct(df: DataFrame, text_col: str, out: str, load: Callable[[], En
     return df.join(coded, df[text_col] == coded["__t"], "left").drop("__t")
 
 
-def _measure(stem: str) -> int:
-    kinds = "".join("v" if c in "aeiou" or (c == "y" and i and stem[i - 1] not in "aeiou") else "c" for i, c in enumerate(stem))
-    return sum(a == "v" and b == "c" for a, b in zip(kinds, kinds[1:]))
-
-
-def _vowel(stem: str) -> bool:
-    return any(c in "aeiou" or (c == "y" and i and stem[i - 1] not in "aeiou") for i, c in enumerate(stem))
-
-
-def _short(stem: str) -> bool:
-    if len(stem) < 3:
-        return False
-    a, b, c = stem[-3:]
-    return a not in "aeiou" and b in "aeiouy" and c not in "aeiouwxy"
-
-
-#: The suffixes of Porter's steps 2 to 4.
-STEP2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble"}
-STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
-STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ou", "ism", "ate", "iti", "ous", "ive", "ize"]
 #: Common English words that carry no meaning of their own.
 STOP_WORDS = "a about above after again against all am an and any are as at be because been before being below between both but by can did do does doing don down during each few for from further had has have having he her here hers herself him himself his how i if in into is it its itself just me more most my myself no nor not now of off on once only or other our ours ourselves out over own s same she should so some such t than that the their theirs them themselves then there these they this those through to too under until up very was we were what when where which while who whom why will with you your yours yourself yourselves".split()
-
-
-def stem(word: str) -> str:
-    """Porter's stemmer of 1980."""
-    w = word
-    if len(w) < 3 or not w.isascii() or not w.isalpha():
-        return w
-    if w.endswith("sses") or w.endswith("ies"):
-        w = w[:-2]
-    elif w.endswith("s") and not w.endswith("ss"):
-        w = w[:-1]
-    if w.endswith("eed"):
-        w = w[:-1] if _measure(w[:-3]) else w
-    else:
-        for end in ("ed", "ing"):
-            if w.endswith(end) and _vowel(w[: -len(end)]):
-                w = w[: -len(end)]
-                if w.endswith(("at", "bl", "iz")):
-                    w += "e"
-                elif len(w) > 1 and w[-1] == w[-2] and w[-1] not in "aeioulsz":
-                    w = w[:-1]
-                elif _measure(w) == 1 and _short(w):
-                    w += "e"
-                break
-    if w.endswith("y") and _vowel(w[:-1]):
-        w = w[:-1] + "i"
-    for table in (STEP2, STEP3):
-        for end in sorted(table, key=len, reverse=True):
-            if w.endswith(end):
-                if _measure(w[: -len(end)]):
-                    w = w[: -len(end)] + table[end]
-                break
-    for end in sorted([*STEP4, "ion"], key=len, reverse=True):
-        if w.endswith(end):
-            base = w[: -len(end)]
-            if _measure(base) > 1 and (end != "ion" or base.endswith(("s", "t"))):
-                w = base
-            break
-    if w.endswith("e") and (_measure(w[:-1]) > 1 or (_measure(w[:-1]) == 1 and not _short(w[:-1]))):
-        w = w[:-1]
-    if w.endswith("ll") and _measure(w) > 1:
-        w = w[:-1]
-    return w
-
-
-@F.pandas_udf(T.StringType())
-def stemmed(words: pd.Series) -> pd.Series:
-    return words.map(stem)

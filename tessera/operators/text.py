@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.embed import STOP_WORDS, embedding, hashed_encoder, stemmed
+from tessera.functions.embed import STOP_WORDS, embedding, hashed_encoder
+from tessera.functions.english import stemmed, tokens
 from tessera.operators.vectors import _dense_rank
 
 DEFAULT_WEIGHT = 0.1
@@ -14,22 +15,35 @@ DEFAULT_WEIGHT = 0.1
 BROADCAST_TERMS = 200_000
 
 
+def _whole(*columns: str | None) -> Column:
+    return F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in columns if c])
+
+
+def _numbered(text: Column, stem: bool) -> Column:
+    """The words of a text and their places, without stop words; with `stem` also whether a word has a stem."""
+    if stem:
+        found = F.transform(tokens(text), lambda t, i: F.struct(t["token"].alias("word"), t["word"].alias("plain"), (i + 1).alias("at")))
+    else:
+        found = F.transform(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""), lambda w, i: F.struct(w.alias("word"), (i + 1).alias("at")))
+    return F.filter(found, lambda x: ~x["word"].isin(STOP_WORDS))
+
+
+def _rooted(each: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Rows of (word, plain) with their `term`, of those alone that `wanted` has if it is given."""
+    roots = each.select("word", "plain").distinct().withColumn("term", F.when(F.col("plain"), stemmed("word")).otherwise(F.col("word")))
+    return each.join(roots if wanted is None else roots.join(wanted, "term"), ["word", "plain"])
+
+
 def postings(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", title_col: str | None = None, stem: bool = True) -> DataFrame:
     """`doc_col, term, tf, positions`: where each term stands in title and text, from 1.
 
-    Stop words count as places but are no terms. The stemmer sees each distinct
-    word once. All positions are kept. Null texts have no terms.
+    With `stem` terms are those of an English dictionary: tokens by their
+    types, words by their stems, of which the stemmer sees each once; without,
+    they are runs of letters and digits. Stop words count as places but are no
+    terms. All positions are kept. Null texts have no terms.
     """
-    text = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in (title_col, text_col) if c])
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    # a row for each word of a document: its places are gathered where the text lies
-    numbered = F.transform(words, lambda w, i: F.struct(w.alias("word"), (i + 1).alias("at")))
-    each = docs.select(doc_col, F.explode(F.filter(numbered, lambda x: ~x["word"].isin(STOP_WORDS))).alias("w")).select(doc_col, "w.*")
-    if stem:
-        roots = each.select("word").distinct().select("word", stemmed("word").alias("term"))
-        each = each.join(roots, "word").select(doc_col, "term", "at")
-    else:
-        each = each.withColumnRenamed("word", "term")
+    each = docs.select(doc_col, F.explode(_numbered(_whole(title_col, text_col), stem)).alias("w")).select(doc_col, "w.*")
+    each = _rooted(each).select(doc_col, "term", "at") if stem else each.withColumnRenamed("word", "term")
     return each.groupBy(doc_col, "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
 
 
@@ -39,23 +53,23 @@ def term_counts(docs: DataFrame, asked: DataFrame, doc_col: str = "doc_id", text
     Words that no query asks for go before the shuffle: the asked terms are a
     query table's and are broadcast up to `BROADCAST_TERMS` of them.
     """
-    text = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in (title_col, text_col) if c])
-    each = docs.select(doc_col, F.explode(F.split(F.lower(text), r"[^\p{L}\p{N}]+")).alias("word"))
+    text = _whole(title_col, text_col)
     wanted = asked.select("term").distinct()
     if wanted.count() <= BROADCAST_TERMS:
         wanted = F.broadcast(wanted)
-    counts = each.filter(F.col("word") != "").groupBy(doc_col, "word").agg(F.count("*").alias("tf")) if stem else each.withColumnRenamed("word", "term").join(wanted, "term").groupBy(doc_col, "term").agg(F.count("*").alias("tf"))
     if not stem:
+        each = docs.select(doc_col, F.explode(F.split(F.lower(text), r"[^\p{L}\p{N}]+")).alias("term"))
+        counts = each.join(wanted, "term").groupBy(doc_col, "term").agg(F.count("*").alias("tf"))
         return counts.filter(~F.col("term").isin(STOP_WORDS))
-    roots = each.select("word").distinct().filter((F.col("word") != "") & ~F.col("word").isin(STOP_WORDS)).select("word", stemmed("word").alias("term")).join(wanted, "term")
-    return counts.join(roots, "word").groupBy(doc_col, "term").agg(F.sum("tf").alias("tf"))
+    each = docs.select(doc_col, F.explode(_numbered(text, True)).alias("w")).groupBy(doc_col, "w.word", "w.plain").agg(F.count("*").alias("tf"))
+    return _rooted(each, wanted).groupBy(doc_col, "term").agg(F.sum("tf").alias("tf"))
 
 
 def asked_terms(queries: DataFrame, query_col: str = "query_id", terms_col: str = "terms", stem: bool = True) -> DataFrame:
     """`query_col, term`: a query's terms as the index has them; stop words go."""
     asked = queries.select(query_col, F.explode(terms_col).alias("word")).select(query_col, F.lower("word").alias("word")).distinct()
     asked = asked.filter(~F.col("word").isin(STOP_WORDS))
-    return asked.select(query_col, stemmed("word").alias("term")).distinct() if stem else asked.withColumnRenamed("word", "term")
+    return asked.select(query_col, F.when(F.col("word").rlike(r"^[\p{L}\p{M}]+$"), stemmed("word")).otherwise(F.col("word")).alias("term")).distinct() if stem else asked.withColumnRenamed("word", "term")
 
 
 def rank_keywords(queries: DataFrame, index: DataFrame, query_col: str = "query_id", terms_col: str = "terms", doc_col: str = "doc_id", stem: bool = True) -> DataFrame:

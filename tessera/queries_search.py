@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars
+from tessera.functions.english import tokens
 from tessera.functions.units import si_text, to_si
 from tessera.operators import attributes as A
 from tessera.operators import conditions, inferred, postrank, text, vectors
@@ -166,6 +167,14 @@ def stemmed_keyword_rank(spark, d):
     return text.rank_keywords(asked, counts).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+@register("""select p_partkey as doc_id, unnest(generate_series(1, 17)) as at, unnest(['mail', 'u' || p_partkey || '@host.example.org', 'or', 'see', 'www.site' || p_partkey || '.com/a/b?x=' || p_size, 'www.site' || p_partkey || '.com', '/a/b?x=' || p_size, p_size || '.5', 'and', '3.1.' || p_size, '-7e' || p_size, 'state-of-the-art', 'state', 'of', 'the', 'art', 'x' || p_size || 'y']) as token,
+ unnest([true, false, true, true, false, false, false, false, true, false, false, true, true, true, true, true, false]) as word from part""")
+def english_tokens(spark, d):
+    n, size = F.col("p_partkey"), F.col("p_size")
+    value = F.concat(F.lit("Mail u"), n, F.lit("@host.example.org or see <b>http://www.site"), n, F.lit(".com/a/b?x="), size, F.lit("</b>, "), size, F.lit(".5 &amp; and 3.1."), size, F.lit(" (-7e"), size, F.lit("): state-of-the-Art; X"), size, F.lit("y."))
+    return table(spark, d, "part").select(n.alias("doc_id"), F.posexplode(tokens(value)).alias("i", "t")).select("doc_id", (F.col("i") + 1).cast("long").alias("at"), "t.token", "t.word")
+
+
 # ---------------------------------------------------------------- a search with all parts
 
 TREES = {"standard": TREE, "brands": {"logic": "OR", "conditions": [{"name": "brand", "operator": "IN", "value": ["Brand#11", "Brand#5"]}, {"name": "price", "operator": ">", "value": 1000}]}}

@@ -1,7 +1,6 @@
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
-from tessera.functions.embed import stem
 from tessera.functions.units import literal_si, to_si, unit_rows
 
 
@@ -58,8 +57,3 @@ def test_units(spark):
         assert (g is None) == (w is None) and (w is None or abs(g[0] - w[0]) <= 1e-12 * abs(w[0]) and g[1] == w[1])
     assert literal_si(2, "furlong") is None and literal_si(1, "percent") == (0.01, "")
     assert len({(r[0], r[1]) for r in unit_rows()}) == len(unit_rows())
-
-
-def test_stems():
-    pairs = {"caresses": "caress", "ponies": "poni", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "conflated": "conflat", "hopping": "hop", "happy": "happi", "relational": "relat", "vietnamization": "vietnam", "triplicate": "triplic", "hopefulness": "hope", "adjustment": "adjust", "probate": "probat", "controll": "control", "sky": "sky"}
-    assert {w: stem(w) for w in pairs} == pairs
