@@ -21,6 +21,10 @@ from tessera.session import dropped, written
 SEED = 42
 #: Rows of a list that are compared with so many others at once.
 BLOCK = 512
+#: Blocks of rows beside its largest group up to which a list or a group is compared pair by pair.
+CROWD = 8
+#: Sets of shingles in a block of those that pairs are counted by.
+VERIFIED = 1024
 #: Shingles whose bits are counted at once, and pairs that are tallied at once.
 AT_ONCE, PAIRS = 65_536, 2_000_000
 #: Odd multipliers: each gives the words of a text another fingerprint.
@@ -327,7 +331,7 @@ def _texts(fps: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def prefix_links(members: DataFrame, texts: DataFrame, verify: float) -> DataFrame:
-    """`a, b`: the labels of all pairs of `members` (node, label, group) of one group that have the similarity and unlike labels.
+    """`a, b`: links of labels, enough to connect all pairs of `members` (node, label, group) of one group that have the similarity and unlike labels.
 
     No group's pairs are compared one by one. The shingles of a text are
     sorted by how many texts of the group have them, the rarest first. Two
@@ -357,17 +361,54 @@ def prefix_links(members: DataFrame, texts: DataFrame, verify: float) -> DataFra
     own = some.select("group", "node", "label", "n", places(2 * verify / (1 + verify))).join(often.select("group", "h"), ["group", "h"], "left_semi")
     own = written(own.select("group", "h", F.col("node").alias("x"), F.col("label").alias("a"), F.col("n").alias("nx"), F.col("at").alias("i")), "own")
     ask = written(ask.select("group", "h", F.col("node").alias("y"), F.col("label").alias("b"), F.col("n").alias("ny"), F.col("at").alias("j")).join(own.select("group", "h").distinct(), ["group", "h"], "left_semi"), "ask")
-    least = F.ceil(F.lit(verify / (1 + verify)) * (F.col("nx") + F.col("ny")) - 1e-9)
+    # first with the least label of each list alone: of a large family that puts nearly all together, at a cost that grows with its texts
+    every = own.select("group", "h", F.col("x").alias("node"), F.col("a").alias("label")).unionByName(ask.select("group", "h", F.col("y").alias("node"), F.col("b").alias("label")))
+    least = written(every.groupBy("group", "h").agg(F.min(F.struct("label", "node")).alias("t")), "least")
+    near = every.join(least, ["group", "h"]).filter(F.col("label") != F.col("t.label")).select(F.col("node").alias("x"), F.col("t.node").alias("y"), F.col("label").alias("a"), F.col("t.label").alias("b")).distinct()
+    links = _counted(near, sets, verify)
+    roots = connected_components(links).withColumnRenamed("root", "to")
+    now = lambda df, c: df.join(roots.withColumnRenamed("node", c), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+    least_shared = F.ceil(F.lit(verify / (1 + verify)) * (F.col("nx") + F.col("ny")) - 1e-9)
     room = F.least("i", "j") + 1 + F.least(F.col("nx") - F.col("i"), F.col("ny") - F.col("j")) - 1
-    met = own.join(ask, ["group", "h"]).filter((F.col("a") != F.col("b")) & (F.col("nx") <= F.col("ny")) & (F.col("nx") >= F.lit(verify) * F.col("ny") - 1e-9) & (room >= least)).select("x", "y", "a", "b", "nx", "ny").distinct()
-    met = met.join(sets.select(F.col("node").alias("x"), F.col("shingles").alias("sx")), "x").join(sets.select(F.col("node").alias("y"), F.col("shingles").alias("sy")), "y")
-    both = F.size(F.array_intersect("sx", "sy"))
-    links = written(met.filter(both >= F.lit(verify) * (F.col("nx") + F.col("ny") - both)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "prefix-links")
+    met = now(own, "a").join(now(ask, "b"), ["group", "h"]).filter((F.col("a") != F.col("b")) & (F.col("nx") <= F.col("ny")) & (F.col("nx") >= F.lit(verify) * F.col("ny") - 1e-9) & (room >= least_shared)).select("x", "y", "a", "b").distinct()
+    links = written(links.unionByName(_counted(met, sets, verify)), "prefix-links")
+    dropped(least)
     for table in (sets, often, counted, own, ask):
         dropped(table)
     return links
 
 
+def _counted(pairs: DataFrame, sets: DataFrame, verify: float) -> DataFrame:
+    """`a, b`: of pairs (x, y, a, b) of nodes and their labels links enough to connect the labels of those that have the similarity, by their exact shingles.
+
+    A set goes once to each two blocks in which it is asked for, not once for each pair.
+    """
+    n_blocks = max(1, -(-sets.count() // VERIFIED))
+    block = lambda c: F.pmod(F.xxhash64(F.lit(3), c), F.lit(n_blocks))
+    met = written(pairs.select("x", "y", "a", "b", block("x").alias("i"), block("y").alias("j")), "met")
+    asked = met.select(F.col("i").alias("p"), F.col("j").alias("q"), F.explode(F.array("x", "y")).alias("node")).distinct().join(sets, "node")
+
+    def verified(pairs: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        if pairs.empty:
+            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+        node = given["node"].to_numpy(np.int64)
+        order = np.argsort(node)
+        sets = [np.asarray(given["shingles"].iat[k], np.int64).view(np.uint64) for k in order.tolist()]
+        x, y = (np.searchsorted(node[order], pairs[c].to_numpy(np.int64)) for c in ("x", "y"))
+        sizes = np.array([len(s) for s in sets])
+        both = shared_counts(sets, x, y)
+        alike = both / np.maximum(sizes[x] + sizes[y] - both, 1)
+        some = alike >= verify
+        ends = [pairs[c].to_numpy(np.int64)[some] for c in ("a", "b")]
+        least, most = np.minimum(*ends), np.maximum(*ends)
+        kept = spanning(least, most, 1 - alike[some])
+        return pd.DataFrame({"a": least[kept], "b": most[kept]})
+
+    links = written(met.groupBy("i", "j").cogroup(asked.groupBy("p", "q")).applyInPandas(verified, "a long, b long"), "links")
+    dropped(met)
+    return links
+
+
 def verified_groups(fps: DataFrame, classes: DataFrame, verify: float, max_bits: int) -> DataFrame:
     """`node, root` for every class of `classes` (node, fps, sketch, bands): groups of texts that links of the similarity connect.
 
@@ -376,12 +417,12 @@ def verified_groups(fps: DataFrame, classes: DataFrame, verify: float, max_bits:
        together, at a cost that grows with their number.
     2. The lists of bands and of close fingerprints give further candidates:
        pairs of unlike groups that sketches do not rule out; of a list with
-       over `BLOCK` rows beside its largest group all rows, without a look at
+       over `CROWD` blocks of rows beside its largest group all rows, without a look at
        their pairs.
     3. Such a link may be false, and what it connects may still be alike. So in
        what the candidates connect all pairs of unlike groups are compared by
-       their exact shingles: one by one where over `BLOCK` rows beside the
-       largest group there are none, else those that their rarest shingles
+       their exact shingles: one by one where there are no more than `CROWD` blocks of rows
+       beside the largest group, else those that their rarest shingles
        bring together (`prefix_links`). No true link between candidates is
        lost, and no part compares in the square of its rows.
     """
@@ -406,7 +447,7 @@ def verified_groups(fps: DataFrame, classes: DataFrame, verify: float, max_bits:
     index = shared.drop("group").join(known.select("node", "label"), "node")
     mixed = written(index.groupBy("at", "key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("at", "key", F.col("a").alias("least")), "mixed")
     index = written(index.join(mixed, ["at", "key"]), "index")
-    few, many = f"m <= {BLOCK}", f"m > {BLOCK}"
+    few, many = f"m <= {CROWD * BLOCK}", f"m > {CROWD * BLOCK}"
     sizes = list_sizes(index, ["at", "key"], True)
     crowded = index.join(sizes.filter(many).select("at", "key"), ["at", "key"], "left_semi").filter("label <> least").select(F.col("least").alias("a"), F.col("label").alias("b")).distinct()
     lists = dealt(index.drop("least").join(known.select("node", "sketch"), "node"), ["at", "key"], sizes.filter(few))
