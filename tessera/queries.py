@@ -13,7 +13,7 @@ from tessera.operators import conditions, evaluate, inferred, postrank, tables,
 from tessera.plans import hybrid
 from tessera.registry import QUERIES, SQL, Query, new_folder, register, table
 from tessera.session import written
-from tessera.streaming.incremental import ingest
+from tessera.streaming.incremental import ingest, ingested
 
 # ---------------------------------------------------------------- inputs on the given tables
 
@@ -567,7 +567,7 @@ def incremental_ingest(spark, d):
     rows.write.parquet(f"{path}/drop")
     schema = rows.schema
     ingest(spark, f"{path}/drop", schema, f"{path}/table", f"{path}/offsets", "source", ["doc_id"]).awaitTermination()
-    return spark.read.schema(schema).parquet(f"{path}/table")
+    return ingested(spark, f"{path}/table", schema, "source")
 
 
 # ---------------------------------------------------------------- rows only

@@ -6,39 +6,37 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tessera.operators.tables import first_wins, latest_wins
+from tessera.operators.tables import latest_wins
+from tessera.streaming.keyed import KeyedTable
 
 #: The labels that feedback may give.
 LABELS = ["Match", "Relevant", "Suggested", "Not_Relevant"]
 
 
-def _table(spark: SparkSession, path: str, schema) -> DataFrame:
-    """The table at `path`, empty before the first write."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+def ingest(spark: SparkSession, source: str, schema, target: str, checkpoint: str, key: str = "doi", order: list[str] | None = None, stages: Callable[[DataFrame], DataFrame] | None = None, buckets: int = 64) -> StreamingQuery:
+    """Adds new documents of a drop folder to a `KeyedTable` under `target`; of each key the first ever wins. `ingested` reads it.
 
-
-def ingest(spark: SparkSession, source: str, schema, target: str, checkpoint: str, key: str = "doi", order: list[str] | None = None, stages: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Appends new documents of a drop folder to `target`; of each key the first ever wins.
-
-    What is there already is found by an anti-join with the target, not by
-    stream state, which would grow without end. A batch that is run again
-    after a failure finds its own keys there and adds nothing.
+    What is there already is neither stream state, which would grow without
+    end, nor found by reading the target: a batch opens only the parts of
+    buckets whose filter may hold one of its keys. A batch that is run again
+    after a failure adds nothing twice.
     """
     stream = spark.readStream.schema(schema).parquet(source)
 
-    def one(batch: DataFrame, _: int) -> None:
+    def one(batch: DataFrame, n: int) -> None:
         new = batch if stages is None else stages(batch)
-        first = first_wins(new, [key], order or [key], _table(batch.sparkSession, target, new.schema))
-        first.write.mode("append").parquet(target)
+        KeyedTable(batch.sparkSession, target, [key], new.schema, buckets).insert(new, n, order or [key])
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingested(spark: SparkSession, target: str, schema, key: str = "doi") -> DataFrame:
+    """The table that `ingest` keeps; `schema` is that of its rows."""
+    return KeyedTable(spark, target, [key], schema).rows()
+
+
 def valid_feedback(feedback: DataFrame, log: DataFrame) -> DataFrame:
     """Feedback with a known label on a document that the logged search returned."""
     shown = log.select(F.col("id").alias("statistic_id"), F.explode(F.concat("results.relevant", "results.weakly_relevant")).alias("r")).select("statistic_id", F.col("r.doc_id").alias("doc_id")).distinct()
@@ -51,33 +49,19 @@ def latest_feedback(feedback: DataFrame, keys: tuple[str, ...] = ("statistic_id"
 
 
 def upsert_feedback(spark: SparkSession, source: str, schema, target: str, checkpoint: str, keys: tuple[str, ...] = ("statistic_id", "doc_id"), order: tuple[str, ...] = ("created_at",), buckets: int = 64) -> StreamingQuery:
-    """Keeps a label table under `target` up to date, one label for each key: `current_feedback` reads it.
+    """Keeps a `KeyedTable` of labels under `target` up to date, one for each key: `current_feedback` reads it.
 
-    The table lies in buckets of the keys' hash. Batch N rewrites the buckets
-    that its keys fall into, as `v=N/bucket=K`; a batch that is run again
-    writes the same. Buckets that it does not touch are not read.
+    A batch rewrites the buckets that its keys fall into and reads no others;
+    one that is run again changes nothing. What is no longer current is removed.
     """
     stream = spark.readStream.schema(schema).parquet(source)
 
     def one(batch: DataFrame, n: int) -> None:
-        s = batch.sparkSession
-        new = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-        touched = [r[0] for r in new.select("bucket").distinct().collect()]  # `buckets` at most
-        before = _buckets(s, target, new.schema, n).filter(F.col("bucket").isin(touched))
-        latest_wins(before.unionByName(new), list(keys), list(order)).write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/v={n}")
+        KeyedTable(batch.sparkSession, target, list(keys), batch.schema, buckets).upsert(batch, n, list(order))
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _buckets(spark: SparkSession, target: str, schema, before: int | None = None) -> DataFrame:
-    """The rows of each bucket in its last version, or in the last one under `before`."""
-    rows = _table(spark, target, T.StructType([*schema.fields, T.StructField("v", T.IntegerType())]))
-    rows = rows if before is None else rows.filter(F.col("v") < before)
-    last = rows.groupBy("bucket").agg(F.max("v").alias("v"))  # of the folders' names alone
-    return rows.join(F.broadcast(last), ["bucket", "v"]).drop("v")
-
-
-def current_feedback(spark: SparkSession, target: str, schema) -> DataFrame:
+def current_feedback(spark: SparkSession, target: str, schema, keys: tuple[str, ...] = ("statistic_id", "doc_id")) -> DataFrame:
     """The label table that `upsert_feedback` keeps; `schema` is that of the feedback."""
-    kind = spark.createDataFrame([], schema).schema
-    return _buckets(spark, target, T.StructType([*kind.fields, T.StructField("bucket", T.IntegerType())])).drop("bucket")
+    return KeyedTable(spark, target, list(keys), schema).rows()

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import evaluate, text
 from tessera.sources import readers, writers
-from tessera.streaming.incremental import current_feedback, ingest, upsert_feedback, valid_feedback
+from tessera.streaming.incremental import current_feedback, ingest, ingested, upsert_feedback, valid_feedback
 
 
 def test_readers(spark, tmp_path):
@@ -45,7 +45,7 @@ def test_ingest_is_incremental_and_first_wins(spark, tmp_path):
     spark.createDataFrame([("a", 0), ("c", 4)], kind).coalesce(1).write.mode("append").parquet(src)
     ingest(spark, src, kind, out, mark, order=["n"]).awaitTermination()
     ingest(spark, src, kind, out, mark, order=["n"]).awaitTermination()  # nothing new
-    assert sorted(map(tuple, spark.read.parquet(out).collect())) == [("a", 1), ("b", 3), ("c", 4)]
+    assert sorted(map(tuple, ingested(spark, out, kind).collect())) == [("a", 1), ("b", 3), ("c", 4)]
 
 
 def test_feedback(spark, tmp_path):
