@@ -17,6 +17,8 @@ BLOCK_BYTES, BROADCAST_BYTES = 4 << 20, 64 << 20
 #: Distances that are held at once.
 CELLS = 2_000_000
 DECIMALS = 6
+#: Directions by which vectors are parted, vectors that they are found from, and how much a bound gives way to rounding.
+CENTRES, SAMPLE, MARGIN = 64, 2048, 1e-5
 
 
 def _unit(vectors) -> np.ndarray:
@@ -26,13 +28,58 @@ def _unit(vectors) -> np.ndarray:
     return m / np.where(length > 0, length, np.nan)[:, None]
 
 
-def similar(queries: DataFrame, corpus: DataFrame, threshold: float = 0.5, query_col: str = "query_id", query_vector: str = "intention_vector", vector_col: str = "vector", nearest: int = 0, key_col: str = "key") -> DataFrame:
+def centres_of(sample: np.ndarray, n: int = CENTRES) -> np.ndarray:
+    """Up to `n` directions around which the sample's vectors lie: each new one the vector farthest from those before, then a few rounds of means."""
+    sample = sample[~np.isnan(sample).any(axis=1)]
+    if not len(sample):
+        return np.zeros((1, 1))
+    chosen, near = [0], sample @ sample[0]
+    while len(chosen) < min(n, len(sample)):
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, sample @ sample[chosen[-1]])
+    centres = sample[chosen]
+    for _ in range(4):
+        own = (sample @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, sample)
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(length > 0, sums / np.where(length > 0, length, 1), centres)
+    return centres
+
+
+def caps(units: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors of length 1 parted by their nearest centre: their order, where each part begins, and the direction and angle of the cap that it lies in."""
+    own = (units @ centres.T).argmax(axis=1)
+    order = np.argsort(own, kind="stable")
+    starts = np.flatnonzero(np.diff(own[order], prepend=-1))
+    mean = np.add.reduceat(units[order], starts, axis=0)
+    length = np.linalg.norm(mean, axis=1, keepdims=True)
+    mean = np.where(length > 1e-9, mean / np.where(length > 1e-9, length, 1), units[order][starts])
+    sizes = np.diff(np.append(starts, len(units)))
+    angle = np.arccos(np.clip((units[order] * np.repeat(mean, sizes, axis=0)).sum(axis=1), -1, 1))
+    return order, starts, mean, np.maximum.reduceat(angle, starts)
+
+
+def may_be_near(a: tuple, b: tuple, threshold: float) -> np.ndarray:
+    """For each two caps whether vectors in them may be nearer than `threshold`: they are apart by the angle between the caps' directions less both their own."""
+    apart = np.arccos(np.clip(a[2] @ b[2].T, -1, 1)) - a[3][:, None] - b[3][None, :]
+    return 1 - np.cos(np.clip(apart, 0, np.pi)) < threshold + MARGIN
+
+
+def similar(queries: DataFrame, corpus: DataFrame, threshold: float = 0.5, query_col: str = "query_id", query_vector: str = "intention_vector", vector_col: str = "vector", nearest: int = 0, key_col: str = "key", counted=None) -> DataFrame:
     """`query_col`, the columns of `corpus` but its vector, and `distance`, for cosine distances under `threshold`.
 
     Both sides are packed in blocks of `BLOCK_BYTES`; each block of the corpus
     meets each block of queries, and a task multiplies two blocks at a time.
     The queries' blocks are counted and broadcast up to `BROADCAST_BYTES`,
-    beyond they are shuffled. Nothing passes through the driver.
+    beyond they are shuffled.
+
+    Within two blocks vectors are parted by the nearest of some directions,
+    and parts whose caps lie too far apart for any two of their vectors to be
+    nearer than the threshold are not multiplied. The directions are found
+    from `SAMPLE` vectors of the corpus at most, all that passes through the
+    driver; the result does not depend on them. `counted`, a pair of
+    accumulators, is told of all pairs of parts and of those left out.
 
     With `nearest` a block also gives each query its nearest keys (`key_col`),
     ties included: the nearest of all are among them. Then a key comes once for
@@ -59,9 +106,34 @@ def similar(queries: DataFrame, corpus: DataFrame, threshold: float = 0.5, query
     rows = corpus.filter(F.col(vector_col).isNotNull() & (F.col(key_col).isNotNull() if nearest else F.lit(True)))
     packed = rows.select(*kept, F.col(vector_col).cast("array<double>")).mapInPandas(pack, ", ".join([*(f"`{c}` array<{k}>" for c, k in kinds.items()), "__m binary"]))
     packed = packed.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+    head = [] if nearest else rows.select(F.col(vector_col).cast("array<double>").alias("v")).limit(SAMPLE).collect()
+    centres = centres_of(_unit([r["v"] for r in head])) if head else None
     met = packed.join(F.broadcast(asked) if n * (width or 0) * 8 <= BROADCAST_BYTES else asked, "__block")
     schema = ", ".join([f"`{query_col}` {queries.schema[query_col].dataType.simpleString()}", *(f"`{c}` {k}" for c, k in kinds.items()), "distance double"])
 
+    def pruned(q: np.ndarray, ids: pd.Series, c: np.ndarray, columns: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        some, there = np.flatnonzero(~np.isnan(q).any(axis=1)), np.flatnonzero(~np.isnan(c).any(axis=1))
+        if not len(some) or not len(there):
+            return
+        q, c = q[some], c[there]
+        of_q, of_c = caps(q, centres), caps(c, centres)
+        near = may_be_near(of_q, of_c, threshold)
+        if counted is not None:
+            counted[0].add(int(near.size))
+            counted[1].add(int((~near).sum()))
+        ends, last = np.append(of_c[1], len(c)), np.append(of_q[1], len(q))
+        for k in np.flatnonzero(near.any(axis=1)).tolist():
+            mine = of_q[0][last[k] : last[k + 1]]
+            other = np.concatenate([of_c[0][ends[j] : ends[j + 1]] for j in np.flatnonzero(near[k]).tolist()])
+            step = max(1, CELLS // len(other))
+            for i in range(0, len(mine), step):
+                d = np.round(1 - q[mine[i : i + step]] @ c[other].T, DECIMALS) + 0.0
+                a, b = np.nonzero(d < threshold)
+                if len(a):
+                    out = columns.iloc[there[other[b]]].reset_index(drop=True)
+                    out.insert(0, query_col, ids.iloc[some[mine[i + a]]].to_numpy())
+                    yield out.assign(distance=d[a, b])
+
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.to_dict("records"):
@@ -75,6 +147,9 @@ def similar(queries: DataFrame, corpus: DataFrame, threshold: float = 0.5, query
                     c, columns = c[order], columns.iloc[order]
                     starts = np.flatnonzero(np.append(True, columns[key_col].to_numpy()[1:] != columns[key_col].to_numpy()[:-1]))
                     columns = columns.iloc[starts]
+                elif centres is not None:
+                    yield from pruned(q, ids, c, columns)
+                    continue
                 step = max(1, CELLS // max(len(c), 1))
                 for i in range(0, len(q), step):
                     d = np.round(1 - q[i : i + step] @ c.T, DECIMALS) + 0.0
