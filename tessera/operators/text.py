@@ -1,12 +1,11 @@
-"""Full text: postings and the keyword ranking; chunks and summaries."""
+"""Full text: postings and the keyword ranking."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.embed import STOP_WORDS, embedding, hashed_encoder
+from tessera.functions.embed import STOP_WORDS
 from tessera.functions.english import stemmed, tokens
 from tessera.operators.vectors import _dense_rank
 
@@ -82,45 +81,3 @@ def rank_keywords(queries: DataFrame, index: DataFrame, query_col: str = "query_
     met = index.join(asked, "term").groupBy(query_col, doc_col).agg(F.sum("tf").alias("places"))
     ranked = _dense_rank(met, query_col, (F.col("places"), True))
     return ranked.select(query_col, doc_col, (F.col("places") * DEFAULT_WEIGHT).alias("score"), "rank")
-
-
-def semantic_chunks(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", title_col: str | None = None, max_words: int = 200, load=hashed_encoder) -> DataFrame:
-    """`doc_col, chunk_number, text`: sentences in a row, cut where neighbours are least alike.
-
-    A cut stands where the similarity of two sentences is under the document's
-    mean less its deviation, and where `max_words` are full. Blank texts have
-    no chunks; numbers start at 0.
-    """
-    text = F.concat_ws("\n", *[F.coalesce(c, F.lit("")) for c in (title_col, text_col) if c])
-    sentences = F.filter(F.split(text, r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s) != "")
-    each = docs.select(doc_col, F.posexplode(sentences).alias("at", "sentence"))
-    each = each.withColumn("v", embedding(load)("sentence")).withColumn("words", F.size(F.split("sentence", r"\s+")))
-    w = W.partitionBy(doc_col).orderBy("at")
-    like = F.aggregate(F.zip_with("v", F.lag("v").over(w), lambda a, b: a * b), F.lit(0.0).cast("double"), lambda acc, x: acc + x)
-    each = each.withColumn("like", F.when(F.col("at") > 0, like))
-    whole = W.partitionBy(doc_col)
-    cut = F.col("like") < F.avg("like").over(whole) - F.coalesce(F.stddev("like").over(whole), F.lit(0.0))
-    each = each.withColumn("cut", F.coalesce(cut.cast("int"), F.lit(0))).withColumn("part", F.sum("cut").over(w))
-    inner = W.partitionBy(doc_col, "part").orderBy("at")
-    each = each.withColumn("full", F.floor((F.sum("words").over(inner) - F.col("words")) / max_words))
-    parts = each.groupBy(doc_col, "part", "full").agg(F.sort_array(F.collect_list(F.struct("at", "sentence"))).alias("s"))
-    number = F.row_number().over(W.partitionBy(doc_col).orderBy("part", "full")) - 1
-    return parts.select(doc_col, number.alias("chunk_number"), F.array_join(F.transform("s", lambda x: x["sentence"]), " ").alias("text"))
-
-
-def summaries(docs: DataFrame, doc_col: str = "doc_id", title_col: str = "title", text_col: str = "text", max_words: int = 80) -> DataFrame:
-    """`doc_col, summary`: the sentences of most weight, in their order, up to `max_words`; the title for blank texts.
-
-    A sentence weighs the mean of its words' tf times idf.
-    """
-    sentences = F.filter(F.split(F.coalesce(text_col, F.lit("")), r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s) != "")
-    each = docs.select(doc_col, F.posexplode(sentences).alias("at", "sentence"))
-    words = each.select(doc_col, "at", F.explode(F.split(F.lower("sentence"), r"[^\p{L}\p{N}]+")).alias("word")).filter(F.col("word") != "").filter(~F.col("word").isin(STOP_WORDS))
-    tf = words.groupBy(doc_col, "word").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("word").agg(F.count("*").alias("df"))
-    weight = words.join(tf, [doc_col, "word"]).join(df, "word").groupBy(doc_col, "at").agg(F.avg(F.col("tf") / F.log(1.0 + F.col("df"))).alias("weight"))
-    scored = each.join(weight, [doc_col, "at"], "left").withColumn("n", F.size(F.split("sentence", r"\s+")))
-    run = W.partitionBy(doc_col).orderBy(F.desc("weight"), "at").rowsBetween(W.unboundedPreceding, 0)
-    kept = scored.withColumn("upto", F.sum("n").over(run)).filter((F.col("upto") <= max_words) | (F.col("upto") == F.col("n")))
-    text = kept.groupBy(doc_col).agg(F.sort_array(F.collect_list(F.struct("at", "sentence"))).alias("s")).select(doc_col, F.array_join(F.transform("s", lambda x: x["sentence"]), " ").alias("__s"))
-    return docs.select(doc_col, title_col).join(text, doc_col, "left").select(doc_col, F.coalesce("__s", title_col).alias("summary"))

@@ -9,7 +9,7 @@ from tessera.functions import metrics, scalars
 from tessera.functions.embed import STOP_WORDS
 from tessera.functions.units import si_text, to_si
 from tessera.operators import attributes as A
-from tessera.operators import conditions, evaluate, inferred, postrank, tables, text, vectors
+from tessera.operators import chunks, conditions, evaluate, inferred, postrank, tables, text, vectors
 from tessera.plans import hybrid
 from tessera.registry import QUERIES, SQL, Query, new_folder, register, table
 from tessera.session import written
@@ -575,13 +575,13 @@ def incremental_ingest(spark, d):
 
 @register()
 def semantic_chunks(spark, d):
-    return text.semantic_chunks(table(spark, d, "documents"))
+    return chunks.semantic_chunks(table(spark, d, "documents"))
 
 
 @register()
 def document_summaries(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("title"), "text")
-    return text.summaries(docs)
+    return chunks.summaries(docs)
 
 
 def queries() -> dict[str, Query]:

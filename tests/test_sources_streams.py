@@ -72,15 +72,6 @@ def test_keywords_with_stems(spark):
     assert got == [(1, 1, 1), (2, 1, 1), (2, 2, 1)]
 
 
-def test_chunks_cover_the_text(spark):
-    docs = spark.createDataFrame([(1, "One two. Three four! Five\nsix seven."), (2, " "), (3, None)], "doc_id long, text string")
-    got = sorted((r.doc_id, r.chunk_number, r.text) for r in text.semantic_chunks(docs).collect())
-    assert {g[0] for g in got} == {1} and [g[1] for g in got] == list(range(len(got)))
-    assert " ".join(g[2] for g in got).split() == "One two. Three four! Five six seven.".split()
-    s = {r.doc_id: r.summary for r in text.summaries(docs.withColumn("title", F.lit("T"))).collect()}
-    assert s[2] == s[3] == "T" and s[1]
-
-
 def test_run_comparison(spark):
     kind = "config string, query_index int, score double, query string"
     old = spark.createDataFrame([("a", 0, 0.5, '{"x": 1}'), ("b", 0, 0.5, None), ("a", 1, 0.5, None), ("old", 0, 1.0, None)], kind)
