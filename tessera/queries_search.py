@@ -34,9 +34,8 @@ def cond_more(spark, d):
     leaf = lambda n, o, v, u=None: {"name": n, "operator": o, "value": v, "unit": u}
     leaves = {
         "unlike": leaf("size", "!=", 9, "keV"), "listed": leaf("size", "IN", [1, 2], "cm"), "between": leaf("brand", "BETWEEN", ["Brand#11", "Brand#2"]), "outside": leaf("brand", "NOT BETWEEN", ["Brand#11", "Brand#2"]),
-        "near": leaf(["size", "price"], ">=", 950), "upto": leaf("size", "<=", 3, "parsec"),
+        "near": leaf(["size", "price"], ">=", 950), "upto": leaf("size", "<=", 3),
     }
-    leaves["upto"].pop("unit")
     return flags(spark, A.typed(part_attributes(spark, d)), leaves)
 
 
