@@ -26,8 +26,8 @@ K1, B = 1.2, 0.75
 QUERY_TERMS = 24
 #: Latin letters that have one lower case each, and ASCII marks but the apostrophe, which may begin a contraction.
 LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-#: Blank-free strings whose tokens a worker keeps before it starts anew.
-MAX_CACHED = 1_000_000
+#: Blank-free strings whose tokens a worker keeps before it starts anew, and the words and marks that they consist of.
+MAX_CACHED, MAX_PARTS = 700_000, 1_200_000
 #: Tokens of the documents that share one inverted index.
 SHARD_TOKENS = 1 << 21
 
@@ -89,9 +89,12 @@ class Encoder:
             rest = spec["pre_tokenizer"]["pretokenizers"][1:]
             self.lean = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *rest]}}))
         self._anew()
+        self._anew_parts()
 
     def _anew(self) -> None:
         self.known, self.chunks = {"": 0}, _Ragged()
+
+    def _anew_parts(self) -> None:
         self.parts, self.pieces = {"": 0}, _Ragged()
 
     def _raw(self, texts: list[str]) -> list[list[int]]:
@@ -135,6 +138,8 @@ class Encoder:
             return np.fromiter((i for x in every for i in x), np.int32, int(sizes.sum())), np.concatenate([[0], np.cumsum(sizes)])
         if len(self.known) > MAX_CACHED:
             self._anew()
+        if len(self.parts) > MAX_PARTS:
+            self._anew_parts()
         chunks: list[str] = []
         upto = [0]
         for t in texts:
@@ -342,7 +347,13 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, s
         for part in slices(texts):
             every, cuts = encoder.flat_ids([t or "" for t in part], end_id)
             sizes = np.diff(cuts)
-            held = np.unique(np.repeat(np.arange(len(sizes)), sizes) * n_ids + every)
+            cells = np.repeat(np.arange(len(sizes)), sizes) * n_ids + every
+            if len(cells) * 256 > len(sizes) * n_ids:  # a table of the slice costs less than sorting
+                there = np.zeros(len(sizes) * n_ids, bool)
+                there[cells] = True
+                held = np.flatnonzero(there)
+            else:
+                held = np.unique(cells)
             doc, token = held // n_ids, held % n_ids
             seen += np.bincount(token, minlength=n_ids)
             whole = every.astype(kind)

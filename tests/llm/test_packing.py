@@ -30,6 +30,11 @@ def test_ids_are_those_of_the_library(lib):
     want = [e.ids for e in lib.encode_batch(odd, add_special_tokens=False)]
     for _ in range(2):  # then from what is kept
         assert [x.tolist() for x in own.ids(odd)] == want
+    for known, parts in ((0, 10**9), (10**9, 0), (50, 90)):  # caches that start anew
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr("tessera.llm.packing.MAX_CACHED", known)
+            m.setattr("tessera.llm.packing.MAX_PARTS", parts)
+            assert [x.tolist() for i in range(0, len(odd), 40) for x in own.ids(odd[i : i + 40])] == want
     with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         whole = Encoder(f.read())
     assert not whole.by_chunk and whole.ids(["a  b"])[0].tolist() == Tokenizer.from_file(P.path("byte_bpe_50k.json")).encode("a  b").ids
