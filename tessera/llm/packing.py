@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
 from itertools import chain, repeat
+from unicodedata import category
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,10 @@ K1, B = 1.2, 0.75
 QUERY_TERMS = 24
 #: Latin letters that have one lower case each, and ASCII marks but the apostrophe, which may begin a contraction.
 LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
+#: Letters and digits, white space and marks of Latin-1, and what only Python takes for white space; marks that get spaces around them.
+KINDS = bytes(ord("?" if 28 <= c < 32 else " " if chr(c).isspace() else "a" if category(chr(c))[0] in "LN" else "!") for c in range(256))
+COMMON_MARKS = ",.;:!?()\"-/"
 #: Blank-free strings whose tokens a worker keeps before it starts anew, and the words and marks that they consist of.
 MAX_CACHED, MAX_PARTS = 700_000, 1_200_000
 #: Tokens of the documents that share one inverted index.
@@ -45,22 +50,30 @@ def _parts_at_blanks(spec: dict) -> bool:
     return bool(pattern) and not regex.search(pattern, " \n") and all(len(m) < 4 for m in regex.findall(pattern, "a b\nc 1")) and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
 
 
-class _Ragged:
-    """Runs of token ids in one array; the first is empty."""
+def _kinds(text: str) -> bytes | None:
+    """The kind of each character of a text, if all are of Latin-1."""
+    try:
+        return text.encode("latin-1").translate(KINDS)
+    except UnicodeEncodeError:
+        return None
 
-    def __init__(self):
-        self.flat, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
-    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, flat])
+def _words_and_marks(spec: dict) -> bool:
+    """Whether a tokenizer that parts at blanks makes runs of letters and single marks tokens of their own, and no added token can be found where marks stand alone."""
+    pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+    seen = "ab" + "".join(f"{m}é{m} Xß 1" for m in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~") + "x"
+    return regex.findall(pattern, seen) == re.findall(r"[abxXéß]+|\S", seen) and all(b"!!" in (_kinds(t["content"]) or b"!!") for t in spec["added_tokens"])
+
 
-    def of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The runs of these numbers one after another, and where each ends."""
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        return self.flat[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
+class _Known(dict):
+    """Strings to the bytes of their token ids; one that is not there is noted in `new`, and its place is filled by `Encoder._learn`."""
+
+    def __init__(self):
+        self.new: dict[str, bytearray] = {}
+
+    def __missing__(self, string: str) -> bytearray:
+        self[string] = self.new[string] = place = bytearray()
+        return place
 
 
 class Encoder:
@@ -71,7 +84,8 @@ class Encoder:
     that is a word of Latin letters with marks behind it word and marks are
     tokens of their own, so each distinct word in lower case is given to the
     library once; many are joined by spaces, and the tokens that end a word
-    part them.
+    part them. A text of Latin-1 where no two marks stand together is put in
+    lower case as a whole, and its common marks between spaces.
     """
 
     def __init__(self, raw: str):
@@ -80,9 +94,10 @@ class Encoder:
         spec = json.loads(raw)
         self.lib = Tokenizer.from_str(raw)
         self.by_chunk = _parts_at_blanks(spec)
+        self.kind = "<u2" if max(spec["model"]["vocab"].values(), default=0) < 1 << 16 and all(t["id"] < 1 << 16 for t in spec["added_tokens"]) else "<u4"
         suffix = spec["model"].get("end_of_word_suffix")
         self.ends = None
-        if self.by_chunk and suffix and {"type": "Lowercase"} in spec["normalizer"].get("normalizers", []):
+        if self.by_chunk and suffix and {"type": "Lowercase"} in spec["normalizer"].get("normalizers", []) and _words_and_marks(spec):
             self.ends = np.zeros(1 + max(spec["model"]["vocab"].values()), bool)
             self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
             # words in lower case need neither the normaliser nor the pattern
@@ -92,43 +107,62 @@ class Encoder:
         self._anew_parts()
 
     def _anew(self) -> None:
-        self.known, self.chunks = {"": 0}, _Ragged()
+        self.known = _Known()
 
     def _anew_parts(self) -> None:
-        self.parts, self.pieces = {"": 0}, _Ragged()
+        self.parts: dict[str, bytes] = {"": b""}
 
     def _raw(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str], others: list[str]) -> None:
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
+    def _learn_parts(self, words: list[str], others: list[str]) -> None:
         """Keeps the tokens of words of Latin letters in lower case, and of other strings."""
-        for i in range(0, len(words), 4096):
-            part = words[i : i + 4096]
-            ids = np.array(self.lean.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int32)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
+        for i in range(0, len(words), 512):
+            part = words[i : i + 512]
+            ids = np.array(self.lean.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
             if len(cuts) != len(part):
                 raise ValueError("a word of letters must end in one token that ends a word")
-            self.parts.update(zip(part, range(len(self.pieces.sizes), len(self.pieces.sizes) + len(part))))
-            self.pieces.add(ids, np.diff(cuts, prepend=0))
-        found = self._raw(others)
-        self.parts.update(zip(others, range(len(self.pieces.sizes), len(self.pieces.sizes) + len(others))))
-        self.pieces.add(np.fromiter(chain.from_iterable(found), np.int32), np.array([len(f) for f in found], np.int64))
-
-    def _encoded(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The tokens of strings that are not known yet, and how many each has."""
+            flat = ids.tobytes()
+            self.parts.update(zip(part, [flat[a:b] for a, b in zip([0, *cuts], cuts)]))
+        self.parts.update(zip(others, map(self._bytes, self._raw(others))))
+
+    def _learn(self) -> None:
+        """Fills the places of strings that were not known."""
+        new, parts, letters = self.known.new, self.parts, LETTERS.fullmatch
+        if not new:
+            return
         if self.ends is None:
-            found = self._raw(chunks)
-            return np.fromiter(chain.from_iterable(found), np.int32), np.array([len(f) for f in found], np.int64)
-        plain, get = [LATIN.fullmatch(c) for c in chunks], self.parts.get
-        words = [m[1].lower() if m else c for c, m in zip(chunks, plain)]
-        marks = [m[2] if m else "" for m in plain]
-        at = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
-        new = np.flatnonzero(at < 0).tolist()
-        self._learn(list(dict.fromkeys(words[i] for i in new if plain[i])), list(dict.fromkeys(chain((words[i] for i in new if not plain[i]), (m for m in marks if m not in self.parts)))))
-        at[new] = [get(words[i]) for i in new]
-        both = np.stack([at, np.fromiter(map(get, marks), np.int64, len(marks))], axis=1)
-        flat, _ = self.pieces.of(both.ravel())
-        return flat, self.pieces.sizes[both].sum(axis=1)
+            found = list(map(self._bytes, self._raw(list(new))))
+        else:
+            cut = {}
+            for c in new:
+                if not letters(c):
+                    m = LATIN.fullmatch(c)
+                    cut[c] = (m[1].lower(), m[2]) if m else (c, "")
+            lacking = [w for w in new if w not in cut and w not in parts]
+            more = dict.fromkeys(w for w in chain.from_iterable(cut.values()) if w not in parts and (w not in new or w in cut))
+            self._learn_parts(lacking + [w for w in more if letters(w)], [w for w in more if not letters(w)])
+            found = [parts[c] if c not in cut else parts[cut[c][0]] + parts[cut[c][1]] for c in new]
+        for place, ids in zip(new.values(), found):
+            place += ids
+        self.known.update(zip(new, found))
+        self.known.new = {}
+
+    def _strings(self, text: str) -> list[str]:
+        """What is looked up of a text."""
+        if self.ends is not None:
+            kinds = _kinds(text)
+            if kinds is not None and b"!!" not in kinds and b"?" not in kinds:
+                text = text.lower()
+                for mark in COMMON_MARKS:
+                    if mark in text:
+                        text = text.replace(mark, f" {mark} ")
+                return text.split()
+        return text.replace("\n", " ").split(" ")
 
     def flat_ids(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, each followed by `end` if there is one, and where each text begins, and the last one ends."""
@@ -140,24 +174,19 @@ class Encoder:
             self._anew()
         if len(self.parts) > MAX_PARTS:
             self._anew_parts()
-        chunks: list[str] = []
-        upto = [0]
-        for t in texts:
-            chunks += t.replace("\n", " ").split(" ")
-            upto.append(len(chunks))
-        at = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
-        missing = np.flatnonzero(at < 0).tolist()
-        if missing:
-            new = list(dict.fromkeys(chunks[i] for i in missing))
-            first = len(self.chunks.sizes)
-            self.chunks.add(*self._encoded(new))
-            self.known.update(zip(new, range(first, first + len(new))))
-            at[missing] = [self.known[chunks[i]] for i in missing]
-        every, ends = self.chunks.of(at)
-        cuts = np.concatenate([[0], ends])[upto]
+        get = self.known.__getitem__
+        found = [list(map(get, self._strings(t))) for t in texts]
+        self._learn()
+        whole = [b"".join(f) for f in found]
+        size = np.dtype(self.kind).itemsize
+        cuts = np.concatenate([[0], np.cumsum([len(w) // size + (end is not None) for w in whole], dtype=np.int64)])
         if end is None:
-            return every, cuts
-        return np.insert(every, cuts[1:], end), cuts + np.arange(len(cuts))
+            return np.frombuffer(b"".join(whole), self.kind), cuts
+        if end > np.iinfo(self.kind).max:
+            every = np.frombuffer(b"".join(whole), self.kind).astype(np.int64)
+            return np.insert(every, cuts[1:] - np.arange(1, len(cuts)), end), cuts
+        last = self._bytes([end])
+        return np.frombuffer(b"".join(chain.from_iterable(zip(whole, repeat(last)))), self.kind), cuts
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -347,16 +376,13 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, s
         for part in slices(texts):
             every, cuts = encoder.flat_ids([t or "" for t in part], end_id)
             sizes = np.diff(cuts)
-            cells = np.repeat(np.arange(len(sizes)), sizes) * n_ids + every
-            if len(cells) * 256 > len(sizes) * n_ids:  # a table of the slice costs less than sorting
-                there = np.zeros(len(sizes) * n_ids, bool)
-                there[cells] = True
-                held = np.flatnonzero(there)
-            else:
-                held = np.unique(cells)
+            first = np.arange(len(sizes), dtype=np.int32 if len(sizes) * n_ids < 1 << 31 else np.int64) * n_ids
+            cells = np.repeat(first, sizes) + every
+            cells.sort()
+            held = cells[np.flatnonzero(np.diff(cells, prepend=-1))]
             doc, token = held // n_ids, held % n_ids
             seen += np.bincount(token, minlength=n_ids)
-            whole = every.astype(kind)
+            whole = every.astype(kind, copy=False)
             out += zip(sizes.tolist(), sketches(doc, token, orders).tolist(), (whole[a:b].tobytes() for a, b in zip(cuts.tolist(), cuts[1:].tolist())))
         found = pd.DataFrame(out, columns=["n", "sketch", "ids"])
         # in how many documents of the batch each token stands, beside its last row

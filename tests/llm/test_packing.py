@@ -1,3 +1,4 @@
+import json
 import math
 import random
 import zlib
@@ -40,6 +41,38 @@ def test_ids_are_those_of_the_library(lib):
     assert not whole.by_chunk and whole.ids(["a  b"])[0].tolist() == Tokenizer.from_file(P.path("byte_bpe_50k.json")).encode("a  b").ids
 
 
+def test_words_are_kept_once_whatever_their_case_and_marks(lib):
+    rng = random.Random(4)
+    with open(PATH, encoding="utf-8") as f:
+        own = Encoder(f.read())
+    texts = ["Über, ÜBER. (über) \"Über\" über: Über!", "Eau/eau-EAU, (eau) eau? EAU.\nEau: eau", "a\tÉté,été\x85ÉTÉ\xa0été."]
+    assert [x.tolist() for x in own.ids(texts)] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    assert sum(map(str.isalpha, own.known)) == 4 and sum(map(str.isalpha, own.parts)) == 4
+    assert all(len(s) == 1 for s in own.known if not s.isalpha())
+    # every character of Latin-1 beside letters, digits, blanks, marks and itself, and texts of some of them
+    odd = [x for c in map(chr, range(256)) for x in (c, f"a{c}B", f"É{c}", f"{c}É", f"1{c}2", f"x {c} y", f",{c}", f"{c}.", c + c, f"{c}'s", f"a'{c}", f"l'{c}a", f"B,{c}e")]
+    odd += ["".join(rng.choice("ab' ÀÿßsS\n.,-1ªµ²½\x1c\xad÷×") for _ in range(rng.randrange(1, 30))) for _ in range(2000)]
+    want = [e.ids for e in lib.encode_batch(odd, add_special_tokens=False)]
+    for n in (1, 7, 5000):
+        assert [x.tolist() for i in range(0, len(odd), n) for x in own.ids(odd[i : i + n])] == want
+    flat, cuts = own.flat_ids(odd, 70_000)  # an end of more than 16 bits
+    assert [flat[a:b].tolist() for a, b in zip(cuts, cuts[1:])] == [x + [70_000] for x in want]
+    # strings whose tokens could not be found are asked for again
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(own, "_learn_parts", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            own.ids(["unheard zzyzx"])
+    assert own.ids(["zzyzx unheard"])[0].tolist() == lib.encode("zzyzx unheard", add_special_tokens=False).ids
+
+
+def test_added_words_are_not_taken_apart():
+    spec = json.loads(open(PATH, encoding="utf-8").read())
+    spec["added_tokens"].append(spec["added_tokens"][0] | {"id": 49408, "content": "[X]"})
+    raw = json.dumps(spec)
+    texts = ["a [X] b", "(a)[X]", "x[x]y [X], Hello"]
+    assert [x.tolist() for x in Encoder(raw).ids(texts)] == [e.ids for e in Tokenizer.from_str(raw).encode_batch(texts, add_special_tokens=False)]
+
+
 def check(pieces, want, window):
     """`pieces` as (doc, start, length, ids, doc_tokens, sequence, offset), `want` the ids of each document."""
     docs, sequences = {}, {}
