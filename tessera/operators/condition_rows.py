@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,6 +22,8 @@ STEP = "struct<op:string,n:int>"
 CONTENT = ["names", "test", "op", "texts", "numbers", "moments", "flag", "bare", "si", "dim"]
 COMPARISONS = {"=", "!=", ">", "<", ">=", "<="}
 LIKES = {"LIKE": "like", "ILIKE": "like", "NOT LIKE": "unlike", "NOT ILIKE": "unlike"}
+#: Bytes of a written table's rows up to which it is sent to every task; its files tell little of them, as equal values take next to no room there.
+BROADCAST_BYTES = 64 << 20
 LISTS = {"BETWEEN": 2, "NOT BETWEEN": 2, "IN": 0, "NOT IN": 0}
 
 
@@ -168,16 +171,31 @@ def leaf_scores(meaning: bool) -> Column:
     return F.when(test == "like", F.when(starts, 2).when(_either(inside, near), 1).otherwise(0)).otherwise(F.coalesce(met, F.lit(False)).cast("int"))
 
 
-def rank_trees(attributes: DataFrame, leaves: DataFrame, trees: DataFrame, doc_col: str = "doc_id", query_col: str = "query_id", vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def _numbered(df: DataFrame, number: str, name: str) -> DataFrame:
+    """The rows of `df` with a number each that stays."""
+    return written(df.withColumn(number, F.monotonically_increasing_id()), name)
+
+
+def _sized(df: DataFrame, more: Column | int = 0) -> DataFrame:
+    """A written table as one side of a join: broadcast if its rows, 64 bytes each and `more`, are counted as few, else never, however small its files are."""
+    size = df.agg(F.coalesce(F.sum(F.lit(64).cast("long") + more), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df.hint("merge")
+
+
+def rank_trees(attributes: DataFrame, leaves: DataFrame, trees: DataFrame, doc_col: str = "doc_id", query_col: str = "query_id", vectors: DataFrame | None = None, typing: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """`tree_id, doc_col, full_match, partial_match_count, partial_rank` for documents that meet a condition, and `query_col, tree_id`.
 
     `leaves` and `trees` come from `condition_rows`; `vectors` is (query_col,
     leaf, vector), for leaves that also compare by meaning. The plan does not
-    depend on the number of trees: equal leaves are evaluated once, joined to
-    the attributes by key, and equal trees are folded once. full_match is 1
-    where the tree holds; the rank is dense over the sum of the scores, the
-    largest first. Rows of a null document or without a key count for nothing.
+    depend on the number of trees: equal leaves are evaluated once for each
+    distinct value, and equal trees are folded once for each distinct set of
+    values that the leaves tell apart; documents only look up what their set
+    has. `typing` (`attributes.typed`) types the distinct values of attributes
+    that are not typed yet. full_match is 1 where the tree holds; the rank is
+    dense over the sum of the scores, the largest first. Rows of a null
+    document or without a key count for nothing.
     """
+    parts = int(attributes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     leaves = leaves.withColumnRenamed(query_col, "__q")
     if vectors is not None:
         leaves = leaves.join(vectors.select(F.col(query_col).alias("__q"), "leaf", F.col("vector").cast("array<double>").alias("vector")), ["__q", "leaf"], "left")
@@ -188,25 +206,38 @@ def rank_trees(attributes: DataFrame, leaves: DataFrame, trees: DataFrame, doc_c
     once = leaves.groupBy("lid").agg(*[F.first(c).alias(c) for c in (*CONTENT, "vector")])
     text = F.get("texts", F.lit(0))
     once = once.withColumn("at_start", F.when(F.col("test") == "like", _pattern(F.concat(text, F.lit("%"))))).withColumn("anywhere", F.when(F.col("test").isin("like", "unlike"), _pattern(F.concat(F.lit("%"), text, F.lit("%")))))
-    each = written(once.select("*", F.explode("names").alias("key")).drop("names"), "leaf-keys")
-    rows = attributes.filter(F.col(doc_col).isNotNull())
-    for c, kind in (("value_boolean", "boolean"), ("value_numeric", "double"), ("value_timestamp", "timestamp_ntz"), ("value_si", "struct<magnitude:double,dim:string>")):
-        if c not in rows.columns:
-            rows = rows.withColumn(c, F.lit(None).cast(kind))
-    met = rows.select(F.col(doc_col).alias("__doc"), "key", "value", "value_boolean", "value_numeric", "value_timestamp", "value_si", *(["value_vector"] if "value_vector" in rows.columns else [])).join(each, "key")
-    flags = met.select("lid", "__doc", leaf_scores("value_vector" in rows.columns).alias("score")).groupBy("lid", "__doc").agg(F.max("score").alias("score")).filter("score > 0")
-
-    named = leaves.groupBy("__q").agg(F.transform(F.array_sort(F.collect_list(F.struct("leaf", "lid"))), lambda x: x["lid"]).alias("lids"))
-    own = trees.withColumnRenamed(query_col, "__q").join(named, "__q").select("__q", "steps", "lids").withColumn("tree_id", F.sha2(F.to_json(F.struct("steps", "lids")), 256))
-    own = written(own, "trees")
-    once = own.groupBy("tree_id").agg(F.first("steps").alias("steps"), F.first("lids").alias("lids"))
-    found = once.select("tree_id", F.posexplode("lids").alias("leaf", "lid")).join(flags, "lid").groupBy("tree_id", "__doc").agg(F.map_from_entries(F.collect_list(F.struct("leaf", "score"))).alias("scores"))
-    found = found.join(once.select("tree_id", "steps"), "tree_id").select("tree_id", "__doc", holds(F.col("steps"), F.col("scores")).cast("int").alias("full_match"), F.aggregate(F.map_values("scores"), F.lit(0), lambda a, x: a + x).alias("partial_match_count"))
+    once = _numbered(once, "at", "leaf-content")
+    each = once.select("*", F.explode("names").alias("key")).drop("names", "lid")
+
+    # distinct values, and what each scores
+    kinds = {"value_boolean": "boolean", "value_numeric": "double", "value_timestamp": "timestamp_ntz", "value_si": "struct<magnitude:double,dim:string>"}
+    own = ["key", "value", *[c for c in (["unit"] if typing else [*kinds]) + ["value_vector"] if c in attributes.columns]]
+    rows = attributes.filter(F.col(doc_col).isNotNull()).join(each.select("key").distinct(), "key", "left_semi").select(F.col(doc_col).alias("__doc"), F.struct(*own).alias("own"))
+    values = written(rows.select("own").distinct(), "values")
+    known = values.select("own", "own.*") if typing is None else typing(values.select("own", "own.*"))
+    known = known.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items() if c not in known.columns})
+    met = known.repartition(parts).join(each, "key").select("own", "at", leaf_scores("value_vector" in own).alias("score")).filter("score > 0")
+    hits = written(met.groupBy("own").agg(F.sort_array(F.collect_list(F.struct("at", "score"))).alias("hits")), "hits")
+    sets = _numbered(hits.select("hits").distinct(), "set", "hit-sets")
+
+    # documents by the sets that their values have: equal lists are one profile
+    of_value = written(hits.join(_sized(sets, 32 * F.size("hits")), "hits").select("own", "set"), "sets-of-values")
+    docs = written(rows.join(_sized(of_value, F.coalesce(F.length("own.value"), F.lit(0)) + (8 * F.coalesce(F.array_size("own.value_vector"), F.lit(0)) if "value_vector" in own else 0)), "own").groupBy("__doc").agg(F.array_sort(F.collect_set("set")).alias("sets")).repartition(parts), "documents")
+    profiles = _numbered(docs.select("sets").distinct(), "profile", "profiles")
+    flags = profiles.select("profile", F.explode("sets").alias("set")).join(_sized(sets, 32 * F.size("hits")), "set").select("profile", F.explode("hits").alias("h")).select("profile", "h.*")
+    flags = flags.repartition(parts, "profile").groupBy("profile", "at").agg(F.max("score").alias("score"))
+
+    named = leaves.join(_sized(once.select("lid", "at")), "lid").groupBy("__q").agg(F.transform(F.array_sort(F.collect_list(F.struct("leaf", "at"))), lambda x: x["at"]).alias("ats"))
+    asked = written(trees.withColumnRenamed(query_col, "__q").join(named, "__q").select("__q", "steps", "ats").withColumn("tree", F.sha2(F.to_json(F.struct("steps", "ats")), 256)), "trees")
+    numbers = _numbered(asked.groupBy("tree").agg(F.first("steps").alias("steps"), F.first("ats").alias("ats")), "tree_id", "tree-numbers")
+    found = flags.join(numbers.select("tree_id", F.posexplode("ats").alias("leaf", "at")), "at").groupBy("tree_id", "profile").agg(F.map_from_entries(F.collect_list(F.struct("leaf", "score"))).alias("scores"))
+    found = found.join(_sized(numbers.select("tree_id", "steps"), 40 * F.size("steps")), "tree_id").select("tree_id", "profile", holds(F.col("steps"), F.col("scores")).cast("int").alias("full_match"), F.aggregate(F.map_values("scores"), F.lit(0), lambda a, x: a + x).alias("partial_match_count"))
     found = written(found, "met")
     sums = found.select("tree_id", "partial_match_count").distinct()  # two values a leaf at most
     ranks = sums.withColumn("partial_rank", F.dense_rank().over(W.partitionBy("tree_id").orderBy(F.desc("partial_match_count"))))
-    out = found.join(ranks, ["tree_id", "partial_match_count"]).select("tree_id", F.col("__doc").alias(doc_col), "full_match", "partial_match_count", "partial_rank")
-    return out, own.select(F.col("__q").alias(query_col), "tree_id")
+    ranked = written(found.join(_sized(written(ranks, "tree-ranks")), ["tree_id", "partial_match_count"]), "ranked-profiles")
+    out = docs.join(_sized(profiles, 8 * F.size("sets")), "sets").join(_sized(ranked), "profile").select("tree_id", F.col("__doc").alias(doc_col), "full_match", "partial_match_count", "partial_rank")
+    return out, asked.join(numbers.select("tree", "tree_id"), "tree").select(F.col("__q").alias(query_col), "tree_id")
 
 
 def holds(steps: Column, scores: Column) -> Column:

@@ -59,7 +59,7 @@ def asked_trees(spark: SparkSession, rules: list[Rule]) -> DataFrame:
 @register(f"with {ROWS} " + " union all ".join(Rule(t).sql(t) for t in range(TREES)))
 def cond_trees_as_rows(spark, d):
     leaves, trees = condition_rows.condition_rows(asked_trees(spark, [Rule(t) for t in range(TREES)]))
-    ranked, of = condition_rows.rank_trees(A.typed(part_attributes(spark, d)), leaves, trees)
+    ranked, of = condition_rows.rank_trees(part_attributes(spark, d), leaves, trees, typing=A.typed)
     return ranked.join(of, "tree_id").select(F.col("query_id").alias("tree"), "doc_id", "full_match", "partial_match_count", "partial_rank")
 
 

@@ -1,8 +1,13 @@
 import json
 import random
 
+from pyspark.sql import functions as F
+
+from tessera.operators import condition_rows as condition_rows_module
+from tessera.operators.attributes import typed
 from tessera.operators.condition_rows import condition_rows, rank_trees, read_leaf, read_tree
 from tessera.operators.conditions import leaf_score, rank_conditions
+from tessera.session import written
 from tests.operators.test_conditions import leaf, rows
 
 VALUES = [5, 7.5, True, "silver", "2023-05-06", "2023/05/06", "C:\\data", "50%", "", None, [5, 7], [5], [], ["a", "silver"], ["2023-05-06", "2023.05.07"], [1, "x"], [True, False]]
@@ -70,3 +75,30 @@ def test_the_plan_does_not_grow_with_the_trees(spark):
         ranked, _ = rank_trees(rows(spark), *condition_rows(queries))
         sizes.append(len(ranked._jdf.queryExecution().optimizedPlan().toString().splitlines()))
     assert sizes[0] == sizes[1]
+
+
+def test_copies_of_documents_are_evaluated_once(spark, monkeypatch):
+    """Tables between the attributes and the result grow with distinct values and sets of them alone; large ones are not broadcast."""
+    queries = spark.createDataFrame([(0, json.dumps(leaf("energy", ">", 1))), (1, json.dumps({"logic": "OR", "conditions": [leaf("name", "LIKE", "s"), leaf("energy", "<=", 6)]}))], "query_id long, filters string")
+    base = spark.createDataFrame([(0, "energy", "5"), (0, "name", "silver"), (1, "energy", "7"), (2, "name", "gold"), (3, "name", "as"), (3, "name", None), (3, None, "x")], "doc_id long, key string, value string").withColumn("unit", F.lit(None).cast("string"))
+    seen, found = [], []
+    for copies, most in ((1, condition_rows_module.BROADCAST_BYTES), (40, 0)):
+        counts = {}
+
+        def counted(df, name, counts=counts):
+            out = written(df, name)
+            counts[name] = out.count()
+            return out
+
+        monkeypatch.setattr(condition_rows_module, "written", counted)
+        monkeypatch.setattr(condition_rows_module, "BROADCAST_BYTES", most)
+        rows = base.crossJoin(spark.range(copies).withColumnRenamed("id", "copy")).withColumn("doc_id", F.col("doc_id") + 10 * F.col("copy")).drop("copy")
+        ranked, of = rank_trees(rows, *condition_rows(queries), typing=typed)
+        got = ranked.join(of, "tree_id").select("query_id", "doc_id", "full_match", "partial_match_count", "partial_rank").collect()
+        assert ("BroadcastHashJoin" in ranked._jdf.queryExecution().executedPlan().toString()) == (most > 0)
+        assert counts.pop("documents") == 3 * copies
+        seen.append(counts)
+        found.append({(r.query_id, r.doc_id % 10, *r[2:]) for r in got})
+        assert len(got) == 4 * copies
+    assert seen[0] == seen[1]
+    assert found[0] == found[1] == {(0, 0, 1, 1, 1), (0, 1, 1, 1, 1), (1, 0, 1, 3, 1), (1, 3, 1, 1, 2)}
