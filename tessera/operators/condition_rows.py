@@ -176,7 +176,7 @@ def _numbered(df: DataFrame, number: str, name: str) -> DataFrame:
     return written(df.withColumn(number, F.monotonically_increasing_id()), name)
 
 
-def _sized(df: DataFrame, more: Column | int = 0) -> DataFrame:
+def sized(df: DataFrame, more: Column | int = 0) -> DataFrame:
     """A written table as one side of a join: broadcast if its rows, 64 bytes each and `more`, are counted as few, else never, however small its files are."""
     size = df.agg(F.coalesce(F.sum(F.lit(64).cast("long") + more), F.lit(0))).first()[0]
     return F.broadcast(df) if size <= BROADCAST_BYTES else df.hint("merge")
@@ -221,22 +221,22 @@ def rank_trees(attributes: DataFrame, leaves: DataFrame, trees: DataFrame, doc_c
     sets = _numbered(hits.select("hits").distinct(), "set", "hit-sets")
 
     # documents by the sets that their values have: equal lists are one profile
-    of_value = written(hits.join(_sized(sets, 32 * F.size("hits")), "hits").select("own", "set"), "sets-of-values")
-    docs = written(rows.join(_sized(of_value, F.coalesce(F.length("own.value"), F.lit(0)) + (8 * F.coalesce(F.array_size("own.value_vector"), F.lit(0)) if "value_vector" in own else 0)), "own").groupBy("__doc").agg(F.array_sort(F.collect_set("set")).alias("sets")).repartition(parts), "documents")
+    of_value = written(hits.join(sized(sets, 32 * F.size("hits")), "hits").select("own", "set"), "sets-of-values")
+    docs = written(rows.join(sized(of_value, F.coalesce(F.length("own.value"), F.lit(0)) + (8 * F.coalesce(F.array_size("own.value_vector"), F.lit(0)) if "value_vector" in own else 0)), "own").groupBy("__doc").agg(F.array_sort(F.collect_set("set")).alias("sets")).repartition(parts), "documents")
     profiles = _numbered(docs.select("sets").distinct(), "profile", "profiles")
-    flags = profiles.select("profile", F.explode("sets").alias("set")).join(_sized(sets, 32 * F.size("hits")), "set").select("profile", F.explode("hits").alias("h")).select("profile", "h.*")
+    flags = profiles.select("profile", F.explode("sets").alias("set")).join(sized(sets, 32 * F.size("hits")), "set").select("profile", F.explode("hits").alias("h")).select("profile", "h.*")
     flags = flags.repartition(parts, "profile").groupBy("profile", "at").agg(F.max("score").alias("score"))
 
-    named = leaves.join(_sized(once.select("lid", "at")), "lid").groupBy("__q").agg(F.transform(F.array_sort(F.collect_list(F.struct("leaf", "at"))), lambda x: x["at"]).alias("ats"))
+    named = leaves.join(sized(once.select("lid", "at")), "lid").groupBy("__q").agg(F.transform(F.array_sort(F.collect_list(F.struct("leaf", "at"))), lambda x: x["at"]).alias("ats"))
     asked = written(trees.withColumnRenamed(query_col, "__q").join(named, "__q").select("__q", "steps", "ats").withColumn("tree", F.sha2(F.to_json(F.struct("steps", "ats")), 256)), "trees")
     numbers = _numbered(asked.groupBy("tree").agg(F.first("steps").alias("steps"), F.first("ats").alias("ats")), "tree_id", "tree-numbers")
     found = flags.join(numbers.select("tree_id", F.posexplode("ats").alias("leaf", "at")), "at").groupBy("tree_id", "profile").agg(F.map_from_entries(F.collect_list(F.struct("leaf", "score"))).alias("scores"))
-    found = found.join(_sized(numbers.select("tree_id", "steps"), 40 * F.size("steps")), "tree_id").select("tree_id", "profile", holds(F.col("steps"), F.col("scores")).cast("int").alias("full_match"), F.aggregate(F.map_values("scores"), F.lit(0), lambda a, x: a + x).alias("partial_match_count"))
+    found = found.join(sized(numbers.select("tree_id", "steps"), 40 * F.size("steps")), "tree_id").select("tree_id", "profile", holds(F.col("steps"), F.col("scores")).cast("int").alias("full_match"), F.aggregate(F.map_values("scores"), F.lit(0), lambda a, x: a + x).alias("partial_match_count"))
     found = written(found, "met")
     sums = found.select("tree_id", "partial_match_count").distinct()  # two values a leaf at most
     ranks = sums.withColumn("partial_rank", F.dense_rank().over(W.partitionBy("tree_id").orderBy(F.desc("partial_match_count"))))
-    ranked = written(found.join(_sized(written(ranks, "tree-ranks")), ["tree_id", "partial_match_count"]), "ranked-profiles")
-    out = docs.join(_sized(profiles, 8 * F.size("sets")), "sets").join(_sized(ranked), "profile").select("tree_id", F.col("__doc").alias(doc_col), "full_match", "partial_match_count", "partial_rank")
+    ranked = written(found.join(sized(written(ranks, "tree-ranks")), ["tree_id", "partial_match_count"]), "ranked-profiles")
+    out = docs.join(sized(profiles, 8 * F.size("sets")), "sets").join(sized(ranked), "profile").select("tree_id", F.col("__doc").alias(doc_col), "full_match", "partial_match_count", "partial_rank")
     return out, asked.join(numbers.select("tree", "tree_id"), "tree").select(F.col("__q").alias(query_col), "tree_id")
 
 

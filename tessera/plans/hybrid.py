@@ -62,26 +62,50 @@ def condition_branch(conditions: DataFrame, queries: DataFrame, others: DataFram
     the fusion are. So no tree is multiplied with all its queries.
     """
     cols = [query_col, doc_col, "full_match", "partial_rank"]
-    first = W.partitionBy("tree_id", "full_match").orderBy("partial_rank", doc_col)
-    best = conditions.withColumn("__at", F.row_number().over(first)).filter(F.col("__at") <= limit)
-    found = queries.join(best, "tree_id").select(*cols)
+    found = queries.join(first_of(conditions, ["tree_id", "full_match"], "partial_rank", limit, doc_col), "tree_id").select(*cols)
     if others is not None:
         met = others.select(query_col, doc_col).distinct().join(queries.select(query_col, "tree_id"), query_col)
         found = found.unionByName(met.join(conditions, ["tree_id", doc_col]).select(*cols)).distinct()
     return found
 
 
+def _reciprocals(k: dict[str, int] | None, given: bool = False) -> dict[str, Column]:
+    """The score of each component's rank."""
+    k = DEFAULT_K | (k or {})
+    return {c: F.coalesce(rrf_score(F.col(c), F.col(f"k_{c}") if given else k[c]), F.lit(0.0)) for c in COMPONENTS}
+
+
+def _overall() -> Column:
+    return reduce(Column.__add__, [F.col(f"{c}_score") for c in COMPONENTS])
+
+
+def best_of_both(conditions: DataFrame, keywords: DataFrame, both: DataFrame, config: SearchConfig, doc_col: str = "doc_id") -> DataFrame:
+    """`both, doc_col`: the top `config.limit` of the documents that a tree and a list of words both find, for each pair of these.
+
+    `conditions` is (tree_id, doc_col, full_match, partial_rank), `keywords`
+    (words_id, doc_col, rank), `both` (both, tree_id, words_id).
+    """
+    none = F.lit(None).cast("int")
+    met = conditions.join(both, "tree_id").join(keywords.hint("merge"), ["words_id", doc_col])
+    ranks = met.select("both", doc_col, none.alias("document"), none.alias("chunk"), F.col("full_match").alias("conditions_full"), F.col("partial_rank").alias("conditions_partial"), F.col("rank").alias("keywords"))
+    scored = ranks.withColumns({f"{c}_score": v for c, v in _reciprocals(config.k).items()}).withColumn("overall_score", _overall())
+    return top_results(scored, config.limit, "both", doc_col).select("both", doc_col)
+
+
+def first_of(ranked: DataFrame, by: list[str], rank: str, limit: int, doc_col: str = "doc_id") -> DataFrame:
+    """The `limit` rows of each group that come first by rank and id."""
+    return ranked.withColumn("__at", F.row_number().over(W.partitionBy(*by).orderBy(rank, doc_col))).filter(F.col("__at") <= limit).drop("__at")
+
+
 def fuse(ranks: DataFrame, k: dict[str, int] | None = None, query_col: str = "query_id", doc_col: str = "doc_id", by: tuple[str, ...] = ()) -> DataFrame:
     """`query_col, doc_col, overall_score` and the five scores: sums of reciprocal ranks.
 
     With `by` the constants are columns `k_<component>` of `ranks` and those
     columns group too: that is how a table of configurations is swept.
     """
-    k = DEFAULT_K | (k or {})
-    one = {c: F.coalesce(rrf_score(F.col(c), F.col(f"k_{c}") if by else k[c]), F.lit(0.0)) for c in COMPONENTS}
+    one = _reciprocals(k, bool(by))
     sums = ranks.groupBy(*by, query_col, doc_col).agg(*[F.sum(v).alias(f"{c}_score") for c, v in one.items()])
-    overall = reduce(Column.__add__, [F.col(f"{c}_score") for c in COMPONENTS])
-    return sums.withColumn("overall_score", overall)
+    return sums.withColumn("overall_score", _overall())
 
 
 def top_results(fused: DataFrame, limit: int = 20, query_col: str = "query_id", doc_col: str = "doc_id", by: tuple[str, ...] = (), decimals: int = 9) -> DataFrame:

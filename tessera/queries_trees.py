@@ -123,7 +123,7 @@ def search_in_one_call(spark, d):
     e = table(spark, d, "embeddings")
     corpus = S.Corpus(
         documents=docs.select("doc_id", "source").join(document_vectors(spark, d), "doc_id", "left").withColumn("document_id", F.col("doc_id") + INNER),
-        chunks=inner(chunk_vectors(spark, d), "doc_id"), attributes=inner(A.typed(part_attributes(spark, d)), "doc_id"), texts=docs.select("doc_id", "text"), stem=False,
+        chunks=inner(chunk_vectors(spark, d), "doc_id"), attributes=inner(part_attributes(spark, d), "doc_id"), typing=A.typed, texts=docs.select("doc_id", "text"), stem=False,
         keys=e.filter(f"vec_id between 1 and {len(KEYS)}").select(F.element_at(F.array(*map(F.lit, KEYS)), F.col("vec_id").cast("int")).alias("key"), F.col("embedding").alias("vector")),
     )
     names = e.filter(f"vec_id % 20 = 0 and vec_id < {20 * len(KEYS)}").select(F.concat(F.lit("n"), F.floor(F.col("vec_id") / 20)).alias("name"), F.col("embedding").alias("vector"))
