@@ -195,24 +195,130 @@ def rank_chunks(queries: DataFrame, chunks: DataFrame, threshold: float = 0.5, q
     return _dense_rank(best, query_col, (F.col("distance"), False), (F.col("chunk_count"), True))
 
 
+def _by_key(keys: DataFrame, descriptions: DataFrame | None, name_col: str, vector_col: str) -> tuple[DataFrame, int]:
+    """`key, said, v` of keys' names and, where `said`, of their descriptions, and the width of the vectors."""
+    both = keys.select("key", F.lit(False).alias("said"), F.col(vector_col).cast("array<double>").alias("v"))
+    if descriptions is not None:
+        both = both.unionByName(descriptions.select("key", F.lit(True).alias("said"), F.col(vector_col).cast("array<double>").alias("v")))
+    both = both.filter("key is not null and v is not null")
+    return both, both.agg(F.max(F.size("v"))).first()[0] or 1
+
+
 def resolve_names(names: DataFrame, keys: DataFrame, descriptions: DataFrame | None = None, threshold: float = 0.5, least: int = 4, name_col: str = "name", vector_col: str = "vector") -> DataFrame:
     """`name_col, key` for every non-empty raw name.
 
     All keys whose name or description is nearer than `threshold`, filled up
     to `least` with the next nearest key names; the raw name itself if there
     is no key at all. `keys` is (key, vector), `descriptions` the same.
+
+    Where names have very many keys the hits are most of the result, so they
+    are neither shuffled nor written: all vectors of a key stand in one block,
+    where it is a hit once or not at all. Blocks are met twice, first for the
+    number of a name's hits and its nearest other keys, `least` of a block,
+    then for the hits themselves. Keys of more vectors than a block holds stand
+    in several; their hits are made distinct by a shuffle of theirs alone.
     """
-    asked = names.filter(F.trim(F.coalesce(name_col, F.lit(""))) != "").dropDuplicates([name_col])
-    near = similar(asked, keys.select("key", vector_col), threshold, name_col, vector_col, vector_col, nearest=least)
-    best = written(near.groupBy(name_col, "key").agg(F.min("distance").alias("distance")), "near")
-    hits = best.filter(F.col("distance") < threshold).select(name_col, "key")
+    asked = written(names.filter(F.trim(F.coalesce(name_col, F.lit(""))) != "").dropDuplicates([name_col]), "names")
+    both, width = _by_key(keys, descriptions, name_col, vector_col)
+    per_block = max(1, BLOCK_BYTES // (8 * width))
+    counts = written(both.groupBy("key").count(), "vectors-of-keys")
+    total, largest = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
+    queries = asked.filter(F.col(vector_col).isNotNull()).select(F.col(name_col).alias("__q"), F.col(vector_col).cast("array<double>").alias("__v"))
+    n = queries.count()
+    n_blocks, parts = max(1, -(-n // per_block)), max(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // per_block))
+    blocks = queries.groupBy(F.pmod(F.xxhash64("__q"), F.lit(n_blocks)).alias("__block")).agg(F.collect_list("__q").alias("__ids"), F.collect_list("__v").alias("__asked"))
+
+    q_kind, key_kind = names.schema[name_col].dataType.simpleString(), keys.schema["key"].dataType.simpleString()
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows sorted by key in blocks; a key's rows are not parted if there are no more than a block holds."""
+        held, last = [], None
+
+        def block(part: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"keys": [part["key"].tolist()], "said": [part["said"].tolist()], "m": [np.stack([np.asarray(v, float) for v in part["v"]]).tobytes()]})
+
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) < 2 * per_block:
+                continue
+            rows = pd.concat(held, ignore_index=True)
+            while len(rows) >= 2 * per_block:
+                new = np.flatnonzero(rows["key"].to_numpy()[1:] != rows["key"].to_numpy()[:-1]) + 1
+                cut = int(new[new <= per_block].max()) if (new <= per_block).any() else per_block
+                yield block(rows.iloc[:cut])
+                rows = rows.iloc[cut:].reset_index(drop=True)
+            held = [rows]
+        rows = pd.concat(held, ignore_index=True) if held else None
+        if rows is not None and len(rows):
+            yield block(rows)
+
+    def nearness(row: dict) -> Iterator[tuple]:
+        """Names of a pair of blocks, a few at a time, their keys, which are hits, and how near the keys' names are."""
+        q, ids, said = _unit(row["__asked"]), np.array(row["__ids"], object), np.array(row["said"], bool)
+        c = np.frombuffer(row["m"], float).reshape(len(said), -1)
+        length = np.linalg.norm(c, axis=1)
+        c = c / np.where(length > 0, length, np.nan)[:, None]
+        own = np.array(row["keys"], object)
+        starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        step = max(1, CELLS // len(own))
+        for i in range(0, len(q), step):
+            d = np.round(1 - q[i : i + step] @ c.T, DECIMALS) + 0.0
+            hit = np.logical_or.reduceat(d < threshold, starts, axis=1)
+            named = np.fmin.reduceat(np.where(said, np.nan, d), starts, axis=1)
+            yield ids[i : i + step], own[starts], hit, named
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The number of a name's hits, and its nearest keys that are no hits, ties included."""
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                for ids, own, hit, named in nearness(row):
+                    yield pd.DataFrame({"q": ids, "key": None, "distance": None, "hits": hit.sum(axis=1)})
+                    rest = np.where(hit | np.isnan(named), np.inf, named)
+                    if least and rest.shape[1]:
+                        at = np.partition(rest, min(least, rest.shape[1]) - 1, axis=1)[:, min(least, rest.shape[1]) - 1]
+                        found = np.isfinite(rest) & (rest <= at[:, None])
+                        if found.sum() > 4 * least * len(ids):  # of very many that tie the first keys are enough
+                            tied = found & (rest == at[:, None])
+                            found &= ~tied | (tied.cumsum(axis=1) <= least)
+                        a, b = np.nonzero(found)
+                        yield pd.DataFrame({"q": ids[a], "key": own[b], "distance": rest[a, b], "hits": 0})
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                for ids, own, hit, _ in nearness(row):
+                    a, b = np.nonzero(hit)
+                    yield pd.DataFrame({"q": ids[a], "key": own[b]})
+
+    def met(rows: DataFrame, name: str) -> DataFrame:
+        packed = written(rows.repartition(parts, "key").sortWithinPartitions("key").mapInPandas(pack, f"keys array<{key_kind}>, said array<boolean>, m binary"), name)
+        tiled = packed.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+        return tiled.join(F.broadcast(blocks) if n * width * 8 <= BROADCAST_BYTES else blocks.hint("merge"), "__block")
+
+    big = counts.filter(F.col("count") > per_block).select("key")
+    tiles = met(both.join(big, "key", "left_anti") if largest > per_block else both, "blocks")
+    seen = tiles.mapInPandas(sums, f"q {q_kind}, key {key_kind}, distance double, hits long")
+    hits = tiles.mapInPandas(each, f"q {q_kind}, key {key_kind}")
+    if largest > per_block:
+        far, near = _large_keys(asked, keys.join(big, "key", "left_semi"), descriptions.join(big, "key", "left_semi") if descriptions is not None else None, threshold, least, name_col, vector_col)
+        seen = seen.unionByName(far).unionByName(near.groupBy("q").agg(F.count("*").alias("hits")).select("q", F.lit(None).cast(key_kind).alias("key"), F.lit(None).cast("double").alias("distance"), "hits"))
+        hits = hits.unionByName(near)
+    first = F.row_number().over(W.partitionBy("q").orderBy("distance", "key"))
+    seen = written(seen.filter("key is not null or hits > 0"), "seen")
+    n_hits = seen.groupBy("q").agg(F.sum("hits").alias("n"))
+    fill = seen.filter("key is not null").withColumn("place", first).filter(F.col("place") <= least).join(n_hits, "q").filter(F.col("place") <= F.lit(least) - F.col("n")).select("q", "key")
+    raw = asked.select(F.col(name_col).alias("q")).join(seen.select("q").distinct(), "q", "left_anti").select("q", F.col("q").alias("key"))
+    return hits.unionByName(fill).unionByName(raw).withColumnRenamed("q", name_col)
+
+
+def _large_keys(asked: DataFrame, keys: DataFrame, descriptions: DataFrame | None, threshold: float, least: int, name_col: str, vector_col: str) -> tuple[DataFrame, DataFrame]:
+    """Of keys that stand in several blocks: the nearest that are no hits as (q, key, distance, hits), and the hits as (q, key)."""
+    best = written(similar(asked, keys.select("key", vector_col), threshold, name_col, vector_col, vector_col, nearest=least).groupBy(F.col(name_col).alias("q"), "key").agg(F.min("distance").alias("distance")), "near")
+    hits = best.filter(F.col("distance") < threshold).select("q", "key")
     if descriptions is not None:
-        hits = hits.unionByName(similar(asked, descriptions.select("key", vector_col), threshold, name_col, vector_col, vector_col).select(name_col, "key"))
+        # one row a block, name and key is enough
+        said = similar(asked, descriptions.select("key", vector_col), threshold, name_col, vector_col, vector_col, nearest=1).filter(F.col("distance") < threshold)
+        hits = hits.unionByName(said.select(F.col(name_col).alias("q"), "key"))
     hits = written(hits.distinct(), "hits")
-    n = hits.groupBy(name_col).agg(F.count("*").alias("n"))
-    # each block gave its nearest few, of which those of all are kept before any name's rows meet
-    rest = best.join(hits, [name_col, "key"], "left_anti").withColumn("place", F.row_number().over(W.partitionBy(name_col).orderBy("distance", "key"))).filter(F.col("place") <= least)
-    fill = rest.join(n, name_col, "left").filter(F.col("place") <= F.greatest(F.lit(0), F.lit(least) - F.coalesce("n", F.lit(0)))).select(name_col, "key")
-    found = hits.unionByName(fill)
-    raw = asked.join(found, name_col, "left_anti").select(name_col, F.col(name_col).alias("key"))
-    return found.unionByName(raw)
+    far = best.join(hits, ["q", "key"], "left_anti").withColumn("place", F.row_number().over(W.partitionBy("q").orderBy("distance", "key"))).filter(F.col("place") <= least)
+    return far.select("q", "key", "distance", F.lit(0).cast("long").alias("hits")), hits
